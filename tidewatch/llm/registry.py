@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import blocknames, secrets, simhash
+from tidewatch.llm import blocknames, kneser, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_links": secrets.op4_secret_links,
         "op5_simhash": simhash.op5_simhash,
         "op8_block_naming": blocknames.op8_block_naming,
+        "op10_kneser_ney": kneser.op10_kneser_ney,
     }
 
 
