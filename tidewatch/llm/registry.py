@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import blocknames, kneser, secrets, simhash
+from tidewatch.llm import blocknames, kneser, packing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixture_packing": packing.op1_mixture_packing,
         "op4_secret_links": secrets.op4_secret_links,
         "op5_simhash": simhash.op5_simhash,
         "op8_block_naming": blocknames.op8_block_naming,
