@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import blocknames, kneser, packing, quality, secrets, simhash
+from tidewatch.llm import blocknames, kneser, packing, quality, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixture_packing": packing.op1_mixture_packing,
+        "op2_label_propagation": sharding.op2_label_propagation,
         "op3_factorisation_machine": quality.op3_factorisation_machine,
         "op4_secret_links": secrets.op4_secret_links,
         "op5_simhash": simhash.op5_simhash,
