@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import blocknames, kneser, packing, quality, secrets, sharding, simhash
+from tidewatch.llm import blocknames, kneser, packing, quality, secrets, sharding, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,10 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_factorisation_machine": quality.op3_factorisation_machine,
         "op4_secret_links": secrets.op4_secret_links,
         "op5_simhash": simhash.op5_simhash,
+        "op6_segment_search": topk.op6_segment_search,
         "op8_block_naming": blocknames.op8_block_naming,
         "op10_kneser_ney": kneser.op10_kneser_ney,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_block_naming": blocknames.OP8_SQL}
+    return {"op6_segment_search": topk.OP6_SQL, "op8_block_naming": blocknames.OP8_SQL}
