@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import ascii_lower, dropped, stored, table
+from tidewatch.llm.shared import KEY, ascii_lower, dropped, keyed, stored, table
 
 BLOCK_BYTES = 4096
 MAX_TRIES = 8
@@ -44,16 +44,16 @@ def numbered(distinct: DataFrame, *order: str) -> DataFrame:
     return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
 
 
-def identities(docs: DataFrame, size: int = BLOCK_BYTES, key: Callable[[Column, int], Column] = block_key) -> DataFrame:
-    """(rid, doc_id, sha, rounds, name): rows share (rounds, name) exactly if their texts are equal.
+def identities(docs: DataFrame, size: int = BLOCK_BYTES, key: Callable[[Column, int], Column] = block_key, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(rid, doc_id, extra columns, sha, rounds, name): rows share (rounds, name) exactly if their texts are equal.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. rid numbers the
     rows, so rows that repeat a doc_id stay apart.
     """
-    docs = docs.select(F.col("doc_id"), F.col("text"))
+    docs = docs.select("doc_id", "text", *extra)
     for attempt in range(MAX_TRIES):
         cut = _cut(docs, size).select(
-            F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2("norm", 256).alias("sha"),
+            F.monotonically_increasing_id().alias("rid"), "doc_id", *extra, F.sha2("norm", 256).alias("sha"),
             F.transform("blocks", lambda b: key(b, attempt)).alias("keys"),
         )
         rows = stored(cut, "blocks")
@@ -85,23 +85,23 @@ def identities(docs: DataFrame, size: int = BLOCK_BYTES, key: Callable[[Column,
     out = finals[0]
     for df in finals[1:]:
         out = out.union(df)
-    return rows.select("rid", "doc_id", "sha").join(out, "rid")
+    return rows.select("rid", "doc_id", *extra, "sha").join(out, "rid")
 
 
-def exact_duplicates(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_duplicates(docs: DataFrame, size: int = BLOCK_BYTES, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, extra columns (none clash with these names), keep_id, group_size, kept, text_sha256.
 
     Of rows with equal texts the one with the largest doc_id stays; of rows that repeat that
     doc_id, the first. Null doc_ids are smaller than any other. Null texts count as empty; very
     long texts only take more rounds. Other columns are not read; an empty table gives no rows.
     """
-    rows = stored(identities(docs, size), "identities")
+    rows = stored(identities(docs, size, extra=extra), "identities")
     best = rows.groupBy("rounds", "name").agg(
         F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max(F.struct("doc_id", -F.col("rid"))).alias("best"),
     )
     out = rows.join(best, ["rounds", "name"])
     kept = F.col("rid") == -F.col("best")["col2"]
-    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select("doc_id", *extra, "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def op8_block_naming(spark, sf_dir: str) -> DataFrame:
@@ -114,3 +114,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY norm)
 """
+
+
+def deduplicated(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows that exact_duplicates() drops; columns and texts stay as they are."""
+    rows = keyed(docs)
+    kept = exact_duplicates(rows, size, (KEY,)).where("kept").select(KEY)
+    return rows.join(kept, KEY, "left_semi").select(*docs.columns)

@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Machine:
     return train([places[i] for i in order], [values[i] for i in order], found.column("label").to_numpy()[order].astype(np.float64))
 
 
-def _score(machine: Machine, names: list[str]):
+def _score(machine: Machine, names: list[str], out: str):
     text_at, size_at = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,22 +191,29 @@ def _score(machine: Machine, names: list[str]):
                     held, chars = [], 0
             flush(held, scores)
             column = pa.array(np.concatenate(scores).astype(np.float64) if scores else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:size_at], column], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:size_at], column], [*names, out])
 
     return run
 
 
-def scored(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
-    """keep columns (and text) of every row of docs with score, the probability of label 1.
+def scored(docs: DataFrame, machine: Machine, *keep: str, out: str = "score") -> DataFrame:
+    """keep columns (and text) of every row of docs with out, the probability of label 1.
 
     Null texts are scored as empty ones. Very long texts are scored whole, repeated rows each for
-    itself. A column of docs named score is replaced; other extra columns pass where kept.
+    itself. A kept column named as out is replaced; other extra columns pass where kept.
     """
     ship(docs.sparkSession)
-    names = [c for c in (*keep, *(() if "text" in keep else ("text",))) if c != "score"]
+    names = [c for c in (*keep, *(() if "text" in keep else ("text",))) if c != out]
     narrow = docs.select(*names, _size_column(docs))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(_score(machine, names), f"{fields}, score double")
+    return narrow.mapInArrow(_score(machine, names, out), f"{fields}, `{out}` double")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs that score threshold or more; columns and texts stay as they are."""
+    out = "_tidewatch_score"
+    good = scored(docs, fit(docs, labels, most), *docs.columns, out=out).where(F.col(out) >= threshold)
+    return good.select(*docs.columns)
 
 
 def op3_factorisation_machine(spark, sf_dir: str) -> DataFrame:

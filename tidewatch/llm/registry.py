@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import blocknames, kneser, packing, quality, secrets, sharding, simhash, topk
+from tidewatch.llm import blocknames, gumbel, kneser, licenses, packing, quality, secrets, sharding, simhash, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_links": secrets.op4_secret_links,
         "op5_simhash": simhash.op5_simhash,
         "op6_segment_search": topk.op6_segment_search,
+        "op7_gumbel_pieces": gumbel.op7_gumbel_pieces,
         "op8_block_naming": blocknames.op8_block_naming,
+        "op9_license_alignment": licenses.op9_license_alignment,
         "op10_kneser_ney": kneser.op10_kneser_ney,
     }
 

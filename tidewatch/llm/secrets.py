@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import stored, table
+from tidewatch.llm.shared import KEY, keyed, stored, table
 
 # The certain kinds in the order they are listed in, with the least length of the
 # group that decides.
@@ -125,13 +125,14 @@ def _joined(spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """docs with every reported span replaced by [kind]; rows, order of columns and clean texts stay.
+    """docs with every reported span replaced by [kind] and n_chars, where there is one, set to the new
+    length; rows, order of columns and clean texts stay.
 
     Overlapping spans are merged first and take the name of the one that starts first.
     """
-    keyed = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "keyed")
-    hits = scan(keyed.select(F.col("_rid").alias("doc_id"), "text"), scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("_rid"), F.col("spans").alias("_spans"))
-    both = keyed.join(hits, "_rid", "left")
+    rows = keyed(docs)
+    hits = scan(rows.select(F.col(KEY).alias("doc_id"), "text"), scope).where(F.size("spans") > 0).select(F.col("doc_id").alias(KEY), F.col("spans").alias("_spans"))
+    both = rows.join(hits, KEY, "left")
     names = F.array(*[F.lit(f"[{k}]") for k in ORDER])
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -143,7 +144,9 @@ def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.char_length("text"))))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)
-    return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    size = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length(masked).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None
+    new = {"text": text, "n_chars": size}
+    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op4_secret_links(spark, sf_dir: str) -> DataFrame:

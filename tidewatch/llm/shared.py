@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+KEY = "_tidewatch_row"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -39,6 +39,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number for every row, stored, so that it names the same row in every later scan."""
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by stored() that nothing reads any more."""
     for df in tables:
@@ -59,19 +64,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartition(partitions(df.sparkSession), *keys)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def texts(batch, column: str = "text") -> Iterator[str]:
-    """Whole texts of an Arrow batch, null as empty, one at a time."""
-    for value in batch.column(column):
-        yield value.as_py() or ""

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import connected
-from tidewatch.llm.shared import dropped, stored, table
+from tidewatch.llm.shared import KEY, dropped, keyed, stored, table
 from tidewatch.session import ship
 
 SHINGLE_WORDS = 4
@@ -164,6 +164,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int =
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """docs with one row of each class of near duplicates: that with the smallest doc_id, nulls last."""
+    rows = keyed(docs)
+    found = near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text"), width, max_bits)
+    named = found.select(F.col("doc_id").alias(KEY), F.col("component_id").alias("_class")).join(rows.select(KEY, F.col("doc_id").alias("_id")), KEY)
+    kept = named.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", KEY))[KEY].alias(KEY)).select(KEY)
+    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
