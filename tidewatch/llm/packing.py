@@ -37,6 +37,70 @@ BATCH_TOKENS = 500_000
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
+class FastPieces:
+    """Ids of many words at once, for a byte-level BPE whose merges end words with a suffix.
+
+    Bytes become two letters each: one for the high half and whether the word ends here, one for
+    the low half. The first ranks put the halves together, later ones are the merges in their
+    order, so a rank-driven encoder over these letters does the same merges as the tokenizer.
+    """
+
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n"
+
+    def __init__(self, path: str):
+        import json
+
+        import regex
+        import tiktoken
+
+        model = json.load(open(path))["model"]
+        suffix, vocabulary = model["end_of_word_suffix"], model["vocab"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        of_char = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+
+        def letters(token: str) -> bytes:
+            ends = token.endswith(suffix)
+            data = [of_char[c] for c in (token[: -len(suffix)] if ends else token)]
+            last = len(data) - 1
+            return bytes(x for i, b in enumerate(data) for x in (64 + (b >> 4) + 16 * (ends and i == last), 96 + (b & 15)))
+
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        symbols = [c + end for end in ("", suffix) for c in of_char]
+        ranks: dict[bytes, int] = {}
+        self.ids = np.zeros(len(symbols) + len(pairs) + 1, np.int64)
+        for token in [*symbols, *(a + b for a, b in pairs)]:
+            if (key := letters(token)) not in ranks:
+                self.ids[len(ranks)] = vocabulary[token]
+                ranks[key] = len(ranks)
+        self.separator = len(ranks)
+        ranks[b"\n"] = self.separator
+        for single in range(64, 112):
+            ranks.setdefault(bytes([single]), len(ranks))
+        self.encoding = tiktoken.Encoding("pieces", pat_str=r"[^ \n]+|\n", mergeable_ranks=ranks, special_tokens={})
+        self.split = regex.compile(self.PATTERN)
+
+    @staticmethod
+    def takes(word: str) -> bool:
+        """Words of scripts whose classes no version of Unicode has changed, without special tokens."""
+        return (word.isascii() or max(word) < "\u0500") and "<|" not in word
+
+    def encode(self, words: list[str], dtype: np.dtype) -> list[bytes]:
+        import unicodedata
+
+        text = unicodedata.normalize("NFC", "\n".join(words)).replace("\u03a3", "\u03c3").lower()
+        data = np.frombuffer(" ".join(self.split.findall(text)).encode(), np.uint8)
+        gap = (data == 32) | (data == 10)
+        ends = np.r_[gap[1:], True] & ~gap
+        out = np.empty((len(data), 2), np.uint8)
+        out[:, 0] = np.where(gap, data, 64 + (data >> 4) + 16 * ends)
+        out[:, 1] = np.where(gap, 32, 96 + (data & 15))
+        ranks = np.array(self.encoding.encode_ordinary(out.tobytes().decode("ascii")), np.int64)
+        inside = ranks != self.separator
+        packed = self.ids[ranks[inside]].astype(dtype).tobytes()
+        cuts = [0, *(np.cumsum(inside)[~inside] * dtype.itemsize).tolist(), len(packed)]
+        return [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word: no token spans white space, so words are encoded once and kept."""
 
@@ -48,6 +112,10 @@ class WordTokenizer:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
+        try:
+            self.fast = FastPieces(path)
+        except (KeyError, TypeError, ImportError):  # another kind of tokenizer
+            self.fast = None
 
     def words(self, text: str) -> list[str]:
         if any(c in text for c in ODD_SPACES):
@@ -56,6 +124,22 @@ class WordTokenizer:
             return [w for w in re.split(r"[^\S\x1c-\x1f]+", text) if w]
         return text.split()
 
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word."""
+        out: list[bytes] = [b""] * len(words)
+        quick = [i for i, w in enumerate(words) if self.fast and self.fast.takes(w)]
+        for at in range(0, len(quick), 20_000):
+            part = quick[at : at + 20_000]
+            for i, ids in zip(part, self.fast.encode([words[i] for i in part], self.dtype), strict=True):
+                out[i] = ids
+        chosen = set(quick)
+        rest = [i for i in range(len(words)) if i not in chosen]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for i, found in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(found.ids, self.dtype).tobytes()
+        return out
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         known = self.known
@@ -64,10 +148,7 @@ class WordTokenizer:
         if len(known) + len(new) > CACHE:
             known = self.known = {}
             new = list({w for words in split for w in words})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, self.dtype).tobytes()
+        known.update(zip(new, self.encode(new), strict=True))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
