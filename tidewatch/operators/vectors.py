@@ -1 +1,21 @@
-"""TBD."""
+"""Vectors: centroids, cohesion, and nearest neighbours in blocks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidewatch.catalog import operator
+from tidewatch.operators.joins import first_per
+from tidewatch.session import ship
+from tidewatch.tables import Tables
+
+
+def normalized(v: Column) -> Column:
+    """Unit length; a zero vector stays."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))

@@ -33,7 +33,7 @@ LOGICAL = {
         FROM (SELECT source_id, country_code, max(published_at) AS last_at FROM {articles} GROUP BY source_id, country_code) x""",
     "topics": """SELECT topic_id, concat('Topic ', topic_id) AS name, topic_no, first_seen, last_seen, size,
         CASE WHEN topic_no % 17 = 5 THEN 'evolving' WHEN topic_no % 23 = 3 THEN 'archived' WHEN size <= 1 THEN 'nascent' WHEN size < 10 THEN 'forming' ELSE 'confirmed' END AS lifecycle,
-        CASE WHEN topic_no % 17 = 5 THEN concat(kind, '-', topic_no % 8) END AS merged_into, topic_no % 19 = 0 AS locked,
+        CASE WHEN topic_no % 17 = 5 THEN concat(kind, '-', (topic_no + 1) % 8) END AS merged_into, topic_no % 19 = 0 AS locked,
         CASE topic_no % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'done' ELSE 'failed' END AS naming_status
         FROM (SELECT topic_id, kind, topic_no, min(published_at) AS first_seen, max(published_at) AS last_seen, count(*) AS size FROM {articles} GROUP BY topic_id, kind, topic_no) x""",
     "topic_keywords": "SELECT topic_id, concat('kw', (topic_no * (k + 3) + k) % 50) AS keyword, k AS position FROM {topics} CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS v(k)",
@@ -75,7 +75,7 @@ LOGICAL = {
         CASE WHEN user_id % 6 = 0 THEN NULL ELSE last_at END AS last_sent_at FROM (SELECT user_id, min(CAST(ts AS TIMESTAMP)) + INTERVAL '1' DAY * (user_id % 31) AS last_at FROM {events} GROUP BY user_id) x""",
     "texts": """SELECT doc_id AS article_id, source AS source_id, lang AS language, text AS content, substring(split_part(text, chr(10), 1), 1, 80) AS title, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * doc_id AS published_at, n_chars FROM {documents}""",
     "audit": """SELECT event_id AS audit_id, concat('user', user_id) AS actor, event_type AS action, CASE WHEN event_id % 6 = 0 THEN 'denied' ELSE 'ok' END AS result, CAST(ts AS TIMESTAMP) AS at FROM {events}""",
-    "judgements": """SELECT event_id AS judgement_id, event_type AS task, concat(event_type, '-', event_id % 8) AS topic_id, CASE event_id % 3 WHEN 0 THEN 'politics' WHEN 1 THEN 'economy' ELSE 'health' END AS label, event_id % 7 <> 0 AS ok, CAST(value * 100 AS BIGINT) AS latency_ms, CAST(ts AS TIMESTAMP) AS created_at FROM {events}""",
+    "judgements": """SELECT event_id AS judgement_id, event_type AS task, concat(event_type, '-', event_id % 8) AS topic_id, CASE event_id % 3 WHEN 0 THEN 'politics' WHEN 1 THEN 'economy' ELSE 'health' END AS label, event_id % 7 <> 0 AS ok, CAST(floor(value * 100) AS BIGINT) AS latency_ms, CAST(ts AS TIMESTAMP) AS created_at FROM {events}""",
     "stages": """SELECT event_id AS article_id, CASE event_id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'pending' ELSE 'failed' END AS language, CASE event_id % 5 WHEN 0 THEN 'failed' ELSE 'done' END AS embedding, CASE event_id % 4 WHEN 0 THEN 'running' ELSE 'done' END AS cluster, CASE event_id % 7 WHEN 0 THEN 'skipped' ELSE 'done' END AS index, CASE event_id % 2 WHEN 0 THEN 'pending' ELSE 'done' END AS entity FROM {events}""",
 }
 _NAME = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")
@@ -118,4 +118,9 @@ def ctes(sql: str) -> str:
                 found[name] = _NAME.sub(r"\1", body).replace("{{", "{").replace("}}", "}")
 
     need(sql)
-    return (f"WITH {', '.join(f'{n} AS ({b})' for n, b in found.items())} " if found else "") + sql.strip()
+    sql, own = sql.strip(), [f"{n} AS ({b})" for n, b in found.items()]
+    if not own:
+        return sql
+    if sql.startswith("WITH "):
+        return f"WITH RECURSIVE {', '.join(own)}, {sql[5:]}"
+    return f"WITH {', '.join(own)} {sql}"
