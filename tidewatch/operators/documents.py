@@ -1 +1,239 @@
-"""TBD."""
+"""Web pages and texts: main text, links, feeds, language and entity runs."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlparse
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidewatch.catalog import operator
+from tidewatch.operators.joins import first_per
+from tidewatch.session import ship
+from tidewatch.tables import Tables
+
+#: Elements whose text is no article text, and that have no end tag.
+SKIPPED = ("script", "style", "nav", "header", "footer", "aside", "noscript", "form")
+EMPTY = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+NOISE = re.compile(r"(?i)nav|menu|footer|header|sidebar|breadcrumb|share|comment|advert")
+DIGITS = re.compile(r"\d+")
+
+
+class Page(HTMLParser):
+    """Title, paragraphs and links of a page, each link with the path of elements above it."""
+
+    def __init__(self, url: str = ""):
+        super().__init__(convert_charrefs=True)
+        self.url, self.title, self.paragraphs, self.links = url, "", [], []
+        self.stack: list[tuple[str, str]] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        own = dict(attrs)
+        if tag == "a" and own.get("href"):
+            self.links.append((urljoin(self.url, own["href"]), self.signature(own.get("class") or "")))
+        if tag == "p":
+            self.paragraphs.append([])
+        if tag not in EMPTY:
+            self.stack.append((tag, own.get("class") or ""))
+
+    def handle_endtag(self, tag: str) -> None:
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                del self.stack[i:]
+                return
+
+    def handle_data(self, data: str) -> None:
+        tags = [t for t, _ in self.stack]
+        if tags and tags[-1] == "title":
+            self.title += data
+        elif not any(t in SKIPPED for t in tags) and "head" not in tags:
+            if not self.paragraphs:
+                self.paragraphs.append([])
+            self.paragraphs[-1].append(data)
+
+    def signature(self, own: str) -> str:
+        """The link and five elements above it, without noise classes, digits as N."""
+        path = [*self.stack[-5:], ("a", own)]
+        parts = []
+        for tag, classes in path:
+            kept = sorted(DIGITS.sub("N", c) for c in classes.split() if not NOISE.search(c))
+            parts.append(".".join([tag, *kept]))
+        return ">".join(parts)
+
+    def text(self) -> str:
+        return "\n".join(x for x in (" ".join("".join(p).split()) for p in self.paragraphs) if x)
+
+
+def parsed(html: str | None, url: str = "") -> Page:
+    page = Page(url)
+    page.feed(html or "")
+    page.close()
+    return page
+
+
+CONTENT = "page_id long, title string, text string, status string"
+
+
+@operator("fn_24")
+def main_texts(t: Tables, full: int = 200, least: int = 10) -> DataFrame:
+    """Main text of every page: full, partial (short) or failed (hardly any)."""
+    ship(t.spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pages = [parsed(h, u) for h, u in zip(pdf["html"], pdf["url"], strict=True)]
+            texts = [p.text() for p in pages]
+            status = ["failed" if len(x) < least else "partial" if len(x) < full else "full" for x in texts]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "title": [p.title.strip() for p in pages], "text": texts, "status": status})
+
+    return t.pages.select("page_id", "url", "html").mapInPandas(run, CONTENT)
+
+
+LINKS = "page_id long, host string, link string, signature string"
+
+
+@operator("fn_26")
+def link_signatures(t: Tables) -> DataFrame:
+    """Links of every page to its own host with their path signatures."""
+    ship(t.spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
+                host = urlparse(url).hostname or ""
+                rows += [(page_id, host, link, sig) for link, sig in parsed(html, url).links if (urlparse(link).hostname or "") == host]
+            yield pd.DataFrame(rows, columns=["page_id", "host", "link", "signature"])
+
+    return t.pages.select("page_id", "url", "html").mapInPandas(run, LINKS)
+
+
+@operator("src_05")
+def discovered(t: Tables, least: int = 5) -> DataFrame:
+    """Of each list page the largest group of links with one signature, at least least links."""
+    groups = link_signatures(t).groupBy("page_id", "signature").agg(F.countDistinct("link").alias("links")).where(F.col("links") >= least)
+    return first_per(groups, ["page_id"], F.desc("links"), "signature")
+
+
+@operator("src_03")
+def crawled(t: Tables) -> DataFrame:
+    """Landed pages through discovery and extraction."""
+    return main_texts(t).select("page_id", "title", F.char_length("text").alias("n"), "status").join(discovered(t).select("page_id", "links"), "page_id", "left")
+
+
+@operator("src_26")
+def preview(t: Tables, size: int = 5, short: int = 200) -> DataFrame:
+    """A sample of pages with warnings on short bodies."""
+    sample = main_texts(t).orderBy("page_id").limit(size)
+    return sample.select("page_id", F.when(F.char_length("text") < short, "short").otherwise("ok").alias("warning"), "status")
+
+
+@operator("src_06")
+def feed_links(t: Tables) -> DataFrame:
+    """Entries of feeds in XML: link and title of each item."""
+    items = F.concat(F.lit("<rss><channel>"), F.concat_ws("", F.transform(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int")), lambda i: F.concat(F.lit("<item><link>"), F.regexp_replace("url", "[?#].*$", ""), F.lit("/"), i.cast("string"), F.lit("</link></item>")))), F.lit("</channel></rss>"))
+    return t.pages.select("page_id", F.explode(F.xpath(items, F.lit("/rss/channel/item/link/text()"))).alias("link"))
+
+
+@operator("src_07")
+def sitemap_links(t: Tables, include: str = "/(en|fr)/", exclude: str = r"\?page=", most: int = 500) -> DataFrame:
+    """Locations of a sitemap that match one pattern and not the other, the first most of each host."""
+    from tidewatch.operators.windows import top_per
+
+    locations = t.pages.select(F.lower(F.regexp_extract("url", "://([^/?#]+)", 1)).alias("host"), F.col("url").alias("link"))
+    return top_per(locations.where(F.col("link").rlike(include) & ~F.col("link").rlike(exclude)).distinct(), ["host"], most, "link").drop("rank")
+
+
+@operator("fn_25", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def selected(t: Tables) -> DataFrame:
+    """One element by its path, where the page is too loose for XPath."""
+    return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+#: Frequent words by language.
+PROFILES = {"en": ("the", "of", "and", "to", "in"), "fr": ("le", "la", "de", "et", "les"), "de": ("der", "die", "und", "den", "von"), "es": ("el", "los", "que", "de", "y")}
+
+
+def language_of(text: Column, fallback: Column, least: float = 0.8) -> Column:
+    """Language whose frequent words lead clearly (their share of all hits), else the source's own."""
+    words = F.regexp_extract_all(F.lower(F.substring(text, 1, 3000)), F.lit(r"\p{L}+"), F.lit(0))
+    hits = lambda profile: F.size(F.filter(words, lambda w: w.isin(*profile)))
+    counts = [hits(p) for p in PROFILES.values()]
+    best = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(k).alias("k")) for c, k in zip(counts, PROFILES, strict=True)]))
+    total = counts[0] + counts[1] + counts[2] + counts[3]
+    return F.when((total > 0) & (best["n"] >= least * total), best["k"]).otherwise(fallback)
+
+
+@operator("fn_27")
+def languages(t: Tables) -> DataFrame:
+    return t.texts.select("article_id", "language", language_of(F.col("content"), F.col("language")).alias("found"))
+
+
+TITLES = ("president", "minister", "king", "queen", "general", "dr", "mr", "mrs")
+BODIES = ("party", "ministry", "council", "union", "agency", "institute", "bank", "university", "court")
+
+
+def entity_kind(tokens: list[str]) -> str:
+    low = [x.lower() for x in tokens]
+    if low[0] in TITLES:
+        return "person"
+    if any(x in BODIES for x in low) or (len(tokens) == 1 and tokens[0].isupper() and len(tokens[0]) >= 2):
+        return "organisation"
+    return "person" if len(tokens) in (2, 3) else "other"
+
+
+def latin_runs(text: str) -> list[tuple[str, str]]:
+    """Runs of capitalised words with their kind. Only words are looked at, so runs join across punctuation."""
+    out, run = [], []
+    for token in [*re.findall(r"[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'-]*", text), ""]:
+        if token and token[0].isupper():
+            run.append(token)
+        elif run:
+            out.append((" ".join(run), entity_kind(run)))
+            run = []
+    return out
+
+
+def cjk_hits(text: str, known: dict[str, str]) -> list[tuple[str, str]]:
+    """Names of a dictionary that stand in a text, in order of place."""
+    hits = sorted((m.start(), name) for name in known for m in re.finditer(re.escape(name), text))
+    return [(name, known[name]) for _, name in hits]
+
+
+RUNS = "article_id long, source_id string, entity string, kind string, n int"
+
+
+def entity_runs(t: Tables, known: dict[str, str] | None = None) -> DataFrame:
+    """Entities of every text, dictionary names first, then runs of capitalised words, with their counts."""
+    ship(t.spark)
+    names = known or {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for article, source, text in zip(pdf["article_id"], pdf["source_id"], pdf["content"], strict=True):
+                found = Counter([*cjk_hits(text or "", names), *latin_runs(text or "")])
+                rows += [(article, source, e, k, n) for (e, k), n in found.items()]
+            yield pd.DataFrame(rows, columns=["article_id", "source_id", "entity", "kind", "n"])
+
+    return t.texts.select("article_id", "source_id", "content").mapInPandas(run, RUNS)
+
+
+@operator("fn_07")
+def latin_entities(t: Tables) -> DataFrame:
+    return entity_runs(t).groupBy("kind").agg(F.count("*").alias("entities"), F.sum("n").alias("mentions"))
+
+
+@operator("fn_08")
+def dictionary_entities(t: Tables) -> DataFrame:
+    return entity_runs(t, {"token": "term", "License": "term"}).where("kind = 'term'").select("article_id", "entity", "n")
+
+
+@operator("fn_34")
+def mixed_entities(t: Tables) -> DataFrame:
+    return entity_runs(t, {"token": "term"}).groupBy("article_id").agg(F.sum("n").alias("mentions"))

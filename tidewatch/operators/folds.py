@@ -1 +1,331 @@
-"""TBD."""
+"""Folds over ordered rows: echo folding, online assignment, merging to a fixpoint, splits, health and revisions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewatch.catalog import operator
+from tidewatch.config import CONFIG
+from tidewatch.operators.joins import first_per
+from tidewatch.operators.vectors import nearest
+from tidewatch.session import ship
+from tidewatch.storage import checkpointed
+from tidewatch.tables import Tables
+
+
+def fold_by(df: DataFrame, keys: list[str], order: list[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply step to each group's rows in order; a group is what one topic or source has, not the corpus."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInPandas(lambda pdf: step(pdf.sort_values(order, kind="stable").reset_index(drop=True)), schema)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v)
+    return v / n if n > 0 else v
+
+
+def pool(old: np.ndarray, new: np.ndarray, hours: float) -> np.ndarray:
+    a = 0.5 ** (max(hours, 0.0) / CONFIG.half_life_hours)
+    return unit(a * old + (1 - a) * new)
+
+
+def vector_reports(t: Tables) -> DataFrame:
+    """Reports with vectors: each vector stands for a few reports of its label, slightly turned."""
+    copies = t.embeddings.select("*", F.explode(F.sequence(F.lit(0), (F.col("vec_id") % 3).cast("int"))).alias("copy"))
+    turned = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i % 7 == F.col("copy"), 0.1 * F.col("copy")).otherwise(0.0))
+    at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("copy") * 20 + F.col("vec_id") % 50)
+    return copies.select((F.col("vec_id") * 10 + F.col("copy")).alias("article_id"), F.concat(F.lit("T"), F.col("label").cast("string")).alias("topic_id"), turned.alias("vec"), at.alias("published_at"), F.concat(F.lit("C"), (F.col("vec_id") % 12).cast("string")).alias("country_code"))
+
+
+NODES = "topic_id string, article_id long, node_id long, is_duplicate boolean"
+
+
+def echo_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Each report joins the node of largest cosine if that passes the threshold of its age, else opens one."""
+    centres, earliest, heads, out = [], [], [], []
+    for r in pdf.itertuples():
+        if r.vec is None:
+            continue
+        v = unit(np.asarray(r.vec, float))
+        scores = [float(c @ v) for c in centres]
+        best = int(np.argmax(scores)) if scores else -1
+        if best >= 0:
+            hours = (r.published_at - earliest[best]).total_seconds() / 3600
+            need = CONFIG.echo_same_day if hours <= 24 else CONFIG.echo_three_days if hours <= 72 else None
+            if need is not None and scores[best] >= need:
+                centres[best] = pool(centres[best], v, hours)
+                out.append((r.topic_id, r.article_id, heads[best], True))
+                continue
+        centres.append(v)
+        earliest.append(r.published_at)
+        heads.append(r.article_id)
+        out.append((r.topic_id, r.article_id, r.article_id, False))
+    return pd.DataFrame(out, columns=["topic_id", "article_id", "node_id", "is_duplicate"])
+
+
+@operator("seq_03")
+def echo_fold(t: Tables) -> DataFrame:
+    """Reports folded into the nodes they echo, topic by topic."""
+    return fold_by(vector_reports(t), ["topic_id"], ["published_at", "article_id"], echo_step, NODES)
+
+
+ASSIGNED = "article_id long, topic_id long, duplicate_of long, score double"
+
+
+def assign_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Reports in order: a duplicate shares its original's topic, else the nearest topic, else a new one."""
+    ids, vectors, topic_of, centres, seen, topics, out = [], [], {}, [], [], [], []
+    for r in pdf.itertuples():
+        v = unit(np.asarray(r.vec, float))
+        if ids:
+            near = np.asarray(vectors) @ v
+            i = int(near.argmax())
+            if near[i] >= CONFIG.duplicate_cosine:
+                out.append((r.article_id, topic_of[ids[i]], ids[i], float(near[i])))
+                continue
+        scores = np.asarray(centres) @ v if centres else np.zeros(0)
+        j = int(scores.argmax()) if len(scores) else -1
+        if j >= 0 and scores[j] >= CONFIG.topic_cosine:
+            centres[j] = pool(centres[j], v, (r.published_at - seen[j]).total_seconds() / 3600)
+            seen[j] = r.published_at
+            topic, score = topics[j], float(scores[j])
+        else:
+            topic, score = r.article_id, 1.0
+            centres.append(v)
+            seen.append(r.published_at)
+            topics.append(topic)
+        ids.append(r.article_id)
+        vectors.append(v)
+        topic_of[r.article_id] = topic
+        out.append((r.article_id, topic, None, score))
+    return pd.DataFrame(out, columns=["article_id", "topic_id", "duplicate_of", "score"]).astype({"duplicate_of": "Int64"})
+
+
+@operator("seq_04")
+def online_assignment(t: Tables) -> DataFrame:
+    """Assignment in blocks by label; a single block gives the order-dependent whole."""
+    return fold_by(vector_reports(t), ["topic_id"], ["published_at", "article_id"], assign_step, ASSIGNED)
+
+
+@operator("seq_05")
+def topic_state(t: Tables) -> DataFrame:
+    """Topics after assignment: size, countries and last time."""
+    rows = online_assignment(t).where("duplicate_of IS NULL").join(vector_reports(t).select("article_id", "country_code", "published_at"), "article_id")
+    return rows.groupBy("topic_id").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_set("country_code")), ",").alias("scope"), F.max("published_at").alias("last_seen"))
+
+
+def merged_to_fixpoint(topics: DataFrame, least: float = CONFIG.merge_cosine, batch: int = CONFIG.merge_batch, rounds: int = 20) -> DataFrame:
+    """(id, root): topics merged into their nearest older one, again until nothing merges.
+
+    topics has id, vec, at and size. Each pass takes the batch oldest candidates, so what reaches
+    the driver is bounded; edges are never moved here, only the map of merges, whose chains end in root.
+    """
+    now = checkpointed(topics.select("id", "vec", "at", "size", F.lit(True).alias("live"), F.col("id").alias("root")))
+    for _ in range(rounds):
+        live = now.where("live")
+        candidates = live.orderBy("at", "id").limit(batch)
+        found = nearest(candidates.select("id", "vec", "at"), live.select("id", "vec", "at"), 1, least).select("id", F.col("neighbour").alias("target"))
+        # a topic that is a target in this pass does not move in it
+        found = found.join(found.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
+        found = checkpointed(found)
+        if found.isEmpty():
+            return now.select("id", "root")
+        moved = now.join(found, "id", "left")
+        now = checkpointed(moved.select("id", "vec", "at", "size", (F.col("live") & F.col("target").isNull()).alias("live"), F.coalesce("target", "root").alias("root")))
+        up = now.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        now = checkpointed(now.join(up, "root").select("id", "vec", "at", "size", "live", F.col("next").alias("root")))
+    return now.select("id", "root")
+
+
+@operator("seq_07")
+def merges(t: Tables, least: float = 0.3) -> DataFrame:
+    own = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), (F.col("vec_id") % 97).cast("double").alias("at"), F.lit(1).alias("size"))
+    return merged_to_fixpoint(own, least)
+
+
+@operator("seq_10", "SELECT topic_id, count(*) FILTER (assign_method = 'merge') AS moved_back, count(*) FILTER (assign_method <> 'merge') AS stay FROM articles WHERE topic_no < 8 GROUP BY topic_id")
+def undone_merges(t: Tables) -> DataFrame:
+    """Edges that go back when a merge into a topic is undone, and those that stay."""
+    merged = F.col("assign_method") == "merge"
+    return t.articles.where("topic_no < 8").groupBy("topic_id").agg(F.count_if(merged).alias("moved_back"), F.count_if(~merged).alias("stay"))
+
+
+def average_linkage(vectors: np.ndarray, cut: float = CONFIG.agglomerative_cut) -> np.ndarray:
+    """Cluster numbers by average linkage on cosine distance, merging while the least distance is below cut."""
+    n = len(vectors)
+    distance = 1 - vectors @ vectors.T
+    np.fill_diagonal(distance, np.inf)
+    size, label = np.ones(n), np.arange(n)
+    while n > 1:
+        i, j = divmod(int(distance.argmin()), len(vectors))
+        if distance[i, j] > cut:
+            break
+        i, j = min(i, j), max(i, j)
+        row = (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
+        distance[i], distance[:, i] = row, row
+        distance[i, i] = np.inf
+        distance[j], distance[:, j] = np.inf, np.inf
+        label[label == j] = i
+        size[i] += size[j]
+        n -= 1
+    return label
+
+
+def cluster_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    label = average_linkage(np.array([unit(np.asarray(v, float)) for v in pdf["vec"]]))
+    return pd.DataFrame({"article_id": pdf["article_id"], "cluster_id": pdf["article_id"].to_numpy()[label]})
+
+
+@operator("seq_12")
+def agglomerative(t: Tables) -> DataFrame:
+    """Average-linkage clusters within each block of reports."""
+    return fold_by(vector_reports(t), ["topic_id"], ["article_id"], cluster_step, "article_id long, cluster_id long")
+
+
+@operator("seq_13")
+def guarded_clusters(t: Tables, largest: float = 0.8) -> DataFrame:
+    """Clusters, rejected as a whole where the largest holds too large a share."""
+    sizes = agglomerative(t).groupBy("cluster_id").agg(F.count("*").alias("size"))
+    worst = sizes.agg((F.max("size") / F.sum("size")).alias("share"))
+    return sizes.join(F.broadcast(worst)).select("cluster_id", "size", (F.col("share") <= largest).alias("accepted"))
+
+
+@operator("seq_11")
+def recluster(t: Tables, least: float = CONFIG.topic_cosine) -> DataFrame:
+    """Clusters of the window under the topic they continue (nearest centroid), or as new ones."""
+    from tidewatch.operators.vectors import centroids
+
+    members = agglomerative(t).join(vector_reports(t).select("article_id", F.col("vec").alias("embedding")), "article_id")
+    fresh = centroids(members, "cluster_id").where("size > 1").select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vec"), F.lit(None).cast("double").alias("at"))
+    old = t.embeddings.select((F.col("vec_id") * 10).alias("id"), F.col("embedding").alias("vec"), F.lit(None).cast("double").alias("at"))
+    hit = nearest(fresh, old, 1, least, others=False).select("id", F.col("neighbour").alias("topic_id"))
+    return fresh.select("id").join(hit, "id", "left").select(F.col("id").alias("cluster_id"), F.coalesce("topic_id", "id").alias("topic_id"), F.col("topic_id").isNotNull().alias("continued"))
+
+
+@operator("seq_24", "SELECT event_id, status FROM agenda_events WHERE confidence <> 'low' AND insufficient_data")
+def detection(t: Tables) -> DataFrame:
+    """Events of the detection chain that open although statistics are missing."""
+    return t.agenda_events.where("confidence <> 'low' AND insufficient_data").select("event_id", "status")
+
+
+
+
+@operator("seq_25", "SELECT e.event_id, o.country_code AS origin_country FROM agenda_events e JOIN (SELECT topic_id, country_code FROM articles WHERE NOT is_duplicate AND NOT is_wire QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY published_at, article_id) = 1) o ON e.topic_id = o.topic_id WHERE o.country_code IS DISTINCT FROM e.origin_country")
+def reestimated(t: Tables) -> DataFrame:
+    """Events whose origin differs once wires are set aside: recomputed for all, compared with what is stored."""
+    first = first_per(t.articles.where(~F.col("is_duplicate") & ~F.col("is_wire")), ["topic_id"], "published_at", "article_id").select("topic_id", "country_code")
+    both = t.agenda_events.select("event_id", "topic_id", "origin_country").join(first, "topic_id")
+    return both.where(~F.col("country_code").eqNullSafe(F.col("origin_country"))).select("event_id", F.col("country_code").alias("origin_country"))
+
+
+@operator("seq_26", "SELECT event_id, article_id FROM revisions WHERE field = '' OR actor NOT IN ('human', 'machine') OR try_cast(occurred_at AS TIMESTAMP) IS NULL")
+def revision_faults(t: Tables) -> DataFrame:
+    """Log rows that break an invariant, for quarantine."""
+    bad = (F.col("field") == "") | ~F.col("actor").isin("human", "machine") | F.try_to_timestamp("occurred_at", F.lit("yyyy-MM-dd HH:mm:ss")).isNull()
+    return t.revisions.where(bad).select("event_id", "article_id")
+
+
+@operator("seq_27", "SELECT event_id, CASE WHEN status = 'revised' THEN 'suspected' ELSE status END AS status FROM agenda_events")
+def rejected_revisions(t: Tables) -> DataFrame:
+    """Status after a revision is rejected: a revised event is suspected again."""
+    return t.agenda_events.select("event_id", F.when(F.col("status") == "revised", "suspected").otherwise(F.col("status")).alias("status"))
+
+
+@operator("seq_28", "SELECT event_id, 'dismissed' AS status, true AS is_false_positive FROM agenda_events WHERE status IN ('watching', 'suspected', 'confirmed', 'revised') AND confidence = 'low'")
+def dismissals(t: Tables) -> DataFrame:
+    from tidewatch.operators.lifecycle import MOVES
+
+    may = F.col("status").isin(*[s for s, to in MOVES.items() if "dismissed" in to])
+    return t.agenda_events.where(may & (F.col("confidence") == "low")).select("event_id", F.lit("dismissed").alias("status"), F.lit(True).alias("is_false_positive"))
+
+
+HEALTH = "source_id long, status string, changes int, history string"
+
+
+def health_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    """active -> degraded after three failures in a row -> failed after a week; two successes recover."""
+    status, bad, good, since, history = "active", 0, 0, None, []
+    for r in pdf.itertuples():
+        if r.status == "pending":
+            continue
+        failed = r.status.endswith("failure")
+        bad, good = (bad + 1, 0) if failed else (0, good + 1)
+        new = status
+        if status == "active" and bad >= CONFIG.degrade_after:
+            new, since = "degraded", r.scheduled_at
+        elif status == "degraded" and failed and (r.scheduled_at - since).total_seconds() > CONFIG.fail_hours * 3600:
+            new = "failed"
+        elif status in ("degraded", "failed") and good >= CONFIG.recover_after:
+            new = "active"
+        if new != status:
+            history.append(f"{status}>{new}")
+            status = new
+    return pd.DataFrame([(pdf["source_id"].iloc[0], status, len(history), ",".join(history[-CONFIG.health_history :]))], columns=["source_id", "status", "changes", "history"])
+
+
+@operator("seq_36")
+def source_health_states(t: Tables) -> DataFrame:
+    return fold_by(t.jobs, ["source_id"], ["scheduled_at", "job_id"], health_step, HEALTH)
+
+
+@operator("seq_35")
+def registered_entities(t: Tables, most: int = 20) -> DataFrame:
+    """Entities found in texts, by kind, at most so many a source."""
+    from tidewatch.operators.documents import entity_runs
+
+    found = entity_runs(t).where("kind IN ('person', 'organisation')").select("source_id", "entity", "kind").distinct()
+    from tidewatch.operators.windows import top_per
+
+    return top_per(found, ["source_id"], most, "entity", "kind").drop("rank")
+
+
+@operator("seq_39")
+def degradation_flips(t: Tables, window: int = 20, least: int = 5, rate: float = 0.2) -> DataFrame:
+    """When the failure rate of the last judgements passes a rate, and when it falls back."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("task").orderBy("created_at", "judgement_id").rowsBetween(-(window - 1), 0)
+    rows = t.judgements.select("task", "judgement_id", "created_at", (F.avg((~F.col("ok")).cast("double")).over(w) > rate).alias("over"), F.count("*").over(w).alias("n"))
+    state = rows.withColumn("degraded", F.col("over") & (F.col("n") >= least))
+    before = F.coalesce(F.lag("degraded").over(W.partitionBy("task").orderBy("created_at", "judgement_id")), F.lit(False))
+    return state.withColumn("before", before).where("degraded <> before").select("task", "judgement_id", "degraded")
+
+
+def common_subsequence(a: list, b: list) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@operator("seq_41")
+def sequence_agreement(t: Tables) -> DataFrame:
+    """How far each event's countries agree in order with those sorted by name."""
+    ship(t.spark)
+    rows = t.followers.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("published_at", "country_code"))), lambda x: x["country_code"]).alias("a"))
+
+    @F.pandas_udf("int")
+    def lcs(a: pd.Series) -> pd.Series:
+        return a.map(lambda x: common_subsequence(list(x), sorted(x)))
+
+    return rows.select("event_id", F.size("a").alias("n"), lcs("a").alias("common"))
+
+
+def replay_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One case in time order: assignment, then whether its reports came into one topic and which was first."""
+    got = assign_step(pdf)
+    return pd.DataFrame([(pdf["topic_id"].iloc[0], len(got), int(got["topic_id"].nunique()), str(pdf["country_code"].iloc[0]))], columns=["case_id", "articles", "topics", "origin_country"])
+
+
+@operator("seq_42")
+def replay(t: Tables) -> DataFrame:
+    """Replay of cases, each for itself: a group per case isolates their states."""
+    return fold_by(vector_reports(t), ["topic_id"], ["published_at", "article_id"], replay_step, "case_id string, articles long, topics int, origin_country string")
