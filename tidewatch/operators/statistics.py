@@ -77,10 +77,10 @@ def granger(x: np.ndarray, y: np.ndarray, most: int = CONFIG.granger_lag) -> tup
         own = np.column_stack([np.ones(n), past(y)])
         both = np.column_stack([own, past(x)])
         rest = [float(((y[lag:] - m @ np.linalg.lstsq(m, y[lag:], rcond=None)[0]) ** 2).sum()) for m in (own, both)]
-        if rest[1] <= 1e-12:
-            continue
-        f = (rest[0] - rest[1]) / lag / (rest[1] / spare)
-        p = f_p_value(f, lag, spare)
+        if rest[0] <= 1e-9:
+            continue  # its own past says all
+        f = (rest[0] - rest[1]) / lag / (rest[1] / spare) if rest[1] > 1e-9 else math.inf
+        p = f_p_value(f, lag, spare) if math.isfinite(f) else 0.0
         if best is None or p < best[2]:
             best = (lag, f, p)
     return best
