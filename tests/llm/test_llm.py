@@ -1,0 +1,438 @@
+"""Operators of the training-data subpackage against brute force, on small tables with every odd case."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.llm import blocknames, components, gumbel, kneser, licenses, packing, quality, secrets, sharding, simhash, topk
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid string, h long, score string"
+LONG = " ".join(f"Wort{i % 977} {'x' * (i % 13)}" for i in range(9000))
+KEY = "AKIA" + "ABCDEFGHIJ012345"
+TEXTS = [
+    "The quick brown fox jumps over the lazy dog again and again today", "the QUICK brown fox jumps over the lazy dog again and again today", None, "", "  \t\n", "é", "É", LONG, LONG.upper(), LONG + " x",
+    f"my token = \"abcdef123456\" and key {KEY} with https://api.example.com/v1 near", "password: short secret=longenough1 " + "0123456789abcdef" * 3, "Licensed under the Apache License, Version 2.0.", "ünïcode token='äbc' token='abcdef9' 𝒳 API_KEY : zzzzzz",
+    "one two three", "one two three", "same", "Same", "SAME", "client_id=abcd1234 then Zx9Kq2Lw8Vb4Nm7Tp1Ys on https://h.example.com/x", "alone Zx9Kq2Lw8Vb4Nm7Tp1Ys here",
+]
+
+
+def _rows():
+    rows = [(i, t, "en", None if i % 5 == 4 else f"s{i % 3}", len(t or ""), "clash", 7, "clash") for i, t in enumerate(TEXTS)]
+    return rows + [rows[0], rows[7], (None, "null id", None, None, None, None, None, None), (500, "one two three", None, "hot", 3, "", 1, "")] + [(1000 + i, "copy of one text here", "en", "hot", 21, "c", 1, "c") for i in range(40)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(_rows(), DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def _norm(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+# exact dedup
+
+
+@pytest.mark.parametrize("size", [4, 64, 4096])
+def test_block_naming(docs, size):
+    got = blocknames.exact_duplicates(docs, size).collect()
+    groups = defaultdict(list)
+    for r in _rows():
+        groups[_norm(r[1])].append(r[0])
+    by_hash = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    assert len(got) == len(_rows())
+    for r in got:
+        ids = by_hash[r["text_sha256"]]
+        assert r["group_size"] == len(ids) and r["keep_id"] == max((i for i in ids if i is not None), default=None)
+    kept = Counter(r["text_sha256"] for r in got if r["kept"])
+    assert set(kept) == set(by_hash) and set(kept.values()) == {1}
+
+
+def test_clashing_block_keys_are_noticed(docs):
+    def weak(block, attempt):
+        return blocknames.block_key(block, attempt) if attempt else F.struct(F.lit(1).cast("long").alias("a"), (F.xxhash64(block) % 3).alias("b"))
+
+    got = blocknames.identities(docs, 64, weak)
+    assert got.groupBy("rounds", "name").count().count() == len({_norm(r[1]) for r in _rows()})
+
+
+def test_deduplicated_keeps_columns(docs, empty):
+    got = blocknames.deduplicated(docs)
+    assert got.columns == docs.columns and got.count() == len({_norm(r[1]) for r in _rows()})
+    assert blocknames.deduplicated(empty).count() == 0
+
+
+# near duplicates
+
+
+def _fingerprint(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    import xxhash
+
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def _union(n, pairs):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return [find(i) for i in range(n)]
+
+
+def test_simhash(docs, empty):
+    rows = [(r[0], _fingerprint(r[1])) for r in _rows()]
+    roots = _union(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (rows[i][1] ^ rows[j][1]).bit_count() <= 4])
+    low = {}
+    for (doc, _), root in zip(rows, roots, strict=True):
+        if doc is not None:
+            low[root] = min(low.get(root, doc), doc)
+    want = sorted(((d, f, low.get(r)) for (d, f), r in zip(rows, roots, strict=True)), key=str)
+    got = sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
+    assert got == want
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.one_of_each(docs).count() == len(set(roots))
+
+
+def test_links_of_dense_and_chained_fingerprints(spark):
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(0, 1 << 63, 12)]
+    fps = set(base)
+    for b in base[:4]:
+        for _ in range(40):
+            v = b
+            for bit in rng.integers(0, 64, 3):
+                v ^= 1 << int(bit)
+            fps.add(v)
+    chain = base[5]
+    for k in range(15):
+        chain ^= 0b1111 << (4 * k)
+        fps.add(chain)
+    fps = sorted(fps)
+    want = _union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    found = {r["node"] % (1 << 64): r["root"] for r in simhash.classes(df).collect()}
+    groups = lambda of: {frozenset(v) for v in _by(of).values()}
+    assert groups({f: found.get(f, f"alone{f}") for f in fps}) == groups(dict(zip(fps, want, strict=True)))
+
+
+def _by(of):
+    out = defaultdict(set)
+    for k, v in of.items():
+        out[v].add(k)
+    return out
+
+
+def test_every_four_positions_hold_a_triple():
+    from itertools import combinations
+
+    found = [set(t) for t in simhash.triples()]
+    assert len(found) == 20 and all(any(t <= set(four) for t in found) for four in combinations(range(8), 4))
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(0, 30)] + [(100, 200), (200, 100), (7, 7)] + [(500, i) for i in range(501, 560)]
+    got = dict(map(tuple, components.connected(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {i: 0 for i in range(31)} | {100: 100, 200: 100} | {i: 500 for i in range(500, 560)}
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# sharding
+
+
+def test_shards(docs, empty):
+    rows = sharding.shard(docs, 5, block_rows=2).collect()
+    assert len(rows) == len(_rows())
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text_crc32"], r["size"]) for r in rows) == sorted((r[0] is None, r[0] or 0, zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()) + 8) for r in _rows())
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(len(slots.get(s, [])) for s in range(5)) <= 1
+    assert sharding.shard(empty, 5).count() == 0
+
+
+def test_fewer_rows_than_shards(spark):
+    rows = sharding.shard(spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, text string"), 24).collect()
+    assert len(rows) == 3 and len({r["shard"] for r in rows}) == 3
+
+
+def test_equal_texts_meet(spark):
+    df = spark.createDataFrame([(i, f"text {i // 3 if i < 90 else i}") for i in range(600)], "doc_id long, text string")
+    shards = {r["doc_id"]: r["shard"] for r in sharding.shard(df, 6).collect()}
+    whole = sum(len({shards[3 * g + k] for k in range(3)}) == 1 for g in range(30))
+    assert whole >= 27
+
+
+# secrets
+
+
+def _base(text):
+    kinds = ((re.compile(secrets.ASSIGN.removeprefix("(?i)"), re.I | re.A), lambda m: len(m[2]) >= 6), (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24))
+    return sorted((m.start(), k, m.end()) for k, (p, ok) in enumerate(kinds) for m in p.finditer(text or "") if ok(m))
+
+
+def test_certain_secrets(spark, docs, empty):
+    extra = [(2000 + i, t) for i, t in enumerate(["token=abc password=abcdef1", "secret:token:abcdefgh", "AKIAAKIA" + "B" * 18 + " AKIA1", ("f" * 23 + "g") * 9 + "a" * 24, "token=abcdef1 " * 700, "SECRET='x' = "])]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    text = defaultdict(list)
+    for i, t in [(r[0], r[1]) for r in _rows()] + extra:
+        text[i].append(t)
+    for r in secrets.scan(df).collect():
+        assert [(s["start"], s["rank"], s["end"]) for s in r["base"]] in [_base(t) for t in text[r["doc_id"]]]
+        assert {tuple(s) for s in r["base"]} <= {tuple(s) for s in r["spans"]}
+    assert secrets.scan(empty).count() == 0
+
+
+def test_weak_parts_only_in_company(docs):
+    got = {r["doc_id"]: [secrets.ORDER[s["rank"]] for s in r["spans"]] for r in secrets.scan(docs.where("doc_id IN (19, 20, 0)")).collect()}
+    assert got[19] == ["ident", "loose", "endpoint"] and got[20] == [] and got[0] == []
+
+
+def test_far_parts_do_not_meet(spark):
+    far = "client_id=abcd1234 " + "word " * 200 + "Zx9Kq2Lw8Vb4Nm7Tp1Ys"
+    assert secrets.scan(spark.createDataFrame([(1, far)], "doc_id long, text string")).first()["spans"] == []
+
+
+def test_redaction(docs):
+    got = secrets.redacted(docs)
+    rows = got.collect()
+    assert got.columns == docs.columns and len(rows) == len(_rows())
+    by = {r["doc_id"]: r for r in rows}
+    assert "abcdef123456" not in by[10]["text"] and KEY not in by[10]["text"] and by[10]["n_chars"] == len(by[10]["text"])
+    assert by[7]["text"] == LONG and by[2]["text"] is None
+
+
+# packing
+
+
+def test_packing_is_whole(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    reference = Tokenizer.from_file(path)
+    want = Counter((r[0], tuple(reference.encode(r[1] or "", add_special_tokens=False).ids + [1])) for r in _rows())
+    for kwargs in ({}, {"length": 64, "quantum": 16}, {"length": 32, "quantum": 32, "weights": {"s0": 3.0, "hot": 0.5}}, {"max_queues": 2}):
+        pieces = packing.packed(docs, **kwargs).collect()
+        length = kwargs.get("length", 2048)
+        filled = defaultdict(list)
+        for p in pieces:
+            filled[p["sequence_id"]].append((p["offset"], p["length"]))
+        for s in filled.values():
+            s.sort()
+            assert all(a + n == b for (a, n), (b, _) in zip(s, s[1:], strict=False)) and s[0][0] == 0 and sum(n for _, n in s) <= length
+        total = sum(len(ids) * n for (_, ids), n in want.items())
+        assert sum(p["length"] for p in pieces) == total and len(filled) == -(-total // length)
+        sums = Counter((p["doc_id"], p["start"], p["length"], p["ids_crc32"]) for p in pieces)
+        for (doc, start, n, crc), times in sums.items():
+            fits = sum(c for (d, ids), c in want.items() if d == doc and zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes()) == crc)
+            assert fits >= 1 and times >= 1
+    assert packing.packed(empty).count() == 0
+
+
+def test_mixture_keeps_deficits_below_a_quantum(spark):
+    df = spark.createDataFrame([(i, "word " * (20 + i % 50), f"s{i % 7 if i % 3 else 0}") for i in range(400)], "doc_id long, text string, source string")
+    rows = packing.packed(df, length=512, quantum=64).toPandas()
+    sent = rows.groupby(["sequence_id", "queue"])["length"].sum().unstack(fill_value=0).cumsum()
+    share = sent.iloc[-1] / sent.iloc[-1].sum()
+    assert (sent.sub(np.outer(sent.sum(axis=1), share))).abs().max().max() <= 2 * 64
+
+
+def test_word_tokenizer_equals_the_library():
+    from tokenizers import Tokenizer
+
+    words = ["don't", "I'LL", "Σίσυφος", "ΟΔΟΣ", "naïve", "á.b", "İstanbul", "x1y22", "<|endoftext|>z", "日本語", "a'sb", "it's...", "¼½", "ﬁ", "́x", "ß", "#!?", "𝒳"]
+    own, reference = packing.WordTokenizer(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    assert own.fast is not None
+    for w, packed in zip(words, own.encode(words), strict=True):
+        assert np.frombuffer(packed, own.dtype).tolist() == reference.encode(w, add_special_tokens=False).ids
+
+
+# top-k search
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=12).astype(np.float32)], "c") for i in range(400)]
+    rows += [(400 + i, rows[100][1], "c") for i in range(60)] + [(600, None, ""), (601, [float("nan")] * 12, ""), (602, [None] * 12, ""), (700, [1.0, 2.0], ""), (None, rows[0][1], ""), (800, [float("inf")] + [0.0] * 11, "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
+    whole = {i: np.floor(1024 * np.asarray(np.float32(v), np.float64)) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
+    for block in (4096, 3):
+        got = defaultdict(list)
+        for r in sorted(topk.top_k(df, df.where("vec_id % 100 = 0"), 10, block=block).collect(), key=lambda r: (r["query_id"], r["rank"])):
+            got[r["query_id"]].append((r["score"], r["vec_id"]))
+        for q in (0, 100, 200, 300, 400):
+            want = sorted(((-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == 12))[:10]
+            assert got[q] == [(-s, i) for s, i in want]
+        assert 600 not in got and 700 not in got and 800 not in got
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(0)
+    q, x = rng.normal(size=(20, 30)), rng.normal(size=(50, 30)) + 1
+    for level in topk.LEVELS:
+        assert (topk.segment_statistics(q, level) @ topk.segment_statistics(x, level).T >= q @ x.T - 1e-9).all()
+
+
+# language model
+
+
+def test_kneser_ney(spark, docs, empty):
+    train = docs.where(~kneser.held_out(F.col("doc_id")))
+    counts, bigrams = Counter(), Counter()
+    for r in _rows():
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2:
+            words = [*(r[1] or "").encode().lower().split(), b""]
+            counts.update(words)
+            bigrams.update(zip([None, *words[:-1]], words, strict=True))
+    n, v = sum(counts.values()), len(counts)
+    for shard_bytes in (1 << 24, 1 << 14):
+        model = kneser.fit(train, shard_bytes)
+        assert model.train_tokens == n and model.words == v
+        context, prior = defaultdict(lambda: [0, 0, 0, 0]), Counter()
+        for (u, w), c in bigrams.items():
+            context[u][0] += c
+            context[u][min(c, 3)] += 1
+            prior[w] += 1
+        high = (0.0, *kneser.discounts([sum(c == k for c in bigrams.values()) for k in (1, 2, 3, 4)]))
+        low = (0.0, *kneser.discounts([sum(c == k for c in prior.values()) for k in (1, 2, 3, 4)]))
+        types = sum(prior.values())
+        rest = sum(low[min(c, 3)] for c in prior.values()) / types
+
+        def p(u, w):
+            q = max(prior[w] - low[min(prior[w], 3)], 0) / types + rest / (v + 1)
+            if u not in context:
+                return q
+            c = context[u]
+            k = bigrams[u, w]
+            return max(k - high[min(k, 3)], 0) / c[0] + (high[1] * c[1] + high[2] * c[2] + high[3] * c[3]) / c[0] * q
+
+        assert sum(p(b"the", w) for w in [*counts, b"no such word"]) == pytest.approx(1.0)
+        text = {r[0]: r[1] for r in _rows()}
+        for r in kneser.scored(docs, model, "doc_id").collect():
+            words = [*(text[r["doc_id"]] or "").encode().lower().split(), b""]
+            assert r["n_tokens"] == len(words) and r["n_known"] == sum(w in counts for w in words)
+            assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + 1 * (v + 1))) for w in words))
+            assert r["score"] == pytest.approx(sum(math.log10(p(u, w)) for u, w in zip([None, *words[:-1]], words, strict=True)))
+    nothing = kneser.fit(empty)
+    assert nothing.train_tokens == 0 and kneser.scored(docs, nothing, "doc_id").count() == len(_rows()) and kneser.scored(empty, nothing, "doc_id").count() == 0
+
+
+# quality classifier
+
+
+def test_machine_equals_pairwise_sum():
+    rng = np.random.default_rng(4)
+    m = quality.Machine(0.3, rng.normal(size=quality.INPUTS), rng.normal(size=(quality.INPUTS, quality.RANK)))
+    places, values = rng.choice(quality.INPUTS, 9, replace=False), rng.normal(size=9)
+    pairs = sum(m.factors[places[i]] @ m.factors[places[j]] * values[i] * values[j] for i in range(9) for j in range(i))
+    assert m.logits(places, values, np.array([9]))[0] == pytest.approx(0.3 + m.linear[places] @ values + pairs)
+
+
+def test_quality_learns_and_keeps_rows(spark, docs, empty):
+    good = [(i, f"A plain sentence about thing {i} and its use. It has an end.", 1) for i in range(120)]
+    bad = [(200 + i, f"BUY{i}!! NOW!! ### $$$ CLICK!! " * 6, 0) for i in range(120)]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t, _ in good + bad], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, q) for i, _, q in good + bad] + [(None, 1), (5, None)], "doc_id long, quality int")
+    machine = quality.fit(df, labels)
+    score = {r["doc_id"]: r["score"] for r in quality.scored(df, machine, "doc_id").collect()}
+    held = [i for i, _, _ in good + bad if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert np.mean([(score[i] >= 0.7) == (i < 200) for i in held]) >= 0.95
+    out = quality.scored(docs, machine, *docs.columns, out="score")
+    assert out.count() == len(_rows()) and out.where("score BETWEEN 0 AND 1").count() == len(_rows())
+    assert quality.scored(empty, quality.fit(empty, labels), "doc_id").count() == 0
+    assert quality.accepted(df, labels).columns == df.columns
+
+
+# licenses
+
+
+def test_licenses(spark, docs, empty):
+    mit = licenses.TEMPLATES["MIT"]
+    texts = [(1, f"x y z\n{mit} tail"), (2, mit.upper().replace("WITHOUT", "with no").replace("COPY,", "clone,")), (3, "under the license of the public, and so on"), (4, "Released under the MIT License. " + "w " * 3000 + "é Released under the MIT License."), (5, None), (6, "")]
+    got = defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        got[r["doc_id"]].append(r)
+    assert set(got) == {1, 2, 4}
+    assert got[1][0]["license"] == "MIT" and got[1][0]["coverage"] == 1.0 and texts[0][1][got[1][0]["start"] : got[1][0]["end"]] == mit.rstrip(".")
+    assert got[2][0]["license"] == "MIT" and 0.9 < got[2][0]["coverage"] < 1
+    assert [texts[3][1][r["start"] : r["end"]] for r in got[4]] == ["Released under the MIT License"] * 2
+    assert [r["doc_id"] for r in licenses.scan(docs).collect()] == [12] and licenses.scan(empty).count() == 0
+
+
+def test_winnowing_shares_a_fingerprint():
+    rng = np.random.default_rng(9)
+    run = rng.integers(1, 500, licenses.WINDOW + licenses.GRAM - 1)
+    pick = lambda ids: {int(h) for h in licenses.gram_hashes(ids)[licenses.winnowed(licenses.gram_hashes(ids))]}
+    for _ in range(50):
+        a, b = (np.r_[rng.integers(1, 500, 7), run, rng.integers(1, 500, 9)] for _ in range(2))
+        assert pick(a) & pick(b)
+
+
+# pieces
+
+
+def test_pieces_round_trip(spark, docs, empty):
+    rows = gumbel.decoded(gumbel.encoded(docs, 3)).collect()
+    want = Counter(r[1] or "" for r in _rows())
+    by = defaultdict(list)
+    for r in rows:
+        by[r["doc_id"], r["text"]].append(r)
+    assert {t for _, t in by} == set(want)
+    for (_, text), found in by.items():
+        assert len({bytes(r["ids"]) for r in found}) == len({r["rank"] for r in found})
+        assert all(0 < r["inclusion"] <= 1 for r in found)
+        values = [r["perturbed"] for r in sorted(found, key=lambda r: r["rank"])]
+        assert values == sorted(values, reverse=True)
+        assert text or len(found) == sum(1 for r in _rows() if not r[1] and r[0] == found[0]["doc_id"])
+    assert gumbel.encoded(empty).count() == 0
+
+
+def test_samples_follow_the_lattice():
+    v = gumbel.vocabulary(gumbel.model_path())
+    chain = v.chain("the cat")
+    paths = {a[1] + b[1]: math.exp(a[0] + b[0]) for a in chain[0].paths for b in chain[1].paths}
+    assert sum(paths.values()) == pytest.approx(1.0)
+    first, second, estimate = Counter(), Counter(), 0.0
+    for seed in range(4000):
+        found, threshold = gumbel.samples(chain, 3, gumbel.generator(seed))
+        ids = [tuple(i for _, p in f[2] for i in p) for f in found]
+        assert len(set(ids)) == 3
+        first[ids[0]] += 1
+        second[ids[1]] += 1
+        estimate += sum(len(i) * math.exp(f[0]) / -math.expm1(-math.exp(f[0] - threshold)) for i, f in zip(ids, found, strict=True)) / 4000
+    best = max(paths, key=paths.get)
+    assert first[best] / 4000 == pytest.approx(paths[best], abs=0.03)
+    assert second[best] / 4000 == pytest.approx(sum(q * paths[best] / (1 - q) for x, q in paths.items() if x != best), abs=0.03)
+    assert estimate == pytest.approx(sum(len(i) * p for i, p in paths.items()), rel=0.03)
+
+
+def test_long_words_are_walked_without_repeats():
+    v = gumbel.vocabulary(gumbel.model_path())
+    chain = v.chain("internationalisations")
+    assert chain[0].paths is None
+    found, _ = gumbel.samples(chain, 40, gumbel.generator(1))
+    assert len({f[2][0][1] for f in found}) == 40 and all(v.decode(f[2][0][1]) == "internationalisations" for f in found)

@@ -143,10 +143,11 @@ def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         )
 
     masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.char_length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked)
-    size = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length(masked).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None
-    new = {"text": text, "n_chars": size}
-    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    changed = both.withColumn("_new", F.when(F.col("_spans").isNotNull(), masked))
+    new = {"text": F.coalesce("_new", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.char_length("_new"), "n_chars").cast(docs.schema["n_chars"].dataType)
+    return changed.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
 def op4_secret_links(spark, sf_dir: str) -> DataFrame:
