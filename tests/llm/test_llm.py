@@ -404,7 +404,7 @@ def test_pieces_round_trip(spark, docs, empty):
     assert {t for _, t in by} == set(want)
     for (_, text), found in by.items():
         assert len({bytes(r["ids"]) for r in found}) == len({r["rank"] for r in found})
-        assert all(0 < r["inclusion"] <= 1 for r in found)
+        assert all(math.isfinite(r["log_inclusion"]) and r["log_inclusion"] <= 0 for r in found)
         values = [r["perturbed"] for r in sorted(found, key=lambda r: r["rank"])]
         assert values == sorted(values, reverse=True)
         assert text or len(found) == sum(1 for r in _rows() if not r[1] and r[0] == found[0]["doc_id"])

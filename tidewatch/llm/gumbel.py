@@ -241,7 +241,15 @@ def generator(key, seed: int = SEED) -> np.random.Generator:
     return np.random.Generator(np.random.PCG64(xxhash.xxh64_intdigest(str(key), seed)))
 
 
-ROWS = "doc_id long, rank int, ids binary, n_tokens long, log_prob double, perturbed double, inclusion double"
+def log_inclusion(log_prob: float, threshold: float) -> float:
+    """Logarithm of the probability that a path passes the threshold; it underflows for no text."""
+    if not math.isfinite(threshold):
+        return 0.0
+    odds = log_prob - threshold
+    return odds if odds < -30 else math.log(-math.expm1(-math.exp(min(odds, 30.0))))
+
+
+ROWS = "doc_id long, rank int, ids binary, n_tokens long, log_prob double, perturbed double, log_inclusion double"
 
 
 def _encode(path: str, k: int, alpha: float, seed: int):
@@ -256,8 +264,7 @@ def _encode(path: str, k: int, alpha: float, seed: int):
                 found, threshold = samples(own.chain(text.as_py() or ""), k, generator(key, seed))
                 for rank, (log_prob, value, chosen) in enumerate(found, 1):
                     ids = np.fromiter((i for _, part in chosen for i in part), "<u4")
-                    odds = math.exp(min(log_prob - threshold, 700.0)) if math.isfinite(threshold) else math.inf
-                    rows.append((key, rank, ids.tobytes(), len(ids), log_prob, value, -math.expm1(-odds)))
+                    rows.append((key, rank, ids.tobytes(), len(ids), log_prob, value, log_inclusion(log_prob, threshold)))
                     held += len(ids)
                 if held > 500_000:
                     yield _batch(rows)
@@ -311,4 +318,4 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 def op7_gumbel_pieces(spark, sf_dir: str) -> DataFrame:
     out = encoded(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "rank", "n_tokens", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion")
+    return out.select("doc_id", "rank", "n_tokens", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion")

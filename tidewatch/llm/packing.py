@@ -2,11 +2,11 @@
 
 Every source has a queue of its documents' tokens and a share of the mixture. Queues are served in
 quanta of QUANTUM tokens: served next is the queue whose deficit (its share of all tokens sent so
-far, less what it has sent) allows its quantum first. A queue's deficit thus never passes a
+far, less what it has sent) allows half its quantum first. A queue's deficit thus stays within a
 quantum, in any window, and is carried from window to window and from partition to partition.
 
 The order has a closed form: quantum k of a queue with weight w is due at virtual time
-end / w, and the place of a quantum in the stream is the number of tokens due before it in all
+middle / w, and the place of a quantum in the stream is the number of tokens due before it in all
 queues. So each task lays out its own documents from the queues' lengths alone; nothing passes
 from task to task but the tokens that earlier tasks put into each queue. The stream is cut into
 sequences of LENGTH; only the last can need padding.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import stored, table
+from tidewatch.llm.shared import stored, table, trimmed
 from tidewatch.session import ship
 
 LENGTH = 2048
@@ -31,8 +31,7 @@ QUANTUM = 256
 EOS = 1
 TOKENIZER = "word_bpe_49k.json"
 MAX_QUEUES = 256
-CACHE = 300_000
-BATCH_TOKENS = 500_000
+CACHE = 100_000
 # White space of the tokenizer's pattern: of what str.split() takes, without \x1c-\x1f.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -108,14 +107,22 @@ class WordTokenizer:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 1 << 16 else np.dtype("<u4")
+        self.path, self.whole, self.known, self.old = path, None, {}, {}
         try:
             self.fast = FastPieces(path)
+            size = int(self.fast.ids.max()) + 1
         except (KeyError, TypeError, ImportError):  # another kind of tokenizer
             self.fast = None
+            size = self.tokenizer().get_vocab_size()
+        self.dtype = np.dtype("<u2") if size < 60_000 else np.dtype("<u4")
+
+    def tokenizer(self):
+        """The library's own, loaded when a word needs it."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole
 
     def words(self, text: str) -> list[str]:
         if any(c in text for c in ODD_SPACES):
@@ -136,18 +143,19 @@ class WordTokenizer:
         rest = [i for i in range(len(words)) if i not in chosen]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            for i, found in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+            for i, found in zip(part, self.tokenizer().encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
                 out[i] = np.array(found.ids, self.dtype).tobytes()
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        known = self.known
         split = [self.words(t) for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHE:
-            known = self.known = {}
-            new = list({w for words in split for w in words})
+        if len(self.known) > CACHE:  # what is used again moves over from the old generation
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        lacking = {w for words in split for w in words if w not in known}
+        known.update((w, old[w]) for w in lacking if w in old)
+        new = [w for w in lacking if w not in known]
         known.update(zip(new, self.encode(new), strict=True))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
@@ -191,11 +199,13 @@ def _tokenize(path: str, eos: int):
             for doc, queue, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 rows.append((doc, queue, text.as_py() or ""))
                 held += len(rows[-1][2])
-                if held >= 2_000_000:
+                if held >= 1_000_000:
                     yield flush(rows)
                     rows, held = [], 0
         if rows:
             yield flush(rows)
+            rows.clear()
+        trimmed()
 
     return run
 
@@ -206,12 +216,13 @@ class Mixture:
     def __init__(self, lengths: list[int], weights: list[float], quantum: int):
         self.lengths, self.weights, self.quantum = np.array(lengths, np.int64), np.array(weights, np.float64), quantum
 
-    def ends(self, q: int, k: np.ndarray) -> np.ndarray:
-        return np.minimum((k + 1) * self.quantum, self.lengths[q])
+    def due(self, q: int, k: np.ndarray) -> np.ndarray:
+        """When quantum k of queue q is due: its middle over the queue's weight."""
+        return (k * self.quantum + np.minimum((k + 1) * self.quantum, self.lengths[q])) / 2 / self.weights[q]
 
     def place(self, q: int, k: np.ndarray) -> np.ndarray:
         """Tokens in the stream before quantum k of queue q."""
-        due = self.ends(q, k) / self.weights[q]
+        due = self.due(q, k)
         out = np.zeros(len(k), np.int64)
         for r in range(len(self.lengths)):
             if r == q:
@@ -219,7 +230,11 @@ class Mixture:
                 continue
             last = -(-int(self.lengths[r]) // self.quantum)
             n = np.clip((due * self.weights[r] / self.quantum).astype(np.int64), 0, last)
-            earlier = lambda c, r=r: (c < last) & ((self.ends(r, np.minimum(c, last - 1)) / self.weights[r] < due) | ((self.ends(r, np.minimum(c, last - 1)) / self.weights[r] == due) & (r < q)))
+
+            def earlier(c: np.ndarray, r: int = r, last: int = last) -> np.ndarray:
+                own = self.due(r, np.minimum(c, last - 1))
+                return (c < last) & ((own < due) | ((own == due) & (r < q)))
+
             while (up := earlier(n)).any():
                 n += up
             while (down := (n > 0) & ~earlier(n - 1)).any():
@@ -231,7 +246,7 @@ class Mixture:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 
 
-def _lay_out(names: list[str], mixture: Mixture, length: int, wide: int):
+def _lay_out(names: list[str], mixture: Mixture, length: int):
     number = {name: i for i, name in enumerate(names)}
     quantum = mixture.quantum
 
@@ -273,7 +288,8 @@ def _lay_out(names: list[str], mixture: Mixture, length: int, wide: int):
                 for at in range(0, len(rows), 512):
                     part = rows[at : at + 512]
                     doc, start, size, place = pieces(queue, first[part], sizes[part])
-                    data = [np.frombuffer(ids[int(i)].as_py(), f"<u{wide}").astype("<u4").tobytes() for i in part]
+                    raw = [ids[int(i)].as_py() for i in part]
+                    data = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in zip(raw, sizes[part].tolist(), strict=True)]
                     crc = [zlib.crc32(data[d][4 * s : 4 * (s + n)]) for d, s, n in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)]
                     cols = [docs.take(pa.array(part[doc])), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(sizes[part][doc]), pa.array(place // length), pa.array(place % length), pa.array([queue] * len(doc), pa.string())]
                     yield pa.RecordBatch.from_arrays(cols, PIECE_NAMES)
@@ -318,8 +334,7 @@ def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] |
     shares = [float(weights.get(n, 1.0)) for n in names] if weights else [float(n) for n in lengths]
     starts = sums.selectExpr("queue", "part", "sum(n) OVER (PARTITION BY queue ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS begin")
     placed = tokens.join(starts, ["queue", "part"]).select("doc_id", "queue", "ids", "n", (F.col("begin") + F.col("before")).alias("first"))
-    wide = tokenizer(path).dtype.itemsize
-    return placed.mapInArrow(_lay_out(names, Mixture(lengths, shares, quantum), length, wide), PIECES)
+    return placed.mapInArrow(_lay_out(names, Mixture(lengths, shares, quantum), length), PIECES)
 
 
 def op1_mixture_packing(spark, sf_dir: str) -> DataFrame:

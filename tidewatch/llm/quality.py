@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import table
+from tidewatch.llm.shared import table, trimmed
 from tidewatch.session import ship
 
 BUCKETS = 1 << 14
@@ -30,8 +30,8 @@ MAX_TRAIN = 12_000
 THRESHOLD = 0.7
 FOLDS, HELD = 4, 2
 EPOCHS, BATCH, RATE, SEED = 12, 128, 0.08, 7
-WORD_CACHE = 200_000
-BATCH_CHARS = 2_000_000
+WORD_CACHE = 50_000
+BATCH_CHARS = 1_000_000
 RUNS = re.compile(rb"[!-/:-@\[-`{-~]{2,}")
 STATS = ("words", "word_length", "upper", "digits", "symbols", "pipes", "letters", "other_bytes", "distinct", "commonest", "same_lines", "same_sentences", "symbol_runs", "bytes", "meta_size", "meta_differs")
 INPUTS = BUCKETS + len(STATS) * (BINS + 1)
@@ -165,7 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Machine:
     places = [np.frombuffer(x.as_py(), np.int32) for x in found.column("places")]
     values = [np.frombuffer(x.as_py(), np.float32) for x in found.column("values")]
     order = sorted(range(len(places)), key=lambda i: (places[i].tobytes(), values[i].tobytes()))  # whatever order Spark gave them
-    return train([places[i] for i in order], [values[i] for i in order], found.column("label").to_numpy()[order].astype(np.float64))
+    machine = train([places[i] for i in order], [values[i] for i in order], found.column("label").to_numpy()[order].astype(np.float64))
+    del found, places, values
+    trimmed()
+    return machine
 
 
 def _score(machine: Machine, names: list[str], out: str):
@@ -192,6 +195,7 @@ def _score(machine: Machine, names: list[str], out: str):
             flush(held, scores)
             column = pa.array(np.concatenate(scores).astype(np.float64) if scores else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:size_at], column], [*names, out])
+        trimmed()
 
     return run
 

@@ -65,5 +65,18 @@ def ascii_lower(text: Column) -> Column:
 
 
 
+def trimmed() -> None:
+    """Give a worker's freed memory back, so that idle workers stay small beside the next stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

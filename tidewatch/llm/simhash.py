@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import connected
-from tidewatch.llm.shared import KEY, dropped, keyed, stored, table
+from tidewatch.llm.shared import KEY, dropped, keyed, stored, table, trimmed
 from tidewatch.session import ship
 
 SHINGLE_WORDS = 4
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
         for batch in batches:
             fps = [_signed(fingerprint(t.as_py() or "", width)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        trimmed()
 
     ship(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
