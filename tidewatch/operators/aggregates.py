@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import operator
 from tidewatch.config import CONFIG
 from tidewatch.operators.filters import active, hours_before
-from tidewatch.operators.joins import first_per
 from tidewatch.operators.windows import top_per
 from tidewatch.tables import Tables
 
