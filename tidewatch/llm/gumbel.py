@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
