@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch at most: texts are long, and a batch stands in memory on both sides.
+ARROW_ROWS = 1024
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -27,7 +29,13 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
 
 
 def ship(spark: SparkSession) -> None:
-    """Give Python workers this package: one archive, sent by the driver's own file server."""
+    """Give Python workers this package: one archive, sent by the driver's own file server.
+
+    Also bounds the rows of an Arrow batch, where the session allows more.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
