@@ -22,10 +22,13 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 BASE = (("assign", ASSIGN, 2, 6), ("access", ACCESS, 0, 20), ("hex", HEX, 0, 24))
 
-# Weak parts: kind and pattern.
-IDENT = r"(?i)\b(?:access[_-]?id|access[_-]?key(?:[_-]?id)?|client[_-]?id|user(?:name)?|login|account)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?[A-Za-z0-9_.@-]{4,256}"
-LOOSE = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]{0,256}[0-9])(?=[0-9+/_-]{0,256}[A-Za-z])[A-Za-z0-9+/_-]{20,256}={0,2}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[A-Za-z0-9._:@/-]{4,512}"
+# Weak parts: kind and pattern. Names may follow a prefix (DB_USER), values may follow their name at
+# once; runs have no upper length and are possessive, so that a text is read a fixed number of times.
+# A secret's name (SECRET_ACCESS_KEY) is no identifier, an identifier's value is no secret.
+IDENT = r"(?i)(?<![a-z0-9])(?<!secret[_-])(?:access[_-]?id|access[_-]?key(?:[_-]?id)?|client[_-]?id|user(?:name)?|login|account)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?[A-Za-z0-9_.@-]{4,}+"
+NAMED = r"(?<![A-Za-z0-9])(?i:access[_-]?id|access[_-]?key[_-]?id|client[_-]?id|user(?:name)?|login|account)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?"
+LOOSE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])(?=[A-Za-z0-9+/_-]{{20}})(?<!{NAMED})[A-Za-z0-9+/_-]{{20,}}+={{0,2}}(?![A-Za-z0-9+/=_-])"
+ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[A-Za-z0-9._:@/-]{4,}+"
 WEAK = (("ident", IDENT), ("loose", LOOSE), ("endpoint", ENDPOINT))
 SCOPE = 200
 CHUNK = 256
