@@ -405,6 +405,17 @@ def test_licenses(spark, docs, empty):
     assert [r["doc_id"] for r in licenses.scan(docs).collect()] == [12] and licenses.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT-notice", "CC-BY-NC-4.0-notice", "Apache-2.0-notice"])
+@pytest.mark.parametrize("between", [" ", "\n", " a b c ", " é w w w w w w "])
+def test_repeated_notices(name, between):
+    notice, index = licenses.TEMPLATES[name], licenses.Index(licenses.TEMPLATES)
+    for n in (2, 3, 40):
+        text = between.join(["é start", *[notice] * n, "end"])
+        got = licenses.found(text, index)
+        assert [g[0] for g in got] == [name] * n and all(g[1] == 1.0 for g in got)
+        assert [text[a:b] for *_, a, b in got] == [notice.rstrip(".")] * n
+
+
 def test_winnowing_shares_a_fingerprint():
     rng = np.random.default_rng(9)
     run = rng.integers(1, 500, licenses.WINDOW + licenses.GRAM - 1)

@@ -5,12 +5,15 @@ are). Hashes of GRAM successive words are winnowed: of every WINDOW neighbours t
 so a shared run of WINDOW + GRAM - 1 words shares a fingerprint. The inverted index from
 fingerprint to template and place has the size of the templates. Hits of a template whose
 diagonals (place in the text less place in the template) lie within a band are one candidate; its
-words are aligned within the band, and it is reported with the share of the template's words that
-matched and the span of the first to the last match.
+words are aligned within the band, and each disjoint alignment (a notice may stand there many times)
+is reported with the share of the template's words that matched and the span of the first to the last
+match.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -106,22 +109,45 @@ class Index:
         return out
 
 
-def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
-    """(matched words, first and last matched place) of the best banded alignment; None without any.
+class Spans:
+    """Disjoint spans of places, ends inclusive, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Whether start to end met no earlier span; only then it is kept."""
+        i = bisect_left(self.starts, start)
+        if (i < len(self.starts) and self.starts[i] <= end) or (i and self.ends[i - 1] >= start):
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+
+def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int, least: int) -> list[tuple[int, int, int]]:
+    """(matched words, first and last matched place) of disjoint banded alignments, best first, that
+    match least words or more.
 
     Row i of the band holds text places i + low - BAND to i + high + BAND. A match scores 2, a
-    mismatch, insertion or deletion -1; an alignment may begin and end anywhere in the text.
+    mismatch, insertion or deletion -1; an alignment may begin and end anywhere in the text. One pass
+    gives the best alignment up to each place; what lies between accepted ones is aligned again.
     """
+    if len(text) < least:
+        return []
+    low, high = (min(max(d, -len(template)), len(text)) for d in (low, high))
     width, shift = high - low + 2 * BAND + 1, low - BAND
-    before, best = [(0, 0, -1, -1)] * width, (0, 0, -1, -1)
+    before, words = [(0, 0, -1, -1)] * width, text.tolist()
+    ends: dict[int, tuple[int, int, int, int, int]] = {}
     for i, word in enumerate(template.tolist()):
         row: list[tuple[int, int, int, int]] = []
         for b in range(width):
             j = i + shift + b
             cell = (0, 0, -1, -1)
-            if 0 <= j < len(text):
+            if 0 <= j < len(words):
                 s, m, first, last = before[b]
-                hit = text[j] == word
+                hit = words[j] == word
                 cell = (s + 2, m + 1, j if first < 0 else first, j) if hit else (s - 1, m, first, last)
             if b + 1 < width and before[b + 1][0] - 1 > cell[0]:
                 s, m, first, last = before[b + 1]
@@ -132,10 +158,17 @@ def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tupl
             if cell[0] < 0:
                 cell = (0, 0, -1, -1)
             row.append(cell)
-            if cell[0] > best[0]:
-                best = cell
+            if cell[1] >= least and cell[3] == j:
+                end = (-cell[0], i, j, cell[1], cell[2])
+                if j not in ends or end < ends[j]:
+                    ends[j] = end
         before = row
-    return best[1:] if best[1] else None
+    taken = Spans()
+    out = [(m, first, last) for _, _, last, m, first in sorted(ends.values()) if taken.add(first, last)]
+    if out:
+        for a, b in zip([0, *(e + 1 for e in taken.ends)], [*taken.starts, len(words)], strict=True):
+            out += [(m, first + a, last + a) for m, first, last in aligned(template, text[a:b], low - a, high - a, least)]
+    return out
 
 
 def found(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
@@ -152,21 +185,22 @@ def found(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple[str
         template = index.words[t]
         first = max(0, low - BAND)
         part = ids[first : high + len(template) + BAND + 1]
-        got = aligned(template, part, low - first, high - first)
-        if got and got[0] >= LEAST_WORDS and got[0] >= coverage * len(template):
-            hits.append((got[0], got[0] / len(template), t, got[1] + first, got[2] + first))
+        least = max(LEAST_WORDS, math.ceil(coverage * len(template)))
+        for matched, a, b in aligned(template, part, low - first, high - first, least):
+            hits.append((matched, matched / len(template), t, a + first, b + first))
     if not hits:
         return []
     starts = _starts(data, words)
-    out: list[tuple] = []
-    for matched, share, t, a, b in sorted(hits, key=lambda h: (-h[0], -h[1], h[2], h[3])):
-        if all(b < o[3] or a > o[4] for o in out):
-            out.append((matched, share, t, a, b))
-    spans = []
+    taken = Spans()
+    out = [h for h in sorted(hits, key=lambda h: (-h[0], -h[1], h[2], h[3])) if taken.add(h[3], h[4])]
+    spans, at, n = [], 0, 0
     for matched, share, t, a, b in sorted(out, key=lambda o: o[3]):
-        begin, end = starts[a], starts[b] + len(words[b])
-        chars = lambda at: len(data[:at].decode("utf-8", "surrogatepass"))
-        spans.append((index.names[t], share, matched, chars(begin), chars(end)))
+        chars = []
+        for place in (starts[a], starts[b] + len(words[b])):
+            n += len(data[at:place].decode("utf-8", "surrogatepass"))
+            at = place
+            chars.append(n)
+        spans.append((index.names[t], share, matched, *chars))
     return spans
 
 
