@@ -187,6 +187,14 @@ def test_equal_texts_meet(spark):
     assert whole >= 27
 
 
+def test_groups_within_a_quota_stay_whole(spark):
+    # quota 50: a group of half of it, and one of more than it
+    df = spark.createDataFrame([(i, "half" if i < 25 else "more" if i < 85 else f"text {i}") for i in range(600)], "doc_id long, text string")
+    shards = {r["doc_id"]: r["shard"] for r in sharding.shard(df, 12).collect()}
+    assert len({shards[i] for i in range(25)}) == 1
+    assert len({shards[i] for i in range(25, 85)}) >= 2
+
+
 # secrets
 
 

@@ -104,7 +104,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, block_row
     # (hash, crc, size) stand for the text: 96 bits and the length
     key = ["h", "text_crc32", "size"]
     sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    most = max(1, total // shards // 4)
+    most = max(1, *quota)
     chunk = F.when(F.col("n") > most, F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / most))).otherwise(F.lit(0))
     linked = rows.join(sizes, key).select("rid", F.xxhash64(*key, chunk).alias("grp"), (F.col("n") > block_rows).alias("big"), _pick(F.xxhash64("rid", F.lit(1)), shards).alias("shard"))
     labels = propagate(linked, shards, quota, rounds)
