@@ -397,6 +397,48 @@ def test_quality_learns_and_keeps_rows(spark, docs, empty):
     assert quality.accepted(df, labels).columns == df.columns
 
 
+def test_kneser_ney_of_order_three(spark, docs, empty):
+    train = docs.where(~kneser.held_out(F.col("doc_id")))
+    words, three = Counter(), Counter()
+    for r in _rows():
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2:
+            own = [*(r[1] or "").encode().lower().split(), b""]
+            words.update(own)
+            padded = [None, None, *own]
+            three.update(zip(padded, padded[1:], own))
+    two = Counter((v, w) for _, v, w in three)
+    one = Counter(w for _, w in two)
+    levels = []
+    for grams in (three, two):
+        context = defaultdict(lambda: [0, 0, 0, 0])
+        for g, c in grams.items():
+            context[g[:-1]][0] += c
+            context[g[:-1]][min(c, 3)] += 1
+        levels.append((grams, context, (0.0, *kneser.discounts([sum(c == k for c in grams.values()) for k in (1, 2, 3, 4)]))))
+    low, types = (0.0, *kneser.discounts([sum(c == k for c in one.values()) for k in (1, 2, 3, 4)])), sum(one.values())
+    rest = sum(low[min(c, 3)] for c in one.values()) / types
+
+    def p(g):
+        if len(g) == 1:
+            return max(one[g[0]] - low[min(one[g[0]], 3)], 0) / types + rest / (len(words) + 1)
+        grams, context, d = levels[3 - len(g)]
+        if g[:-1] not in context:
+            return p(g[1:])
+        c, k = context[g[:-1]], grams[g]
+        return max(k - d[min(k, 3)], 0) / c[0] + (d[1] * c[1] + d[2] * c[2] + d[3] * c[3]) / c[0] * p(g[1:])
+
+    assert sum(p((None, None, w)) for w in [*words, b"no such word"]) == pytest.approx(1.0)
+    text = {r[0]: r[1] for r in _rows()}
+    for shard_bytes in (1 << 24, 1 << 12):
+        model = kneser.fit(train, shard_bytes, 3)
+        for r in kneser.scored(docs, model, "doc_id").collect():
+            own = [*(text[r["doc_id"]] or "").encode().lower().split(), b""]
+            padded = [None, None, *own]
+            assert r["score"] == pytest.approx(sum(math.log10(p(tuple(padded[i : i + 3]))) for i in range(len(own))))
+    nothing = kneser.fit(empty, order=3)
+    assert kneser.scored(docs, nothing, "doc_id").count() == len(_rows()) and kneser.scored(empty, nothing, "doc_id").count() == 0
+
+
 # licenses
 
 
