@@ -494,6 +494,13 @@ def test_pieces_round_trip(spark, docs, empty):
     assert gumbel.encoded(empty).count() == 0
 
 
+def test_the_query_decodes_its_samples(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: zlib.crc32((r["text"] or "").replace("\u2581", " ").encode()) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    rows = gumbel.op7_gumbel_pieces(spark, folder).select("doc_id", "text_crc32").collect()
+    assert {r["doc_id"] for r in rows} == set(texts) and all(r["text_crc32"] == texts[r["doc_id"]] for r in rows)
+
+
 def test_samples_follow_the_lattice():
     v = gumbel.vocabulary(gumbel.model_path())
     chain = v.chain("the cat")

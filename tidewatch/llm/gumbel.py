@@ -316,5 +316,5 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op7_gumbel_pieces(spark, sf_dir: str) -> DataFrame:
-    out = encoded(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "rank", "n_tokens", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "log_inclusion")
+    out = decoded(encoded(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "rank", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "log_prob", "perturbed", "log_inclusion")
