@@ -501,19 +501,36 @@ def test_the_query_decodes_its_samples(spark):
     assert {r["doc_id"] for r in rows} == set(texts) and all(r["text_crc32"] == texts[r["doc_id"]] for r in rows)
 
 
+def _segmentations(vocabulary, word):
+    """Every way to cut a word into pieces, with its weight, by trying all cuts."""
+    of = {vocabulary.pieces[i]: (i, w) for i, w in zip(vocabulary.ids.tolist(), vocabulary.weights.tolist(), strict=True)}
+    out = [((), 0.0)] if not word else []
+    for n in range(1, len(word) + 1):
+        if word[:n] in of:
+            head, weight = (of[word[:n]][0],), of[word[:n]][1]
+        elif n == 1:
+            data = word[0].encode()
+            head, weight = tuple(vocabulary.bytes[list(data)].tolist()), vocabulary.last * len(data)
+        else:
+            continue
+        out += [(head + rest, weight + more) for rest, more in _segmentations(vocabulary, word[n:])]
+    return out
+
+
 def test_samples_follow_the_lattice():
     v = gumbel.vocabulary(gumbel.model_path())
-    chain = v.chain("the cat")
-    paths = {a[1] + b[1]: math.exp(a[0] + b[0]) for a in chain[0].paths for b in chain[1].paths}
-    assert sum(paths.values()) == pytest.approx(1.0)
+    parts = [_segmentations(v, w) for w in gumbel.words_of("the cat")]
+    paths = {a[0] + b[0]: math.exp(a[1] + b[1]) for a in parts[0] for b in parts[1]}
+    mass = sum(paths.values())
+    paths = {ids: p / mass for ids, p in paths.items()}
     first, second, estimate = Counter(), Counter(), 0.0
-    for seed in range(4000):
-        found, threshold = gumbel.samples(chain, 3, gumbel.generator(seed))
-        ids = [tuple(i for _, p in f[2] for i in p) for f in found]
+    for text in gumbel.sampled(["the cat"] * 4000, list(range(4000)), 3, v):
+        ids = [tuple(s.ids.tolist()) for s in text.samples]
         assert len(set(ids)) == 3
+        assert all(s.log_prob == pytest.approx(math.log(paths[i])) for i, s in zip(ids, text.samples, strict=True))
         first[ids[0]] += 1
         second[ids[1]] += 1
-        estimate += sum(len(i) * math.exp(f[0]) / -math.expm1(-math.exp(f[0] - threshold)) for i, f in zip(ids, found, strict=True)) / 4000
+        estimate += sum(len(i) * math.exp(s.log_prob) / -math.expm1(-math.exp(s.log_prob - text.threshold)) for i, s in zip(ids, text.samples, strict=True)) / 4000
     best = max(paths, key=paths.get)
     assert first[best] / 4000 == pytest.approx(paths[best], abs=0.03)
     assert second[best] / 4000 == pytest.approx(sum(q * paths[best] / (1 - q) for x, q in paths.items() if x != best), abs=0.03)
@@ -522,7 +539,28 @@ def test_samples_follow_the_lattice():
 
 def test_long_words_are_walked_without_repeats():
     v = gumbel.vocabulary(gumbel.model_path())
-    chain = v.chain("internationalisations")
-    assert chain[0].paths is None
-    found, _ = gumbel.samples(chain, 40, gumbel.generator(1))
-    assert len({f[2][0][1] for f in found}) == 40 and all(v.decode(f[2][0][1]) == "internationalisations" for f in found)
+    text = gumbel.sampled(["internationalisations"], [1], 40, v)[0]
+    assert len({tuple(s.ids.tolist()) for s in text.samples}) == 40
+    assert all(v.decode(s.ids) == "internationalisations" for s in text.samples)
+    long = "Straße東京𝒳" * 400
+    for s in gumbel.sampled([long], [1], 3, v)[0].samples:
+        assert v.decode(s.ids) == long
+
+
+def test_all_segmentations_come_out_where_there_are_few():
+    v = gumbel.vocabulary(gumbel.model_path())
+    for text in ("of", "é", "𝒳", "a b"):
+        every = {()}
+        for word in gumbel.words_of(text):
+            every = {a + b for a in every for b, _ in _segmentations(v, word)}
+        got = gumbel.sampled([text], [3], len(every) + 5, v)[0]
+        assert {tuple(s.ids.tolist()) for s in got.samples} == every and got.threshold == -math.inf
+
+
+def test_samples_do_not_depend_on_their_company():
+    v = gumbel.vocabulary(gumbel.model_path())
+    texts = [t or "" for t in TEXTS]
+    together = gumbel.sampled(texts, list(range(len(texts))), 3, v)
+    for i, t in enumerate(texts):
+        alone = gumbel.sampled([t], [i], 3, v)[0]
+        assert [(s.ids.tolist(), s.value) for s in alone.samples] == [(s.ids.tolist(), s.value) for s in together[i].samples]
