@@ -1,4 +1,4 @@
-"""Folds over ordered rows: echo folding, online assignment, merging to a fixpoint, splits, health and revisions."""
+"""Folds over ordered rows: echo folding, online assignment, clusters, source health and replays."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from tidewatch.config import CONFIG
 from tidewatch.operators.joins import first_per
 from tidewatch.operators.vectors import nearest
 from tidewatch.session import ship
-from tidewatch.storage import checkpointed
 from tidewatch.tables import Tables
 
 
@@ -39,33 +38,41 @@ def vector_reports(t: Tables) -> DataFrame:
     copies = t.embeddings.select("*", F.explode(F.sequence(F.lit(0), (F.col("vec_id") % 3).cast("int"))).alias("copy"))
     turned = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i % 7 == F.col("copy"), 0.1 * F.col("copy")).otherwise(0.0))
     at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("copy") * 20 + F.col("vec_id") % 50)
-    return copies.select((F.col("vec_id") * 10 + F.col("copy")).alias("article_id"), F.concat(F.lit("T"), F.col("label").cast("string")).alias("topic_id"), turned.alias("vec"), at.alias("published_at"), F.concat(F.lit("C"), (F.col("vec_id") % 12).cast("string")).alias("country_code"))
+    return copies.select((F.col("vec_id") * 10 + F.col("copy")).alias("article_id"), F.concat(F.lit("T"), F.col("label").cast("string")).alias("topic_id"), turned.alias("vec"), at.alias("published_at"), F.concat(F.lit("C"), (F.col("vec_id") % 12).cast("string")).alias("country_code"), (F.col("vec_id") % 11 == 5).alias("is_duplicate"), F.concat(F.lit("Report "), (F.col("vec_id") % 40).cast("string")).alias("title"))
 
 
-NODES = "topic_id string, article_id long, node_id long, is_duplicate boolean"
+NODES = "topic_id string, article_id long, node_id long, is_duplicate boolean, similarity double, rule string, related int, countries string"
 
 
 def echo_step(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each report joins the node of largest cosine if that passes the threshold of its age, else opens one."""
-    centres, earliest, heads, out = [], [], [], []
+    """Each report joins the node of largest cosine if that passes the threshold of its age, else opens one.
+
+    Reports without a vector and known duplicates stay out. A node's own row has the number of the
+    reports that echo it and all their countries.
+    """
+    centres, nodes, out = [], [], []
     for r in pdf.itertuples():
-        if r.vec is None:
+        if r.vec is None or getattr(r, "is_duplicate", False):
             continue
-        v = unit(np.asarray(r.vec, float))
-        scores = [float(c @ v) for c in centres]
-        best = int(np.argmax(scores)) if scores else -1
+        v, country = unit(np.asarray(r.vec, float)), getattr(r, "country_code", "")
+        scores = np.asarray(centres) @ v if centres else np.zeros(0)
+        best = int(scores.argmax()) if len(scores) else -1
         if best >= 0:
-            hours = (r.published_at - earliest[best]).total_seconds() / 3600
+            node = nodes[best]
+            hours = (r.published_at - node["at"]).total_seconds() / 3600
             need = CONFIG.echo_same_day if hours <= 24 else CONFIG.echo_three_days if hours <= 72 else None
             if need is not None and scores[best] >= need:
                 centres[best] = pool(centres[best], v, hours)
-                out.append((r.topic_id, r.article_id, heads[best], True))
+                node["related"] += 1
+                node["countries"].add(country)
+                out.append([r.topic_id, r.article_id, node["id"], True, round(float(scores[best]), 6), "same_day" if hours <= 24 else "within_3d", None, None])
                 continue
         centres.append(v)
-        earliest.append(r.published_at)
-        heads.append(r.article_id)
-        out.append((r.topic_id, r.article_id, r.article_id, False))
-    return pd.DataFrame(out, columns=["topic_id", "article_id", "node_id", "is_duplicate"])
+        nodes.append({"id": r.article_id, "at": r.published_at, "related": 0, "countries": {country}, "row": len(out)})
+        out.append([r.topic_id, r.article_id, r.article_id, False, None, None, None, None])
+    for node in nodes:
+        out[node["row"]][6:] = [node["related"], ",".join(sorted(node["countries"]))]
+    return pd.DataFrame(out, columns=["topic_id", "article_id", "node_id", "is_duplicate", "similarity", "rule", "related", "countries"]).astype({"related": "Int32"})
 
 
 @operator("seq_03")
@@ -77,32 +84,68 @@ def echo_fold(t: Tables) -> DataFrame:
 ASSIGNED = "article_id long, topic_id long, duplicate_of long, score double"
 
 
-def assign_step(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Reports in order: a duplicate shares its original's topic, else the nearest topic, else a new one."""
-    ids, vectors, topic_of, centres, seen, topics, out = [], [], {}, [], [], [], []
-    for r in pdf.itertuples():
-        v = unit(np.asarray(r.vec, float))
-        if ids:
-            near = np.asarray(vectors) @ v
-            i = int(near.argmax())
-            if near[i] >= CONFIG.duplicate_cosine:
-                out.append((r.article_id, topic_of[ids[i]], ids[i], float(near[i])))
-                continue
-        scores = np.asarray(centres) @ v if centres else np.zeros(0)
-        j = int(scores.argmax()) if len(scores) else -1
-        if j >= 0 and scores[j] >= CONFIG.topic_cosine:
-            centres[j] = pool(centres[j], v, (r.published_at - seen[j]).total_seconds() / 3600)
-            seen[j] = r.published_at
-            topic, score = topics[j], float(scores[j])
+class Rows:
+    """Vectors one under the other, with room to grow."""
+
+    def __init__(self) -> None:
+        self.n, self.data = 0, np.zeros((0, 0))
+
+    def add(self, v: np.ndarray) -> None:
+        if self.n == len(self.data):
+            more = np.zeros((max(64, 2 * self.n), len(v)))
+            more[: self.n] = self.data[: self.n] if self.n else 0
+            self.data = more
+        self.data[self.n] = v
+        self.n += 1
+
+    def nearest(self, v: np.ndarray) -> tuple[int, float]:
+        if not self.n:
+            return -1, -1.0
+        scores = self.data[: self.n] @ v
+        i = int(scores.argmax())
+        return i, float(scores[i])
+
+
+class Assigner:
+    """Reports in order: a duplicate (near vector, else equal title of the last day) shares its original's
+    topic, else the nearest topic takes it, else a new one."""
+
+    def __init__(self, title_hours: float = 24.0):
+        self.title_hours = title_hours
+        self.seen, self.ids, self.topic_of, self.titles = Rows(), [], {}, {}
+        self.centres, self.last, self.topics = Rows(), [], []
+
+    def add(self, article: int, vector, at, title: str | None = None) -> tuple[int, int | None, float]:
+        """(topic, the report it repeats, score)."""
+        v = unit(np.asarray(vector, float))
+        i, near = self.seen.nearest(v)
+        if near >= CONFIG.duplicate_cosine:
+            return self.topic_of[self.ids[i]], self.ids[i], near
+        key = "".join(c for c in (title or "").lower() if c.isalnum())
+        if key and key in self.titles and 0 < (at - self.titles[key][1]).total_seconds() <= self.title_hours * 3600:
+            first = self.titles[key][0]
+            return self.topic_of[first], first, 1.0
+        j, score = self.centres.nearest(v)
+        if score >= CONFIG.topic_cosine:
+            self.centres.data[j] = pool(self.centres.data[j], v, (at - self.last[j]).total_seconds() / 3600)
+            self.last[j] = at
+            topic = self.topics[j]
         else:
-            topic, score = r.article_id, 1.0
-            centres.append(v)
-            seen.append(r.published_at)
-            topics.append(topic)
-        ids.append(r.article_id)
-        vectors.append(v)
-        topic_of[r.article_id] = topic
-        out.append((r.article_id, topic, None, score))
+            topic, score = article, 1.0
+            self.centres.add(v)
+            self.last.append(at)
+            self.topics.append(topic)
+        self.seen.add(v)
+        self.ids.append(article)
+        self.topic_of[article] = topic
+        if key:
+            self.titles[key] = (article, at)
+        return topic, None, score
+
+
+def assign_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    own = Assigner()
+    out = [(r.article_id, *own.add(r.article_id, r.vec, r.published_at, getattr(r, "title", None))) for r in pdf.itertuples() if r.vec is not None]
     return pd.DataFrame(out, columns=["article_id", "topic_id", "duplicate_of", "score"]).astype({"duplicate_of": "Int64"})
 
 
@@ -112,47 +155,28 @@ def online_assignment(t: Tables) -> DataFrame:
     return fold_by(vector_reports(t), ["topic_id"], ["published_at", "article_id"], assign_step, ASSIGNED)
 
 
-@operator("seq_05")
-def topic_state(t: Tables) -> DataFrame:
-    """Topics after assignment: size, countries and last time."""
-    rows = online_assignment(t).where("duplicate_of IS NULL").join(vector_reports(t).select("article_id", "country_code", "published_at"), "article_id")
-    return rows.groupBy("topic_id").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_set("country_code")), ",").alias("scope"), F.max("published_at").alias("last_seen"))
+TOPICS = "topic_id long, size int, scope string, last_seen timestamp, lifecycle string, centroid array<double>"
+
 
+def maintain_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A topic after its reports in order: pooled centroid, countries, last time, state by size."""
+    centre, last = None, None
+    for r in pdf.itertuples():
+        v = unit(np.asarray(r.vec, float))
+        centre = v if centre is None else pool(centre, v, (r.published_at - last).total_seconds() / 3600)
+        last = r.published_at if last is None else max(last, r.published_at)
+    size = len(pdf)
+    state = "nascent" if size <= 1 else "forming" if size < CONFIG.confirmed_size else "confirmed"
+    return pd.DataFrame([(pdf["topic"].iloc[0], size, ",".join(sorted(set(pdf["country_code"]))), last, state, centre.tolist())], columns=["topic_id", "size", "scope", "last_seen", "lifecycle", "centroid"])
 
-def merged_to_fixpoint(topics: DataFrame, least: float = CONFIG.merge_cosine, batch: int = CONFIG.merge_batch, rounds: int = 20) -> DataFrame:
-    """(id, root): topics merged into their nearest older one, again until nothing merges.
 
-    topics has id, vec, at and size. Each pass takes the batch oldest candidates, so what reaches
-    the driver is bounded; edges are never moved here, only the map of merges, whose chains end in root.
-    """
-    now = checkpointed(topics.select("id", "vec", "at", "size", F.lit(True).alias("live"), F.col("id").alias("root")))
-    for _ in range(rounds):
-        live = now.where("live")
-        candidates = live.orderBy("at", "id").limit(batch)
-        found = nearest(candidates.select("id", "vec", "at"), live.select("id", "vec", "at"), 1, least).select("id", F.col("neighbour").alias("target"))
-        # a topic that is a target in this pass does not move in it
-        found = found.join(found.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
-        found = checkpointed(found)
-        if found.isEmpty():
-            return now.select("id", "root")
-        moved = now.join(found, "id", "left")
-        now = checkpointed(moved.select("id", "vec", "at", "size", (F.col("live") & F.col("target").isNull()).alias("live"), F.coalesce("target", "root").alias("root")))
-        up = now.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        now = checkpointed(now.join(up, "root").select("id", "vec", "at", "size", "live", F.col("next").alias("root")))
-    return now.select("id", "root")
-
-
-@operator("seq_07")
-def merges(t: Tables, least: float = 0.3) -> DataFrame:
-    own = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), (F.col("vec_id") % 97).cast("double").alias("at"), F.lit(1).alias("size"))
-    return merged_to_fixpoint(own, least)
-
-
-@operator("seq_10", "SELECT topic_id, count(*) FILTER (assign_method = 'merge') AS moved_back, count(*) FILTER (assign_method <> 'merge') AS stay FROM articles WHERE topic_no < 8 GROUP BY topic_id")
-def undone_merges(t: Tables) -> DataFrame:
-    """Edges that go back when a merge into a topic is undone, and those that stay."""
-    merged = F.col("assign_method") == "merge"
-    return t.articles.where("topic_no < 8").groupBy("topic_id").agg(F.count_if(merged).alias("moved_back"), F.count_if(~merged).alias("stay"))
+@operator("seq_05")
+def topic_state(t: Tables) -> DataFrame:
+    """Topics after assignment, each folded over the reports that it took."""
+    rows = online_assignment(t).where("duplicate_of IS NULL").select("article_id", F.col("topic_id").alias("topic"))
+    rows = rows.join(vector_reports(t).select("article_id", "vec", "country_code", "published_at"), "article_id")
+    out = fold_by(rows, ["topic"], ["published_at", "article_id"], maintain_step, TOPICS)
+    return out.select("topic_id", "size", "scope", "last_seen", "lifecycle", F.round(F.element_at("centroid", 1), 6).alias("first"))
 
 
 def average_linkage(vectors: np.ndarray, cut: float = CONFIG.agglomerative_cut) -> np.ndarray:
@@ -188,60 +212,50 @@ def agglomerative(t: Tables) -> DataFrame:
 
 
 @operator("seq_13")
-def guarded_clusters(t: Tables, largest: float = 0.8) -> DataFrame:
-    """Clusters, rejected as a whole where the largest holds too large a share."""
-    sizes = agglomerative(t).groupBy("cluster_id").agg(F.count("*").alias("size"))
-    worst = sizes.agg((F.max("size") / F.sum("size")).alias("share"))
-    return sizes.join(F.broadcast(worst)).select("cluster_id", "size", (F.col("share") <= largest).alias("accepted"))
-
-
-@operator("seq_11")
-def recluster(t: Tables, least: float = CONFIG.topic_cosine) -> DataFrame:
-    """Clusters of the window under the topic they continue (nearest centroid), or as new ones."""
+def guarded_clusters(t: Tables, least_size: int = 2, cohesion: float = 0.5, largest: float = 0.8) -> DataFrame:
+    """Clusters behind the guards of a topic model: least size (else noise), cohesion, and the share of
+    the largest cluster, which rejects all of them together. The model itself is average linkage."""
     from tidewatch.operators.vectors import centroids
 
     members = agglomerative(t).join(vector_reports(t).select("article_id", F.col("vec").alias("embedding")), "article_id")
-    fresh = centroids(members, "cluster_id").where("size > 1").select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vec"), F.lit(None).cast("double").alias("at"))
-    old = t.embeddings.select((F.col("vec_id") * 10).alias("id"), F.col("embedding").alias("vec"), F.lit(None).cast("double").alias("at"))
-    hit = nearest(fresh, old, 1, least, others=False).select("id", F.col("neighbour").alias("topic_id"))
-    return fresh.select("id").join(hit, "id", "left").select(F.col("id").alias("cluster_id"), F.coalesce("topic_id", "id").alias("topic_id"), F.col("topic_id").isNotNull().alias("continued"))
-
-
-@operator("seq_24", "SELECT event_id, status FROM agenda_events WHERE confidence <> 'low' AND insufficient_data")
-def detection(t: Tables) -> DataFrame:
-    """Events of the detection chain that open although statistics are missing."""
-    return t.agenda_events.where("confidence <> 'low' AND insufficient_data").select("event_id", "status")
-
-
-
-
-@operator("seq_25", "SELECT e.event_id, o.country_code AS origin_country FROM agenda_events e JOIN (SELECT topic_id, country_code FROM articles WHERE NOT is_duplicate AND NOT is_wire QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY published_at, article_id) = 1) o ON e.topic_id = o.topic_id WHERE o.country_code IS DISTINCT FROM e.origin_country")
-def reestimated(t: Tables) -> DataFrame:
-    """Events whose origin differs once wires are set aside: recomputed for all, compared with what is stored."""
-    first = first_per(t.articles.where(~F.col("is_duplicate") & ~F.col("is_wire")), ["topic_id"], "published_at", "article_id").select("topic_id", "country_code")
-    both = t.agenda_events.select("event_id", "topic_id", "origin_country").join(first, "topic_id")
-    return both.where(~F.col("country_code").eqNullSafe(F.col("origin_country"))).select("event_id", F.col("country_code").alias("origin_country"))
+    sizes = centroids(members, "cluster_id").select("cluster_id", "size", "cohesion")
+    whole = sizes.agg((F.max("size") / F.sum("size")).alias("share"))
+    verdict = F.when(F.col("share") > largest, "rejected").when(F.col("size") < least_size, "noise").when(F.col("cohesion") < cohesion, "loose").otherwise("accepted")
+    return sizes.join(F.broadcast(whole)).select("cluster_id", F.col("size").cast("long").alias("size"), F.round("cohesion", 6).alias("cohesion"), verdict.alias("verdict"))
 
 
-@operator("seq_26", "SELECT event_id, article_id FROM revisions WHERE field = '' OR actor NOT IN ('human', 'machine') OR try_cast(occurred_at AS TIMESTAMP) IS NULL")
-def revision_faults(t: Tables) -> DataFrame:
-    """Log rows that break an invariant, for quarantine."""
-    bad = (F.col("field") == "") | ~F.col("actor").isin("human", "machine") | F.try_to_timestamp("occurred_at", F.lit("yyyy-MM-dd HH:mm:ss")).isNull()
-    return t.revisions.where(bad).select("event_id", "article_id")
+def recluster_moves(clusters: DataFrame, reports: DataFrame, old: DataFrame, assigned: DataFrame, locked: DataFrame, no_merge: DataFrame, least: float = CONFIG.topic_cosine) -> DataFrame:
+    """(article_id, cluster_id, topic_id, action) of every report of the window.
 
+    clusters has article_id and cluster_id; reports article_id and vec; old topics id and vec;
+    assigned article_id and topic_id as it was; locked topic_id; no_merge a and b. A cluster goes on
+    as the nearest old topic, or as a new one. Members move there, but stay where their topic is
+    locked or the pair barred; a report alone keeps its topic, and without one is noise.
+    """
+    from tidewatch.operators.vectors import centroids
 
-@operator("seq_27", "SELECT event_id, CASE WHEN status = 'revised' THEN 'suspected' ELSE status END AS status FROM agenda_events")
-def rejected_revisions(t: Tables) -> DataFrame:
-    """Status after a revision is rejected: a revised event is suspected again."""
-    return t.agenda_events.select("event_id", F.when(F.col("status") == "revised", "suspected").otherwise(F.col("status")).alias("status"))
-
+    members = clusters.join(reports.select("article_id", F.col("vec").alias("embedding")), "article_id")
+    fresh = centroids(members, "cluster_id").select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vec"), "size", F.lit(None).cast("double").alias("at"))
+    hit = nearest(fresh.where("size > 1").select("id", "vec", "at"), old.select("id", "vec", F.lit(None).cast("double").alias("at")), 1, least, others=False).select("id", F.col("neighbour").alias("target"))
+    goal = fresh.select(F.col("id").alias("cluster_id"), "size").join(hit.withColumnRenamed("id", "cluster_id"), "cluster_id", "left").withColumn("target", F.coalesce("target", "cluster_id"))
+    rows = clusters.join(goal, "cluster_id").join(assigned.select("article_id", F.col("topic_id").alias("current")), "article_id", "left")
+    held = locked.select(F.col("topic_id").alias("current")).distinct().withColumn("held", F.lit(True))
+    barred = no_merge.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct().withColumn("barred", F.lit(True))
+    rows = rows.join(held, "current", "left").withColumns({"lo": F.least("current", "target"), "hi": F.greatest("current", "target")}).join(barred, ["lo", "hi"], "left")
+    stay = F.col("held").isNotNull() | F.col("barred").isNotNull()
+    action = F.when(F.col("size") == 1, F.when(F.col("current").isNull(), "noise").otherwise("kept")).when(F.col("current").isNotNull() & stay, "kept").when(F.col("current") == F.col("target"), "kept").otherwise("moved")
+    return rows.withColumn("action", action).select("article_id", "cluster_id", F.when(F.col("action") == "moved", F.col("target")).otherwise(F.col("current")).alias("topic_id"), "action")
 
-@operator("seq_28", "SELECT event_id, 'dismissed' AS status, true AS is_false_positive FROM agenda_events WHERE status IN ('watching', 'suspected', 'confirmed', 'revised') AND confidence = 'low'")
-def dismissals(t: Tables) -> DataFrame:
-    from tidewatch.operators.lifecycle import MOVES
 
-    may = F.col("status").isin(*[s for s, to in MOVES.items() if "dismissed" in to])
-    return t.agenda_events.where(may & (F.col("confidence") == "low")).select("event_id", F.lit("dismissed").alias("status"), F.lit(True).alias("is_false_positive"))
+@operator("seq_11")
+def recluster(t: Tables, least: float = CONFIG.topic_cosine) -> DataFrame:
+    """The window's clusters against what reports were assigned to: moved, kept, or noise without a topic."""
+    reports = vector_reports(t)
+    old = t.embeddings.select((F.col("vec_id") * 10).alias("id"), F.col("embedding").alias("vec"))
+    assigned = online_assignment(t).where("article_id % 7 <> 3").select("article_id", "topic_id")
+    locked = old.where("id % 170 = 0").select(F.col("id").alias("topic_id"))
+    barred = old.where("id % 290 = 110").select(F.col("id").alias("a"), (F.col("id") % 80).alias("b"))
+    return recluster_moves(agglomerative(t), reports, old, assigned, locked, barred, least)
 
 
 HEALTH = "source_id long, status string, changes int, history string"
@@ -275,16 +289,18 @@ def source_health_states(t: Tables) -> DataFrame:
 
 @operator("seq_35")
 def registered_entities(t: Tables, most: int = 20) -> DataFrame:
-    """Entities found in texts, by kind, at most so many a source."""
+    """Entities found in a topic's reports, people and organisations alone, at most so many a topic."""
     from tidewatch.operators.documents import entity_runs
-
-    found = entity_runs(t).where("kind IN ('person', 'organisation')").select("source_id", "entity", "kind").distinct()
     from tidewatch.operators.windows import top_per
 
-    return top_per(found, ["source_id"], most, "entity", "kind").drop("rank")
+    kind = F.when(F.col("kind") == "PEOPLE", "person").when(F.col("kind") == "ORG", "thinktank")
+    found = entity_runs(t).withColumn("entity_type", kind).where("entity_type IS NOT NULL").join(t.texts.select("article_id", "topic_id"), "article_id")
+    first = found.groupBy("topic_id", "entity", "entity_type").agg(F.min("article_id").alias("article_id"))
+    return top_per(first, ["topic_id"], most, "article_id", "entity", "entity_type").drop("rank")
 
 
-@operator("seq_39")
+@operator("seq_39", """WITH r AS (SELECT task, judgement_id, created_at, avg(CASE WHEN ok THEN 0.0e0 ELSE 1 END) OVER w > 0.2e0 AND count(*) OVER w >= 5 AS degraded FROM judgements WINDOW w AS (PARTITION BY task ORDER BY created_at, judgement_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+    SELECT task, judgement_id, degraded FROM (SELECT *, coalesce(lag(degraded) OVER (PARTITION BY task ORDER BY created_at, judgement_id), false) AS before FROM r) x WHERE degraded <> before""")
 def degradation_flips(t: Tables, window: int = 20, least: int = 5, rate: float = 0.2) -> DataFrame:
     """When the failure rate of the last judgements passes a rate, and when it falls back."""
     from pyspark.sql import Window as W
@@ -320,12 +336,50 @@ def sequence_agreement(t: Tables) -> DataFrame:
 
 
 def replay_step(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One case in time order: assignment, then whether its reports came into one topic and which was first."""
-    got = assign_step(pdf)
-    return pd.DataFrame([(pdf["topic_id"].iloc[0], len(got), int(got["topic_id"].nunique()), str(pdf["country_code"].iloc[0]))], columns=["case_id", "articles", "topics", "origin_country"])
+    """One case in time order: assignment, a merge of its topics at each UTC midnight and at the end.
+
+    At a merge, topics of the day before go, oldest first, into the nearest older topic.
+    """
+    own, topic, root, first = Assigner(), {}, {}, {}
+
+    def top(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    def merge(now: pd.Timestamp) -> None:
+        progress = True
+        while progress:
+            progress = False
+            for j in sorted(range(len(own.topics)), key=lambda j: (first[own.topics[j]], own.topics[j])):
+                mine = own.topics[j]
+                if mine in root or first[mine] < now - pd.Timedelta(hours=24):
+                    continue
+                older = [i for i, o in enumerate(own.topics) if o != mine and o not in root and first[o] <= first[mine]]
+                if not older:
+                    continue
+                scores = own.centres.data[older] @ own.centres.data[j]
+                i = older[int(scores.argmax())]
+                if scores.max() >= CONFIG.merge_cosine:
+                    root[mine] = own.topics[i]
+                    own.centres.data[i] = pool(own.centres.data[i], own.centres.data[j], (now - own.last[i]).total_seconds() / 3600)
+                    own.last[i], progress = now, True
+
+    day, duplicates = None, 0
+    for r in pdf.itertuples():
+        at = r.published_at
+        if day is not None and at.normalize() > day:
+            merge(at.normalize())
+        day = at.normalize()
+        found, repeated, _ = own.add(r.article_id, r.vec, at, getattr(r, "title", None))
+        first.setdefault(found, at)
+        topic[r.article_id] = found
+        duplicates += repeated is not None
+    merge(day + pd.Timedelta(days=1))
+    return pd.DataFrame([(pdf["topic_id"].iloc[0], len(topic), len({top(x) for x in topic.values()}), len(root), duplicates, str(pdf["country_code"].iloc[0]))], columns=["case_id", "articles", "topics", "merges", "duplicates", "origin_country"])
 
 
 @operator("seq_42")
 def replay(t: Tables) -> DataFrame:
     """Replay of cases, each for itself: a group per case isolates their states."""
-    return fold_by(vector_reports(t), ["topic_id"], ["published_at", "article_id"], replay_step, "case_id string, articles long, topics int, origin_country string")
+    return fold_by(vector_reports(t), ["topic_id"], ["published_at", "article_id"], replay_step, "case_id string, articles long, topics int, merges int, duplicates int, origin_country string")

@@ -66,14 +66,20 @@ def assignments(t: Tables) -> DataFrame:
 
 
 @operator("seq_08", """WITH m AS (SELECT topic_id, merged_into FROM topics WHERE merged_into IN (SELECT topic_id FROM topics)), r AS (SELECT topic_id, merged_into AS root, 1 AS depth FROM m UNION ALL SELECT r.topic_id, m.merged_into, r.depth + 1 FROM r JOIN m ON r.root = m.topic_id WHERE r.depth < 16),
-    roots AS (SELECT topic_id, arg_max(root, depth) AS root FROM r GROUP BY topic_id) SELECT coalesce(x.root, a.topic_id) AS topic_id, count(*) AS edges, count(*) FILTER (x.root IS NOT NULL) AS moved FROM articles a LEFT JOIN roots x ON a.topic_id = x.topic_id GROUP BY 1""")
+    roots AS (SELECT topic_id, arg_max(root, depth) AS root FROM r GROUP BY topic_id), g AS (SELECT coalesce(x.root, a.topic_id) AS topic_id, count(*) AS edges, count(*) FILTER (x.root IS NOT NULL) AS moved, string_agg(DISTINCT a.country_code, ',' ORDER BY a.country_code) AS scope FROM articles a LEFT JOIN roots x ON a.topic_id = x.topic_id GROUP BY 1)
+    SELECT g.*, coalesce(v.events, 0) AS events, CASE WHEN t.lifecycle IN ('evolving', 'archived') OR list_position(['nascent', 'forming', 'confirmed'], t.lifecycle) >= list_position(['nascent', 'forming', 'confirmed'], w) THEN t.lifecycle ELSE w END AS lifecycle FROM (SELECT *, CASE WHEN edges <= 1 THEN 'nascent' WHEN edges < 10 THEN 'forming' ELSE 'confirmed' END AS w FROM g) g2
+    JOIN g USING (topic_id) JOIN topics t ON g.topic_id = t.topic_id LEFT JOIN (SELECT x.root AS topic_id, count(*) AS events FROM agenda_events e JOIN roots x ON e.topic_id = x.topic_id GROUP BY 1) v ON g.topic_id = v.topic_id""")
 def merged_edges(t: Tables) -> DataFrame:
-    """Edges under the last topic of each chain of merges."""
+    """Topics after all merges: edges under the last topic of each chain, its countries, the events that
+    moved with them, and its state, which only goes forward."""
     known = t.topics.select(F.col("topic_id").alias("merged_into"))
     links = t.topics.select("topic_id", "merged_into").where("merged_into IS NOT NULL").join(known, "merged_into", "left_semi")
     roots = merge_roots(links)
-    both = t.articles.select("topic_id").join(roots, "topic_id", "left")
-    return both.groupBy(F.coalesce("root", "topic_id").alias("topic_id")).agg(F.count("*").alias("edges"), F.count("root").alias("moved"))
+    both = t.articles.select("topic_id", "country_code").join(roots, "topic_id", "left")
+    edges = both.groupBy(F.coalesce("root", "topic_id").alias("topic_id")).agg(F.count("*").alias("edges"), F.count("root").alias("moved"), F.array_join(F.array_sort(F.collect_set("country_code")), ",").alias("scope"))
+    events = t.agenda_events.select("topic_id").join(roots, "topic_id").groupBy(F.col("root").alias("topic_id")).agg(F.count("*").alias("events"))
+    rows = edges.join(t.topics.select("topic_id", "lifecycle"), "topic_id").join(events, "topic_id", "left")
+    return rows.select("topic_id", "edges", "moved", "scope", F.coalesce("events", F.lit(0)).alias("events"), forward(F.col("lifecycle"), state_for_size(F.col("edges"))).alias("lifecycle"))
 
 
 def merge_roots(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -106,7 +112,7 @@ def fallback_topics(t: Tables) -> DataFrame:
 
 
 _MATCH = """SELECT a AS topic_id, b AS target, overlap / 5.0e0 AS weight FROM (SELECT x.topic_id AS a, y.topic_id AS b, count(DISTINCT x.keyword) AS overlap, row_number() OVER (PARTITION BY x.topic_id ORDER BY count(DISTINCT x.keyword) DESC, y.topic_id) AS n
-    FROM topic_keywords x JOIN topic_keywords y ON x.keyword = y.keyword AND x.topic_id <> y.topic_id WHERE x.topic_id LIKE 'error-1%' AND y.topic_id LIKE 'click-%' GROUP BY x.topic_id, y.topic_id HAVING count(DISTINCT x.keyword) >= 2) z WHERE n = 1"""
+    FROM topic_keywords x JOIN topic_keywords y ON x.keyword = y.keyword AND x.topic_id <> y.topic_id GROUP BY x.topic_id, y.topic_id HAVING count(DISTINCT x.keyword) >= 2) z WHERE n = 1"""
 _THEME = """SELECT topic_id, theme FROM (SELECT k.topic_id, h.theme, row_number() OVER (PARTITION BY k.topic_id ORDER BY count(DISTINCT k.keyword) DESC, h.ord) AS n FROM topic_keywords k JOIN
     (VALUES (0, 'politics', 'kw1'), (0, 'politics', 'kw5'), (0, 'politics', 'kw9'), (1, 'economy', 'kw2'), (1, 'economy', 'kw12'), (1, 'economy', 'kw22'), (2, 'health', 'kw3'), (2, 'health', 'kw13'), (2, 'health', 'kw33')) AS h(ord, theme, keyword)
     ON k.keyword = h.keyword GROUP BY k.topic_id, h.theme, h.ord) x WHERE n = 1"""
@@ -142,13 +148,21 @@ def empty_topics(t: Tables) -> DataFrame:
 
 
 #: Legal moves of an event.
-MOVES = {"watching": ("suspected", "dismissed", "archived"), "suspected": ("watching", "confirmed", "dismissed", "revised", "archived"), "confirmed": ("revised", "dismissed", "archived"), "revised": ("confirmed", "suspected", "dismissed", "archived"), "dismissed": ("archived",), "archived": ()}
+MOVES = {"watching": ("suspected", "dismissed", "archived"), "suspected": ("confirmed", "dismissed", "revised", "archived"), "confirmed": ("revised", "archived"), "dismissed": ("watching", "archived"), "revised": ("suspected", "confirmed", "dismissed", "archived"), "archived": ()}
 
 
-@operator("seq_18", "SELECT event_id, CASE status WHEN 'watching' THEN 1 WHEN 'suspected' THEN 1 WHEN 'confirmed' THEN 1 WHEN 'revised' THEN 1 ELSE 0 END = 1 AS may_dismiss, status IN ('suspected', 'revised') AS may_confirm FROM agenda_events")
+def may_move(status: Column, target: Column) -> Column:
+    """Whether an event may go from a status to another."""
+    allowed = F.create_map(*[F.lit(x) for s, to in MOVES.items() for x in (s, ",".join(to))])
+    return F.coalesce(F.array_contains(F.split(F.element_at(allowed, status), ","), target), F.lit(False))
+
+
+@operator("seq_18", """SELECT e.event_id, m.target, CASE e.status WHEN 'watching' THEN m.target IN ('suspected', 'dismissed', 'archived') WHEN 'suspected' THEN m.target IN ('confirmed', 'dismissed', 'revised', 'archived') WHEN 'confirmed' THEN m.target IN ('revised', 'archived')
+    WHEN 'dismissed' THEN m.target IN ('watching', 'archived') WHEN 'revised' THEN m.target IN ('suspected', 'confirmed', 'dismissed', 'archived') ELSE false END AS legal FROM agenda_events e CROSS JOIN (VALUES ('watching'), ('suspected'), ('confirmed'), ('dismissed'), ('revised'), ('archived')) AS m(target)""")
 def legal_moves(t: Tables) -> DataFrame:
-    may = lambda target: F.col("status").isin(*[s for s, to in MOVES.items() if target in to])
-    return t.agenda_events.select("event_id", may("dismissed").alias("may_dismiss"), may("confirmed").alias("may_confirm"))
+    """Every status an event could be asked to take, and whether it may."""
+    rows = t.agenda_events.select("event_id", "status", F.explode(F.array(*map(F.lit, MOVES))).alias("target"))
+    return rows.select("event_id", "target", may_move(F.col("status"), F.col("target")).alias("legal"))
 
 
 _FOLLOWERS = "SELECT event_id, count(DISTINCT country_code) FILTER (at_sec - origin BETWEEN 0 AND 14 * 86400) AS n FROM (SELECT f.event_id, f.country_code, sec(f.published_at) AS at_sec, sec(e.origin_at) AS origin FROM followers f JOIN agenda_events e USING (event_id)) x GROUP BY event_id"
@@ -174,7 +188,7 @@ def new_events(t: Tables) -> DataFrame:
     return fresh.select("event_id", F.when(F.col("origin_type") == "person", "high").otherwise(F.col("confidence")).alias("confidence"))
 
 
-_ORIGIN = "SELECT topic_id, article_id, country_code, sec(published_at) AS at, CASE WHEN time_source = 'crawled' THEN 'low' WHEN is_wire THEN 'high' ELSE 'medium' END AS confidence, time_source = 'crawled' AS review FROM articles WHERE NOT is_duplicate QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY epoch(published_at) - CASE WHEN is_wire THEN 1800 ELSE 0 END, is_wire DESC, published_at, article_id) = 1"
+_ORIGIN = "SELECT topic_id, article_id, country_code, source_id, sec(published_at) AS at, CASE WHEN time_source = 'crawled' THEN 'low' WHEN is_wire THEN 'high' ELSE 'medium' END AS confidence, time_source = 'crawled' AS review FROM articles WHERE NOT is_duplicate QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY epoch(published_at) - CASE WHEN is_wire THEN 1800 ELSE 0 END, is_wire DESC, published_at, article_id) = 1"
 
 
 def media_origins(t: Tables, boost_hours: float = CONFIG.wire_boost_hours) -> DataFrame:
@@ -182,7 +196,7 @@ def media_origins(t: Tables, boost_hours: float = CONFIG.wire_boost_hours) -> Da
     anchor = F.unix_micros("published_at") - F.when(F.col("is_wire"), int(boost_hours * 3_600_000_000)).otherwise(0)
     first = first_per(t.articles.where(~F.col("is_duplicate")), ["topic_id"], anchor, F.desc("is_wire"), "published_at", "article_id")
     crawled = F.col("time_source") == "crawled"
-    return first.select("topic_id", "article_id", "country_code", F.unix_timestamp("published_at").alias("at"), F.when(crawled, "low").when(F.col("is_wire"), "high").otherwise("medium").alias("confidence"), crawled.alias("review"))
+    return first.select("topic_id", "article_id", "country_code", "source_id", F.unix_timestamp("published_at").alias("at"), F.when(crawled, "low").when(F.col("is_wire"), "high").otherwise("medium").alias("confidence"), crawled.alias("review"))
 
 
 operator("seq_21", _ORIGIN)(media_origins)
@@ -249,9 +263,11 @@ def relation_decay(t: Tables, now: str = "2001-08-15", since: str = "2001-06-01"
 @operator("seq_34", "SELECT entity_id, string_agg(article_id, ',' ORDER BY article_id) AS latest FROM (SELECT DISTINCT entity_id, article_id FROM article_entities QUALIFY dense_rank() OVER (PARTITION BY entity_id ORDER BY article_id DESC) <= 5) x GROUP BY entity_id")
 def last_utterances(t: Tables, n: int = 5) -> DataFrame:
     """The last n first utterances of each entity, one an article, in order."""
-    kept = t.article_entities.select("entity_id", "article_id").distinct().groupBy("entity_id").agg(F.array_sort(F.collect_list("article_id")).alias("all"))
-    last = F.slice("all", F.greatest(F.size("all") - n + 1, F.lit(1)), F.lit(n))
-    return kept.select("entity_id", F.array_join(F.transform(last, lambda x: x.cast("string")), ",").alias("latest"))
+    from tidewatch.operators.windows import top_per
+
+    kept = top_per(t.article_entities.select("entity_id", "article_id").distinct(), ["entity_id"], n, F.desc("article_id"))
+    last = F.transform(F.array_sort(F.collect_list("article_id")), lambda x: x.cast("string"))
+    return kept.groupBy("entity_id").agg(F.array_join(last, ",").alias("latest"))
 
 
 @operator("seq_37", "SELECT job_id, retry_count < 3 AS retry, CASE WHEN retry_count < 3 THEN CAST(300 * pow(2, greatest(retry_count - 1, 0)) AS BIGINT) END AS wait FROM jobs WHERE status = 'temporary_failure'")
@@ -301,8 +317,10 @@ def degraded_since(t: Tables, cleared: str = "2024-01-28") -> DataFrame:
     WHERE n <= 5 AND m.subject <> m.object AND (s.is_seed OR o.is_seed) AND m.relation <> 'cites'""")
 def relation_round(t: Tables, most: int = CONFIG.relation_items) -> DataFrame:
     """Items of an extraction round that stand: the first five of a batch, both ends known, no loop, one end a seed, evidence quoted."""
-    rows = t.mentions.groupBy((F.col("article_id") % 1000).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("article_id", "subject", "object", "relation"))).alias("items"))
-    rows = rows.select(F.explode(F.slice("items", 1, most)).alias("i")).select("i.*").where("subject <> object AND relation <> 'cites'")
+    from tidewatch.operators.windows import top_per
+
+    items = t.mentions.select((F.col("article_id") % 1000).alias("batch"), "article_id", "subject", "object", "relation")
+    rows = top_per(items, ["batch"], most, "article_id", "subject", "object", "relation").where("subject <> object AND relation <> 'cites'")
     s, o = t.entities.select(F.col("entity_id").alias("subject"), F.col("is_seed").alias("s")), t.entities.select(F.col("entity_id").alias("object"), F.col("is_seed").alias("o"))
     return rows.join(s, "subject").join(o, "object").where("s OR o").select("article_id", "subject", "object")
 

@@ -2,28 +2,76 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.storage import shared_folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a local folder where a session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tidewatch-files")
-    return f"{base.rstrip('/')}/tidewatch-{name}/{uuid.uuid4().hex}"
+    """A new path in the folder that all machines share."""
+    return f"{shared_folder(spark)}/tidewatch-{name}/{uuid.uuid4().hex}"
+
+
+class Buffer:
+    """A rolling buffer of delimited pulls under one folder, each named by its time.
+
+    A pull is written whole before it counts (its success mark); the newest keep of them stay, and
+    a reader takes the latest whole one, so a failed pull leaves the one before in use.
+    """
+
+    def __init__(self, spark: SparkSession, schema: str, base: str | None = None, keep: int = 96):
+        self.spark, self.schema, self.base, self.keep = spark, schema, base or new_folder(spark, "buffer"), keep
+        self.fs, self.path = _fs(spark, self.base)
+
+    def names(self, whole: bool = True) -> list[str]:
+        if not self.fs.exists(self.path(self.base)):
+            return []
+        found = sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(self.base)))
+        return [n for n in found if not whole or self.fs.exists(self.path(f"{self.base}/{n}/_SUCCESS"))]
+
+    def add(self, df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").option("header", True).csv(f"{self.base}/{name}")
+        self._prune()
+
+    def touch(self, name: str, whole: bool = True) -> None:
+        """An empty pull, or the traces of one that failed."""
+        self.fs.mkdirs(self.path(f"{self.base}/{name}"))
+        if whole:
+            self.fs.create(self.path(f"{self.base}/{name}/_SUCCESS"), True).close()
+        self._prune()
+
+    def _prune(self) -> None:
+        for name in self.names()[: -self.keep]:
+            self.fs.delete(self.path(f"{self.base}/{name}"), True)
+
+    def latest(self) -> DataFrame:
+        names = self.names()
+        if not names:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("header", True).csv(f"{self.base}/{names[-1]}")
+
+
+INDEX_BUCKETS = 64
 
 
-def write_buffer(df: DataFrame, key: str) -> str:
-    """One delimited folder per key, with a header."""
-    folder = new_folder(df.sparkSession, "buffer")
-    df.write.option("header", True).partitionBy(key).csv(folder)
-    return folder
+def write_index(rows: DataFrame, base: str, batch: int, buckets: int = INDEX_BUCKETS) -> None:
+    """Postings (word, article_id, best, total) of one batch, in buckets by word; a batch that runs again replaces itself."""
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
+    dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/batch={batch}")
 
 
-def read_buffer(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(folder)
+def read_index(spark: SparkSession, base: str, words: list[str] | None = None, buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """The postings of some words or of all: those of the last batch that holds an article."""
+    rows = spark.read.schema("word string, article_id long, best double, total double, batch int, bucket int").option("basePath", base).parquet(base)
+    last = rows.groupBy("article_id").agg(F.max("batch").alias("batch"))
+    if words is not None:
+        bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
+        wanted = {r[0] for r in spark.createDataFrame([(w,) for w in words], "word string").select(bucket).collect()}
+        rows = rows.where(F.col("bucket").isin(*wanted) & F.col("word").isin(*words))
+    return rows.join(last, ["article_id", "batch"]).drop("bucket", "batch")
 
 
 def publish(df: DataFrame, name: str, base: str | None = None) -> str:

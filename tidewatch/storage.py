@@ -5,16 +5,29 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the reliable checkpoint folder, so that loops neither grow plans nor lose work.
 
-    The folder is that of spark.checkpoint.dir; where a session has none (tests), a local one is set.
+    The folder is that of spark.checkpoint.dir.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or "file://" + os.path.join(tempfile.gettempdir(), "tidewatch-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share, as spark.checkpoint.dir names it.
+
+    A session on one machine that has none gets a local one; on a cluster that is an error, since
+    other machines could not read it.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "tidewatch-shared")
+    return found.rstrip("/")

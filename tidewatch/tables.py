@@ -49,13 +49,16 @@ LOGICAL = {
     "agenda_events": """SELECT concat('E-', f.topic_id) AS event_id, f.topic_id, t.name AS topic_name, CASE t.topic_no % 5 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'suspected' WHEN 2 THEN 'watching' WHEN 3 THEN 'revised' ELSE 'dismissed' END AS status,
         CASE t.topic_no % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN t.topic_no % 6 = 0 THEN 'person' ELSE 'media' END AS origin_type, f.country_code AS origin_country, f.source_id AS origin_source_id, f.published_at AS origin_at,
         CAST((t.topic_no * 7) % 100 AS DOUBLE) / 100 AS xcorr_p, CAST((t.topic_no * 13) % 100 AS DOUBLE) / 100 AS granger_p, CAST((t.topic_no * 29) % 100 AS DOUBLE) / 100 AS qap_p,
-        t.topic_no % 4 = 0 AS insufficient_data, CASE WHEN t.topic_no % 7 = 0 THEN NULL ELSE CAST(t.topic_no % 11 AS INT) END AS review_score, CASE WHEN t.topic_no % 5 = 4 THEN t.topic_no % 2 = 0 END AS is_false_positive
-        FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY published_at, article_id) AS n FROM {firsts}) f JOIN {topics} t ON f.topic_id = t.topic_id WHERE f.n = 1 AND t.topic_no < 60""",
+        t.topic_no % 4 = 0 AS insufficient_data, CASE WHEN t.topic_no % 7 = 0 THEN NULL ELSE CAST(t.topic_no % 11 AS INT) END AS review_score, CASE WHEN t.topic_no % 5 = 4 THEN t.topic_no % 2 = 0 END AS is_false_positive,
+        CASE WHEN t.topic_no % 7 = 0 THEN 'origin_country' WHEN t.topic_no % 7 = 3 THEN 'origin_at,confidence' ELSE '' END AS locked_fields
+        FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY published_at, article_id) AS n FROM {firsts}) f JOIN {topics} t ON f.topic_id = t.topic_id WHERE f.n = 1""",
     "followers": """SELECT e.event_id, e.topic_id, e.origin_country, f.country_code, f.source_id, f.article_id, f.published_at
         FROM {agenda_events} e JOIN {firsts} f ON e.topic_id = f.topic_id WHERE f.country_code <> e.origin_country AND f.published_at >= e.origin_at""",
     "revisions": """SELECT concat('E-', topic_id) AS event_id, topic_id, CAST(article_id % 40 AS INT) AS seq, CASE article_id % 4 WHEN 0 THEN 'origin_at' WHEN 1 THEN 'merge' WHEN 2 THEN 'confidence' ELSE 'status' END AS field,
-        CASE WHEN article_id % 3 = 0 THEN 'human' ELSE 'machine' END AS actor, CASE WHEN article_id % 13 = 0 THEN 'unknown' ELSE substring(CAST(published_at AS STRING), 1, 19) END AS occurred_at, article_id
-        FROM {articles} WHERE topic_no < 60""",
+        CASE WHEN article_id % 3 = 0 THEN 'human' ELSE 'machine' END AS actor, CASE WHEN article_id % 13 = 0 THEN 'unknown' ELSE substring(CAST(published_at AS STRING), 1, 19) END AS occurred_at, article_id,
+        concat('v', article_id % 5) AS before_value, concat('v', CASE WHEN article_id % 19 = 0 THEN article_id % 5 ELSE article_id % 5 + 1 END) AS after_value, CASE WHEN article_id % 23 = 0 THEN '{{}}' WHEN article_id % 37 = 0 THEN NULL ELSE concat('{{"id": ', article_id, '}}') END AS evidence,
+        CASE WHEN article_id % 3 <> 0 AND article_id % 29 <> 0 THEN 'rules' END AS model, CASE WHEN article_id % 3 <> 0 THEN 'p1' END AS prompt_version, CASE WHEN article_id % 3 = 0 AND article_id % 31 <> 0 THEN 'user7' END AS actor_id, article_id % 6 = 1 AS rejected
+        FROM {articles}""",
     "entities": """SELECT c_custkey AS entity_id, c_name AS name, CASE WHEN c_custkey % 6 = 0 THEN concat('ZH ', c_custkey) WHEN c_custkey % 6 = 1 THEN '' END AS name_zh, CASE c_custkey % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'thinktank' ELSE 'party' END AS entity_type,
         concat('C', c_nationkey % 12) AS country_code, CAST(c_custkey % 5 AS INT) AS priority, c_custkey % 4 = 0 AS is_seed, CAST(c_custkey % 7 AS INT) AS utterances, c_custkey % 9 <> 0 AS monitored FROM {customer}""",
     "article_entities": "SELECT o_orderkey % 10000 AS article_id, o_custkey AS entity_id, o_orderkey % 2 = 0 AS is_primary FROM {orders}",
@@ -73,7 +76,14 @@ LOGICAL = {
         CAST(event_id % 4 AS INT) AS attempts, CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'sent' END AS delivery FROM {events} WHERE event_id % 10 = 0""",
     "subscriptions": """SELECT user_id AS subscription_id, concat('C', user_id % 12) AS country_code, CASE WHEN user_id % 2 = 0 THEN 'daily' ELSE 'weekly' END AS period, user_id % 7 <> 0 AS enabled,
         CASE WHEN user_id % 6 = 0 THEN NULL ELSE last_at END AS last_sent_at FROM (SELECT user_id, min(CAST(ts AS TIMESTAMP)) + INTERVAL '1' DAY * (user_id % 31) AS last_at FROM {events} GROUP BY user_id) x""",
-    "texts": """SELECT doc_id AS article_id, source AS source_id, lang AS language, text AS content, substring(split_part(text, chr(10), 1), 1, 80) AS title, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * doc_id AS published_at, n_chars FROM {documents}""",
+    "texts": """SELECT doc_id AS article_id, source AS source_id, lang AS language, text AS content, substring(split_part(text, chr(10), 1), 1, 80) AS title, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * doc_id AS published_at, n_chars, concat('topic-', doc_id % 40) AS topic_id FROM {documents}""",
+    "feed_files": """SELECT source_id AS feed_id, CASE WHEN source_id IN ('src1', 'src3') THEN concat('<feed xmlns="http://www.w3.org/2005/Atom"><title>', source_id, '</title>', array_join(transform(array_sort(collect_list(struct(n, article_id))), x -> concat('<entry><title>Item ', x.article_id, ' &amp; more</title><link rel="self" href="s"/><link href="https://', source_id, '.example.com/a/', x.article_id, '?a=1&amp;b=2"/><summary>s</summary></entry>')), ''), '</feed>')
+        ELSE concat('<rss version="2.0"><channel><title>', source_id, '</title>', array_join(transform(array_sort(collect_list(struct(n, article_id))), x -> concat('<item><title>Item ', x.article_id, ' &amp; more</title><link>https://', source_id, '.example.com/a/', x.article_id, '?a=1&amp;b=2</link><description>d</description></item>')), ''), '</channel></rss>') END AS xml
+        FROM (SELECT source_id, article_id, row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, article_id) AS n FROM {texts}) x WHERE n <= 50 GROUP BY source_id""",
+    "sitemap_files": """SELECT host, url, xml, is_root FROM (SELECT host, concat('https://', host, '/sitemap.xml') AS url, concat('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><sitemap><loc>https://', host, '/part-0.xml</loc></sitemap><sitemap><loc>https://', host, '/part-1.xml</loc></sitemap><sitemap><loc>https://', host, '/sitemap.xml</loc></sitemap></sitemapindex>') AS xml, true AS is_root
+        FROM (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host FROM {pages}) h UNION ALL
+        SELECT host, concat('https://', host, '/part-', part, '.xml'), concat('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', array_join(transform(array_sort(collect_list(struct(page_id, url))), x -> concat('<url><loc>', replace(x.url, '&', '&amp;'), '</loc></url>')), ''), '</urlset>'), false
+        FROM (SELECT lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host, page_id % 2 AS part, page_id, url FROM {pages}) p GROUP BY host, part) x""",
     "audit": """SELECT event_id AS audit_id, concat('user', user_id) AS actor, event_type AS action, CASE WHEN event_id % 6 = 0 THEN 'denied' ELSE 'ok' END AS result, CAST(ts AS TIMESTAMP) AS at FROM {events}""",
     "judgements": """SELECT event_id AS judgement_id, event_type AS task, concat(event_type, '-', event_id % 8) AS topic_id, CASE event_id % 3 WHEN 0 THEN 'politics' WHEN 1 THEN 'economy' ELSE 'health' END AS label, event_id % 7 <> 0 AS ok, CAST(floor(value * 100) AS BIGINT) AS latency_ms, CAST(ts AS TIMESTAMP) AS created_at FROM {events}""",
     "stages": """SELECT event_id AS article_id, CASE event_id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'pending' ELSE 'failed' END AS language, CASE event_id % 5 WHEN 0 THEN 'failed' ELSE 'done' END AS embedding, CASE event_id % 4 WHEN 0 THEN 'running' ELSE 'done' END AS cluster, CASE event_id % 7 WHEN 0 THEN 'skipped' ELSE 'done' END AS index, CASE event_id % 2 WHEN 0 THEN 'pending' ELSE 'done' END AS entity FROM {events}""",
