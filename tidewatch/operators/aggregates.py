@@ -10,9 +10,25 @@ from tidewatch.catalog import operator
 from tidewatch.config import CONFIG
 from tidewatch.operators.filters import active, hours_before
 from tidewatch.operators.windows import top_per
+from tidewatch.storage import checkpointed
 from tidewatch.tables import Tables
 
 
+def global_ranks(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+    """df with place, from 0 within keys in a total order, ranked in ranges of bounded size.
+
+    Rows go to ranges of (keys, order); a row's place is its place in its range and the rows of its
+    keys in earlier ranges, so only one row for each range and key is ever ordered in one task.
+    """
+    by = [*keys, *order]
+    parts = df.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    parts = checkpointed(parts)
+    heads = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = heads.select(*keys, "_part", (before - F.col("_first")).alias("_start"))
+    return parts.join(starts, [*keys, "_part"]).withColumn("place", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
     return F.round(F.try_divide(part, whole), digits)
 
@@ -75,7 +91,7 @@ def document_frequency(t: Tables, k: int = CONFIG.keywords) -> DataFrame:
     SELECT language, w, score, CAST(row_number() OVER (PARTITION BY language ORDER BY score DESC, w) AS INT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")
 def class_tfidf(t: Tables, k: int = 10) -> DataFrame:
     """Words that set a class apart: share in the class times ln(mean class length / total count + 1)."""
-    tf = t.texts.select("language", F.explode(words(F.col("content"))).alias("w")).groupBy("language", "w").agg(F.count("*").alias("f"))
+    tf = checkpointed(t.texts.select("language", F.explode(words(F.col("content"))).alias("w")).groupBy("language", "w").agg(F.count("*").alias("f")))
     length = tf.groupBy("language").agg(F.sum("f").alias("n"))
     total = tf.groupBy("w").agg(F.sum("f").alias("cf"))
     both = tf.join(total, "w").join(F.broadcast(length), "language").join(F.broadcast(length.agg(F.avg("n").alias("mean"))))
@@ -83,14 +99,14 @@ def class_tfidf(t: Tables, k: int = 10) -> DataFrame:
     return top_per(scored.select("language", "w", "score"), ["language"], k, F.desc("score"), "w")
 
 
-@operator("agg_07", f"""WITH tok AS ({_WORDS}), f AS (SELECT article_id, w, count(*) AS f FROM tok WHERE article_id < 100 GROUP BY ALL), df AS (SELECT w, count(DISTINCT article_id) AS df FROM f GROUP BY ALL),
-    s AS (SELECT f.article_id, f.w, round(f.f * (ln((100 + 1.0e0) / (df.df + 1)) + 1) * least(length(f.w), 4), 6) AS score FROM f JOIN df ON f.w = df.w)
+@operator("agg_07", f"""WITH tok AS ({_WORDS}), f AS (SELECT article_id, w, count(*) AS f FROM tok GROUP BY ALL), df AS (SELECT w, count(DISTINCT article_id) AS df FROM f GROUP BY ALL),
+    s AS (SELECT f.article_id, f.w, round(f.f * (ln(((SELECT count(*) FROM texts) + 1.0e0) / (df.df + 1)) + 1) * least(length(f.w), 4), 6) AS score FROM f JOIN df ON f.w = df.w)
     SELECT article_id, w, score FROM s QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY score DESC, w) <= 5""")
-def label_keywords(t: Tables, below: int = 100, k: int = 5) -> DataFrame:
+def label_keywords(t: Tables, k: int = 5) -> DataFrame:
     """Fallback label words of a text: count, smoothed inverse frequency and length up to 4."""
-    f = t.texts.where(F.col("article_id") < below).select("article_id", F.explode(words(F.col("content"))).alias("w")).groupBy("article_id", "w").agg(F.count("*").alias("f"))
-    both = f.join(f.groupBy("w").agg(F.count("*").alias("df")), "w")
-    score = F.round(F.col("f") * (F.log((below + 1.0) / (F.col("df") + 1)) + 1) * F.least(F.length("w"), F.lit(4)), 6)
+    f = t.texts.select("article_id", F.explode(words(F.col("content"))).alias("w")).groupBy("article_id", "w").agg(F.count("*").alias("f"))
+    both = f.join(f.groupBy("w").agg(F.count("*").alias("df")), "w").join(F.broadcast(t.texts.agg(F.count("*").alias("all"))))
+    score = F.round(F.col("f") * (F.log((F.col("all") + 1.0) / (F.col("df") + 1)) + 1) * F.least(F.length("w"), F.lit(4)), 6)
     return top_per(both.withColumn("score", score), ["article_id"], k, F.desc("score"), "w").select("article_id", "w", "score")
 
 
@@ -141,9 +157,9 @@ def failure_rates(t: Tables) -> DataFrame:
 
 
 @operator("agg_13", """SELECT round(count(DISTINCT e.country_code) FILTER (s.country_code IS NOT NULL) * 1.0e0 / count(DISTINCT e.country_code), 6) AS ratio, coalesce(string_agg(DISTINCT e.country_code ORDER BY e.country_code) FILTER (s.country_code IS NULL), '') AS uncovered
-    FROM entities e LEFT JOIN (SELECT DISTINCT country_code FROM sources WHERE status = 'active' AND source_id < 6) s ON e.country_code = s.country_code""")
+    FROM entities e LEFT JOIN (SELECT DISTINCT country_code FROM sources WHERE status = 'active') s ON e.country_code = s.country_code""")
 def global_coverage(t: Tables) -> DataFrame:
-    covered = t.sources.where("status = 'active' AND source_id < 6").select("country_code").distinct().withColumn("hit", F.lit(True))
+    covered = t.sources.where("status = 'active'").select("country_code").distinct().withColumn("hit", F.lit(True))
     both = t.entities.select("country_code").distinct().join(covered, "country_code", "left")
     return both.agg(share(F.count("hit"), F.count("*")).alias("ratio"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("hit").isNull(), F.col("country_code")))), ",").alias("uncovered"))
 
@@ -253,20 +269,19 @@ def user_alerts(t: Tables) -> DataFrame:
 @operator("agg_25", "SELECT event_id, count(*) FILTER (actor = 'machine' AND try_cast(occurred_at AS TIMESTAMP) > TIMESTAMP '2024-01-25' - INTERVAL '24' HOUR AND try_cast(occurred_at AS TIMESTAMP) <= TIMESTAMP '2024-01-25') AS edits FROM revisions GROUP BY event_id")
 def machine_edits(t: Tables, now: str = "2024-01-25", hours: int = CONFIG.storm_hours) -> DataFrame:
     """Machine revisions of the last hours in each event's log; times that do not parse are skipped."""
-    logs = t.revisions.groupBy("event_id").agg(F.collect_list(F.struct("actor", "occurred_at")).alias("log"))
     end = F.lit(now).cast("timestamp")
-    at = lambda x: F.try_to_timestamp(x["occurred_at"], F.lit("yyyy-MM-dd HH:mm:ss"))
-    fresh = F.filter("log", lambda x: (x["actor"] == "machine") & (at(x) > hours_before(end, hours)) & (at(x) <= end))
-    return logs.select("event_id", F.size(fresh).alias("edits"))
+    at = F.try_to_timestamp("occurred_at", F.lit("yyyy-MM-dd HH:mm:ss"))
+    fresh = (F.col("actor") == "machine") & (at > hours_before(end, hours)) & (at <= end)
+    return t.revisions.groupBy("event_id").agg(F.count_if(fresh).cast("int").alias("edits"))
 
 
-@operator("agg_27", """SELECT CAST(row_number() OVER (ORDER BY size DESC, topic_id) AS INT) AS number, topic_id, size, round(size * 1.0e0 / sum(size) OVER (), 6) AS share FROM topics WHERE size > 1 AND topic_no < 20""")
+@operator("agg_27", """SELECT CAST(row_number() OVER (ORDER BY size DESC, topic_id) AS INT) AS number, topic_id, size, round(size * 1.0e0 / sum(size) OVER (), 6) AS share FROM topics WHERE size > 1""")
 def cluster_list(t: Tables) -> DataFrame:
     """Clusters by size with their share; single members count as noise and stay out."""
-    own = t.topics.where("size > 1 AND topic_no < 20").select("topic_id", "size")
+    own = t.topics.where("size > 1").select("topic_id", "size")
     total = own.agg(F.sum("size").alias("total"))
-    number = F.row_number().over(W.orderBy(F.desc("size"), "topic_id"))
-    return own.join(F.broadcast(total)).select(number.alias("number"), "topic_id", "size", share(F.col("size"), F.col("total")).alias("share"))
+    ranked = global_ranks(own, [], F.desc("size"), "topic_id")
+    return ranked.join(F.broadcast(total)).select((F.col("place") + 1).cast("int").alias("number"), "topic_id", "size", share(F.col("size"), F.col("total")).alias("share"))
 
 
 @operator("agg_29", "SELECT topic_id, string_agg(DISTINCT country_code, ',' ORDER BY country_code) AS scope FROM articles GROUP BY topic_id")
@@ -309,12 +324,17 @@ def merge_precision(t: Tables) -> DataFrame:
     return both.agg(share(F.count_if(F.col("kind") == F.col("own")), F.count("*")).alias("merge_precision"), F.count("*").alias("pairs"))
 
 
-@operator("agg_33", "SELECT kind, arg_min(value, CAST(n AS BIGINT)) FILTER (n > CAST(floor(0.25 * total) AS BIGINT)) AS p25, arg_min(value, CAST(n AS BIGINT)) FILTER (n > CAST(floor(0.5 * total) AS BIGINT)) AS p50, count(*) FILTER (value >= 20) AS over20, count(*) FILTER (value >= 100) AS over100 FROM (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY value) AS n, count(*) OVER (PARTITION BY kind) AS total FROM articles WHERE topic_no < 3) x GROUP BY kind")
+@operator("agg_33", "SELECT kind, arg_min(value, CAST(n AS BIGINT)) FILTER (n > CAST(floor(0.25 * total) AS BIGINT)) AS p25, arg_min(value, CAST(n AS BIGINT)) FILTER (n > CAST(floor(0.5 * total) AS BIGINT)) AS p50, count(*) FILTER (value >= 20) AS over20, count(*) FILTER (value >= 100) AS over100 FROM (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY value) AS n, count(*) OVER (PARTITION BY kind) AS total FROM articles) x GROUP BY kind")
 def nearest_ranks(t: Tables, thresholds: tuple[int, ...] = (20, 100)) -> DataFrame:
-    """Nearest-rank quantiles (index int(p n)) and a sweep of thresholds in one pass."""
-    v = F.array_sort(F.collect_list("value"))
-    at = lambda p: F.element_at(v, (F.floor(F.size(v) * p) + 1).cast("int"))
-    return t.articles.where("topic_no < 3").groupBy("kind").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), *[F.count_if(F.col("value") >= x).alias(f"over{x}") for x in thresholds])
+    """Nearest-rank quantiles (index int(p n)) and a sweep of thresholds.
+
+    Rows are ranked in ranges of (kind, value), so that no kind is sorted in one task or held in one row.
+    """
+    own = t.articles.select("kind", "value")
+    sums = own.groupBy("kind").agg(F.count("*").alias("n"), *[F.count_if(F.col("value") >= x).alias(f"over{x}") for x in thresholds])
+    ranked = global_ranks(own, ["kind"], "value").join(F.broadcast(sums), "kind")
+    at = lambda p: F.max(F.when(F.col("place") == F.floor(F.col("n") * p), F.col("value")))
+    return ranked.groupBy("kind").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), *[F.max(f"over{x}").alias(f"over{x}") for x in thresholds])
 
 
 @operator("agg_34", "SELECT source_id, min(d) AS shortest, max(d) AS longest, round(avg(d), 6) AS mean FROM (SELECT source_id, CAST(json_extract(latency_stats, '$.avg_delay_min') AS DOUBLE) AS d FROM jobs) x GROUP BY source_id")

@@ -11,7 +11,7 @@ from tidewatch.config import CONFIG
 from tidewatch.operators.filters import due, hours_before
 from tidewatch.operators.joins import against_baseline, rule_scope
 from tidewatch.operators.scalars import growth_met
-from tidewatch.operators.vectors import cluster_quality
+from tidewatch.operators.vectors import _CENT, cluster_quality
 from tidewatch.tables import Tables
 
 _SCOPE = """SELECT r.rule_id, r.user_id, r.condition, r.threshold, s.country_code, s.topic_id, s.article_count AS n, coalesce(p.article_count, 0) AS b, s.rank, s.negative FROM rules r JOIN snapshots s ON list_contains(string_split(r.countries, ','), s.country_code)
@@ -24,7 +24,7 @@ def evaluated(t: Tables) -> DataFrame:
     """Every rule against the rows it looks at, with whether its condition is met."""
     rows = rule_scope(t).join(against_baseline(t), ["country_code", "topic_id"])
     day = t.snapshots.where(F.col("window_start") == F.lit("2024-01-30").cast("timestamp")).select("country_code", "topic_id", "rank", "negative")
-    rows = rows.join(day, ["country_code", "topic_id"]).join(F.broadcast(t.rules.select("rule_id", "user_id", "condition", "threshold")), "rule_id")
+    rows = rows.join(day, ["country_code", "topic_id"]).join(t.rules.select("rule_id", "user_id", "condition", "threshold"), "rule_id")
     met = F.when(F.col("condition") == "growth_rate", growth_met(F.col("now_count"), F.col("before_count"), F.col("threshold"))).when(F.col("condition") == "top_n", F.col("rank") <= F.col("threshold"))
     return rows.withColumn("met", met.otherwise(F.coalesce(F.col("negative") > F.col("threshold"), F.lit(False))))
 
@@ -76,7 +76,7 @@ def source_alerts(t: Tables, most: float = 0.5) -> DataFrame:
     return rows.where((F.col("n") >= 3) & (F.col("rate") > most)).select("source_id", F.round("rate", 6).alias("rate"))
 
 
-@operator("alr_07")
+@operator("alr_07", f"SELECT cohesion, cohesion < 0.5e0 AS alarm FROM (SELECT round((SELECT avg(cohesion) FROM ({_CENT}) e), 6) AS cohesion) z")
 def quality_alert(t: Tables, least: float = 0.5) -> DataFrame:
     """Whether clusters have grown too loose."""
     return cluster_quality(t).select("cohesion", (F.col("cohesion") < least).alias("alarm"))
@@ -112,9 +112,9 @@ def alert_reasons(t: Tables) -> DataFrame:
     return evaluated(t).where("met").select("rule_id", "country_code", "topic_id", reason.alias("reason"))
 
 
-@operator("src_24", "SELECT alert_id, CASE WHEN user_id % 2 = 0 THEN 'webhook' ELSE 'in_app' END AS channel, CASE WHEN delivery = 'failed' AND attempts < 3 THEN sec(created_at) + CASE attempts WHEN 0 THEN 60 WHEN 1 THEN 300 ELSE 900 END END AS next_retry_at FROM alerts")
+@operator("src_24", "SELECT alert_id, CASE WHEN user_id % 2 = 0 THEN 'webhook' ELSE 'in_app' END AS channel, CASE WHEN delivery = 'failed' AND attempts < 3 THEN sec(created_at) + CASE attempts WHEN 0 THEN 60 WHEN 1 THEN 300 ELSE 900 END END AS next_retry_at, CASE WHEN user_id % 2 = 0 AND delivery = 'failed' AND attempts >= 2 THEN 'email' END AS fallback FROM alerts")
 def notifications(t: Tables) -> DataFrame:
-    """Rows for the senders, with the time of the next try of failed ones."""
-    wait = F.get(F.array(*map(F.lit, WAITS)), "attempts")
+    """Rows for the senders, with the time of the next try of failed ones; a webhook's last try falls back to e-mail."""
+    wait, hook = F.get(F.array(*map(F.lit, WAITS)), "attempts"), F.col("user_id") % 2 == 0
     again = F.when((F.col("delivery") == "failed") & (F.col("attempts") < len(WAITS)), F.unix_timestamp("created_at") + wait)
-    return t.alerts.select("alert_id", F.when(F.col("user_id") % 2 == 0, "webhook").otherwise("in_app").alias("channel"), again.alias("next_retry_at"))
+    return t.alerts.select("alert_id", F.when(hook, "webhook").otherwise("in_app").alias("channel"), again.alias("next_retry_at"), F.when(hook & (F.col("delivery") == "failed") & (F.col("attempts") >= len(WAITS) - 1), "email").alias("fallback"))

@@ -20,14 +20,14 @@ def watch_graph(t: Tables, least: float = 0.7) -> DataFrame:
 
 
 @operator("gra_02", """SELECT e.entity_id, x.direction, x.other, o.name AS other_name, x.relation FROM (SELECT subject AS entity_id, 'out' AS direction, object AS other, relation FROM relations UNION ALL SELECT object, 'in', subject, relation FROM relations) x
-    JOIN entities e ON x.entity_id = e.entity_id AND e.entity_id < 100 JOIN entities o ON x.other = o.entity_id""")
-def ego_networks(t: Tables, below: int = 100) -> DataFrame:
+    JOIN entities e ON x.entity_id = e.entity_id JOIN entities o ON x.other = o.entity_id""")
+def ego_networks(t: Tables) -> DataFrame:
     """Edges of each entity with their direction and other end, exploded once instead of a union of scans."""
     ends = F.array(
         F.struct(F.col("subject").alias("entity_id"), F.lit("out").alias("direction"), F.col("object").alias("other")),
         F.struct(F.col("object").alias("entity_id"), F.lit("in").alias("direction"), F.col("subject").alias("other")),
     )
-    edges = t.relations.select(F.explode(ends).alias("e"), "relation").select("e.*", "relation").where(F.col("entity_id") < below)
+    edges = t.relations.select(F.explode(ends).alias("e"), "relation").select("e.*", "relation")
     own = t.entities.select("entity_id")
     return edges.join(own, "entity_id", "left_semi").join(t.entities.select(F.col("entity_id").alias("other"), F.col("name").alias("other_name")), "other").select("entity_id", "direction", "other", "other_name", "relation")
 

@@ -28,9 +28,9 @@ def topic_articles(t: Tables, days: int = 2) -> DataFrame:
     return fresh.join(t.topics.select("topic_id", "lifecycle"), "topic_id").select("topic_id", "article_id", "lifecycle")
 
 
-@operator("joi_02", "SELECT a.topic_id, a.article_id, s.name, s.media_type FROM articles a JOIN sources s ON a.source_id = s.source_id WHERE NOT a.is_duplicate AND a.topic_no < 8")
+@operator("joi_02", "SELECT a.topic_id, a.article_id, s.name, s.media_type FROM articles a JOIN sources s ON a.source_id = s.source_id WHERE NOT a.is_duplicate")
 def topic_articles_sources(t: Tables) -> DataFrame:
-    own = t.articles.where(~F.col("is_duplicate") & (F.col("topic_no") < 8)).select("topic_id", "article_id", "source_id")
+    own = t.articles.where(~F.col("is_duplicate")).select("topic_id", "article_id", "source_id")
     return own.join(t.sources.select("source_id", "name", "media_type"), "source_id").drop("source_id")
 
 
@@ -60,11 +60,11 @@ def follower_articles(t: Tables) -> DataFrame:
 
 
 @operator("joi_07", """SELECT m.subject, m.object, m.article_id, a.title, s.name AS source_name, CAST(count(*) OVER () AS BIGINT) AS total FROM mentions m JOIN articles a ON m.article_id = a.article_id
-    JOIN sources s ON a.source_id = s.source_id WHERE m.subject < 200 ORDER BY m.published_at DESC, m.article_id LIMIT 20 OFFSET 20""")
-def evidence_page(t: Tables, below: int = 200, number: int = 2, size: int = 20) -> DataFrame:
-    rows = t.mentions.where(F.col("subject") < below).select("subject", "object", "article_id", F.col("published_at").alias("at"))
+    JOIN sources s ON a.source_id = s.source_id ORDER BY m.published_at DESC, m.article_id, m.subject, m.object LIMIT 20 OFFSET 20""")
+def evidence_page(t: Tables, number: int = 2, size: int = 20) -> DataFrame:
+    rows = t.mentions.select("subject", "object", "article_id", F.col("published_at").alias("at"))
     rows = rows.join(t.articles.select("article_id", "title", "source_id"), "article_id").join(t.sources.select("source_id", F.col("name").alias("source_name")), "source_id")
-    return page(rows.drop("source_id"), F.desc("at"), "article_id", number=number, size=size).drop("at")
+    return page(rows.drop("source_id"), F.desc("at"), "article_id", "subject", "object", number=number, size=size).drop("at")
 
 
 @operator("joi_08", "SELECT f.event_id, f.country_code, s.name AS source_name, sec(f.published_at) AS at_sec FROM followers f JOIN sources s ON f.source_id = s.source_id ORDER BY f.published_at, f.country_code")
@@ -74,10 +74,9 @@ def follower_sources(t: Tables) -> DataFrame:
 
 
 @operator("joi_09", """SELECT e.entity_id, a.article_id, CAST(count(*) OVER () AS BIGINT) AS total FROM article_entities e JOIN articles a ON e.article_id = a.article_id
-    WHERE e.is_primary AND e.entity_id < 100 ORDER BY a.published_at DESC, a.article_id, e.entity_id LIMIT 25""")
+    WHERE e.is_primary ORDER BY a.published_at DESC, a.article_id, e.entity_id LIMIT 25""")
 def entity_articles(t: Tables, primary_only: bool = True, size: int = 25) -> DataFrame:
-    edges = t.article_entities.where("entity_id < 100")
-    edges = edges.where("is_primary") if primary_only else edges
+    edges = t.article_entities.where("is_primary") if primary_only else t.article_entities
     rows = edges.join(t.articles.select("article_id", "published_at"), "article_id").select("entity_id", "article_id", "published_at")
     return page(rows, F.desc("published_at"), "article_id", "entity_id", size=size).drop("published_at")
 
@@ -154,14 +153,30 @@ def country_hints(t: Tables, hints: tuple[tuple[str, str], ...] = (("FR", "que")
 
 
 @operator("joi_23", """SELECT a, b, overlap FROM (SELECT x.topic_id AS a, y.topic_id AS b, count(DISTINCT x.keyword) AS overlap, row_number() OVER (PARTITION BY x.topic_id ORDER BY count(DISTINCT x.keyword) DESC, y.topic_id) AS n
-    FROM topic_keywords x JOIN topic_keywords y ON x.keyword = y.keyword AND x.topic_id <> y.topic_id WHERE x.topic_id LIKE 'error-1%' AND y.topic_id LIKE 'click-%' GROUP BY x.topic_id, y.topic_id HAVING count(DISTINCT x.keyword) >= 2) z WHERE n = 1""")
+    FROM topic_keywords x JOIN topic_keywords y ON x.keyword = y.keyword AND x.topic_id <> y.topic_id GROUP BY x.topic_id, y.topic_id HAVING count(DISTINCT x.keyword) >= 2) z WHERE n = 1""")
 def keyword_match(t: Tables, least: int = 2) -> DataFrame:
-    """Best match by shared keywords, at least least of them; of equal ones the first id."""
-    words = t.topic_keywords.select("topic_id", "keyword").distinct()
-    x = words.where("topic_id LIKE 'error-1%'").select(F.col("topic_id").alias("a"), "keyword")
-    y = words.where("topic_id LIKE 'click-%'").select(F.col("topic_id").alias("b"), "keyword")
-    pairs = x.join(y, "keyword").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= least)
-    return first_per(pairs, ["a"], F.desc("overlap"), "b")
+    """Best match of every topic by shared keywords, at least least of them (two or more); of equal ones the first id.
+
+    Topics with the same keywords are one class, of which the two first ids stand for all; classes
+    meet on pairs of keywords, whose postings are far shorter than those of single keywords.
+    """
+    if least < 2:
+        raise ValueError("classes meet on pairs of keywords")
+    sets = t.topic_keywords.groupBy("topic_id").agg(F.array_sort(F.collect_set("keyword")).alias("words")).where(F.size("words") >= least)
+    low = sets.groupBy("words").agg(F.min("topic_id").alias("first"))
+    low = low.join(sets, "words").groupBy("words", "first").agg(F.min(F.when(F.col("topic_id") != F.col("first"), F.col("topic_id"))).alias("second"))
+    couples = F.flatten(F.transform("words", lambda x, i: F.transform(F.slice("words", i + 2, F.size("words")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    met = low.select("words", "first", F.explode(couples).alias("couple"))
+    x, y = met.alias("x"), met.alias("y")
+    pairs = x.join(y, (F.col("x.couple") == F.col("y.couple")) & (F.col("x.first") != F.col("y.first"))).select(F.col("x.words").alias("words"), F.col("y.first").alias("b"), F.size(F.array_intersect("x.words", "y.words")).cast("long").alias("overlap")).distinct()
+    other = first_per(pairs.where(F.col("overlap") >= least), ["words"], F.desc("overlap"), "b")
+    # an own class shares all its keywords, so it beats any other class but one that holds it whole
+    rows = sets.join(low, "words").join(other, "words", "left")
+    own = F.when(F.col("topic_id") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    size = F.size("words").cast("long")
+    pick = F.array_compact(F.array(F.when(own.isNotNull(), F.struct((-size).alias("n"), own.alias("b"))), F.when(F.col("b").isNotNull(), F.struct((-F.col("overlap")).alias("n"), F.col("b").alias("b")))))
+    best = rows.select("topic_id", F.array_min(pick).alias("p")).where("p IS NOT NULL")
+    return best.select(F.col("topic_id").alias("a"), F.col("p.b").alias("b"), (-F.col("p.n")).alias("overlap"))
 
 
 THEMES = {"politics": ("kw1", "kw5", "kw9"), "economy": ("kw2", "kw12", "kw22"), "health": ("kw3", "kw13", "kw33")}
@@ -193,7 +208,7 @@ def rule_scope(t: Tables, window: str = "2024-01-30") -> DataFrame:
     """Snapshot rows of a window that each enabled rule looks at: its countries, and its keyword if any."""
     r = t.rules.where("enabled").select("rule_id", "keyword", F.explode(F.split("countries", ",")).alias("country_code"))
     s = t.snapshots.where(F.col("window_start") == F.lit(window).cast("timestamp")).select("country_code", "topic_id")
-    both = s.join(F.broadcast(r), "country_code")
+    both = s.join(r, "country_code")
     free = both.where("keyword = ''")
     bound = both.where("keyword <> ''").join(t.topic_keywords.select("topic_id", "keyword"), ["topic_id", "keyword"], "left_semi")
     return free.unionByName(bound).select("rule_id", "country_code", "topic_id")
@@ -209,10 +224,8 @@ def against_baseline(t: Tables, window: str = "2024-01-30", before: str = "2024-
 
 @operator("joi_28", "SELECT event_id, article_id, seq FROM revisions WHERE field = 'merge'")
 def merges_from_log(t: Tables) -> DataFrame:
-    """Merges recovered from events' nested revision logs."""
-    logs = t.revisions.groupBy("event_id").agg(F.collect_list(F.struct("seq", "field", "article_id")).alias("log"))
-    merges = F.filter("log", lambda x: x["field"] == "merge")
-    return logs.select("event_id", F.explode(merges).alias("m")).select("event_id", "m.article_id", "m.seq")
+    """Merges recovered from the events' revision logs: rows of the log, filtered before anything is gathered."""
+    return t.revisions.where("field = 'merge'").select("event_id", "article_id", "seq")
 
 
 @operator("joi_29", """SELECT topic_id, label FROM (SELECT a.topic_id, j.label, row_number() OVER (PARTITION BY a.topic_id ORDER BY count(*) DESC, j.label) AS n FROM judgements j JOIN articles a ON j.judgement_id = a.article_id WHERE j.ok GROUP BY a.topic_id, j.label) x WHERE n = 1""")

@@ -46,15 +46,15 @@ def renamed(t: Tables, topic: str = "click-3", name: str = "Renamed") -> DataFra
     return t.topics.select("topic_id", F.when(mine, name).otherwise(F.col("name")).alias("name"), (F.col("locked") | mine).alias("locked"))
 
 
-@operator("rd_05", "SELECT k.topic_id, k.keyword, k.position, c.countries FROM topic_keywords k JOIN (SELECT topic_id, count(*) AS countries FROM topic_countries GROUP BY topic_id) c ON k.topic_id = c.topic_id WHERE k.topic_id LIKE 'view-1%'")
-def topic_dimensions(t: Tables, prefix: str = "view-1") -> DataFrame:
+@operator("rd_05", "SELECT k.topic_id, k.keyword, k.position, c.countries FROM topic_keywords k JOIN (SELECT topic_id, count(*) AS countries FROM topic_countries GROUP BY topic_id) c ON k.topic_id = c.topic_id")
+def topic_dimensions(t: Tables) -> DataFrame:
     c = t.topic_countries.groupBy("topic_id").agg(F.count("*").alias("countries"))
-    return t.topic_keywords.where(F.col("topic_id").startswith(prefix)).join(c, "topic_id").select("topic_id", "keyword", "position", "countries")
+    return t.topic_keywords.join(c, "topic_id").select("topic_id", "keyword", "position", "countries")
 
 
-@operator("rd_06", "SELECT e.entity_id, sec(date_trunc('day', a.published_at)) AS day, count(*) AS n FROM article_entities e JOIN articles a ON e.article_id = a.article_id WHERE e.entity_id < 50 GROUP BY ALL")
-def entity_timeline(t: Tables, below: int = 50) -> DataFrame:
-    edges = t.article_entities.where(F.col("entity_id") < below).select("entity_id", "article_id")
+@operator("rd_06", "SELECT e.entity_id, sec(date_trunc('day', a.published_at)) AS day, count(*) AS n FROM article_entities e JOIN articles a ON e.article_id = a.article_id GROUP BY ALL")
+def entity_timeline(t: Tables) -> DataFrame:
+    edges = t.article_entities.select("entity_id", "article_id")
     return edges.join(t.articles.select("article_id", "published_at"), "article_id").groupBy("entity_id", F.unix_timestamp(F.date_trunc("day", "published_at")).alias("day")).agg(F.count("*").alias("n"))
 
 
@@ -98,10 +98,9 @@ def event_details(t: Tables) -> DataFrame:
     return own.join(origin_articles(t), "event_id", "left").select("event_id", "source_name", F.col("article_id").alias("origin_article"))
 
 
-@operator("rd_12", "SELECT event_id, seq, field, actor FROM revisions WHERE event_id LIKE 'E-view-%'")
-def revision_log(t: Tables, prefix: str = "E-view-") -> DataFrame:
-    logs = t.revisions.where(F.col("event_id").startswith(prefix)).groupBy("event_id").agg(F.collect_list(F.struct("seq", "field", "actor")).alias("log"))
-    return logs.select("event_id", F.explode("log").alias("r")).select("event_id", "r.*")
+@operator("rd_12", "SELECT event_id, seq, field, actor FROM revisions")
+def revision_log(t: Tables) -> DataFrame:
+    return t.revisions.select("event_id", "seq", "field", "actor")
 
 
 @operator("rd_13", "SELECT e.entity_id, e.name, count(a.article_id) AS articles FROM entities e LEFT JOIN article_entities a ON e.entity_id = a.entity_id WHERE e.entity_id IN (7, 42, 99) GROUP BY e.entity_id, e.name")

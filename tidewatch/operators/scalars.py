@@ -11,21 +11,34 @@ from tidewatch.operators.filters import display_name
 from tidewatch.operators.joins import title_fingerprint
 from tidewatch.tables import Tables
 
-TRACKING = r"^(utm_|fbclid|gclid|spm|ref_|from=)"
+#: Starts of parameters that only track, held against the name and "=".
+TRACKING = r"(?i)^(utm_|fbclid|gclid|spm|ref_|from=)"
 
 
 def normalized_url(url: Column) -> Column:
-    """Scheme and host in lower case, no fragment, default port, tracking parameters or trailing slash; parameters sorted."""
+    """Scheme and host in lower case, no user, fragment, default port, tracking parameters or trailing
+    slash; parameters decoded, sorted and encoded again. What has no host stays as it is."""
+    url = F.trim(url)
     part = lambda name: F.try_parse_url(url, F.lit(name))
-    host = F.regexp_replace(F.lower(part("AUTHORITY")), r":(80|443)$", "")
-    path = F.regexp_replace(F.coalesce(part("PATH"), F.lit("")), "/+$", "")
-    kept = F.filter(F.split(F.coalesce(part("QUERY"), F.lit("")), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
-    query = F.array_join(F.array_sort(kept), "&")
-    return F.concat(F.lower(part("PROTOCOL")), F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-
-
-_URL = r"""SELECT page_id, concat(lower(regexp_extract(url, '^([A-Za-z]+)://', 1)), '://', regexp_replace(lower(regexp_extract(url, '://([^/?#]+)', 1)), ':(80|443)$', ''), regexp_replace(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '/+$', ''),
-    CASE WHEN q = '' THEN '' ELSE '?' || q END) AS url FROM (SELECT page_id, url, array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_|fbclid|gclid|spm|ref_|from=)'))), '&') AS q FROM pages) x"""
+    scheme, host, port = F.lower(part("PROTOCOL")), F.lower(part("HOST")), F.regexp_extract(part("AUTHORITY"), r":(\d+)$", 1)
+    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    path = F.regexp_replace(F.coalesce(F.nullif(part("PATH"), F.lit("")), F.lit("/")), ";[^/]*$", "")
+    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+    coded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    items = F.filter(F.split(F.coalesce(part("QUERY"), F.lit("")), "&"), lambda p: p != "")
+    pairs = F.transform(items, lambda p: F.struct(plain(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), plain(F.regexp_replace(F.when(F.contains(p, F.lit("=")), p).otherwise("="), "^[^=]*=", "")).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda x: ~F.concat(x["k"], F.lit("=")).rlike(TRACKING)))
+    query = F.array_join(F.transform(kept, lambda x: F.concat(coded(x["k"]), F.lit("="), coded(x["v"]))), "&")
+    whole = F.concat(scheme, F.lit("://"), host, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.coalesce(whole, url)
+
+
+_CODED = "replace(url_encode({0}), '%20', '+')"
+_PLAIN = "url_decode(replace({0}, '+', ' '))"
+_URL = rf"""SELECT page_id, concat(scheme, '://', regexp_replace(host, ':\d+$', ''), CASE WHEN port = '' OR (scheme = 'http' AND port = '80') OR (scheme = 'https' AND port = '443') THEN '' ELSE ':' || port END, CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/+$', '') END, CASE WHEN q = '' THEN '' ELSE '?' || q END) AS url
+    FROM (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '://(?:[^/?#@]*@)?([^/?#]+)', 1)) AS host, regexp_extract(url, '://[^/?#]*:(\d+)(?:[/?#]|$)', 1) AS port, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path,
+    array_to_string(list_transform(list_sort(list_filter(list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: {{'k': {_PLAIN.format("split_part(p, '=', 1)")}, 'v': {_PLAIN.format("CASE WHEN contains(p, '=') THEN substring(p, strpos(p, '=') + 1) ELSE '' END")}}}), lambda x: NOT regexp_matches(x.k || '=', '(?i)^(utm_|fbclid|gclid|spm|ref_|from=)'))), lambda x: {_CODED.format('x.k')} || '=' || {_CODED.format('x.v')}), '&') AS q FROM pages) x"""
 
 
 @operator("fn_01", _URL)
@@ -197,9 +210,28 @@ def budgeted(t: Tables, budget: int = 120) -> DataFrame:
     return t.texts.select("article_id", F.char_length(F.substring("content", 1, 2 * budget)).alias("n"), (F.char_length("content") > 2 * budget).alias("cut"))
 
 
-@operator("fn_21", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
+CONDITIONS = ("growth_rate", "top_n", "neg_ratio")
+
+
+def extra_conditions(text: Column) -> Column:
+    """(type, value) of a rule's further conditions: an object with "and", a bare list, or one object.
+
+    Unknown types and items without a value are left out; what does not parse gives none.
+    """
+    one = "struct<type: string, value: double>"
+    wrapped = F.from_json(text, "and array<struct<type: string, value: double>>")["and"]
+    single = F.from_json(text, "type string, value double")
+    items = F.coalesce(F.when(text.rlike(r"^\s*\["), F.from_json(text, f"array<{one}>")), wrapped, F.array(F.struct(single["type"].alias("type"), single["value"].alias("value"))))
+    return F.filter(items, lambda x: x["type"].isin(*CONDITIONS) & x["value"].isNotNull())
+
+
+@operator("fn_21", "SELECT event_id, kind AS type, value FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'top_n' WHEN 1 THEN 'neg_ratio' WHEN 2 THEN 'growth_rate' END AS kind, CASE WHEN event_id % 4 = 1 THEN 0.5e0 ELSE CAST(json_extract(props, '$.k') AS DOUBLE) END AS value FROM events) x WHERE kind IS NOT NULL")
 def parsed(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    """Further conditions of rules written in each of the three shapes, and of broken ones."""
+    k = F.get_json_object("props", "$.k")
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, F.concat(F.lit('{"and": [{"type": "top_n", "value": '), k, F.lit('}, {"type": "other", "value": 1}]}'))).when(kind == 1, '[{"type": "neg_ratio", "value": 0.5}, {"type": "top_n"}]').when(kind == 2, F.concat(F.lit('{"type": "growth_rate", "value": '), k, F.lit("}"))).otherwise("broken")
+    return t.events.select("event_id", F.explode(extra_conditions(text)).alias("c")).select("event_id", "c.type", "c.value")
 
 
 @operator("fn_22", r"SELECT event_id, CAST(json_extract(regexp_extract(concat('Sure: ', props, ' done'), '(?s)\{.*\}'), '$.k') AS INT) AS k FROM events")
@@ -214,13 +246,13 @@ def closed_labels(t: Tables, known: tuple[str, ...] = ("ally", "funds")) -> Data
     return t.mentions.select("article_id", F.when(F.col("relation").isin(*known), F.col("relation")).otherwise("other").alias("relation"))
 
 
-_SHINGLES = "SELECT article_id, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) AS g FROM (SELECT article_id, regexp_extract_all(lower(substring(content, 1, 400)), '[a-z]+') AS w FROM texts) x WHERE len(w) >= 3"
+_SHINGLES = "SELECT article_id, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) AS g FROM (SELECT article_id, regexp_extract_all(lower(content), '[a-z]+') AS w FROM texts) x WHERE len(w) >= 3"
 
 
 @operator("fn_28", f"SELECT article_id, CAST(CAST('0x' || substring(md5(s), 1, 8) AS BIGINT) % 1024 AS INT) AS dim, count(*) AS n FROM (SELECT article_id, unnest(g) AS s FROM ({_SHINGLES}) y) z GROUP BY ALL")
 def hashed_vectors(t: Tables, dimensions: int = 1024) -> DataFrame:
-    """Sparse text vectors: counts of hashed word 3-shingles of the excerpt that is embedded."""
-    w = t.texts.select("article_id", F.regexp_extract_all(F.lower(F.substring("content", 1, 400)), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 3)
+    """Sparse text vectors: counts of hashed word 3-shingles of the whole text."""
+    w = t.texts.select("article_id", F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 3)
     shingles = w.select("article_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).alias("s"))
     dim = (F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
     return shingles.groupBy("article_id", dim.alias("dim")).agg(F.count("*").alias("n"))
@@ -237,7 +269,7 @@ def wires(t: Tables) -> DataFrame:
 
 @operator("fn_31", "SELECT alert_id, concat('[', r.condition, '] ', a.topic_id, ' reached ', CAST(CAST(r.threshold AS INT) AS VARCHAR)) AS line FROM alerts a JOIN rules r ON a.rule_id = r.rule_id")
 def alert_lines(t: Tables) -> DataFrame:
-    both = t.alerts.select("alert_id", "rule_id", "topic_id").join(F.broadcast(t.rules.select("rule_id", "condition", "threshold")), "rule_id")
+    both = t.alerts.select("alert_id", "rule_id", "topic_id").join(t.rules.select("rule_id", "condition", "threshold"), "rule_id")
     return both.select("alert_id", F.format_string("[%s] %s reached %d", "condition", "topic_id", F.col("threshold").cast("int")).alias("line"))
 
 

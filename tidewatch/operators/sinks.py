@@ -18,15 +18,16 @@ def body_of(full: Column, fetched: Column, title: Column, summary: Column) -> Co
     return F.coalesce(filled(full), filled(fetched), F.concat_ws("\n", title, summary))
 
 
-@operator("src_01", """SELECT source_id, sum(n) AS entries, md5(string_agg(md5(body), '' ORDER BY article_id)) AS h FROM (SELECT source_id, article_id, 1 AS n, CASE WHEN article_id % 3 = 0 THEN trim(content) WHEN article_id % 3 = 1 THEN 'page' ELSE concat_ws(chr(10), title, substring(content, 1, 50)) END AS body
+@operator("src_01", """SELECT source_id, sum(n) AS entries, min(delay) AS shortest, max(delay) AS longest, round(avg(delay), 2) AS mean_delay, md5(string_agg(md5(body), '' ORDER BY article_id)) AS h FROM (SELECT source_id, article_id, 1 AS n, (sec(:now) - sec(published_at)) / 60.0e0 AS delay, CASE WHEN article_id % 3 = 0 THEN trim(content) WHEN article_id % 3 = 1 THEN 'page' ELSE concat_ws(chr(10), title, substring(content, 1, 50)) END AS body
     FROM texts QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY published_at DESC, article_id) <= 50) x GROUP BY source_id""")
 def feed_poll(t: Tables, most: int = 50) -> DataFrame:
-    """The latest entries of each feed with the best body there is."""
+    """The latest entries of each feed with the best body there is, and how late they come."""
     entries = first_rows(t.texts, ["source_id"], most, F.desc("published_at"), "article_id")
     third = F.col("article_id") % 3
     body = body_of(F.when(third == 0, F.col("content")), F.when(third == 1, F.lit("page")), F.col("title"), F.substring("content", 1, 50))
-    rows = entries.select("source_id", "article_id", F.md5(body).alias("h"))
-    return rows.groupBy("source_id").agg(F.count("*").alias("entries"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("article_id", "h"))), lambda x: x["h"]), "")).alias("h"))
+    delay = (F.unix_timestamp(t.now) - F.unix_timestamp("published_at")) / 60.0
+    rows = entries.select("source_id", "article_id", delay.alias("delay"), F.md5(body).alias("h"))
+    return rows.groupBy("source_id").agg(F.count("*").alias("entries"), F.min("delay").alias("shortest"), F.max("delay").alias("longest"), F.round(F.avg("delay"), 2).alias("mean_delay"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("article_id", "h"))), lambda x: x["h"]), "")).alias("h"))
 
 
 def first_rows(df: DataFrame, keys: list[str], k: int, *order) -> DataFrame:
@@ -54,13 +55,19 @@ def domain_sources(t: Tables, domains: tuple[str, ...] = ("example.com", "exampl
     return first_per(hosts.join(F.broadcast(known), "domain"), ["page_id"], F.desc(F.length("domain"))).select("page_id", "domain")
 
 
-@operator("src_09", "SELECT kind AS file, count(*) AS rows FROM articles WHERE published_at >= :now - INTERVAL '1' DAY GROUP BY kind")
+@operator("src_09", "SELECT kind, count(*) AS rows, CAST(96 AS INT) AS files FROM articles WHERE published_at >= :now - INTERVAL '1' DAY AND article_id % 2 = 1 GROUP BY kind")
 def buffer_files(t: Tables) -> DataFrame:
-    """A rolling buffer of delimited files: written once per kind, read back with an explicit schema."""
-    from tidewatch.sources.files import read_buffer, write_buffer
+    """A rolling buffer of delimited files: the last 96 pulls stay, and the latest whole one is read."""
+    from tidewatch.sources.files import Buffer
 
     fresh = t.articles.where(F.col("published_at") >= t.now - F.expr("INTERVAL '1' DAY")).select("kind", "article_id", "country_code")
-    return read_buffer(t.spark, write_buffer(fresh, "kind"), "kind string, article_id long, country_code string").groupBy(F.col("kind").alias("file")).agg(F.count("*").alias("rows"))
+    buffer = Buffer(t.spark, "kind string, article_id long, country_code string", keep=96)
+    for i in range(96):
+        buffer.touch(f"20240101T{i:06d}Z")
+    buffer.add(fresh.where("article_id % 2 = 0"), "20240130T000000Z")
+    buffer.add(fresh.where("article_id % 2 = 1"), "20240131T000000Z")
+    buffer.touch("20240131T010000Z", whole=False)  # a pull that failed
+    return buffer.latest().groupBy("kind").agg(F.count("*").alias("rows")).withColumn("files", F.lit(len(buffer.names())))
 
 
 @operator("src_10", "SELECT article_id, CASE WHEN article_id % 9 = 0 THEN NULL ELSE sec(date_trunc('second', published_at)) END AS at_sec FROM articles")
@@ -72,7 +79,7 @@ def compact_times(t: Tables) -> DataFrame:
 
 def ingested(raw: DataFrame, sources: DataFrame, known: DataFrame, now: Column) -> DataFrame:
     """New articles of known sources: one of each url hash, none that is stored already."""
-    rows = raw.join(F.broadcast(sources.select("source_id")), "source_id", "left_semi").join(known.select("url_hash"), "url_hash", "left_anti")
+    rows = raw.join(sources.select("source_id"), "source_id", "left_semi").join(known.select("url_hash"), "url_hash", "left_anti")
     rows = first_per(rows, ["url_hash"], "article_id")
     return rows.withColumns({"published_at": F.coalesce("published_at", now), "time_source": F.when(F.col("published_at").isNull(), "crawled").otherwise("feed"), "summary": F.substring("content", 1, 500)})
 
@@ -85,25 +92,35 @@ def ingest(t: Tables) -> DataFrame:
     return out.select("article_id", "time_source", F.char_length("summary").alias("n"))
 
 
-def index_rows(texts: DataFrame) -> DataFrame:
+def index_rows(texts: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
     """Inverted index: one row per word and text, with the words' weights by field (title twice)."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = split if only is None else lambda c: F.filter(split(c), lambda w: w.isin(*only))
     fields = F.array(F.struct(F.lit(2.0).alias("weight"), words(F.col("title")).alias("w")), F.struct(F.lit(1.0).alias("weight"), words(F.col("content")).alias("w")))
     flat = texts.select("article_id", F.explode(fields).alias("f")).select("article_id", "f.weight", F.explode(F.array_distinct("f.w")).alias("word"))
     return flat.groupBy("word", "article_id").agg(F.max("weight").alias("best"), F.sum("weight").alias("total"))
 
 
-@operator("src_13")
+@operator("src_13", r"""SELECT word, count(*) AS texts FROM (SELECT DISTINCT article_id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) AS word FROM texts UNION SELECT DISTINCT article_id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) FROM texts) x GROUP BY word""")
 def search_index(t: Tables) -> DataFrame:
-    """Size of the postings of each word."""
-    return index_rows(t.texts).groupBy("word").agg(F.count("*").alias("texts"))
+    """The index written in two batches, the first of them twice, then read: postings of each word."""
+    from tidewatch.sources.files import new_folder, read_index, write_index
+
+    base, late = new_folder(t.spark, "index"), F.col("article_id") % 10 == 0
+    write_index(index_rows(t.texts), base, 0)
+    write_index(index_rows(t.texts), base, 0)
+    write_index(index_rows(t.texts.where(late)), base, 1)
+    return read_index(t.spark, base).groupBy("word").agg(F.count("*").alias("texts"))
 
 
 @operator("src_14", r"""SELECT article_id, round(sum(best + 0.3e0 * (total - best)), 4) AS score FROM (SELECT word, article_id, max(weight) AS best, sum(weight) AS total FROM (SELECT DISTINCT article_id, 2.0e0 AS weight, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS word FROM texts
     UNION ALL SELECT DISTINCT article_id, 1.0e0, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) FROM texts) x WHERE word IN ('token', 'license', 'the') GROUP BY word, article_id) y GROUP BY article_id ORDER BY score DESC, article_id LIMIT 20""")
 def search(t: Tables, words: tuple[str, ...] = ("token", "license", "the"), k: int = 20) -> DataFrame:
     """Best texts for some words: a word's best field and 0.3 of its others."""
-    hits = index_rows(t.texts).where(F.col("word").isin(*words))
+    near = F.lit(False)
+    for w in words:  # texts without any of the words are not split at all
+        near = near | F.contains(F.lower("content"), F.lit(w)) | F.contains(F.lower("title"), F.lit(w))
+    hits = index_rows(t.texts.where(near), words)
     score = F.round(F.sum(F.col("best") + 0.3 * (F.col("total") - F.col("best"))), 4)
     return hits.groupBy("article_id").agg(score.alias("score")).orderBy(F.desc("score"), "article_id").limit(k)
 
@@ -120,12 +137,13 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return first_per(rows, keys, F.desc("_v")).drop("_v")
 
 
-@operator("src_16", "SELECT s.country_code, s.topic_id, sec(s.window_start) AS at_sec, CASE WHEN s.window_start = TIMESTAMP '2024-01-30' THEN s.article_count + 1 ELSE s.article_count END AS article_count FROM snapshots s WHERE s.window_start >= TIMESTAMP '2024-01-29'")
+@operator("src_16", "SELECT s.country_code, s.topic_id, g.granularity, sec(s.window_start) AS at_sec, CASE WHEN g.granularity = 'day' AND s.window_start = TIMESTAMP '2024-01-30' THEN s.article_count + 1 ELSE s.article_count END AS article_count FROM snapshots s CROSS JOIN (VALUES ('day'), ('hour')) AS g(granularity) WHERE s.window_start >= TIMESTAMP '2024-01-29'")
 def snapshot_upsert(t: Tables) -> DataFrame:
-    keys = ["country_code", "topic_id", "window_start"]
-    own = t.snapshots.where(F.col("window_start") >= F.lit("2024-01-29").cast("timestamp")).select(*keys, "article_count")
-    new = own.where(F.col("window_start") == F.lit("2024-01-30").cast("timestamp")).withColumn("article_count", F.col("article_count") + 1)
-    return upserted(own, new, keys).select("country_code", "topic_id", F.unix_timestamp("window_start").alias("at_sec"), "article_count")
+    keys = ["country_code", "topic_id", "window_start", "granularity"]
+    grains = t.snapshots.where(F.col("window_start") >= F.lit("2024-01-29").cast("timestamp")).withColumn("granularity", F.explode(F.array(F.lit("day"), F.lit("hour"))))
+    own = grains.select(*keys, "article_count")
+    new = own.where((F.col("window_start") == F.lit("2024-01-30").cast("timestamp")) & (F.col("granularity") == "day")).withColumn("article_count", F.col("article_count") + 1)
+    return upserted(own, new, keys).select("country_code", "topic_id", "granularity", F.unix_timestamp("window_start").alias("at_sec"), "article_count")
 
 
 @operator("src_17", "SELECT article_id, latency_ms FROM latency WHERE article_id NOT IN (SELECT article_id FROM texts)")

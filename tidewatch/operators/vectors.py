@@ -113,9 +113,9 @@ def merge_targets(t: Tables, least: float = 0.25) -> DataFrame:
     return nearest(seen, seen, 1, least)
 
 
-@operator("joi_16", f"SELECT x.id, x.neighbour, x.score, x.id % 3 = x.neighbour % 3 AS barred FROM (SELECT id, neighbour, score FROM (SELECT a.vec_id AS id, b.vec_id AS neighbour, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 50) y QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbour) <= 5) x")
+@operator("joi_16", f"SELECT x.id, x.neighbour, x.score, x.id % 3 = x.neighbour % 3 AS barred FROM (SELECT id, neighbour, score FROM (SELECT a.vec_id AS id, b.vec_id AS neighbour, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id ) y QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbour) <= 5) x")
 def merge_suggestions(t: Tables, k: int = 5) -> DataFrame:
-    found = nearest(_vectors(t).where("id < 50"), _vectors(t), k)
+    found = nearest(_vectors(t), _vectors(t), k)
     return found.withColumn("barred", F.col("id") % 3 == F.col("neighbour") % 3)
 
 

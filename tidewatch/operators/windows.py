@@ -111,9 +111,9 @@ def chosen_grain(t: Tables, days: int = 20) -> DataFrame:
     return t.topics.select("topic_id", F.unix_timestamp(bucket).alias("bucket"), grain.alias("grain"))
 
 
-@operator("set_01", "SELECT kind, string_agg(country_code, ',' ORDER BY country_code) AS scope FROM (SELECT DISTINCT kind, country_code FROM articles WHERE topic_no < 3) x GROUP BY kind")
+@operator("set_01", "SELECT kind, string_agg(country_code, ',' ORDER BY country_code) AS scope FROM (SELECT DISTINCT kind, country_code FROM articles) x GROUP BY kind")
 def country_union(t: Tables) -> DataFrame:
-    return t.articles.where("topic_no < 3").groupBy("kind").agg(F.array_join(F.array_sort(F.collect_set("country_code")), ",").alias("scope"))
+    return t.articles.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_set("country_code")), ",").alias("scope"))
 
 
 def _keyword_sets(t: Tables) -> DataFrame:
