@@ -339,8 +339,8 @@ def test_kneser_ney(spark, docs, empty):
             counts.update(words)
             bigrams.update(zip([None, *words[:-1]], words, strict=True))
     n, v = sum(counts.values()), len(counts)
-    for shard_bytes in (1 << 24, 1 << 14):
-        model = kneser.fit(train, shard_bytes)
+    for shard_bytes, hot_from in ((1 << 24, None), (1 << 14, None), (1 << 12, 20)):
+        model = kneser.fit(train, shard_bytes, hot_from=hot_from)
         assert model.train_tokens == n and model.words == v
         context, prior = defaultdict(lambda: [0, 0, 0, 0]), Counter()
         for (u, w), c in bigrams.items():
@@ -429,8 +429,8 @@ def test_kneser_ney_of_order_three(spark, docs, empty):
 
     assert sum(p((None, None, w)) for w in [*words, b"no such word"]) == pytest.approx(1.0)
     text = {r[0]: r[1] for r in _rows()}
-    for shard_bytes in (1 << 24, 1 << 12):
-        model = kneser.fit(train, shard_bytes, 3)
+    for shard_bytes, hot_from in ((1 << 24, None), (1 << 12, None), (1 << 13, 20)):
+        model = kneser.fit(train, shard_bytes, 3, hot_from)
         for r in kneser.scored(docs, model, "doc_id").collect():
             own = [*(text[r["doc_id"]] or "").encode().lower().split(), b""]
             padded = [None, None, *own]
@@ -439,6 +439,36 @@ def test_kneser_ney_of_order_three(spark, docs, empty):
     assert kneser.scored(docs, nothing, "doc_id").count() == len(_rows()) and kneser.scored(empty, nothing, "doc_id").count() == 0
 
 
+def test_arrays_on_the_shelf(tmp_path):
+    from tidewatch.llm.shelf import Shelf
+
+    rng, shelf = np.random.default_rng(6), Shelf(str(tmp_path))
+    lengths = np.where(rng.random(1000) < 0.02, rng.integers(255, 5000, 1000), rng.integers(1, 9, 1000))
+    kneser._put_lengths(shelf, "l", lengths)
+    assert kneser._starts(shelf, "l", np.arange(1001)).tolist() == [0, *np.cumsum(lengths).tolist()]
+    kneser._put_counts(shelf, "c", lengths)
+    assert (kneser._get_counts(shelf, "c", np.arange(1000)) == lengths).all()
+    ids = np.unique(rng.integers(0, 1 << 33, 500))
+    kneser._put_ids(shelf, "i", ids, kneser._bytes_of(1 << 33))
+    sought = np.r_[ids, rng.integers(0, 1 << 33, 100)]
+    found = kneser._find(shelf.get("i"), np.zeros(600, np.int64), np.full(600, len(ids)), sought)
+    assert found[:500].tolist() == list(range(500)) and (found[500:] == -1).all()
+    arrays = [np.array([], "<u4"), rng.integers(0, 1 << 60, 77).astype("<u8"), np.arange(9, dtype="<u2")]
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, kneser._unpacked(kneser._packed(*arrays)), strict=True))
+
+
+def test_words_with_one_hash_are_noticed(spark, docs, monkeypatch):
+    group = [kneser._packed(np.array([5, 2], "<u8"), np.array([1, 1], "<u1"), np.array([7, 8], "<u2")), kneser._packed(np.array([5], "<u8"), np.array([1], "<u1"), np.array([9], "<u2"))]
+    import pyarrow as pa
+
+    class Nowhere:
+        put = staticmethod(lambda *_: None)
+
+    rows = pa.table({"shard": pa.array([0, 0], pa.int32()), "a": pa.array(group, pa.binary())})
+    assert kneser._store_words(Nowhere(), 10)(rows).column("clash").to_pylist() == [True]
+    assert kneser._store_words(Nowhere(), 10)(rows.slice(0, 1)).column("clash").to_pylist() == [False]
+
+
 # licenses
 
 
