@@ -445,13 +445,15 @@ def test_arrays_on_the_shelf(tmp_path):
     rng, shelf = np.random.default_rng(6), Shelf(str(tmp_path))
     lengths = np.where(rng.random(1000) < 0.02, rng.integers(255, 5000, 1000), rng.integers(1, 9, 1000))
     kneser._put_lengths(shelf, "l", lengths)
-    assert kneser._starts(shelf, "l", np.arange(1001)).tolist() == [0, *np.cumsum(lengths).tolist()]
+    starts, ends = kneser._runs(shelf, "l", np.arange(1000))
+    assert ends.tolist() == np.cumsum(lengths).tolist() and (ends - starts == lengths).all()
     kneser._put_counts(shelf, "c", lengths)
     assert (kneser._get_counts(shelf, "c", np.arange(1000)) == lengths).all()
     ids = np.unique(rng.integers(0, 1 << 33, 500))
-    kneser._put_ids(shelf, "i", ids, kneser._bytes_of(1 << 33))
+    shelf.put("i", ids.astype(kneser._narrow(1 << 33)))
     sought = np.r_[ids, rng.integers(0, 1 << 33, 100)]
     found = kneser._find(shelf.get("i"), np.zeros(600, np.int64), np.full(600, len(ids)), sought)
+    assert (found == kneser._among(shelf.get("i"), sought)).all()
     assert found[:500].tolist() == list(range(500)) and (found[500:] == -1).all()
     arrays = [np.array([], "<u4"), rng.integers(0, 1 << 60, 77).astype("<u8"), np.arange(9, dtype="<u2")]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, kneser._unpacked(kneser._packed(*arrays)), strict=True))

@@ -69,7 +69,7 @@ class Shelf:
                     copy.write(chunk)
                 copy.flush()
                 found = np.load(copy.name, mmap_mode="r")
-        self.open[name] = found
+        found = self.open[name] = np.asarray(found)
         while len(self.open) > self.most_open:
             self.open.popitem(last=False)
         return found
