@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import KEY, ascii_lower, dropped, keyed, stored, table
+from tidewatch.llm.shared import KEY, ascii_lower, dropped, joined, keyed, stored, table
 
 BLOCK_BYTES = 4096
 MAX_TRIES = 8
@@ -97,14 +97,15 @@ def exact_duplicates(docs: DataFrame, size: int = BLOCK_BYTES, extra: tuple[str,
     """
     rows = stored(identities(docs, size, extra=extra), "identities")
     best = rows.groupBy("rounds", "name").agg(
-        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max(F.struct("doc_id", -F.col("rid"))).alias("best"),
+        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), (-F.max(F.struct("doc_id", -F.col("rid")))["col2"]).alias("best"),
     )
-    out = rows.join(best, ["rounds", "name"])
-    kept = F.col("rid") == -F.col("best")["col2"]
+    out = joined(rows, stored(best, "best"), ["rounds", "name"], "group_size", rows.count())
+    kept = F.col("rid") == F.col("best")
     return out.select("doc_id", *extra, "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def op8_block_naming(spark, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equal texts that stays; see exact_duplicates()."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 

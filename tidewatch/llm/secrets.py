@@ -31,19 +31,36 @@ LOOSE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])(?=
 ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[A-Za-z0-9._:@/-]{4,}+"
 WEAK = (("ident", IDENT), ("loose", LOOSE), ("endpoint", ENDPOINT))
 SCOPE = 200
-CHUNK = 256
+CHUNK = 64
 ORDER = ("assign", "access", "hex", "ident", "loose", "endpoint")
 
 
-def _prefix(lengths: Column) -> Column:
-    """Running sums before each element, by chunks, so that long arrays cost little more than short ones."""
-    n = F.size(lengths)
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(n / CHUNK).cast("int")), lambda i: total(F.slice(lengths, i * CHUNK + 1, F.lit(CHUNK))))
-    before = lambda i: total(F.slice(chunks, F.lit(1), F.floor(i / CHUNK).cast("int"))) + total(
-        F.slice(lengths, F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK)
-    )
-    return F.transform(F.sequence(F.lit(0), n - 1), before)
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+
+def _prefix(lengths: Column, levels: int = 4) -> Column:
+    """Running sums before each element, in time that grows with the array alone (to CHUNK^levels elements):
+    sums before each chunk, from the chunks' own running sums, and within the chunk."""
+    places = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: i - 1)
+
+    def inner(own: Column, i: Column) -> Column:
+        return _total(F.slice(own, F.floor(i / CHUNK).cast("int") * CHUNK + 1, i % CHUNK))
+
+    def level(own: Column, left: int) -> Column:
+        n = F.greatest(F.size(own), F.lit(1))
+        if left == 1:
+            return F.transform(places(n), lambda i: _total(F.slice(own, F.lit(1), i)))
+        chunks = F.transform(places(F.ceil(n / CHUNK).cast("int")), lambda c: _total(F.slice(own, c * CHUNK + 1, F.lit(CHUNK))))
+        sums = _let(chunks, lambda c: level(c, left - 1))
+        return _let(sums, lambda before: F.transform(places(n), lambda i: F.get(before, F.floor(i / CHUNK).cast("int")) + inner(own, i)))
+
+    return level(lengths, levels)
 
 
 def _found(df: DataFrame, kind: str, pattern: str, rank: int, least: int = 0, group: int = 0) -> DataFrame:
@@ -154,6 +171,7 @@ def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def op4_secret_links(spark, sf_dir: str) -> DataFrame:
+    """Certain and linked spans of every whole document; see scan()."""
     found = scan(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k, *_ in BASE]
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import dropped, stored, table
+from tidewatch.llm.shared import dropped, joined, stored, table
 
 SHARDS = 24
 ROUNDS = 4
@@ -55,6 +55,7 @@ def propagate(links: DataFrame, shards: int, capacity: list[int], rounds: int =
         # whole cells (group, shard) move: their rows share one gain
         asks = stored(asks.select("grp", "shard", F.col("b.shard").alias("target"), "votes", gain.alias("gain"), _pick(F.xxhash64("grp", "shard"), 16).alias("part")), "asks")
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        total = sum(load.values())
         flows = asks.groupBy("target", "gain", "part").agg(F.sum("votes").alias("n")).collect()  # shards x GAINS x 16 rows at most
         if not flows:
             dropped(asks)
@@ -71,8 +72,8 @@ def propagate(links: DataFrame, shards: int, capacity: list[int], rounds: int =
             break
         codes = [(t * GAINS + g) * 16 + p for t, g, p in admitted]
         code = (F.col("target") * GAINS + F.col("gain")) * 16 + F.col("part")
-        moves = asks.where(_flag(codes, shards * GAINS * 16, code)).select("grp", "shard", "target")
-        after = stored(state.join(moves, ["grp", "shard"], "left").select("rid", "grp", "big", F.coalesce("target", "shard").alias("shard")), "labels")
+        moves = asks.where(_flag(codes, shards * GAINS * 16, code)).select("grp", "shard", "target", "votes")
+        after = stored(joined(state, moves, ["grp", "shard"], "votes", total, "left").select("rid", "grp", "big", F.coalesce("target", "shard").alias("shard")), "labels")
         dropped(state, asks)
         state = after
     return state
@@ -92,7 +93,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, block_row
 
     Links: equal texts; null and empty texts count as equal. size is the text's bytes and 8 more.
     Counts of shards differ by one at most. Repeated rows keep a row each; fewer rows than shards
-    leave shards empty; extra columns are not read; an empty table gives no rows.
+    leave shards empty; extra columns are not read; an empty table gives no rows. Rows start by their
+    place in the input, so the same table split otherwise may give other shards, under the same laws.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text.alias("text")).select(
@@ -103,10 +105,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, block_row
     quota = quotas(total, shards)
     # (hash, crc, size) stand for the text: 96 bits and the length
     key = ["h", "text_crc32", "size"]
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    sizes = stored(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     most = max(1, *quota)
     chunk = F.when(F.col("n") > most, F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / most))).otherwise(F.lit(0))
-    linked = rows.join(sizes, key).select("rid", F.xxhash64(*key, chunk).alias("grp"), (F.col("n") > block_rows).alias("big"), _pick(F.xxhash64("rid", F.lit(1)), shards).alias("shard"))
+    linked = joined(rows, sizes, key, "n", total).select("rid", F.xxhash64(*key, chunk).alias("grp"), (F.col("n") > block_rows).alias("big"), _pick(F.xxhash64("rid", F.lit(1)), shards).alias("shard"))
     labels = propagate(linked, shards, quota, rounds)
     single = F.col("grp").isNull()
     placed = rows.join(labels, "rid", "left").select("rid", "doc_id", "size", "text_crc32", single.alias("single"), F.coalesce("big", F.lit(False)).alias("big"), F.coalesce("grp", F.xxhash64("rid", F.lit(2))).alias("grp"), F.coalesce("shard", _pick(F.xxhash64("rid", F.lit(1)), shards)).alias("shard"))
@@ -140,5 +142,6 @@ def _ranked(placed: DataFrame, total: int, shards: int, block_rows: int) -> Data
 
 
 def op2_label_propagation(spark, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards; see shard()."""
     out = shard(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

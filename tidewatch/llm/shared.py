@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.storage import shared_folder
+
 KEY = "_tidewatch_row"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, as the cluster names it in spark.checkpoint.dir.
-
-    Where a session has none (tests on one machine), a folder of its own is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "tidewatch-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder all machines share, as the cluster names it in spark.checkpoint.dir; see shared_folder()."""
+    return shared_folder(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -64,6 +57,26 @@ def ascii_lower(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+HOT_SHARE = 200
+
+
+def joined(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups (one row of each key, with the number of its rows as size).
+
+    Keys with more than total / HOT_SHARE rows, which are HOT_SHARE at most, are sent to the rows;
+    all other keys meet by shuffle, so no task gets a large group whole. how: inner or left.
+    """
+    most = total // HOT_SHARE
+    hot = groups.where(F.col(size) > most).limit(HOT_SHARE + 1).collect()
+    if not hot:
+        return rows.join(groups, keys, how)
+    if len(hot) > HOT_SHARE:
+        raise ValueError("sizes of groups pass the number of rows")
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, groups.schema))
+    names = few.select(*keys)
+    first = rows.join(few, keys)
+    return first.unionByName(rows.join(names, keys, "left_anti").join(groups.where(F.col(size) <= most), keys, how))
+
 
 def trimmed() -> None:
     """Give a worker's freed memory back, so that idle workers stay small beside the next stage."""

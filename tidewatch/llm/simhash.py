@@ -8,9 +8,9 @@ meets in a posting has its shared positional bytes tallied, stays a candidate wi
 and is then verified on its bits.
 
 Only connected classes are asked for, so members of a posting are first compared with a few
-pivots. What those links already join needs no further comparison; all members of a posting that
-still lie in different components are then compared pair by pair, so that no link between
-different components is lost.
+pivots, and those outside a posting's largest component again with pivots of it. What those links
+already join needs no further comparison; all members of a posting that still lie in different
+components are then compared pair by pair, so that no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.components import connected
-from tidewatch.llm.shared import KEY, dropped, keyed, stored, table, trimmed
+from tidewatch.llm.shared import KEY, dropped, joined, keyed, stored, table, trimmed
 from tidewatch.session import ship
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
 CHUNK = 1 << 15
+PIVOT_ROUNDS = 3
 
 
 def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
@@ -102,8 +103,10 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return tally
 
 
-def linked(a: Column, b: Column, max_bits: int = MAX_BITS) -> Column:
-    return (shared_bytes(a, b) >= 8 - max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
+def linked(pairs: DataFrame, a: Column, b: Column, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs from the index that stay: first by the tally of shared bytes, then verified on the bits."""
+    candidates = pairs.where(shared_bytes(a, b) >= 8 - max_bits)
+    return candidates.where(F.bit_count(a.bitwiseXOR(b)) <= max_bits)
 
 
 def postings(fps: DataFrame) -> DataFrame:
@@ -130,23 +133,48 @@ def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     index = postings(fps)
     shared = index.groupBy("slot", "bytes").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
     members = stored(index.join(shared, ["slot", "bytes"]), "postings")
-    pivots = [members.where((F.col("fp") != F.col(p)) & linked(F.col("fp"), F.col(p), max_bits)).select(F.col("fp").alias("a"), F.col(p).alias("b")) for p in ("lo", "hi")]
+    pivots = [linked(members.where(F.col("fp") != F.col(p)), F.col("fp"), F.col(p), max_bits).select(F.col("fp").alias("a"), F.col(p).alias("b")) for p in ("lo", "hi")]
     near = stored(pivots[0].union(pivots[1]).distinct(), "pivots")
     roots = connected(near)
     labelled = members.join(roots, F.col("fp") == F.col("node"), "left").select("slot", "bytes", "fp", F.coalesce("root", "fp").alias("root"))
     labelled = stored(labelled, "labelled")
+    labelled, near = _repeated_pivots(labelled, near, max_bits)
     mixed = labelled.groupBy("slot", "bytes").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("slot", "bytes")
     open_rows = labelled.join(mixed, ["slot", "bytes"])
     x, y = open_rows.alias("x"), open_rows.alias("y")
     a, b = F.col("x.fp"), F.col("y.fp")
     meets = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.root") < F.col("y.root"))
-    meets = meets & linked(a, b, max_bits) & (_first_slot(a.bitwiseXOR(b)) == F.col("x.slot"))
-    rest = x.join(y, meets).select(a.alias("a"), b.alias("b"))
+    meets = meets & (_first_slot(a.bitwiseXOR(b)) == F.col("x.slot"))
+    rest = linked(x.join(y, meets), a, b, max_bits).select(a.alias("a"), b.alias("b"))
     out = stored(connected(near.union(rest)), "classes")
     dropped(members, near, labelled)
     return out
 
 
+def _repeated_pivots(labelled: DataFrame, near: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Members of mixed postings again against pivots: in every round the members of a posting that lie
+    outside the component of its largest part meet that part's smallest and largest member.
+
+    The rounds only join what pairs would join later; they end after PIVOT_ROUNDS or when nothing
+    joins, and leave fewer components to compare pair by pair.
+    """
+    for _ in range(PIVOT_ROUNDS):
+        parts = labelled.groupBy("slot", "bytes", "root").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+        main = parts.groupBy("slot", "bytes").agg(F.max(F.struct("n", "root", "lo", "hi")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
+        rows = labelled.join(main.select("slot", "bytes", "m.*").withColumnRenamed("root", "main"), ["slot", "bytes"]).where("root <> main")
+        more = [linked(rows, F.col("fp"), F.col(p), max_bits).select(F.col("fp").alias("a"), F.col(p).alias("b")) for p in ("lo", "hi")]
+        found = stored(more[0].union(more[1]).distinct(), "pivots")
+        if found.isEmpty():
+            dropped(found)
+            break
+        after = stored(near.union(found), "pivots")
+        roots = stored(connected(after), "roots")
+        again = stored(labelled.join(roots, F.col("fp") == F.col("node"), "left").select("slot", "bytes", "fp", F.coalesce(roots["root"], F.col("fp")).alias("root")), "labelled")
+        dropped(labelled, near, found, roots)
+        labelled, near = again, after
+    return labelled, near
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fp (signed 64-bit), component_id (smallest doc_id reachable).
 
@@ -156,13 +184,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int =
     of docs are not read. An empty table gives an empty result.
     """
     rows = stored(fingerprints(docs, width), "fingerprints")
-    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
     linked_fps = classes(fps, max_bits)
     rooted = fps.join(linked_fps.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = rooted.select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = stored(rooted.select("fp", "low", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    smallest = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("fps")), "smallest")
+    named = stored(joined(rooted, smallest, ["root"], "fps", fps.count()).select("fp", "n", "component_id"), "named")
+    return joined(rows, named, ["fp"], "n", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -175,6 +203,7 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and class of near duplicates; see near_duplicates()."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
