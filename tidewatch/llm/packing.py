@@ -1,15 +1,17 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source has a queue of its documents' tokens and a share of the mixture. Queues are served in
-quanta of QUANTUM tokens: served next is the queue whose deficit (its share of all tokens sent so
-far, less what it has sent) allows half its quantum first. A queue's deficit thus stays within a
-quantum, in any window, and is carried from window to window and from partition to partition.
-
-The order has a closed form: quantum k of a queue with weight w is due at virtual time
-middle / w, and the place of a quantum in the stream is the number of tokens due before it in all
-queues. So each task lays out its own documents from the queues' lengths alone; nothing passes
-from task to task but the tokens that earlier tasks put into each queue. The stream is cut into
-sequences of LENGTH; only the last can need padding.
+Every source has a queue of its documents' tokens and a share of the mixture. Each round visits the
+queues in order and adds a queue's credit, in proportion to its share, to its deficit counter; the
+queue then sends quanta of QUANTUM tokens as long as its counter covers them, and keeps the rest for
+the next round. A sequence ends where it is full, so deficits are carried from window to window and
+from partition to partition.
+
+The order has a closed form: a quantum is sent in the first round whose credits cover the queue's
+tokens up to its end, and what queue r has sent by the end of a round follows from its length and
+credit alone. So the place of a quantum in the stream is a sum over the queues, and each task lays out
+its own documents from the queues' lengths; nothing passes from task to task but the tokens that
+earlier tasks put into each queue. The stream is cut into sequences of LENGTH; only the last can need
+padding.
 """
 
 from __future__ import annotations
@@ -23,14 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import stored, table, trimmed
+from tidewatch.llm.shared import new_path, stored, table, trimmed
+from tidewatch.llm.shelf import Shelf
 from tidewatch.session import ship
 
 LENGTH = 2048
 QUANTUM = 256
 EOS = 1
 TOKENIZER = "word_bpe_49k.json"
-MAX_QUEUES = 256
+CREDIT = 1 << 16  # parts of a token in which credits are counted
+SUMMED = 1024
+GOLDEN = 0.6180339887498949
 CACHE = 100_000
 # White space of the tokenizer's pattern: of what str.split() takes, without \x1c-\x1f.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
@@ -211,48 +216,47 @@ def _tokenize(path: str, eos: int):
 
 
 class Mixture:
-    """Virtual times and stream places of quanta; queues in order of name, weights as given or natural."""
+    """Rounds and stream places of quanta; queues in order of name, with the share of each.
 
-    def __init__(self, lengths: list[int], weights: list[float], quantum: int):
-        self.lengths, self.weights, self.quantum = np.array(lengths, np.int64), np.array(weights, np.float64), quantum
+    Credits are counted in parts of a token (CREDIT), the largest share gets a quantum a round. Every
+    counter starts below a quantum.
+    """
 
-    def due(self, q: int, k: np.ndarray) -> np.ndarray:
-        """When quantum k of queue q is due: its middle over the queue's weight."""
-        return (k * self.quantum + np.minimum((k + 1) * self.quantum, self.lengths[q])) / 2 / self.weights[q]
+    def __init__(self, lengths, shares, quantum: int):
+        self.lengths, self.quantum = np.asarray(lengths, np.int64), quantum
+        shares = np.asarray(shares, np.float64)
+        # counters start at different parts of a quantum, so that queues of one share do not send in one round
+        self.starts = (np.arange(len(shares)) * GOLDEN % 1.0 * quantum * CREDIT).astype(np.int64)
+        self.credits = np.maximum(np.rint(shares / shares.max(initial=0.0) * quantum * CREDIT) if len(shares) else shares, 1).astype(np.int64)
+
+    def round(self, q: int, k: np.ndarray) -> np.ndarray:
+        """The round, from 1, in which quantum k of queue q is sent."""
+        end = np.minimum((k + 1) * self.quantum, self.lengths[q])
+        return np.maximum(-((self.starts[q] - end * CREDIT) // self.credits[q]), 1)
+
+    def sent(self, rounds: np.ndarray, queues: slice) -> np.ndarray:
+        """Tokens that the queues have sent by the end of each round."""
+        out = np.zeros(len(rounds), np.int64)
+        for at in range(queues.start, queues.stop, SUMMED):  # so many queues at once
+            part = slice(at, min(at + SUMMED, queues.stop))
+            lengths, given = self.lengths[part], np.where(rounds[:, None] > 0, rounds[:, None] * self.credits[part] + self.starts[part], 0)
+            out += np.where(given >= lengths * CREDIT, lengths, given // (self.quantum * CREDIT) * self.quantum).sum(axis=1)
+        return out
 
     def place(self, q: int, k: np.ndarray) -> np.ndarray:
-        """Tokens in the stream before quantum k of queue q."""
-        due = self.due(q, k)
-        out = np.zeros(len(k), np.int64)
-        for r in range(len(self.lengths)):
-            if r == q:
-                out += k * self.quantum
-                continue
-            last = -(-int(self.lengths[r]) // self.quantum)
-            n = np.clip((due * self.weights[r] / self.quantum).astype(np.int64), 0, last)
-
-            def earlier(c: np.ndarray, r: int = r, last: int = last) -> np.ndarray:
-                own = self.due(r, np.minimum(c, last - 1))
-                return (c < last) & ((own < due) | ((own == due) & (r < q)))
-
-            while (up := earlier(n)).any():
-                n += up
-            while (down := (n > 0) & ~earlier(n - 1)).any():
-                n -= down
-            out += np.minimum(n * self.quantum, self.lengths[r])
-        return out
+        """Tokens in the stream before quantum k of queue q: the queues before it have had the round."""
+        rounds = self.round(q, k)
+        different, inverse = np.unique(rounds, return_inverse=True)
+        others = self.sent(different, slice(0, q)) + self.sent(different - 1, slice(q + 1, len(self.lengths)))
+        return others[inverse] + k * self.quantum
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
 
 
-def _lay_out(names: list[str], mixture: Mixture, length: int):
-    number = {name: i for i, name in enumerate(names)}
-    quantum = mixture.quantum
-
-    def pieces(queue: str, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+def _lay_out(shelf: Shelf, quantum: int, length: int):
+    def pieces(mixture: Mixture, q: int, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """For documents at queue places first: the document, start, length and stream place of each piece."""
-        q = number[queue]
         low, high = first // quantum, (first + sizes - 1) // quantum
         count = high - low + 1
         doc = np.repeat(np.arange(len(first)), count)
@@ -278,16 +282,17 @@ def _lay_out(names: list[str], mixture: Mixture, length: int):
         return doc[heads], start[heads], np.add.reduceat(size, heads) if len(heads) else size, at[heads]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixture = Mixture(shelf.get("lengths"), shelf.get("shares"), quantum)
         for batch in batches:
-            ids = batch.column(2)
-            queues = np.array(batch.column(1).to_pylist(), object)
-            sizes, first = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            ids, names = batch.column(2), batch.column(1)
+            sizes, first, queues = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy()
             docs = batch.column(0)
-            for queue in dict.fromkeys(queues.tolist()):
-                rows = np.flatnonzero(queues == queue)
+            for q in np.unique(queues).tolist():
+                rows = np.flatnonzero(queues == q)
+                queue = names[int(rows[0])].as_py()
                 for at in range(0, len(rows), 512):
                     part = rows[at : at + 512]
-                    doc, start, size, place = pieces(queue, first[part], sizes[part])
+                    doc, start, size, place = pieces(mixture, q, first[part], sizes[part])
                     raw = [ids[int(i)].as_py() for i in part]
                     data = [np.frombuffer(x, f"<u{len(x) // n}").astype("<u4").tobytes() for x, n in zip(raw, sizes[part].tolist(), strict=True)]
                     crc = [zlib.crc32(data[d][4 * s : 4 * (s + n)]) for d, s, n in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)]
@@ -306,13 +311,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] | None = None, length: int = LENGTH, quantum: int = QUANTUM, eos: int = EOS, max_queues: int = MAX_QUEUES) -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] | None = None, length: int = LENGTH, quantum: int = QUANTUM, eos: int = EOS) -> DataFrame:
     """One row per piece of a document in a sequence: the columns of PIECES.
 
-    docs has doc_id, text and source. weights gives target shares by source; without it shares
-    follow the sources' sizes, so all queues end together. With it, each window holds its targets
-    as long as all queues last; what remains after a queue ends is shared among the others, and
-    nothing is dropped. More than max_queues sources are dealt over that many queues by hash.
+    docs has doc_id, text and source; every source is a queue of its own, however many there are. weights
+    gives target shares by source (those not named get 1); without it shares follow the sources'
+    sizes, so all queues end together. With it, each window holds its targets as long as all queues
+    last; what remains after a queue ends is shared among the others, and nothing is dropped. The
+    list of sources with their sizes comes to the driver; tasks map it from the shared folder.
 
     Null texts count as empty: every row has at least its end id. Null sources are one queue.
     Rows that repeat, doc_ids too, are packed each for itself; a document of any length is cut
@@ -325,17 +331,20 @@ def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] |
     path = path or tokenizer_path()
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("queue"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if weights is None and narrow.select("queue").distinct().limit(max_queues + 1).count() > max_queues:
-        narrow = narrow.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))
     tokens = stored(narrow.mapInArrow(_tokenize(path, eos), TOKENS), "tokens")
     sums = stored(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "sums")
     queues = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()
     names, lengths = [r["queue"] for r in queues], [r["n"] for r in queues]
     shares = [float(weights.get(n, 1.0)) for n in names] if weights else [float(n) for n in lengths]
-    starts = sums.selectExpr("queue", "part", "sum(n) OVER (PARTITION BY queue ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS begin")
-    placed = tokens.join(starts, ["queue", "part"]).select("doc_id", "queue", "ids", "n", (F.col("begin") + F.col("before")).alias("first"))
-    return placed.mapInArrow(_lay_out(names, Mixture(lengths, shares, quantum), length), PIECES)
+    shelf = Shelf(new_path(spark, "mixture"))
+    shelf.put("lengths", np.array(lengths, np.int64))
+    shelf.put("shares", np.array(shares, np.float64))
+    numbers = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "queue string, number int")
+    starts = sums.selectExpr("queue", "part", "sum(n) OVER (PARTITION BY queue ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS begin").join(numbers, "queue")
+    placed = tokens.join(starts, ["queue", "part"]).select("doc_id", "queue", "ids", "n", (F.col("begin") + F.col("before")).alias("first"), "number")
+    return placed.mapInArrow(_lay_out(shelf, quantum, length), PIECES)
 
 
 def op1_mixture_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens, in the shares their sources have; see packed()."""
     return packed(table(spark, sf_dir, "documents"))
