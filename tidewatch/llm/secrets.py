@@ -31,7 +31,7 @@ LOOSE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])(?=
 ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z]{2,16}|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|ssh)://[A-Za-z0-9._:@/-]{4,}+"
 WEAK = (("ident", IDENT), ("loose", LOOSE), ("endpoint", ENDPOINT))
 SCOPE = 200
-CHUNK = 64
+CHUNK = 128
 ORDER = ("assign", "access", "hex", "ident", "loose", "endpoint")
 
 
@@ -44,7 +44,7 @@ def _total(part: Column) -> Column:
     return F.aggregate(part, F.lit(0), lambda a, x: a + x)
 
 
-def _prefix(lengths: Column, levels: int = 4) -> Column:
+def _prefix(lengths: Column, levels: int = 3) -> Column:
     """Running sums before each element, in time that grows with the array alone (to CHUNK^levels elements):
     sums before each chunk, from the chunks' own running sums, and within the chunk."""
     places = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: i - 1)
@@ -70,15 +70,18 @@ def _found(df: DataFrame, kind: str, pattern: str, rank: int, least: int = 0, gr
     the code points. The shorter parts of a match, where a group decides, are tested afterwards.
     """
     df = df.withColumn("_hits", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    df = df.withColumn("_gaps", F.when(F.size("_hits") > 0, F.transform(F.split("text", pattern, -1), F.char_length)))
-    lengths = F.transform(F.sequence(F.lit(0), F.size("_hits") - 1), lambda i: F.get("_gaps", i) + F.when(i > 0, F.char_length(F.get("_hits", i - 1))).otherwise(0))
-    df = df.withColumn("_steps", F.when(F.size("_hits") > 0, lengths))
-    df = df.withColumn("_starts", F.when(F.size("_hits") > 0, _prefix(F.col("_steps"))))
     decides = (lambda h: F.char_length(F.regexp_extract(h, pattern, group))) if group else F.char_length
-    spans = F.transform("_hits", lambda h, i: F.struct((F.get("_starts", i) + F.get("_steps", i)).alias("start"), (F.get("_starts", i) + F.get("_steps", i) + F.char_length(h)).alias("end"), F.lit(rank).alias("rank"), (decides(h) >= least).alias("ok")))
-    kept = F.transform(F.filter(spans, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank")))
+    before = lambda i: F.when(i > 0, F.char_length(F.get("_hits", i - 1))).otherwise(0)
+    steps = lambda gaps: F.transform(F.sequence(F.lit(0), F.size("_hits") - 1), lambda i: F.char_length(F.get(gaps, i)) + before(i))
+
+    def spans(own: Column, sums: Column) -> Column:
+        """From each match's distance to the one before and the sums of these."""
+        found = F.transform("_hits", lambda h, i: F.struct((F.get(sums, i) + F.get(own, i)).alias("start"), (F.get(sums, i) + F.get(own, i) + F.char_length(h)).alias("end"), F.lit(rank).alias("rank"), (decides(h) >= least).alias("ok")))
+        return F.transform(F.filter(found, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank")))
+
+    kept = _let(F.split("text", pattern, -1), lambda gaps: _let(steps(gaps), lambda own: _let(_prefix(own), lambda sums: spans(own, sums))))
     none = F.array().cast("array<struct<start:int,end:int,rank:int>>")
-    return df.withColumn(kind, F.when(F.size("_hits") > 0, kept).otherwise(none)).drop("_hits", "_gaps", "_steps", "_starts")
+    return df.withColumn(kind, F.when(F.size("_hits") > 0, kept).otherwise(none)).drop("_hits")
 
 
 def parts(docs: DataFrame) -> DataFrame:
