@@ -43,8 +43,19 @@ TEMPLATES = {
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
+    "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+#: Words that a span must hold, and those it must not, to have a license's name: versions and kinds.
+MUST = {"GPL-3.0-notice": ("3",), "GPL-2.0-notice": ("2",), "GPL-header": ("3",), "GPL-2.0-header": ("2",), "LGPL-2.1-header": ("lesser", "2", "1"), "LGPL-3.0-header": ("lesser", "3"), "AGPL-3.0-header": ("affero", "3"), "BSD-3-Clause-notice": ("3",), "BSD-2-Clause-notice": ("2",), "Apache-2.0-notice": ("2", "0"), "BSD-3-Clause": ("neither",), "CC-BY-SA-4.0-notice": ("sharealike",)}
+MUST_NOT = {"GPL-3.0-notice": ("lesser", "affero"), "GPL-2.0-notice": ("lesser", "affero"), "GPL-header": ("lesser", "affero"), "GPL-2.0-header": ("lesser", "affero"), "CC-BY-4.0-notice": ("sharealike",)}
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
 
@@ -186,7 +197,11 @@ def found(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple[str
         first = max(0, low - BAND)
         part = ids[first : high + len(template) + BAND + 1]
         least = max(LEAST_WORDS, math.ceil(coverage * len(template)))
+        must, must_not = MUST.get(index.names[t], ()), MUST_NOT.get(index.names[t], ())
         for matched, a, b in aligned(template, part, low - first, high - first, least):
+            span = set(words[a + first : b + first + 2]) if must or must_not else ()  # a version may end it
+            if any(w.encode() not in span for w in must) or any(w.encode() in span for w in must_not):
+                continue
             hits.append((matched, matched / len(template), t, a + first, b + first))
     if not hits:
         return []
@@ -220,7 +235,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     """One row per license found in a document (ROWS); documents without any have none.
 
     Null and empty texts have none; texts are read whole, however long; a repeated row gives its
-    rows again; other columns are not read.
+    rows again; other columns are not read; an empty table gives no rows. Of templates that match
+    equally well at a place, the first stays.
     """
     ship(docs.sparkSession)
     chosen = templates or TEMPLATES
@@ -238,4 +254,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
 
 def op9_license_alignment(spark, sf_dir: str) -> DataFrame:
+    """The licenses found in every whole document, with coverage and span; see scan()."""
     return scan(table(spark, sf_dir, "documents"))
