@@ -146,6 +146,17 @@ def _by(of):
     return out
 
 
+def test_the_tally_rules_pairs_out(spark):
+    a = 0x0102030405060708
+    rows = [(a, a ^ b) for b in (0, 0x0F, 0x0101010101 << 16, 0x0101010100 << 16, 0x8080808080)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    kept = {r["b"] ^ a for r in df.where(simhash.shared_bytes(F.col("a"), F.col("b")) >= 4).collect()}
+    assert kept == {0, 0x0F, 0x0101010100 << 16}
+    meet = simhash.postings(df.select(F.col("b").alias("fp"))).where("fp <> 0").groupBy("slot", "bytes").count().where("count > 1").count()
+    assert meet > 0
+    assert {r["b"] ^ a for r in simhash.linked(df, F.col("a"), F.col("b")).collect()} == {0, 0x0F, 0x0101010100 << 16}
+
+
 def test_every_four_positions_hold_a_triple():
     from itertools import combinations
 
@@ -220,6 +231,13 @@ def test_weak_parts_only_in_company(docs):
     assert got[19] == ["ident", "loose", "endpoint"] and got[20] == [] and got[0] == []
 
 
+def test_long_parts_and_many_hits(spark):
+    texts = ["client_id=" + "i" * 10_000 + " " + "Zx9Kq2Lw8Vb4" * 900 + " end", "token=abcdef1 " * 30_000]
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(s["start"], s["end"]) for s in got[0]] == [(0, 10_010), (10_011, 10_011 + 10_800)]
+    assert [(s["start"], s["end"]) for s in got[1]] == [(14 * i, 14 * i + 13) for i in range(30_000)]
+
+
 def test_far_parts_do_not_meet(spark):
     far = "client_id=abcd1234 " + "word " * 200 + "Zx9Kq2Lw8Vb4Nm7Tp1Ys"
     assert secrets.scan(spark.createDataFrame([(1, far)], "doc_id long, text string")).first()["spans"] == []
@@ -265,7 +283,7 @@ def test_packing_is_whole(docs, empty):
     path = packing.tokenizer_path()
     reference = Tokenizer.from_file(path)
     want = Counter((r[0], tuple(reference.encode(r[1] or "", add_special_tokens=False).ids + [1])) for r in _rows())
-    for kwargs in ({}, {"length": 64, "quantum": 16}, {"length": 32, "quantum": 32, "weights": {"s0": 3.0, "hot": 0.5}}, {"max_queues": 2}):
+    for kwargs in ({}, {"length": 64, "quantum": 16}, {"length": 32, "quantum": 32, "weights": {"s0": 3.0, "hot": 0.5}}):
         pieces = packing.packed(docs, **kwargs).collect()
         length = kwargs.get("length", 2048)
         filled = defaultdict(list)
@@ -291,6 +309,48 @@ def test_mixture_keeps_deficits_below_a_quantum(spark):
     assert (sent.sub(np.outer(sent.sum(axis=1), share))).abs().max().max() <= 2 * 64
 
 
+def _rounds(lengths, credits, starts, quantum):
+    """Deficit round-robin as it is told: (queue, quantum, tokens) in the order sent."""
+    deficit, at, out = list(starts), [0] * len(lengths), []
+    while any(a < n for a, n in zip(at, lengths, strict=True)):
+        for q, n in enumerate(lengths):
+            if at[q] < n:
+                deficit[q] += credits[q]
+                while at[q] < n and deficit[q] >= (size := min(quantum, n - at[q])) * packing.CREDIT:
+                    out.append((q, at[q] // quantum, size))
+                    at[q] += size
+                    deficit[q] -= size * packing.CREDIT
+    return out
+
+
+def test_places_are_those_of_deficit_round_robin():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 5, 40):
+        lengths = rng.integers(1, 3000, n)
+        for shares in (lengths, rng.random(n) + 0.01, np.ones(n)):
+            mixture = packing.Mixture(lengths, shares, 64)
+            at, want = 0, {}
+            for q, k, size in _rounds(lengths.tolist(), mixture.credits.tolist(), mixture.starts.tolist(), 64):
+                want[q, k] = at
+                at += size
+            got = {(q, k): int(p) for q, length in enumerate(lengths) for k, p in enumerate(mixture.place(q, np.arange(-(-length // 64))))}
+            assert got == want
+
+
+def test_explicit_weights_hold_in_every_window(spark):
+    df = spark.createDataFrame([(i, "word " * 60, f"s{i % 2}") for i in range(600)], "doc_id long, text string, source string")
+    rows = packing.packed(df, weights={"s0": 3.0, "s1": 1.0}, length=256, quantum=32).toPandas()
+    sent = rows.groupby(["sequence_id", "queue"])["length"].sum().unstack(fill_value=0)
+    full = sent[(sent["s0"] > 0).cummin()].iloc[:-1]
+    assert len(full) > 50 and (full["s0"] - 192).abs().max() <= 2 * 32
+
+
+def test_every_source_is_a_queue(spark):
+    df = spark.createDataFrame([(i, "a b c d", f"s{i % 300}") for i in range(900)], "doc_id long, text string, source string")
+    rows = packing.packed(df, length=64, quantum=4)
+    assert rows.select("queue").distinct().count() == 300 and rows.agg(F.sum("length")).first()[0] == 900 * 5
+
+
 def test_word_tokenizer_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -320,6 +380,23 @@ def test_top_k(spark):
         assert 600 not in got and 700 not in got and 800 not in got
 
 
+def test_top_k_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(30)]
+    rows += [(0, rng.normal(size=6).round(2).tolist()), (0, rows[0][1]), (0, rows[0][1]), (5, rows[5][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, np.floor(1024 * np.asarray(v))) for i, v in rows]
+    want = Counter()
+    for q, (own, x) in enumerate(whole):
+        if own % 100 == 0:
+            best = sorted((-int(x @ v), i) for c, (i, v) in enumerate(whole) if c != q)[:10]
+            want.update((own, rank, i, -s) for rank, (s, i) in enumerate(best, 1))
+    for block, passes in ((4096, 64), (2, 1)):
+        got = Counter(map(tuple, topk.top_k(df, df.where("vec_id % 100 = 0"), 10, block=block, blocks_a_pass=passes).select("query_id", "rank", "vec_id", "score").collect()))
+        assert got == want and sum(want.values()) == 40
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     q, x = rng.normal(size=(20, 30)), rng.normal(size=(50, 30)) + 1
@@ -498,6 +575,34 @@ def test_repeated_notices(name, between):
         assert [text[a:b] for *_, a, b in got] == [notice.rstrip(".")] * n
 
 
+def test_versions_and_kinds_are_told_apart():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        got = licenses.found(f"x y {text} z", index)
+        assert [g[0] for g in got] == [name] and got[0][1] == 1.0, name
+    assert [g[0] for g in licenses.found(licenses.TEMPLATES["GPL-2.0-notice"].replace("2", "7"), index)] == []
+
+
+def test_licenses_against_alignment_everywhere():
+    rng = np.random.default_rng(21)
+    index, names = licenses.Index(licenses.TEMPLATES), list(licenses.TEMPLATES)
+    caught = planted = 0
+    for _ in range(60):
+        name = names[rng.integers(len(names))]
+        words = licenses.TEMPLATES[name].split()
+        for i in range(len(words)):
+            if rng.random() < 0.08 and not any(m in words[i].lower() for m in licenses.MUST.get(name, ())):
+                words[i] = "changed"
+        text = " ".join(["lorem"] * int(rng.integers(0, 40)) + words + ["ipsum"] * int(rng.integers(0, 40)))
+        ids = np.array([index.ids.get(w, 0) for w in text.encode().translate(licenses.FOLD).split()], np.int32)
+        template = index.words[names.index(name)]
+        least = max(licenses.LEAST_WORDS, math.ceil(licenses.COVERAGE * len(template)))
+        if licenses.aligned(template, ids, -len(template), len(ids), least):
+            planted += 1
+            caught += name in [g[0] for g in licenses.found(text, index)]
+    assert planted >= 40 and caught >= 0.9 * planted
+
+
 def test_winnowing_shares_a_fingerprint():
     rng = np.random.default_rng(9)
     run = rng.integers(1, 500, licenses.WINDOW + licenses.GRAM - 1)

@@ -154,6 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Machine:
     """A machine from the labelled rows that are not held out: the first most of them by hash of doc_id.
 
     labels has doc_id and quality; rows where either is null are left out, repeated ids count once.
+    Documents that repeat a labelled id count each, which only makes more rows. Without any labelled
+    row the machine scores all alike.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
@@ -221,6 +223,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, m
 
 
 def op3_factorisation_machine(spark, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learnt from labelled rows that are not held out; see fit() and scored()."""
     docs = table(spark, sf_dir, "documents")
     machine = fit(docs, table(spark, sf_dir, "labels"))
     out = scored(docs, machine, "doc_id")
