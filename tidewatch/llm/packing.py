@@ -283,9 +283,11 @@ def _lay_out(shelf: Shelf, quantum: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixture = Mixture(shelf.get("lengths"), shelf.get("shares"), quantum)
+        number = {name: q for q, name in enumerate(shelf.get("names").tolist())}
         for batch in batches:
             ids, names = batch.column(2), batch.column(1)
-            sizes, first, queues = batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            sizes, first = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            queues = np.array([number[x] for x in names.to_pylist()], np.int64)
             docs = batch.column(0)
             for q in np.unique(queues).tolist():
                 rows = np.flatnonzero(queues == q)
@@ -339,9 +341,9 @@ def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] |
     shelf = Shelf(new_path(spark, "mixture"))
     shelf.put("lengths", np.array(lengths, np.int64))
     shelf.put("shares", np.array(shares, np.float64))
-    numbers = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "queue string, number int")
-    starts = sums.selectExpr("queue", "part", "sum(n) OVER (PARTITION BY queue ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS begin").join(numbers, "queue")
-    placed = tokens.join(starts, ["queue", "part"]).select("doc_id", "queue", "ids", "n", (F.col("begin") + F.col("before")).alias("first"), "number")
+    shelf.put("names", np.array(names, np.str_))
+    starts = sums.selectExpr("queue", "part", "sum(n) OVER (PARTITION BY queue ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS begin")
+    placed = tokens.join(starts, ["queue", "part"]).select("doc_id", "queue", "ids", "n", (F.col("begin") + F.col("before")).alias("first"))
     return placed.mapInArrow(_lay_out(shelf, quantum, length), PIECES)
 
 
