@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -164,6 +165,59 @@ def test_every_four_positions_hold_a_triple():
     assert len(found) == 20 and all(any(t <= set(four) for t in found) for four in combinations(range(8), 4))
 
 
+def test_near_copies_against_all_pairs(spark):
+    """Copies with a share of their words replaced, a chain of copies, a hot template, repeated and odd texts."""
+    draw = np.random.default_rng(11)
+    word = lambda n: ["".join(map(chr, draw.integers(97, 123, 7))) for _ in range(n)]
+    texts = [None, "", " \n", "one", "one", "One two three four", "one two three four five"]
+    for length in (12, 60, 200, 200, 900):
+        base = word(length)
+        texts.append(" ".join(base))
+        for share in (0.005, 0.01, 0.02, 0.03, 0.04, 0.06) * 3:
+            copy = list(base)
+            for at in np.flatnonzero(draw.random(length) < share):
+                copy[at] = word(1)[0]
+            texts.append(" ".join(copy))
+    step = word(120)
+    for at in range(0, 100, 5):  # neighbours are alike, ends are not
+        step = step[:at] + word(1) + step[at + 1 :]
+        texts.append(" ".join(step))
+    template = word(80)
+    texts += [" ".join([*word(30), *template]) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    sets = [set(simhash.distinct_hashes(t or "").tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(range(len(texts)), 2):
+        if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    want = {i: top(i) for i in range(len(texts))}
+    got = {r["node"]: r["root"] for r in components.connected(simhash.near_copies(rows)).collect()}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) < len(texts) - 60
+    assert simhash.near_copies(rows.limit(0)).count() == 0
+    kept = simhash.one_of_each(rows.select(F.col("node").alias("doc_id"), "text", F.lit(1).alias("node"), F.lit("x").alias("root")))
+    assert kept.columns == ["doc_id", "text", "node", "root"] and {r["doc_id"] for r in kept.collect()} <= set(want.values())
+
+
+def test_tally_of_sketches(spark):
+    draw = np.random.default_rng(3)
+    a = draw.integers(0, 256, (50, simhash.POSITIONS)).astype(np.uint8)
+    b = np.where(draw.random(a.shape) < np.linspace(0, 1, 50)[:, None], a, draw.integers(0, 256, a.shape)).astype(np.uint8)
+    rows = [(i, x.view("<i8").tolist(), y.view("<i8").tolist()) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+    slots = [simhash._slot(F.col("a"), s).alias(f"s{s}") for s in range(simhash.SLOTS)]
+    for r in df.select("i", simhash._tally(F.col("a"), F.col("b")).alias("n"), *slots).collect():
+        assert r["n"] == int((a[r["i"]] == b[r["i"]]).sum())
+        assert [r[f"s{s}"] for s in range(simhash.SLOTS)] == [int.from_bytes(a[r["i"], 6 * s : 6 * s + 6].tobytes(), "little") for s in range(simhash.SLOTS)]
+
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 30)] + [(100, 200), (200, 100), (7, 7)] + [(500, i) for i in range(501, 560)]
     got = dict(map(tuple, components.connected(spark.createDataFrame(links, "a long, b long")).collect()))

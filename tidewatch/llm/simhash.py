@@ -11,11 +11,17 @@ Only connected classes are asked for, so members of a posting are first compared
 pivots, and those outside a posting's largest component again with pivots of it. What those links
 already join needs no further comparison; all members of a posting that still lie in different
 components are then compared pair by pair, so that no link between different components is lost.
+
+Four bits stand for a high similarity only: texts that share 0.8 of their shingles differ in about
+ten of 64 bits, too many for any guaranteed byte. near_copies() therefore builds the same index,
+with the same pivots and the same tally, on longer sketches whose bytes are min-wise: a byte of
+one position is equal with a probability that is the texts' similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -34,27 +40,41 @@ SEED = 42
 CHUNK = 1 << 15
 PIVOT_ROUNDS = 3
 
+COPY_WORDS = 5
+SIMILARITY = 0.8
+SLOT_BYTES = 6
+SLOTS = 20
+POSITIONS = SLOT_BYTES * SLOTS
+SKETCH_CHUNK = 1 << 12
 
-def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash of the word shingles of a whole text; 0 where there is no word."""
+
+def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
+    """The hashes of a whole text's word shingles, repeats included, in chunks; none where there is no word."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return digest(b" ".join(words), SEED)
     joined = b" ".join(words)
+    if len(words) <= width:
+        yield np.array([digest(joined, SEED)], dtype="<u8")
+        return
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(first), CHUNK):
         pairs = zip(first[at : at + CHUNK], last[at : at + CHUNK], strict=True)
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+
+
+def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash of the word shingles of a whole text; 0 where there is no word."""
+    votes, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, width):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << int(i) for i in np.flatnonzero(votes * 2 > len(first))))
+        total += len(hashes)
+    return int(sum(1 << int(i) for i in np.flatnonzero(votes * 2 > total)))
 
 
 def _signed(value: int) -> int:
@@ -123,35 +143,68 @@ def _first_slot(differing: Column) -> Column:
     return found
 
 
+@dataclass(frozen=True)
+class Linking:
+    """How the members of a posting are linked.
+
+    keep: pairs that reach the least tally of shared positional bytes; name: a member's node number;
+    verify: those of the named pairs (a, b) that are links; once: where a pair of two postings counts.
+    """
+
+    keep: Callable[[DataFrame, Column, Column], DataFrame]
+    name: Callable[[Column], Column] = lambda member: member
+    verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs
+    once: Callable[[Column, Column, Column], Column] = lambda a, b, slot: F.lit(True)
+
+    def links(self, pairs: DataFrame, *ends: tuple[Column, Column]) -> DataFrame:
+        """(a, b): the links among pairs, whose members stand in the columns named by ends."""
+        kept = [self.keep(pairs, a, b).select(self.name(a).alias("a"), self.name(b).alias("b")) for a, b in ends]
+        out = kept[0]
+        for more in kept[1:]:
+            out = out.union(more)
+        return self.verify(out.where("a <> b").distinct())
+
+
 def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp, root): the classes of distinct fingerprints that links of max_bits bits or fewer join.
+    """(node, root): the classes of distinct fingerprints that links of max_bits bits or fewer join.
 
     fps has one row per distinct fingerprint; those without any link are left out.
     """
     if max_bits > 4:
         raise ValueError("triples of bytes find pairs of up to four differing bits")
-    index = postings(fps)
-    shared = index.groupBy("slot", "bytes").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
+    how = Linking(
+        keep=lambda pairs, a, b: linked(pairs, a, b, max_bits),
+        once=lambda a, b, slot: _first_slot(a.bitwiseXOR(b)) == slot,
+    )
+    return _joined_classes(postings(fps).withColumnRenamed("fp", "member"), how)
+
+
+def _joined_classes(index: DataFrame, how: Linking) -> DataFrame:
+    """(node, root): the classes that links between members of a posting join; index: (slot, bytes, member)."""
+    shared = index.groupBy("slot", "bytes").agg(F.min("member").alias("lo"), F.max("member").alias("hi")).where("lo <> hi")
     members = stored(index.join(shared, ["slot", "bytes"]), "postings")
-    pivots = [linked(members.where(F.col("fp") != F.col(p)), F.col("fp"), F.col(p), max_bits).select(F.col("fp").alias("a"), F.col(p).alias("b")) for p in ("lo", "hi")]
-    near = stored(pivots[0].union(pivots[1]).distinct(), "pivots")
-    roots = connected(near)
-    labelled = members.join(roots, F.col("fp") == F.col("node"), "left").select("slot", "bytes", "fp", F.coalesce("root", "fp").alias("root"))
-    labelled = stored(labelled, "labelled")
-    labelled, near = _repeated_pivots(labelled, near, max_bits)
+    member = F.col("member")
+    near = stored(how.links(members, (member, F.col("lo")), (member, F.col("hi"))), "pivots")
+    labelled = stored(_labelled(members.select("slot", "bytes", "member"), connected(near), how), "labelled")
+    labelled, near = _repeated_pivots(labelled, near, how)
     mixed = labelled.groupBy("slot", "bytes").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("slot", "bytes")
     open_rows = labelled.join(mixed, ["slot", "bytes"])
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    a, b = F.col("x.fp"), F.col("y.fp")
+    a, b = F.col("x.member"), F.col("y.member")
     meets = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.root") < F.col("y.root"))
-    meets = meets & (_first_slot(a.bitwiseXOR(b)) == F.col("x.slot"))
-    rest = linked(x.join(y, meets), a, b, max_bits).select(a.alias("a"), b.alias("b"))
+    rest = how.links(x.join(y, meets & how.once(a, b, F.col("x.slot"))), (a, b))
     out = stored(connected(near.union(rest)), "classes")
     dropped(members, near, labelled)
     return out
 
 
-def _repeated_pivots(labelled: DataFrame, near: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+def _labelled(rows: DataFrame, roots: DataFrame, how: Linking) -> DataFrame:
+    """rows (slot, bytes, member) with the root of every member's component, itself where it has no link."""
+    name = how.name(F.col("member"))
+    return rows.join(roots, name == F.col("node"), "left").select("slot", "bytes", "member", F.coalesce("root", name).alias("root"))
+
+
+def _repeated_pivots(labelled: DataFrame, near: DataFrame, how: Linking) -> tuple[DataFrame, DataFrame]:
     """Members of mixed postings again against pivots: in every round the members of a posting that lie
     outside the component of its largest part meet that part's smallest and largest member.
 
@@ -159,22 +212,137 @@ def _repeated_pivots(labelled: DataFrame, near: DataFrame, max_bits: int) -> tup
     joins, and leave fewer components to compare pair by pair.
     """
     for _ in range(PIVOT_ROUNDS):
-        parts = labelled.groupBy("slot", "bytes", "root").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+        parts = labelled.groupBy("slot", "bytes", "root").agg(F.count("*").alias("n"), F.min("member").alias("lo"), F.max("member").alias("hi"))
         main = parts.groupBy("slot", "bytes").agg(F.max(F.struct("n", "root", "lo", "hi")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
         rows = labelled.join(main.select("slot", "bytes", "m.*").withColumnRenamed("root", "main"), ["slot", "bytes"]).where("root <> main")
-        more = [linked(rows, F.col("fp"), F.col(p), max_bits).select(F.col("fp").alias("a"), F.col(p).alias("b")) for p in ("lo", "hi")]
-        found = stored(more[0].union(more[1]).distinct(), "pivots")
+        found = stored(how.links(rows, (F.col("member"), F.col("lo")), (F.col("member"), F.col("hi"))), "pivots")
         if found.isEmpty():
             dropped(found)
             break
         after = stored(near.union(found), "pivots")
         roots = stored(connected(after), "roots")
-        again = stored(labelled.join(roots, F.col("fp") == F.col("node"), "left").select("slot", "bytes", "fp", F.coalesce(roots["root"], F.col("fp")).alias("root")), "labelled")
+        again = stored(_labelled(labelled.drop("root"), roots, how), "labelled")
         dropped(labelled, near, found, roots)
         labelled, near = again, after
     return labelled, near
 
 
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    """For every position of a sketch an odd factor and a mask, the same on every machine."""
+    drawn = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, POSITIONS, 1), dtype=np.uint64)
+    return drawn[0] | np.uint64(1), drawn[1]
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """POSITIONS bytes, eight in a number, of distinct shingle hashes: at each position the low byte of
+    its least rehashed value."""
+    factors, masks = _multipliers()
+    least = np.full(POSITIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), SKETCH_CHUNK):
+        rehashed = (hashes[None, at : at + SKETCH_CHUNK] ^ masks) * factors
+        least = np.minimum(least, rehashed.min(axis=1))
+    return least.astype(np.uint8).view("<i8")
+
+
+def distinct_hashes(text: str, width: int = COPY_WORDS) -> np.ndarray:
+    """The distinct shingle hashes of a whole text, sorted."""
+    chunks = list(shingle_hashes(text, width))
+    return np.unique(np.concatenate(chunks)) if chunks else np.empty(0, dtype="<u8")
+
+
+def _of_texts(rows: DataFrame, column: str, make: Callable[[str], np.ndarray | None]) -> DataFrame:
+    """(node, column) for rows (node, text) where make() gives numbers; make sees every whole text once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([make(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["node", column]).filter(made.is_valid())
+        trimmed()
+
+    ship(rows.sparkSession)
+    return rows.select("node", "text").mapInArrow(run, f"node long, {column} array<long>")
+
+
+def least_tally(similarity: float) -> int:
+    """Shared positional bytes that pairs of this similarity reach but for a chance of about one in 10^5."""
+    return int(POSITIONS * similarity - 4.3 * (POSITIONS * similarity * (1 - similarity)) ** 0.5)
+
+
+def near_copies(rows: DataFrame, width: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links that join all texts whose sets of word shingles have this Jaccard similarity or more.
+
+    rows: (node long, text string), nodes distinct and not null. Sketches go into an inverted index
+    keyed by six neighbouring positional bytes; pairs that meet have all shared bytes tallied, and
+    those that reach least_tally() are verified on their whole sets of shingle hashes. The links
+    returned join the same classes as all links found would. A pair of similarity 0.8 meets with
+    probability 0.998, one of 0.85 but for a chance of 1 in 10^4. Equal sketches are linked
+    outright, texts without words have no link, an empty table gives no rows.
+    """
+    if not 0.75 <= similarity <= 1:
+        raise ValueError("twenty slots of six bytes find texts of similarity 0.75 or more")
+
+    def sketched(text: str) -> np.ndarray | None:
+        hashes = distinct_hashes(text, width)
+        return sketch(hashes) if len(hashes) else None
+
+    made = stored(_of_texts(rows, "sketch", sketched), "sketches")
+    nodes = stored(made.groupBy("sketch").agg(F.min("node").alias("node"), F.count("*").alias("n")), "distinct")
+    same = joined(made, nodes.select("sketch", F.col("node").alias("b"), "n"), ["sketch"], "n", made.count())
+    same = stored(same.select(F.col("node").alias("a"), "b").where("a <> b"), "same")
+    keys = F.array(*[F.struct(F.lit(s).alias("slot"), _slot(F.col("sketch"), s).alias("bytes")) for s in range(SLOTS)])
+    light = nodes.select("node", F.explode(keys).alias("k")).select("k.slot", "k.bytes", "node")
+    shared = light.groupBy("slot", "bytes").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    meeting = stored(light.join(shared.select("slot", "bytes"), ["slot", "bytes"]), "meeting")
+    index = meeting.join(nodes.select("node", "sketch"), "node")
+    index = stored(index.select("slot", "bytes", F.struct("node", "sketch").alias("member")), "index")
+    texts = rows.join(meeting.select("node").distinct(), "node", "left_semi")
+    sets = stored(_of_texts(texts, "hashes", lambda t: distinct_hashes(t, width).view(np.int64)), "shingles")
+    how = Linking(
+        keep=lambda pairs, a, b: pairs.where(_tally(a["sketch"], b["sketch"]) >= least_tally(similarity)),
+        name=lambda member: member["node"],
+        verify=lambda pairs: _similar(pairs, sets, similarity),
+    )
+    found = _joined_classes(index, how)
+    links = stored(same.union(found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")), "links")
+    dropped(made, nodes, same, meeting, index, sets, found)
+    return links
+
+
+def _slot(sketch: Column, slot: int) -> Column:
+    """Six neighbouring positional bytes of a sketch as one number."""
+    at, off = divmod(8 * SLOT_BYTES * slot, 64)
+    part = F.shiftrightunsigned(sketch[at], off)
+    if off + 8 * SLOT_BYTES > 64:
+        part = part.bitwiseOR(F.shiftleft(sketch[at + 1], 64 - off))
+    return part.bitwiseAND(F.lit((1 << 8 * SLOT_BYTES) - 1))
+
+
+def _tally(a: Column, b: Column) -> Column:
+    """How many positional bytes two sketches share."""
+    tally = F.lit(POSITIONS)
+    for i in range(POSITIONS // 8):
+        bits = a[i].bitwiseXOR(b[i])
+        for step in (4, 2, 1):  # the lowest bit of a byte gathers all eight
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
+        tally = tally - F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+    return tally
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets have this Jaccard similarity or more."""
+    candidates = pairs = stored(pairs, "candidates")
+    total = candidates.count()
+    for end in ("a", "b"):
+        uses = candidates.groupBy(end).agg(F.count("*").alias("n"))
+        ends = sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set")).join(uses, end)
+        pairs = joined(pairs, ends, [end], "n", total).drop("n")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    either = F.size("a_set") + F.size("b_set")
+    out = stored(pairs.where(both * (1 + similarity) >= either * similarity - 1e-9).select("a", "b"), "similar")
+    dropped(candidates)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fp (signed 64-bit), component_id (smallest doc_id reachable).
 
@@ -193,12 +361,22 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int =
     return joined(rows, named, ["fp"], "n", rows.count()).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one row of each class of near duplicates: that with the smallest doc_id, nulls last."""
+def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row of each class of near duplicates: that with the smallest doc_id, nulls last.
+
+    Near duplicates are texts that near_duplicates() links, by at most max_bits bits over shingles
+    of width words, and texts that near_copies() links, by this similarity over shingles of five
+    words. Null texts count as empty and empty texts are one class; of repeated rows one stays;
+    an empty table stays empty.
+    """
     rows = keyed(docs)
-    found = near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text"), width, max_bits)
-    named = found.select(F.col("doc_id").alias(KEY), F.col("component_id").alias("_class")).join(rows.select(KEY, F.col("doc_id").alias("_id")), KEY)
-    kept = named.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", KEY))[KEY].alias(KEY)).select(KEY)
+    texts = rows.select(F.col(KEY).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = stored(near_duplicates(texts, width, max_bits).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "near")
+    copies = near_copies(texts.withColumnRenamed("doc_id", "node"), COPY_WORDS, similarity)
+    roots = stored(connected(found.where("a <> b").union(copies)), "roots")
+    ids = rows.select(F.col(KEY).alias("node"), F.col("doc_id").alias("_id"))
+    named = ids.join(roots, "node", "left").select("_id", "node", F.coalesce("root", "node").alias("_class"))
+    kept = named.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "node"))["node"].alias(KEY)).select(KEY)
     return rows.join(kept, KEY, "left_semi").select(*docs.columns)
 
 
