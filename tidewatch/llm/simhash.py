@@ -332,6 +332,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets have this Jaccard similarity or more."""
     candidates = pairs = stored(pairs, "candidates")
     total = candidates.count()
+    if not total:
+        return candidates
     for end in ("a", "b"):
         uses = candidates.groupBy(end).agg(F.count("*").alias("n"))
         ends = sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set")).join(uses, end)
