@@ -319,13 +319,14 @@ def _slot(sketch: Column, slot: int) -> Column:
 
 def _tally(a: Column, b: Column) -> Column:
     """How many positional bytes two sketches share."""
-    tally = F.lit(POSITIONS)
-    for i in range(POSITIONS // 8):
-        bits = a[i].bitwiseXOR(b[i])
+
+    def differing(x: Column, y: Column) -> Column:
+        bits = x.bitwiseXOR(y)
         for step in (4, 2, 1):  # the lowest bit of a byte gathers all eight
             bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
-        tally = tally - F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
-    return tally
+        return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return F.lit(POSITIONS) - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, n: total + n)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
