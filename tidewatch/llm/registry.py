@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import blocknames, gumbel, kneser, licenses, packing, quality, secrets, sharding, simhash, topk
+from tidewatch.llm import blocknames, gumbel, kneser, licenses, packing, quality, secrets, sharding, simhash, topk, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_block_naming": blocknames.op8_block_naming,
         "op9_license_alignment": licenses.op9_license_alignment,
         "op10_kneser_ney": kneser.op10_kneser_ney,
+        "op11_whitening": whitening.op11_whitening,
     }
 
 
