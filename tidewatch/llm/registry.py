@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import blocknames, gumbel, kneser, licenses, packing, quality, secrets, sharding, simhash, topk, trie, whitening
+from tidewatch.llm import blocknames, gumbel, kneser, licenses, minhash, packing, quality, secrets, sharding, simhash, topk, trie, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_kneser_ney": kneser.op10_kneser_ney,
         "op11_whitening": whitening.op11_whitening,
         "op12_conversation_trie": trie.op12_conversation_trie,
+        "op13_circulant_minhash": minhash.op13_circulant_minhash,
     }
 
 
