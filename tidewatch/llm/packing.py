@@ -283,7 +283,8 @@ def _lay_out(shelf: Shelf, quantum: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixture = Mixture(shelf.get("lengths"), shelf.get("shares"), quantum)
-        number = {name: q for q, name in enumerate(shelf.get("names").tolist())}
+        ends, names = shelf.get("name_ends").tolist(), shelf.get("names").tobytes()
+        number = {names[a:b].decode("utf-8", "surrogatepass"): q for q, (a, b) in enumerate(zip([0, *ends], ends, strict=False))}
         for batch in batches:
             ids, names = batch.column(2), batch.column(1)
             sizes, first = batch.column(3).to_numpy(), batch.column(4).to_numpy()
@@ -341,7 +342,9 @@ def packed(docs: DataFrame, path: str | None = None, weights: dict[str, float] |
     shelf = Shelf(new_path(spark, "mixture"))
     shelf.put("lengths", np.array(lengths, np.int64))
     shelf.put("shares", np.array(shares, np.float64))
-    shelf.put("names", np.array(names, np.str_))
+    encoded = [n.encode("utf-8", "surrogatepass") for n in names]
+    shelf.put("names", np.frombuffer(b"".join(encoded), np.uint8))
+    shelf.put("name_ends", np.cumsum([len(n) for n in encoded], dtype=np.int64))
     starts = sums.selectExpr("queue", "part", "sum(n) OVER (PARTITION BY queue ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS begin")
     placed = tokens.join(starts, ["queue", "part"]).select("doc_id", "queue", "ids", "n", (F.col("begin") + F.col("before")).alias("first"))
     return placed.mapInArrow(_lay_out(shelf, quantum, length), PIECES)
