@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import table, trimmed
+from tidewatch.llm.shared import table, trimmed, unused
 from tidewatch.session import ship
 
 BUCKETS = 1 << 14
@@ -137,7 +137,7 @@ def held_out(doc_id: Column, folds: int = FOLDS, held: int = HELD) -> Column:
 
 
 def _size_column(docs: DataFrame) -> Column:
-    return (F.expr("try_cast(n_chars as bigint)") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("_size")
+    return (F.expr("try_cast(n_chars as bigint)") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias(unused(docs, "_size"))
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,16 +154,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Machine:
     """A machine from the labelled rows that are not held out: the first most of them by hash of doc_id.
 
     labels has doc_id and quality; rows where either is null are left out, repeated ids count once.
-    Documents that repeat a labelled id count each, which only makes more rows. Without any labelled
-    row the machine scores all alike.
+    Of documents that repeat a labelled id the one with the least text counts, so at most most rows
+    come to the driver. Without any labelled row the machine scores all alike.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, _size_column(docs)).join(F.broadcast(sample), "doc_id")
-    found = rows.select(F.col("label").cast("int"), "text", "_size").mapInArrow(_featured, "label int, places binary, values binary").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(text, _size_column(docs).alias("size")).alias("row")).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("row").alias("row"))
+    found = rows.select(F.col("label").cast("int"), "row.text", "row.size").mapInArrow(_featured, "label int, places binary, values binary").toArrow()
     places = [np.frombuffer(x.as_py(), np.int32) for x in found.column("places")]
     values = [np.frombuffer(x.as_py(), np.float32) for x in found.column("values")]
     order = sorted(range(len(places)), key=lambda i: (places[i].tobytes(), values[i].tobytes()))  # whatever order Spark gave them
@@ -216,8 +217,11 @@ def scored(docs: DataFrame, machine: Machine, *keep: str, out: str = "score") ->
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_TRAIN) -> DataFrame:
-    """The rows of docs that score threshold or more; columns and texts stay as they are."""
-    out = "_tidewatch_score"
+    """The rows of docs that score threshold or more; columns and texts stay as they are, whatever their names.
+
+    Null and empty texts are scored like any other, repeated rows alike; an empty table stays empty.
+    """
+    out = unused(docs, "_tidewatch_score")
     good = scored(docs, fit(docs, labels, most), *docs.columns, out=out).where(F.col(out) >= threshold)
     return good.select(*docs.columns)
 
