@@ -46,7 +46,7 @@ def test_one_of_equal_texts_stays(stages):
 
 
 def similar(a, b):
-    x, y = (set(simhash.distinct_hashes(t).tolist()) for t in (a, b))
+    x, y = (set(simhash.distinct_hashes(t, 5).tolist()) for t in (a, b))
     return bool(x and y) and len(x & y) >= 0.8 * len(x | y)
 
 

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import KEY, ascii_lower, dropped, joined, keyed, stored, table
+from tidewatch.llm.shared import ascii_lower, dropped, joined, keyed, stored, table
 
 BLOCK_BYTES = 4096
 MAX_TRIES = 8
@@ -118,7 +118,9 @@ FROM d WINDOW w AS (PARTITION BY norm)
 
 
 def deduplicated(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the rows that exact_duplicates() drops; columns and texts stay as they are."""
-    rows = keyed(docs)
-    kept = exact_duplicates(rows, size, (KEY,)).where("kept").select(KEY)
-    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    """docs without the rows that exact_duplicates() drops; columns and texts stay as they are, whatever
+    their names. Null texts count as empty, of equal texts the largest doc_id stays (nulls last), of repeated
+    rows one; an empty table stays empty."""
+    rows, key = keyed(docs)
+    kept = exact_duplicates(rows, size, (key,)).where("kept").select(key)
+    return rows.join(kept, key, "left_semi").select(*docs.columns)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import KEY, keyed, stored, table
+from tidewatch.llm.shared import keyed, stored, table, unused
 
 # The certain kinds in the order they are listed in, with the least length of the
 # group that decides.
@@ -151,11 +151,14 @@ def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """docs with every reported span replaced by [kind] and n_chars, where there is one, set to the new
     length; rows, order of columns and clean texts stay.
 
-    Overlapping spans are merged first and take the name of the one that starts first.
+    Overlapping spans are merged first and take the name of the one that starts first. Null and empty
+    texts stay as they are, repeated rows are redacted each for itself, other columns pass whatever
+    their names; an empty table stays empty.
     """
-    rows = keyed(docs)
-    hits = scan(rows.select(F.col(KEY).alias("doc_id"), "text"), scope).where(F.size("spans") > 0).select(F.col("doc_id").alias(KEY), F.col("spans").alias("_spans"))
-    both = rows.join(hits, KEY, "left")
+    rows, key = keyed(docs)
+    found, new_text = unused(docs, "_spans"), unused(docs, "_new")
+    hits = scan(rows.select(F.col(key).alias("doc_id"), "text"), scope).where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("spans").alias(found))
+    both = rows.join(hits, key, "left")
     names = F.array(*[F.lit(f"[{k}]") for k in ORDER])
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -165,11 +168,11 @@ def redacted(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
             F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
         )
 
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.char_length("text"))))
-    changed = both.withColumn("_new", F.when(F.col("_spans").isNotNull(), masked))
-    new = {"text": F.coalesce("_new", "text")}
+    masked = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.char_length("text"))))
+    changed = both.withColumn(new_text, F.when(F.col(found).isNotNull(), masked))
+    new = {"text": F.coalesce(new_text, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.char_length("_new"), "n_chars").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.coalesce(F.char_length(new_text), "n_chars").cast(docs.schema["n_chars"].dataType)
     return changed.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 

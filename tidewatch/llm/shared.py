@@ -32,9 +32,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number for every row, stored, so that it names the same row in every later scan."""
-    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or name with so many underscores added that docs has no such column, in either case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for every row, stored, so that it names the same row in every later scan; and the
+    number's column, which is none of docs."""
+    key = unused(docs, KEY)
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def dropped(*tables: DataFrame) -> None:

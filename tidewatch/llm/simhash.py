@@ -2,69 +2,38 @@
 
 A fingerprint has eight bytes. Two fingerprints that differ in at most four bits differ in at
 most four bytes, so they share at least four positional bytes: the guaranteed minimum. Postings
-of single bytes are long at any real size, so the index is keyed by triples of positional bytes,
-chosen so that every four of the eight positions hold at least one triple whole. A pair that
-meets in a posting has its shared positional bytes tallied, stays a candidate with four or more,
-and is then verified on its bits.
-
-Only connected classes are asked for, so members of a posting are first compared with a few
-pivots, and those outside a posting's largest component again with pivots of it. What those links
-already join needs no further comparison; all members of a posting that still lie in different
-components are then compared pair by pair, so that no link between different components is lost.
+of single bytes are long at any real size, so the index is keyed by positional bytes four at a time,
+at all seventy choices of four positions. A pair that meets in a posting has its shared positional
+bytes tallied, stays a candidate with the guaranteed minimum or more, and is then verified on its
+bits. linking.py says how the members of a posting are compared.
 
 Four bits stand for a high similarity only: texts that share 0.8 of their shingles differ in about
-ten of 64 bits, too many for any guaranteed byte. near_copies() therefore builds the same index,
-with the same pivots and the same tally, on longer sketches whose bytes are min-wise: a byte of
-one position is equal with a probability that is the texts' similarity.
+ten of 64 bits, too many for any guaranteed byte. one_of_each() therefore puts the bands of min-wise
+sketches into the same index, and verifies pairs that meet there on their whole shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.components import connected
-from tidewatch.llm.shared import KEY, dropped, joined, keyed, stored, table, trimmed
+from tidewatch.llm import minhash
+from tidewatch.llm.linking import End, Rule, classes, with_smallest_id
+from tidewatch.llm.shared import joined, keyed, stored, table, trimmed
+from tidewatch.llm.shingles import distinct_hashes, shingle_hashes
 from tidewatch.session import ship
 
+__all__ = ["distinct_hashes", "fingerprint", "near_duplicates", "one_of_each", "shingle_hashes"]
+
 SHINGLE_WORDS = 4
 MAX_BITS = 4
-SEED = 42
-CHUNK = 1 << 15
-PIVOT_ROUNDS = 3
-
 COPY_WORDS = 5
-SIMILARITY = 0.8
-SLOT_BYTES = 6
-SLOTS = 20
-POSITIONS = SLOT_BYTES * SLOTS
-SKETCH_CHUNK = 1 << 12
-
-
-def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
-    """The hashes of a whole text's word shingles, repeats included, in chunks; none where there is no word."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    if len(words) <= width:
-        yield np.array([digest(joined, SEED)], dtype="<u8")
-        return
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    for at in range(0, len(first), CHUNK):
-        pairs = zip(first[at : at + CHUNK], last[at : at + CHUNK], strict=True)
-        yield np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+COPY_PERCENT = 80
 
 
 def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
@@ -95,18 +64,9 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, fp long")
 
 
-def triples() -> list[tuple[int, int, int]]:
-    """The triples of byte positions: any four of the eight positions hold one of these whole.
-
-    Positions fall into three classes (i mod 3). Taken are all triples inside a class and all
-    with two positions in one class and one in the next.
-    """
-    classes = [[p for p in range(8) if p % 3 == c] for c in range(3)]
-    out = []
-    for c in range(3):
-        out += list(combinations(classes[c], 3))
-        out += [(*two, one) for two in combinations(classes[c], 2) for one in classes[(c + 1) % 3]]
-    return [tuple(sorted(t)) for t in out]
+def fours() -> list[tuple[int, ...]]:
+    """All choices of four of the eight byte positions."""
+    return list(combinations(range(8), 4))
 
 
 def _mask(positions: tuple[int, ...]) -> int:
@@ -123,227 +83,25 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return tally
 
 
-def linked(pairs: DataFrame, a: Column, b: Column, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs from the index that stay: first by the tally of shared bytes, then verified on the bits."""
-    candidates = pairs.where(shared_bytes(a, b) >= 8 - max_bits)
-    return candidates.where(F.bit_count(a.bitwiseXOR(b)) <= max_bits)
-
-
-def postings(fps: DataFrame) -> DataFrame:
-    """Inverted index: a row (slot, bytes, fp) for each fingerprint and triple of positions."""
-    keys = F.array(*[F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(_mask(t))).alias("bytes")) for i, t in enumerate(triples())])
-    return fps.select("fp", F.explode(keys).alias("k")).select("k.slot", "k.bytes", "fp")
-
-
-def _first_slot(differing: Column) -> Column:
-    """The first triple that two fingerprints share: there, and only there, the pair counts."""
-    found = F.when(F.lit(False), F.lit(0))
-    for i, t in enumerate(triples()):
-        found = found.when(differing.bitwiseAND(F.lit(_mask(t))) == F.lit(0), F.lit(i))
-    return found
+def linked(a: Column, b: Column, max_bits: int = MAX_BITS) -> Column:
+    """Whether a pair from the index stays: first by the tally of shared bytes, then verified on the bits."""
+    return (shared_bytes(a, b) >= 8 - max_bits) & (F.bit_count(a.bitwiseXOR(b)) <= max_bits)
 
 
-@dataclass(frozen=True)
-class Linking:
-    """How the members of a posting are linked.
+def postings(fp: Column) -> Column:
+    """The keys of a fingerprint in the inverted index: its bytes at four positions, for every choice."""
+    return F.array(*[F.struct(F.lit(i).alias("slot"), fp.bitwiseAND(F.lit(_mask(four))).alias("key")) for i, four in enumerate(fours())])
 
-    keep: pairs that reach the least tally of shared positional bytes; name: a member's node number;
-    verify: those of the named pairs (a, b) that are links; once: where a pair of two postings counts.
-    """
-
-    keep: Callable[[DataFrame, Column, Column], DataFrame]
-    name: Callable[[Column], Column] = lambda member: member
-    verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs
-    once: Callable[[Column, Column, Column], Column] = lambda a, b, slot: F.lit(True)
-
-    def links(self, pairs: DataFrame, *ends: tuple[Column, Column]) -> DataFrame:
-        """(a, b): the links among pairs, whose members stand in the columns named by ends."""
-        kept = [self.keep(pairs, a, b).select(self.name(a).alias("a"), self.name(b).alias("b")) for a, b in ends]
-        out = kept[0]
-        for more in kept[1:]:
-            out = out.union(more)
-        return self.verify(out.where("a <> b").distinct())
 
+def fingerprint_classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(node, root): the classes of distinct fingerprints (fp) that links of max_bits bits or fewer join.
 
-def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(node, root): the classes of distinct fingerprints that links of max_bits bits or fewer join.
-
-    fps has one row per distinct fingerprint; those without any link are left out.
+    Fingerprints without any link are left out.
     """
     if max_bits > 4:
-        raise ValueError("triples of bytes find pairs of up to four differing bits")
-    how = Linking(
-        keep=lambda pairs, a, b: linked(pairs, a, b, max_bits),
-        once=lambda a, b, slot: _first_slot(a.bitwiseXOR(b)) == slot,
-    )
-    return _joined_classes(postings(fps).withColumnRenamed("fp", "member"), how)
-
-
-def _joined_classes(index: DataFrame, how: Linking) -> DataFrame:
-    """(node, root): the classes that links between members of a posting join; index: (slot, bytes, member)."""
-    shared = index.groupBy("slot", "bytes").agg(F.min("member").alias("lo"), F.max("member").alias("hi")).where("lo <> hi")
-    members = stored(index.join(shared, ["slot", "bytes"]), "postings")
-    member = F.col("member")
-    near = stored(how.links(members, (member, F.col("lo")), (member, F.col("hi"))), "pivots")
-    labelled = stored(_labelled(members.select("slot", "bytes", "member"), connected(near), how), "labelled")
-    labelled, near = _repeated_pivots(labelled, near, how)
-    mixed = labelled.groupBy("slot", "bytes").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("slot", "bytes")
-    open_rows = labelled.join(mixed, ["slot", "bytes"])
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    a, b = F.col("x.member"), F.col("y.member")
-    meets = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.bytes") == F.col("y.bytes")) & (F.col("x.root") < F.col("y.root"))
-    rest = how.links(x.join(y, meets & how.once(a, b, F.col("x.slot"))), (a, b))
-    out = stored(connected(near.union(rest)), "classes")
-    dropped(members, near, labelled)
-    return out
-
-
-def _labelled(rows: DataFrame, roots: DataFrame, how: Linking) -> DataFrame:
-    """rows (slot, bytes, member) with the root of every member's component, itself where it has no link."""
-    name = how.name(F.col("member"))
-    return rows.join(roots, name == F.col("node"), "left").select("slot", "bytes", "member", F.coalesce("root", name).alias("root"))
-
-
-def _repeated_pivots(labelled: DataFrame, near: DataFrame, how: Linking) -> tuple[DataFrame, DataFrame]:
-    """Members of mixed postings again against pivots: in every round the members of a posting that lie
-    outside the component of its largest part meet that part's smallest and largest member.
-
-    The rounds only join what pairs would join later; they end after PIVOT_ROUNDS or when nothing
-    joins, and leave fewer components to compare pair by pair.
-    """
-    for _ in range(PIVOT_ROUNDS):
-        parts = labelled.groupBy("slot", "bytes", "root").agg(F.count("*").alias("n"), F.min("member").alias("lo"), F.max("member").alias("hi"))
-        main = parts.groupBy("slot", "bytes").agg(F.max(F.struct("n", "root", "lo", "hi")).alias("m"), F.count("*").alias("parts")).where("parts > 1")
-        rows = labelled.join(main.select("slot", "bytes", "m.*").withColumnRenamed("root", "main"), ["slot", "bytes"]).where("root <> main")
-        found = stored(how.links(rows, (F.col("member"), F.col("lo")), (F.col("member"), F.col("hi"))), "pivots")
-        if found.isEmpty():
-            dropped(found)
-            break
-        after = stored(near.union(found), "pivots")
-        roots = stored(connected(after), "roots")
-        again = stored(_labelled(labelled.drop("root"), roots, how), "labelled")
-        dropped(labelled, near, found, roots)
-        labelled, near = again, after
-    return labelled, near
-
-
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    """For every position of a sketch an odd factor and a mask, the same on every machine."""
-    drawn = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, POSITIONS, 1), dtype=np.uint64)
-    return drawn[0] | np.uint64(1), drawn[1]
-
-
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """POSITIONS bytes, eight in a number, of distinct shingle hashes: at each position the low byte of
-    its least rehashed value."""
-    factors, masks = _multipliers()
-    least = np.full(POSITIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), SKETCH_CHUNK):
-        rehashed = (hashes[None, at : at + SKETCH_CHUNK] ^ masks) * factors
-        least = np.minimum(least, rehashed.min(axis=1))
-    return least.astype(np.uint8).view("<i8")
-
-
-def distinct_hashes(text: str, width: int = COPY_WORDS) -> np.ndarray:
-    """The distinct shingle hashes of a whole text, sorted."""
-    chunks = list(shingle_hashes(text, width))
-    return np.unique(np.concatenate(chunks)) if chunks else np.empty(0, dtype="<u8")
-
-
-def _of_texts(rows: DataFrame, column: str, make: Callable[[str], np.ndarray | None]) -> DataFrame:
-    """(node, column) for rows (node, text) where make() gives numbers; make sees every whole text once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = pa.array([make(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["node", column]).filter(made.is_valid())
-        trimmed()
-
-    ship(rows.sparkSession)
-    return rows.select("node", "text").mapInArrow(run, f"node long, {column} array<long>")
-
-
-def least_tally(similarity: float) -> int:
-    """Shared positional bytes that pairs of this similarity reach but for a chance of about one in 10^5."""
-    return int(POSITIONS * similarity - 4.3 * (POSITIONS * similarity * (1 - similarity)) ** 0.5)
-
-
-def near_copies(rows: DataFrame, width: int = COPY_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): links that join all texts whose sets of word shingles have this Jaccard similarity or more.
-
-    rows: (node long, text string), nodes distinct and not null. Sketches go into an inverted index
-    keyed by six neighbouring positional bytes; pairs that meet have all shared bytes tallied, and
-    those that reach least_tally() are verified on their whole sets of shingle hashes. The links
-    returned join the same classes as all links found would. A pair of similarity 0.8 meets with
-    probability 0.998, one of 0.85 but for a chance of 1 in 10^4. Equal sketches are linked
-    outright, texts without words have no link, an empty table gives no rows.
-    """
-    if not 0.75 <= similarity <= 1:
-        raise ValueError("twenty slots of six bytes find texts of similarity 0.75 or more")
-
-    def sketched(text: str) -> np.ndarray | None:
-        hashes = distinct_hashes(text, width)
-        return sketch(hashes) if len(hashes) else None
-
-    made = stored(_of_texts(rows, "sketch", sketched), "sketches")
-    nodes = stored(made.groupBy("sketch").agg(F.min("node").alias("node"), F.count("*").alias("n")), "distinct")
-    same = joined(made, nodes.select("sketch", F.col("node").alias("b"), "n"), ["sketch"], "n", made.count())
-    same = stored(same.select(F.col("node").alias("a"), "b").where("a <> b"), "same")
-    keys = F.array(*[F.struct(F.lit(s).alias("slot"), _slot(F.col("sketch"), s).alias("bytes")) for s in range(SLOTS)])
-    light = nodes.select("node", F.explode(keys).alias("k")).select("k.slot", "k.bytes", "node")
-    shared = light.groupBy("slot", "bytes").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    meeting = stored(light.join(shared.select("slot", "bytes"), ["slot", "bytes"]), "meeting")
-    index = meeting.join(nodes.select("node", "sketch"), "node")
-    index = stored(index.select("slot", "bytes", F.struct("node", "sketch").alias("member")), "index")
-    texts = rows.join(meeting.select("node").distinct(), "node", "left_semi")
-    sets = stored(_of_texts(texts, "hashes", lambda t: distinct_hashes(t, width).view(np.int64)), "shingles")
-    how = Linking(
-        keep=lambda pairs, a, b: pairs.where(_tally(a["sketch"], b["sketch"]) >= least_tally(similarity)),
-        name=lambda member: member["node"],
-        verify=lambda pairs: _similar(pairs, sets, similarity),
-    )
-    found = _joined_classes(index, how)
-    links = stored(same.union(found.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b")), "links")
-    dropped(made, nodes, same, meeting, index, sets, found)
-    return links
-
-
-def _slot(sketch: Column, slot: int) -> Column:
-    """Six neighbouring positional bytes of a sketch as one number."""
-    at, off = divmod(8 * SLOT_BYTES * slot, 64)
-    part = F.shiftrightunsigned(sketch[at], off)
-    if off + 8 * SLOT_BYTES > 64:
-        part = part.bitwiseOR(F.shiftleft(sketch[at + 1], 64 - off))
-    return part.bitwiseAND(F.lit((1 << 8 * SLOT_BYTES) - 1))
-
-
-def _tally(a: Column, b: Column) -> Column:
-    """How many positional bytes two sketches share."""
-
-    def differing(x: Column, y: Column) -> Column:
-        bits = x.bitwiseXOR(y)
-        for step in (4, 2, 1):  # the lowest bit of a byte gathers all eight
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
-        return F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
-
-    return F.lit(POSITIONS) - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, n: total + n)
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets have this Jaccard similarity or more."""
-    candidates = pairs = stored(pairs, "candidates")
-    total = candidates.count()
-    if not total:
-        return candidates
-    for end in ("a", "b"):
-        uses = candidates.groupBy(end).agg(F.count("*").alias("n"))
-        ends = sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set")).join(uses, end)
-        pairs = joined(pairs, ends, [end], "n", total).drop("n")
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    either = F.size("a_set") + F.size("b_set")
-    out = stored(pairs.where(both * (1 + similarity) >= either * similarity - 1e-9).select("a", "b"), "similar")
-    dropped(candidates)
-    return out
+        raise ValueError("four equal bytes find pairs of up to four differing bits")
+    rule = Rule(attributes=(), near=lambda x, y: linked(x("node"), y("node"), max_bits))
+    return classes(fps.select(F.col("fp").alias("node")), postings(F.col("node")), rule)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -351,36 +109,67 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int =
 
     Null and empty texts, and texts without words, have fingerprint zero and are linked like any
     other. Repeated rows and repeated doc_ids each keep their row; rows whose doc_id is null count
-    as members and take the smallest id among the others (null if there is none). Other columns
-    of docs are not read. An empty table gives an empty result.
+    as members and take the smallest id among the others (null if there is none). There are no ties:
+    a class is all that links join. Other columns of docs are not read. An empty table gives an
+    empty result.
     """
     rows = stored(fingerprints(docs, width), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
-    linked_fps = classes(fps, max_bits)
-    rooted = fps.join(linked_fps.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = stored(rooted.select("fp", "low", "n", F.coalesce("root", "fp").alias("root")), "rooted")
-    smallest = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("fps")), "smallest")
-    named = stored(joined(rooted, smallest, ["root"], "fps", fps.count()).select("fp", "n", "component_id"), "named")
-    return joined(rows, named, ["fp"], "n", rows.count()).select("doc_id", "fp", "component_id")
+    named = with_smallest_id(fps.withColumnRenamed("fp", "node"), fingerprint_classes(fps, max_bits))
+    found = joined(rows, named.select(F.col("node").alias("fp"), "n", "component_id"), ["fp"], "n", rows.count())
+    return found.select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, similarity: float = SIMILARITY) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, percent: int = COPY_PERCENT) -> DataFrame:
     """docs with one row of each class of near duplicates: that with the smallest doc_id, nulls last.
 
-    Near duplicates are texts that near_duplicates() links, by at most max_bits bits over shingles
-    of width words, and texts that near_copies() links, by this similarity over shingles of five
-    words. Null texts count as empty and empty texts are one class; of repeated rows one stays;
-    an empty table stays empty.
+    Near duplicates are texts that near_duplicates() links, by at most max_bits bits over shingles of
+    width words, and texts whose sets of five-word shingles have a similarity of percent or more: such a
+    pair meets in the index but for a chance of 2 in 10^4 at 0.8, and less above. Both kinds of links
+    join one set of classes. Null texts count as empty and empty texts are one class; of repeated rows,
+    and of rows with equal ids in a class, one stays; columns stay as they are, whatever their names; an
+    empty table stays empty.
     """
-    rows = keyed(docs)
-    texts = rows.select(F.col(KEY).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = stored(near_duplicates(texts, width, max_bits).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), "near")
-    copies = near_copies(texts.withColumnRenamed("doc_id", "node"), COPY_WORDS, similarity)
-    roots = stored(connected(found.where("a <> b").union(copies)), "roots")
-    ids = rows.select(F.col(KEY).alias("node"), F.col("doc_id").alias("_id"))
-    named = ids.join(roots, "node", "left").select("_id", "node", F.coalesce("root", "node").alias("_class"))
-    kept = named.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "node"))["node"].alias(KEY)).select(KEY)
-    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    rows, key = keyed(docs)
+    texts = rows.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    made = stored(_both(texts, width), "sketches")
+    met = made.join(ids, F.col("doc_id") == F.col("row"))
+    order = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+    same = met.groupBy("fp", "name").agg(order, F.min("row").alias("low"), *[F.first(c).alias(c) for c in ("n", "keys", "bits")])
+    nodes = stored(minhash.with_bits(same.withColumn("node", F.monotonically_increasing_id())), "texts")
+    confirmed = minhash.Confirmed(texts, nodes, COPY_WORDS, percent)
+    by_bits = lambda x, y: linked(x("fp"), y("fp"), max_bits)
+    rule = Rule(
+        attributes=("fp", "n", *minhash.BITS),
+        near=lambda x, y: by_bits(x, y) | F.coalesce(minhash.sizes_and_sketches_allow(x, y, percent), F.lit(False)),
+        sure=by_bits,
+        verified=confirmed.links,
+        prepared=confirmed.prepare,
+    )
+    roots = classes(nodes, F.concat(postings(F.col("fp")), minhash.slots(len(fours()))), rule)
+    confirmed.done()
+    named = nodes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("best").alias("best"))
+    return rows.join(named.select(F.col("best.row").alias(key)), key, "left_semi").select(*docs.columns)
+
+
+def _both(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, fp and the columns of minhash.sketches() for every row of docs (doc_id long, text string)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            if not texts:
+                continue
+            fps = [_signed(fingerprint(t, width)) for t in texts]
+            n, name, keys, bits = zip(*(minhash.sketch_of(t, COPY_WORDS) for t in texts), strict=True)
+            made = [pa.array(fps, pa.int64()), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array(keys, longs), pa.array(bits, longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "fp", "n", "name", "keys", "bits"])
+        trimmed()
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, f"doc_id long, fp long, {minhash.SKETCHED.removeprefix('doc_id long, ')}")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
