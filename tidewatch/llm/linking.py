@@ -57,7 +57,8 @@ def classes(nodes: DataFrame, keys: Column, rule: Rule) -> DataFrame:
     """(node, root): the classes that links between members of a posting join; nodes without a link are left out.
 
     nodes has one row of each node, a long that is not null, with the rule's attributes. keys: an array
-    of structs (slot, key) of a node, each slot once. An empty table gives no rows.
+    of structs (slot, key) of a node, each slot once, in the same order for all nodes; some may have only the
+    first of them. An empty table gives no rows.
     """
     light = nodes.select("node", F.explode(keys).alias("k")).select("k.slot", "k.key", "node")
     shared = light.groupBy("slot", "key").agg(F.count("*").alias("members")).where("members > 1")
@@ -79,8 +80,16 @@ def classes(nodes: DataFrame, keys: Column, rule: Rule) -> DataFrame:
     dropped(index)
     mixed = labelled.groupBy("slot", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("slot", "key")
     rows = stored(labelled.join(mixed, ["slot", "key"]), "open")
-    left, right = (rows.select("slot", "key", F.col("member").alias(end), F.col("root").alias(f"{end}_root")) for end in "xy")
-    met = left.join(right, ["slot", "key"]).where((F.col("x_root") < F.col("y_root")) & rule.near(x, y))
+    if rule.verified is every:
+        once, rows_of = F.lit(True), rows
+    else:  # a pair of many common postings leaves the join in the first alone
+        slots = nodes.select(F.col("node").alias("named"), F.transform(keys, lambda k: k["slot"]).alias("slots"), F.transform(keys, lambda k: k["key"]).alias("keys"))
+        rows_of = rows.join(slots, F.col("member.node") == F.col("named"))
+        equal = F.zip_with("x_keys", "y_keys", lambda a, b: a == b)
+        once = F.get("x_slots", (F.array_position(equal, True) - 1).cast("int")) == F.col("slot")
+    names = [c for c in ("root", "keys", "slots") if c in rows_of.columns]
+    left, right = (rows_of.select("slot", "key", F.col("member").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in names]) for end in "xy")
+    met = left.join(right, ["slot", "key"]).where((F.col("x_root") < F.col("y_root")) & rule.near(x, y) & once)
     rest = rule.links(met.select("x", "y"))
     dropped(labelled, rows)
     if rest.isEmpty():

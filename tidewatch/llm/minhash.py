@@ -2,7 +2,7 @@
 
 All coordinates of a signature come from two permutations of the 64-bit hashes: the first is applied
 once to a set, the second is shifted by one place of the circle for every further coordinate. Eight
-coordinates make a band, the key of a posting; one bit of each coordinate goes into a sketch. Pairs
+coordinates make a band, the key of a posting; two bits of each coordinate go into a sketch. Pairs
 that meet in a band stay candidates where sizes and sketches allow the similarity, and are linked if
 their whole sets have it.
 """
@@ -31,7 +31,8 @@ PART = 256
 DEVIATIONS = 4.5
 #: Odd factors of the permutations; any would do, these are fixed so that every machine uses the same.
 FACTORS = (0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-BITS = tuple(f"bits{i}" for i in range(LONGS))
+PLANES = 2
+BITS = tuple(f"bits{i}" for i in range(PLANES * LONGS))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -62,8 +63,9 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def sketch(least: np.ndarray) -> np.ndarray:
-    """One bit of each coordinate, 64 in a number."""
-    return np.packbits((least >> np.uint64(17)).astype(np.uint8) & 1).view(">i8").astype(np.int64)
+    """PLANES bits of each coordinate: planes of one bit of all coordinates, 64 in a number."""
+    planes = [np.packbits((least >> np.uint64(17 + plane)).astype(np.uint8) & 1) for plane in range(PLANES)]
+    return np.concatenate(planes).view(">i8").astype(np.int64)
 
 
 def sketch_of(text: str, width: int = WORDS) -> tuple[int, bytes, list[int], list[int]]:
@@ -112,17 +114,23 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(_some(run), "name binary, hashes array<long>")
 
 
-def most_differing_bits(percent: int) -> int:
-    """Sketch bits in which pairs of this similarity differ at most, but for a chance of about 3 in 10^6."""
-    p = (1 - percent / 100) / 2
+def most_differing(percent: int) -> int:
+    """Coordinates whose sketches differ at most in pairs of this similarity, but for a chance of about 3 in 10^6."""
+    p = (1 - percent / 100) * (1 - 0.5**PLANES)
     return int(COORDINATES * p + DEVIATIONS * (COORDINATES * p * (1 - p)) ** 0.5)
 
 
 def sizes_and_sketches_allow(x: End, y: End, percent: int) -> Column:
-    """Whether two sets may have this similarity, by their sizes and the tally of equal sketch bits."""
-    differing = sum((F.bit_count(x(b).bitwiseXOR(y(b))) for b in BITS[1:]), F.bit_count(x(BITS[0]).bitwiseXOR(y(BITS[0]))))
+    """Whether two sets may have this similarity, by their sizes and the tally of coordinates equal in the sketch."""
+    bits = [x(b).bitwiseXOR(y(b)) for b in BITS]
+    differing = F.lit(0)
+    for i in range(LONGS):
+        apart = bits[i]
+        for plane in range(1, PLANES):
+            apart = apart.bitwiseOR(bits[plane * LONGS + i])
+        differing = differing + F.bit_count(apart)
     sizes = F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent
-    return sizes & (differing <= most_differing_bits(percent))
+    return sizes & (differing <= most_differing(percent))
 
 
 def with_bits(sets: DataFrame) -> DataFrame:
