@@ -41,6 +41,29 @@ def test_nearest_with_many_blocks_equals_one(spark):
     one = sorted(map(tuple, vectors.nearest(df, df, 3).collect()))
     assert one == sorted(map(tuple, vectors.nearest(df, df, 3, block=7).collect()))
     assert len(one) and all(r[0] < 60 and r[1] < 60 and r[0] != r[1] for r in one)
+    assert one == sorted(map(tuple, vectors.nearest(df, df, 3, block=9, rows_a_cell=4).collect()))
+
+
+@pytest.mark.parametrize("k,least,spread", [(3, -1.0, 0.3), (1, 0.9, 0.1), (2, 0.5, 1.0)])
+def test_nearest_in_cells_is_that_of_all_pairs(spark, k, least, spread):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6))
+    x = centres[rng.integers(0, 12, 400)] + spread * rng.normal(size=(400, 6))
+    x[7] = x[8] = x[9]
+    at = rng.integers(0, 9, 400).astype(float)
+    df = spark.createDataFrame([(i, x[i].tolist(), None if i % 50 == 0 else float(at[i])) for i in range(400)], "id long, vec array<double>, at double")
+    seen = []
+    got = sorted(map(tuple, vectors.nearest(df, df, k, least, block=40, rows_a_cell=20, seen=seen).collect()))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(u @ u.T, 6)
+    want = []
+    for i in range(400):
+        may = [(-scores[i, j], j) for j in range(400) if j != i and scores[i, j] >= least and (i % 50 == 0 or j % 50 == 0 or at[j] <= at[i])]
+        want += [(i, j, -s) for s, j in sorted(may)[:k]]
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in sorted(want)]
+    assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, sorted(want), strict=True))
+    share = sum(seen) / 400**2
+    assert share < {0.3: 0.75, 0.1: 0.25, 1.0: 1.01}[spread]
 
 
 def test_echo_folding_thresholds():

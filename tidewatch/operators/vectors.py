@@ -1,16 +1,12 @@
-"""Vectors: centroids, cohesion, and nearest neighbours in blocks."""
+"""Vectors: centroids, cohesion, and nearest neighbours in cells."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import operator
-from tidewatch.session import ship
+from tidewatch.operators.cells import BLOCK, ROWS_A_CELL, cells_of, nearest_in
 from tidewatch.tables import Tables
 
 
@@ -20,73 +16,19 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
 
 
-QUERY_ROWS, BLOCK = 2048, 65_536
-
-
-def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Places and unit vectors of the rows that have a vector of some length."""
-    rows, out = [], []
-    for i, v in enumerate(column.to_pylist()):
-        if v and all(x is not None for x in v) and (norm := float(np.linalg.norm(v))) > 0:
-            rows.append(i)
-            out.append(np.asarray(v, np.float64) / norm)
-    return np.array(rows, np.int64), np.array(out)
-
-
-def nearest(left: DataFrame, right: DataFrame, k: int = 3, least: float = -1.0, others: bool = True, block: int = BLOCK) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int = 3, least: float = -1.0, others: bool = True, block: int = BLOCK, rows_a_cell: int = ROWS_A_CELL, seen: list[int] | None = None) -> DataFrame:
     """(id, neighbour, score): for each left row the k right rows of largest cosine, least or more.
 
     Both have id long, vec array and at double; a right row qualifies if its at is not larger than
     the left row's (nulls do not bind) and, with others, if its id differs. Scores have 6 places,
-    ties go to the smaller id. The right side goes out in blocks of at most about block rows, each
-    a dense product against batches of the left side; the partial lists are merged by key.
+    ties go to the smaller id. See nearest_in() for how cells around pivots keep most pairs apart; seen
+    gets the number of pairs compared.
     """
-    spark = left.sparkSession
-    ship(spark)
-    blocks = max(1, -(-right.count() // block))
-    columns = lambda df: df.select(F.col("id").cast("long"), "vec", F.col("at").cast("double"))
-    out = None
-    for b in range(blocks):
-        own = columns(right).where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        kept, matrix = _unit(own.column("vec"))
-        ids = own.column("id").to_numpy()[kept] if len(kept) else np.zeros(0, np.int64)
-        since = np.nan_to_num(own.column("at").to_numpy(zero_copy_only=False).astype(float)[kept], nan=-np.inf) if len(kept) else np.zeros(0)
-        found = columns(left).mapInArrow(_block_search(ids, matrix, since, k, least, others), "id long, neighbour long, score double")
-        out = found if out is None else out.union(found)
-    if blocks == 1:
-        return out
-    return first_k(out, k)
-
-
-def first_k(pairs: DataFrame, k: int) -> DataFrame:
-    from tidewatch.operators.windows import top_per
-
-    return top_per(pairs, ["id"], k, F.desc("score"), "neighbour").drop("rank")
-
-
-def _block_search(ids: np.ndarray, matrix: np.ndarray, since: np.ndarray, k: int, least: float, others: bool):
-    order = np.argsort(ids)
-    ids, matrix, since = ids[order], matrix[order] if len(order) else matrix, since[order]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, QUERY_ROWS):
-                part = batch.slice(start, QUERY_ROWS)
-                rows, x = _unit(part.column(1))
-                if not len(rows) or not len(ids):
-                    continue
-                own = part.column(0).to_numpy()[rows]
-                at = part.column(2).to_numpy(zero_copy_only=False).astype(float)[rows]
-                scores = np.round(x @ matrix.T, 6)
-                scores[np.where(np.isnan(at), np.inf, at)[:, None] < since[None, :]] = -np.inf
-                if others:
-                    scores[own[:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                picked = np.take_along_axis(scores, best, axis=1)
-                r, c = np.nonzero(picked >= max(least, -2.0))
-                yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(ids[best[r, c]]), pa.array(picked[r, c])], ["id", "neighbour", "score"])
-
-    return run
+    columns = lambda df: df.select(F.col("id").cast("long").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), F.col("at").cast("double").alias("extra"))
+    cells = cells_of(columns(right), block, rows_a_cell)
+    if cells is None:
+        return left.sparkSession.createDataFrame([], "id long, neighbour long, score double")
+    return nearest_in(cells, columns(left), k, least, others, block, seen)
 
 
 def _vectors(t: Tables, *, at: Column | None = None) -> DataFrame:
