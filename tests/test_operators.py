@@ -125,19 +125,45 @@ def _merged_by_hand(rows, least, batch, now, barred):
     return into
 
 
-@pytest.mark.parametrize("batch", [7, 200])
-def test_merging_equals_one_candidate_after_the_other(spark, batch):
+@pytest.mark.parametrize("batch,largest", [(7, 1000), (200, 1000), (7, 8), (40, 30)])
+def test_merging_equals_one_candidate_after_the_other(spark, batch, largest):
     rng = np.random.default_rng(8)
     heads = rng.normal(size=(12, 6))
     rows = [(i, (heads[i % 12] + rng.normal(size=6) * 0.4).tolist(), float(rng.integers(0, 40)), i % 5 != 0, i % 17 == 3) for i in range(150)]
     barred = {(i, i + 12) for i in range(0, 130, 9)}
     df = spark.createDataFrame([(i, v, at, 1, c, x) for i, v, at, c, x in rows], "id long, vec array<double>, at double, size int, candidate boolean, locked boolean").repartition(3)
     pairs = spark.createDataFrame([(b, a) for a, b in barred], "a long, b long")
-    got = {r["id"]: r["merged_into"] for r in merging.merged_to_fixpoint(df, 0.8, batch, 60.0, pairs, listed=4).collect()}
+    got = {r["id"]: r["merged_into"] for r in merging.merged_to_fixpoint(df, 0.8, batch, 60.0, pairs, listed=4, largest=largest, rows_a_cell=16).collect()}
     want = _merged_by_hand(rows, 0.8, batch, 60.0, barred)
     assert {i: t for i, t in got.items() if t is not None} == want and len(want) > 20
 
 
+def test_drift_joins_components_that_first_lie_apart(spark):
+    """Topics along an arc: one that has moved by its merges reaches another that nothing reached before."""
+    at = lambda degrees: [np.cos(np.radians(degrees)), np.sin(np.radians(degrees))]
+    least = float(np.cos(np.radians(20)))
+    rows = [(1, at(0), 0.0, True, False), (2, at(19), 1.0, True, False), (3, at(36), 2.0, True, False), (4, at(120), 0.0, True, False), (5, at(150), 3.0, True, False)]
+    want = _merged_by_hand(rows, least, 200, 400.0, set())
+    assert want == {2: 1, 3: 1}
+    df = spark.createDataFrame([(i, [float(x) for x in v], at_, 1) for i, v, at_, *_ in rows], "id long, vec array<double>, at double, size int")
+    got = {r["id"]: r["merged_into"] for r in merging.merged_to_fixpoint(df, least, 200, 400.0).collect()}
+    assert {i: t for i, t in got.items() if t is not None} == want
+
+
+def test_next_days_merge_as_the_rules_say(spark):
+    """A near candidate goes into the older topic, one below 0.62, a barred pair and a locked one stay."""
+    def near(cos, axis):
+        v = [0.0] * 8
+        v[axis], v[axis + 1] = cos, (1 - cos * cos) ** 0.5
+        return v
+
+    base = lambda axis: [float(i == axis) for i in range(8)]
+    rows = [(1, base(0), 0.0, False, False), (2, near(0.95, 0), 20.0, True, False), (3, base(2), 0.0, False, False), (4, near(0.5, 2), 20.0, True, False), (5, base(4), 0.0, False, False), (6, near(0.95, 4), 20.0, True, False), (7, base(6), 0.0, False, False), (8, near(0.9, 6), 20.0, True, True)]
+    df = spark.createDataFrame([(i, v, at, 1, c, x) for i, v, at, c, x in rows], "id long, vec array<double>, at double, size int, candidate boolean, locked boolean")
+    out = merging.merged_to_fixpoint(df, 0.62, now=24.0, no_merge=spark.createDataFrame([(6, 5)], "a long, b long")).collect()
+    assert {r["id"]: (r["root"], r["similarity"]) for r in out if r["merged_into"] is not None} == {2: (1, 0.95)} and len(out) == 8
+
+
 def test_old_topics_merge_beyond_one_batch(spark):
     rows = [(i, [1.0, float(i)], 0.0, 1) for i in range(0, 30, 10)] + [(100 + i, [-1.0, -float(i * i)], 1.0 + i, 1) for i in range(40)] + [(900, [0.0, 0.0, 1.0][:2], 99.0, 1)]
     rows = [(i, v, at, s) for i, v, at, s in rows if any(v)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -10,15 +11,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import operator
+from tidewatch.components import connected
 from tidewatch.config import CONFIG
+from tidewatch.operators.aggregates import global_ranks
+from tidewatch.operators.cells import ROWS_A_CELL, cells_of, links_within
 from tidewatch.operators.lifecycle import merge_roots
 from tidewatch.operators.windows import top_per
 from tidewatch.session import ship
-from tidewatch.storage import checkpointed
+from tidewatch.storage import dropped, stored
 from tidewatch.tables import Tables
 
 LISTED = 16
-STATE = ["id", "vec", "at", "seen", "size", "candidate", "locked", "merged_into", "similarity"]
+#: Topics of a component that one task folds; it holds their vectors and looks at all of them for each candidate.
+LARGEST = 20_000
 FOUND = "candidate long, id long, score double, at double, seen double, size long, vec binary"
 
 
@@ -52,8 +57,8 @@ def _listed(ids: np.ndarray, matrix: np.ndarray, at: np.ndarray, k: int):
 class Round:
     """One batch of candidates against the targets listed for each, with what merges change on the way."""
 
-    def __init__(self, pending: list, found: list, least: float, now: float, barred: set[tuple[int, int]], vetoed: set[tuple[int, int]], listed: int):
-        self.least, self.now, self.barred, self.vetoed, self.listed = least, now, barred, vetoed, listed
+    def __init__(self, pending: list, found: list, least: float, now: float, barred: set[tuple[int, int]], listed: int):
+        self.least, self.now, self.barred, self.listed = least, now, barred, listed
         self.rows = {r["id"]: {"vec": _unit(r["vec"]), "at": r["at"], "seen": r["seen"], "size": r["size"]} for r in pending}
         self.of: dict[int, list] = {r["id"]: [] for r in pending}
         for r in found:
@@ -76,9 +81,9 @@ class Round:
 
     def merge(self, own: int, target: int, score: float) -> None:
         src, dst = self.rows[own], self.rows[target]
-        a = 0.5 ** (max(self.now - dst["seen"], 0.0) / CONFIG.half_life_hours)
-        b = (1 - a) * src["size"] / (src["size"] + 1)
-        dst["vec"] = _unit((a * dst["vec"] + b * src["vec"]) / (a + b))
+        after = _merged_centre(dst["vec"], src["vec"], dst["seen"], src["size"], self.now)
+        dst["way"] = dst.get("way", 0.0) + _angle(after, dst["vec"])
+        dst["vec"] = after
         dst["size"] += src["size"]
         dst["seen"] = self.now
         self.changed.add(target)
@@ -97,7 +102,7 @@ class Round:
                 target, score = found
                 if score < self.least:
                     again.append(own)
-                elif (pair := (min(own, target), max(own, target))) not in self.barred and pair not in self.vetoed:
+                elif (pair := (min(own, target), max(own, target))) not in self.barred:
                     self.merge(own, target, score)
                     progress = True
             if not progress:
@@ -106,62 +111,191 @@ class Round:
         return [], [], False
 
 
-def _pairs(df: DataFrame | None, ids: DataFrame) -> set[tuple[int, int]]:
+def _pairs(df: DataFrame, ids: DataFrame) -> set[tuple[int, int]]:
     """Barred pairs of the batch's candidates: the part of a list that concerns a bounded number of topics."""
-    if df is None:
-        return set()
     rows = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     own = rows.join(F.broadcast(ids.select(F.col("id").alias("a"))), "a", "left_semi").union(rows.join(F.broadcast(ids.select(F.col("id").alias("b"))), "b", "left_semi"))
     return {(r["a"], r["b"]) for r in own.distinct().collect()}
 
 
-def merged_to_fixpoint(topics: DataFrame, least: float = CONFIG.merge_cosine, batch: int = CONFIG.merge_batch, now: float | None = None, no_merge: DataFrame | None = None, veto: DataFrame | None = None, listed: int = LISTED) -> DataFrame:
-    """(id, root, merged_into, similarity) of every topic after each candidate in turn, oldest first, went
-    into its nearest topic that is no newer, where their cosine reaches least.
+FOLDED = "id long, merged_into long, root long, similarity double, drift double"
 
-    topics has id, vec, at (hours, when first seen) and size; if it also has seen (last seen), candidate
-    and locked, only candidates that are not locked move. A merge moves the target's centroid by
-    size_pooled(), so candidates below the threshold are looked at again while anything merges in their
-    batch; pairs of no_merge, and those a judge surely denies (veto), stay apart. All candidates are
-    stepped through, batch at a time. A batch and the listed nearest topics of each of its members
-    come to the driver, whatever the table's size; where merges used a list up, the batch is listed
-    anew. A topic without a vector stays as it is.
+
+def fold_part(rows: list[dict], barred: set[tuple[int, int]], least: float, now: float) -> list[tuple]:
+    """The rows of FOLDED for topics that meet no others: candidates in turn, batch by batch, to a fixpoint.
+
+    drift is the largest angle a centroid has ever had to where it started.
     """
+    rows = sorted(rows, key=lambda r: r["id"])
+    ids, at = np.array([r["id"] for r in rows]), np.array([r["at"] for r in rows])
+    seen, size = np.array([r["seen"] for r in rows]), np.array([r["size"] for r in rows])
+    start = np.array([_unit(r["vec"]) for r in rows])
+    now_at, live, drift = start.copy(), np.ones(len(rows), bool), np.zeros(len(rows))
+    into, score_of = np.full(len(rows), -1), np.zeros(len(rows))
+    queue: dict[int, list[int]] = {}
+    for i in sorted((i for i, r in enumerate(rows) if r["batch"] is not None), key=lambda i: (at[i], ids[i])):
+        queue.setdefault(rows[i]["batch"], []).append(i)
+    for number in sorted(queue):
+        pending, progress = queue[number], True
+        while pending and progress:
+            again, progress = [], False
+            for own in pending:
+                allowed = live & (at <= at[own])
+                allowed[own] = False
+                scores = np.where(allowed, np.round(now_at @ now_at[own], 6), -np.inf)
+                target = int(scores.argmax())  # of equal scores the smallest id
+                if not allowed[target]:
+                    continue
+                if scores[target] < least:
+                    again.append(own)
+                elif (min(ids[own], ids[target]), max(ids[own], ids[target])) not in barred:
+                    now_at[target] = _merged_centre(now_at[target], now_at[own], seen[target], size[own], now)
+                    seen[target], size[target], live[own] = now, size[target] + size[own], False
+                    into[own], score_of[own] = target, scores[target]
+                    drift[target] = max(drift[target], _angle(now_at[target], start[target]))
+                    progress = True
+            pending = again
+    root = np.arange(len(rows))
+    for own in range(len(rows)):
+        while into[root[own]] >= 0:
+            root[own] = into[root[own]]
+    return [(int(ids[i]), int(ids[into[i]]) if into[i] >= 0 else None, int(ids[root[i]]), float(score_of[i]) if into[i] >= 0 else None, float(drift[i])) for i in range(len(rows))]
+
+
+def _angle(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.arccos(np.clip(a @ b, -1.0, 1.0)))
+
+
+def _merged_centre(target: np.ndarray, own: np.ndarray, seen: float, size: int, now: float) -> np.ndarray:
+    a = 0.5 ** (max(now - seen, 0.0) / CONFIG.half_life_hours)
+    b = (1 - a) * size / (size + 1)
+    return _unit((a * target + b * own) / (a + b))
+
+
+def _fold_parts(least: float, now: float):
+    def run(topics: pa.Table, pairs: pa.Table) -> pa.Table:
+        barred = set(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True))
+        out = fold_part(topics.to_pylist(), barred, least, now) if topics.num_rows else []
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in FOLDED.split(", ")])
+
+    return run
+
+
+def _folded(state: DataFrame, comps: DataFrame, pairs: DataFrame, least: float, now: float, largest: int, listed: int) -> DataFrame:
+    """FOLDED for the topics of comps (node, root), each component for itself; those of more than largest
+    topics are stepped through together."""
+    placed = state.join(comps.select(F.col("node").alias("id"), F.col("root").alias("component")), "id")
+    sizes = comps.groupBy("root").count()
+    large = sizes.where(F.col("count") > largest).select(F.col("root").alias("component"))
+    mine = comps.select(F.col("node").alias("a"), F.col("root").alias("component"))
+    near = pairs.join(mine, "a").join(comps.select(F.col("node").alias("b"), F.col("root").alias("component")), ["b", "component"])
+    small = placed.join(large, "component", "left_anti")
+    out = small.groupBy("component").cogroup(near.join(large, "component", "left_anti").select("component", "a", "b").groupBy("component")).applyInArrow(_fold_parts(least, now), FOLDED)
+    if large.isEmpty():
+        return out
+    return out.union(_stepped(placed.join(large, "component", "left_semi").drop("component"), near, least, now, listed))
+
+
+def _stepped(topics: DataFrame, pairs: DataFrame, least: float, now: float, listed: int) -> DataFrame:
+    """FOLDED for topics too many for one task: a batch of candidates and the listed nearest topics of each come
+    to the driver; where merges used a list up, the batch is listed anew. drift is the way a centroid went."""
     spark = topics.sparkSession
-    ship(spark)
-    if now is None:
-        now = float(topics.agg(F.max("at")).first()[0] or 0.0)
-    have = set(topics.columns)
-    state = checkpointed(topics.select(
-        F.col("id").cast("long").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), F.col("at").cast("double").alias("at"), (F.col("seen") if "seen" in have else F.col("at")).cast("double").alias("seen"), F.col("size").cast("long").alias("size"),
-        (F.col("candidate") if "candidate" in have else F.lit(True)).alias("candidate"), (F.col("locked") if "locked" in have else F.lit(False)).alias("locked"), F.lit(None).cast("long").alias("merged_into"), F.lit(None).cast("double").alias("similarity"),
-    ))
-    last, pending, again, progress = None, [], [], False
+    state = stored(topics.select("*", F.lit(None).cast("long").alias("merged_into"), F.lit(None).cast("double").alias("similarity"), F.lit(0.0).alias("drift")), "merging")
+    last, pending, again, progress = -1, [], [], False
     while True:
-        live = state.where("merged_into IS NULL AND vec IS NOT NULL")
+        live = state.where("merged_into IS NULL")
         if not pending:
-            queue = live.where("candidate AND NOT locked")
-            queue = queue if last is None else queue.where((F.col("at") > last[0]) | ((F.col("at") == last[0]) & (F.col("id") > last[1])))
-            rows = queue.orderBy("at", "id").limit(batch).collect()
-            if not rows:
+            last = live.where(F.col("batch") > last).agg(F.min("batch")).first()[0]
+            if last is None:
                 break
-            last, pending = (rows[-1]["at"], rows[-1]["id"]), [r["id"] for r in rows]
+            rows = live.where(F.col("batch") == last).orderBy("at", "id").collect()
+            pending = [r["id"] for r in rows]
         else:
             rows = live.where(F.col("id").isin(*pending, *again)).collect()
         names = spark.createDataFrame([(r["id"],) for r in rows], "id long")
         ids, at = np.array([r["id"] for r in rows], np.int64), np.array([r["at"] for r in rows])
         scan = live.select("id", "vec", "at", "seen", "size").mapInArrow(_listed(ids, np.array([_unit(r["vec"]) for r in rows]), at, listed), FOUND)
         found = top_per(scan, ["candidate"], listed, F.desc("score"), "id").collect()
-        round_ = Round(rows, found, least, now, _pairs(no_merge, names), _pairs(veto, names), listed)
+        round_ = Round(rows, found, least, now, _pairs(pairs, names), listed)
         pending, again, progress = round_.run(pending, again, progress)
         if round_.gone:
-            news = [(i, r["vec"].tolist() if i in round_.changed else None, r["seen"], r["size"], *round_.gone.get(i, (None, None))) for i, r in round_.rows.items() if i in round_.changed or i in round_.gone]
-            after = spark.createDataFrame(news, "id long, new_vec array<double>, new_seen double, new_size long, target long, score double")
-            joined = state.join(F.broadcast(after), "id", "left")
-            state = checkpointed(joined.select("id", F.coalesce("new_vec", "vec").alias("vec"), "at", F.coalesce("new_seen", "seen").alias("seen"), F.coalesce("new_size", "size").alias("size"), "candidate", "locked", F.coalesce("merged_into", "target").alias("merged_into"), F.coalesce("similarity", "score").alias("similarity")))
+            news = [(i, r["vec"].tolist() if i in round_.changed else None, r["seen"], r["size"], *round_.gone.get(i, (None, None)), r.get("way", 0.0)) for i, r in round_.rows.items() if i in round_.changed or i in round_.gone]
+            after = spark.createDataFrame(news, "id long, new_vec array<double>, new_seen double, new_size long, target long, score double, way double")
+            met = state.join(F.broadcast(after), "id", "left")  # a batch and its lists
+            new = {"vec": F.coalesce("new_vec", "vec"), "seen": F.coalesce("new_seen", "seen"), "size": F.coalesce("new_size", "size"), "merged_into": F.coalesce("merged_into", "target"), "similarity": F.coalesce("similarity", "score"), "drift": F.col("drift") + F.coalesce("way", F.lit(0.0))}
+            moved = stored(met.select(*[new[c].alias(c) if c in new else c for c in state.columns]), "merging")
+            dropped(state)
+            state = moved
     links = state.where("merged_into IS NOT NULL").select(F.col("id").alias("topic_id"), "merged_into")
     roots = merge_roots(links).select(F.col("topic_id").alias("id"), "root")
-    return state.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "merged_into", "similarity")
+    return state.join(roots, "id", "left").select("id", "merged_into", F.coalesce("root", "id").alias("root"), "similarity", "drift")
+
+
+def merged_to_fixpoint(topics: DataFrame, least: float = CONFIG.merge_cosine, batch: int = CONFIG.merge_batch, now: float | None = None, no_merge: DataFrame | None = None, veto: DataFrame | None = None, listed: int = LISTED, largest: int = LARGEST, rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
+    """(id, root, merged_into, similarity) of every topic after each candidate in turn, oldest first, went
+    into its nearest topic that is no newer, where their cosine reaches least.
+
+    topics has id, vec, at (hours, when first seen) and size; if it also has seen (last seen), candidate
+    and locked, only candidates that are not locked move. A merge moves the target's centroid by
+    size_pooled(), so candidates below the threshold are looked at again while anything merges in their
+    batch; pairs of no_merge, and those a judge surely denies (veto), stay apart. All candidates are
+    stepped through, batch at a time. A topic without a vector stays as it is.
+
+    Only topics within the threshold's angle can merge, so the components of the links within it are
+    folded apart, each in one task or, beyond largest topics, in steps. Merges move centroids: where
+    two components' topics lie apart by no more than that angle and the angles both have drifted, they
+    might have met, so such components are joined and folded again, until none might. What then comes out
+    is what the whole order would have given: at the first step that differed, two components would
+    have had to meet. Links come from cells around pivots (see cells.py).
+    """
+    spark = topics.sparkSession
+    ship(spark)
+    if now is None:
+        now = float(topics.agg(F.max("at")).first()[0] or 0.0)
+    have = set(topics.columns)
+    whole = stored(topics.select(
+        F.col("id").cast("long").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), F.col("at").cast("double").alias("at"), (F.col("seen") if "seen" in have else F.col("at")).cast("double").alias("seen"), F.col("size").cast("long").alias("size"),
+        ((F.col("candidate") if "candidate" in have else F.lit(True)) & ~(F.col("locked") if "locked" in have else F.lit(False))).alias("moves"),
+    ), "topics")
+    queue = whole.where("moves AND vec IS NOT NULL").select("id", "at")
+    batches = global_ranks(queue, [], "at", "id").select("id", F.floor(F.col("place") / batch).alias("batch"))
+    state = stored(whole.where("vec IS NOT NULL").drop("moves").join(batches, "id", "left"), "topics")
+    vectors = state.select("id", "vec", F.lit(None).cast("double").alias("extra"))
+    cells = cells_of(vectors, rows_a_cell=rows_a_cell)
+    if cells is None:
+        return whole.select("id", F.col("id").alias("root"), F.lit(None).cast("long").alias("merged_into"), F.lit(None).cast("double").alias("similarity"))
+    pairs = [df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for df in (no_merge, veto) if df is not None]
+    pairs = stored((pairs[0].union(pairs[-1]) if pairs else spark.createDataFrame([], "a long, b long")).distinct(), "barred")
+    angle = float(np.arccos(np.clip(least - 1e-6, -1.0, 1.0)))
+    edges = stored(links_within(cells, state.where("batch IS NOT NULL").select("id", "vec", F.lit(None).cast("double").alias("extra")), angle, 0.0), "links")
+    folded = None
+    while True:
+        comps = connected(edges)
+        todo = comps
+        if folded is not None:  # only components that grew
+            grown = cross.select(F.col("a").alias("node")).join(comps, "node").select("root").distinct()
+            todo = comps.join(grown, "root", "left_semi").select("node", "root")
+        out = _folded(state, todo, pairs, least, now, largest, listed)
+        if folded is not None:
+            out = folded.join(todo.select(F.col("node").alias("id")), "id", "left_anti").select(*out.columns).union(out)
+        folded = stored(out, "folded")
+        drifted = folded.where("drift > 0").select("id", F.col("drift").alias("extra"))
+        widest = drifted.agg(F.max("extra")).first()[0]
+        if widest is None:
+            break
+        padded = replace(cells, rows=cells.rows.drop("extra").join(drifted, "id", "left").select("cell", "block", "id", "vec", "extra"))
+        met = links_within(padded, state.select("id", "vec").join(drifted, "id"), angle, widest)
+        for end in "ab":
+            met = met.join(comps.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+        cross = stored(met.where("a_root <> b_root").select("a", "b"), "links")
+        if cross.isEmpty():
+            break
+        edges = stored(edges.union(cross), "links")
+    cells.drop()
+    found = folded.select("id", "merged_into", "root", "similarity")
+    return whole.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "merged_into", "similarity")
 
 
 @operator("seq_07")
