@@ -84,6 +84,49 @@ def test_average_linkage_joins_only_near_vectors():
     assert label[0] == label[1] and label[2] == label[3] and label[0] != label[2]
 
 
+def _linked_by_matrix(vectors, cut):
+    """Average linkage with the whole matrix of distances, the nearest pair first."""
+    distance = 1 - vectors @ vectors.T
+    np.fill_diagonal(distance, np.inf)
+    size, label, n = np.ones(len(vectors)), np.arange(len(vectors)), len(vectors)
+    while n > 1:
+        i, j = sorted(divmod(int(distance.argmin()), len(vectors)))
+        if distance[i, j] > cut:
+            break
+        row = (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
+        distance[i], distance[:, i] = row, row
+        distance[i, i] = np.inf
+        distance[j], distance[:, j] = np.inf, np.inf
+        label[label == j] = i
+        size[i] += size[j]
+        n -= 1
+    return label
+
+
+@pytest.mark.parametrize("cut", [0.05, 0.25, 0.6, 1.2])
+def test_chains_cluster_as_the_matrix_does(cut):
+    rng = np.random.default_rng(7)
+    for n, d, spread in ((1, 3, 1.0), (60, 3, 1.0), (150, 8, 0.4), (200, 16, 0.2)):
+        v = rng.normal(size=(9, d))[rng.integers(0, 9, n)] + spread * rng.normal(size=(n, d))
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        v[n // 2] = 0.0
+        assert folds.average_linkage(v, cut).tolist() == _linked_by_matrix(v, cut).tolist()
+    assert folds.average_linkage(np.zeros((0, 3)), cut).tolist() == []
+
+
+def test_a_large_block_needs_memory_in_its_rows_alone():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    v = (rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 16))).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tracemalloc.start()
+    labels = folds.average_linkage(v)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * v.nbytes and len(set(labels.tolist())) < 4000  # the matrix of distances would be 250 times as large
+
+
 def test_merge_roots_follow_chains(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "d"), ("s", "s")], "topic_id string, merged_into string")
     assert dict(map(tuple, lifecycle.merge_roots(links).collect())) == {"a": "d", "b": "d", "c": "d", "x": "d"}

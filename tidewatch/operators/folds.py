@@ -180,24 +180,52 @@ def topic_state(t: Tables) -> DataFrame:
 
 
 def average_linkage(vectors: np.ndarray, cut: float = CONFIG.agglomerative_cut) -> np.ndarray:
-    """Cluster numbers by average linkage on cosine distance, merging while the least distance is below cut."""
+    """Cluster numbers (the smallest place of a member) by average linkage on cosine distance, merging while the
+    least distance is at most cut.
+
+    For unit or zero vectors the mean cosine between two clusters' members is the product of their sums over the
+    product of their sizes, so a cluster is its sum and its size. A chain of nearest neighbours ends in two
+    clusters that are nearest to each other; average linkage merges such a pair sooner or later whatever else
+    merges, and distances to what has merged never fall below those before. So chains give the same clusters
+    as always merging the nearest pair (of equal distances any may come first), with memory
+    linear in the rows. A pair that is nearest to each other but farther than cut is done with.
+    """
     n = len(vectors)
-    distance = 1 - vectors @ vectors.T
-    np.fill_diagonal(distance, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    while n > 1:
-        i, j = divmod(int(distance.argmin()), len(vectors))
-        if distance[i, j] > cut:
-            break
-        i, j = min(i, j), max(i, j)
-        row = (size[i] * distance[i] + size[j] * distance[j]) / (size[i] + size[j])
-        distance[i], distance[:, i] = row, row
-        distance[i, i] = np.inf
-        distance[j], distance[:, j] = np.inf, np.inf
-        label[label == j] = i
-        size[i] += size[j]
-        n -= 1
-    return label
+    root, place = np.arange(n), np.arange(n)  # of a row; of a row among those still in play
+    rows, sums, size, live = np.arange(n), np.array(vectors, np.float64), np.ones(n), np.ones(n, bool)
+    first, chain = 0, []
+    while True:
+        if 4 * live.sum() < 3 * len(live):
+            rows, sums, size = rows[live], sums[live], size[live]
+            place[rows], live, first = np.arange(len(rows)), np.ones(len(rows), bool), 0
+        if not chain:
+            while first < len(live) and not live[first]:
+                first += 1
+            if first == len(live):
+                break
+            chain.append(int(rows[first]))
+        own = place[chain[-1]]
+        mean = (sums @ sums[own]) / (size * size[own])
+        mean[~live] = -np.inf
+        mean[own] = -np.inf
+        nearest = int(mean.argmax())
+        back = place[chain[-2]] if len(chain) > 1 else -1
+        if back >= 0 and mean[back] >= mean[nearest]:  # of equals the one before, so chains end
+            nearest = back
+        if 1 - mean[nearest] > cut:  # nothing within cut, now or later
+            live[own] = False
+            chain.pop()
+        elif nearest == back:
+            del chain[-2:]
+            low, high = min(own, nearest), max(own, nearest)
+            sums[low] += sums[high]
+            size[low] += size[high]
+            root[rows[high]], live[high] = rows[low], False
+        else:
+            chain.append(int(rows[nearest]))
+    for i in range(n):  # a root is never larger than its members
+        root[i] = root[root[i]]
+    return root
 
 
 def cluster_step(pdf: pd.DataFrame) -> pd.DataFrame:
