@@ -34,6 +34,34 @@ def test_planted_lag_is_found():
     assert statistics.correlate(x, np.full(30, 4.0)) is None and statistics.qap(x, np.full(30, 4.0)) is None
 
 
+def test_permutation_test_is_one_of_the_mean_follower(spark):
+    """The query's rows against a plain restatement on the tables' own daily counts; a series by hand."""
+    t = Tables(spark, SF)
+    got = {r["kind"]: (r["qap_r"], r["qap_p"]) for r in statistics.mean_follower_test(t, least=1).collect()}
+    days = {}
+    for r in statistics.series(t).collect():
+        days.setdefault(r["kind"], {}).setdefault(r["country_code"], {})[r["day"]] = r["n"]
+
+    def best(a, b):
+        found = 0.0
+        for lag in range(8):
+            x, y = a[: len(a) - lag], b[lag:]
+            if len(x) >= 3 and np.std(x) and np.std(y) and abs(r := np.corrcoef(x, y)[0, 1]) > abs(found) + 1e-9:
+                found = r
+        return found
+
+    assert got and set(got) <= set(days)
+    for kind, (r, p) in list(got.items())[:2]:
+        of = {c: np.array([v for _, v in sorted(s.items())], float) for c, s in days[kind].items()}
+        x, y = of.pop("C0"), np.mean(list(of.values()), axis=0)
+        rng = np.random.default_rng(42)
+        hits = sum(abs(best(rng.permutation(x), y)) >= abs(best(x, y)) - 1e-12 for _ in range(1000))
+        assert r == pytest.approx(best(x, y), abs=1e-9) and p == pytest.approx((hits + 1) / 1001)
+    x = np.array([0, 0, 9, 0, 1, 0, 4, 0, 0, 2, 7, 0, 1, 3, 0, 0], float)
+    r, p = statistics.qap(x, np.r_[0, 0, 0, 10 - x[:-3]])
+    assert r == pytest.approx(-1.0) and p <= 0.02
+
+
 def test_nearest_with_many_blocks_equals_one(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=8).tolist(), float(i % 5)) for i in range(60)] + [(60, None, 0.0), (61, [0.0] * 8, 0.0)]

@@ -87,24 +87,25 @@ def granger(x: np.ndarray, y: np.ndarray, most: int = CONFIG.granger_lag) -> tup
 
 
 def qap(x: np.ndarray, y: np.ndarray, permutations: int = CONFIG.permutations, seed: int = 42) -> tuple[float, float] | None:
-    """(r, p): best correlation over lags 0-7 against that of permuted x."""
+    """(r, p): the strongest correlation over lags 0-7, with its sign, against that of permuted x."""
 
     if np.ptp(x) == 0 or np.ptp(y) == 0:
         return None
 
     def strongest(rows: np.ndarray) -> np.ndarray:
-        """The largest correlation over all lags of every row."""
+        """The correlation of largest size over all lags of every row."""
         best = np.zeros(len(rows))
         for lag in range(min(CONFIG.granger_lag, len(y) - 3) + 1):
             a, b = rows[:, : len(y) - lag], y[lag:]
             a, b = a - a.mean(axis=1, keepdims=True), b - b.mean()
             norm = np.sqrt((a**2).sum(axis=1) * (b**2).sum())
-            best = np.maximum(best, np.abs(np.divide(a @ b, norm, out=np.zeros(len(rows)), where=norm > 0)))
+            r = np.divide(a @ b, norm, out=np.zeros(len(rows)), where=norm > 0)
+            best = np.where(np.abs(r) > np.abs(best) + 1e-9, r, best)
         return best
 
     rng = np.random.default_rng(seed)
     own = float(strongest(x[None, :])[0])
-    hits = int((strongest(np.array([rng.permutation(x) for _ in range(permutations)])) >= own - 1e-12).sum())
+    hits = int((np.abs(strongest(np.array([rng.permutation(x) for _ in range(permutations)]))) >= abs(own) - 1e-12).sum())
     return own, (hits + 1) / (permutations + 1)
 
 
@@ -139,16 +140,16 @@ def combined_correlation(t: Tables) -> DataFrame:
     return b.groupBy("kind").agg(F.round(F.avg(F.abs("r")) * F.signum(F.max_by("r", key)), 6).alias("r"), F.max_by("lag", key).alias("lag"))
 
 
-EVIDENCE = "kind string, country_code string, xcorr_lag int, xcorr_r double, xcorr_p double, granger_lag int, granger_f double, granger_p double, qap_r double, qap_p double, reason string"
+EVIDENCE = "kind string, country_code string, xcorr_lag int, xcorr_r double, xcorr_p double, granger_lag int, granger_f double, granger_p double, reason string"
 
 
 def _evidence(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All three tests for one follower; what cannot be tested is null and gives a reason."""
+    """Both tests for one follower; what cannot be tested is null and gives a reason."""
     pdf = pdf.sort_values("day")
     row: dict = {"kind": pdf["kind"].iloc[0], "country_code": pdf["country_code"].iloc[0], "reason": ""}
     x, y = pdf["x"].to_numpy(float), pdf["n"].to_numpy(float)
     reasons = []
-    for name, test, fields in (("xcorr", correlate, ("lag", "r", "p")), ("granger", granger, ("lag", "f", "p")), ("qap", qap, ("r", "p"))):
+    for name, test, fields in (("xcorr", correlate, ("lag", "r", "p")), ("granger", granger, ("lag", "f", "p"))):
         try:
             found = test(x, y)
         except Exception as e:  # one series that fails must not fail the others
@@ -163,17 +164,41 @@ def _evidence(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def evidence(t: Tables, origin: str = "C0", least: int = CONFIG.stats_least_articles) -> DataFrame:
-    """Correlation, Granger and permutation tests of the origin country against each other one.
+    """Correlation and Granger tests of the origin country against each other one.
 
     A group is one follower's calendar: as many rows as days. Kinds with fewer articles than least
     are not tested.
     """
     ship(t.spark)
+    o, followers = _tested(t, origin, least)
+    return followers.join(o, ["kind", "day"]).groupBy("kind", "country_code").applyInPandas(_evidence, EVIDENCE)
+
+
+def _tested(t: Tables, origin: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """Daily counts of the origin (kind, day, x) and of all others (kind, country_code, day, n), for kinds with enough articles."""
     enough = t.articles.groupBy("kind").agg(F.count("*").alias("total")).where(F.col("total") >= least).select("kind")
-    rows = series(t).join(F.broadcast(enough), "kind")
-    o = rows.where(F.col("country_code") == origin).select("kind", "day", F.col("n").alias("x"))
-    both = rows.where(F.col("country_code") != origin).join(o, ["kind", "day"])
-    return both.groupBy("kind", "country_code").applyInPandas(_evidence, EVIDENCE)
+    rows = series(t).join(enough, "kind")
+    return rows.where(F.col("country_code") == origin).select("kind", "day", F.col("n").alias("x")), rows.where(F.col("country_code") != origin)
+
+
+QAP = "kind string, qap_r double, qap_p double"
+
+
+def _permuted(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("day")
+    found = qap(pdf["x"].to_numpy(float), pdf["mean"].to_numpy(float)) or (None, None)
+    return pd.DataFrame([(pdf["kind"].iloc[0], *found)], columns=["kind", "qap_r", "qap_p"])
+
+
+def mean_follower_test(t: Tables, origin: str = "C0", least: int = CONFIG.stats_least_articles) -> DataFrame:
+    """One row a kind: the origin's daily counts against the mean of all followers' series.
+
+    Days of the origin are permuted, which keeps its total; a constant series gives nulls.
+    """
+    ship(t.spark)
+    o, followers = _tested(t, origin, least)
+    mean = followers.groupBy("kind", "day").agg(F.avg("n").alias("mean"))
+    return mean.join(o, ["kind", "day"]).groupBy("kind").applyInPandas(_permuted, QAP)
 
 
 @operator("sta_03")
@@ -183,7 +208,7 @@ def granger_tests(t: Tables) -> DataFrame:
 
 @operator("sta_04")
 def permutation_tests(t: Tables) -> DataFrame:
-    return evidence(t).select("kind", "country_code", "qap_r", "qap_p")
+    return mean_follower_test(t)
 
 
 @operator("sta_05", "SELECT topic_id, size, size < 100 AS insufficient FROM topics")
