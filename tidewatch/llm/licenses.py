@@ -30,33 +30,113 @@ COVERAGE = 0.7
 LEAST_WORDS = 4
 # Notices and texts of public licenses.
 TEMPLATES = {
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "MIT-title": "The MIT License (MIT)",
+    "MIT-heading": "MIT License Copyright (c)",
+    "MPL-1.1-header": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/",
     "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "BSD-3-Clause-notice": "Licensed under the BSD 3-Clause License.",
     "BSD-2-Clause-notice": "Licensed under the BSD 2-Clause License.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
-#: Words that a span must hold, and those it must not, to have a license's name: versions and kinds.
-MUST = {"GPL-3.0-notice": ("3",), "GPL-2.0-notice": ("2",), "GPL-header": ("3",), "GPL-2.0-header": ("2",), "LGPL-2.1-header": ("lesser", "2", "1"), "LGPL-3.0-header": ("lesser", "3"), "AGPL-3.0-header": ("affero", "3"), "BSD-3-Clause-notice": ("3",), "BSD-2-Clause-notice": ("2",), "Apache-2.0-notice": ("2", "0"), "BSD-3-Clause": ("neither",), "CC-BY-SA-4.0-notice": ("sharealike",)}
-MUST_NOT = {"GPL-3.0-notice": ("lesser", "affero"), "GPL-2.0-notice": ("lesser", "affero"), "GPL-header": ("lesser", "affero"), "GPL-2.0-header": ("lesser", "affero"), "CC-BY-4.0-notice": ("sharealike",)}
+#: Identifiers of public licenses as they stand in source files.
+IDENTIFIERS = (
+    "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Apache-1.1", "Apache-2.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "Unlicense",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+    "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+)
+CC_KINDS = {"nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
+CC_LICENSES = ((), ("sa",), ("nd",), ("nc",), ("nc", "sa"), ("nc", "nd"))
+CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+GNU = {"GPL": "", "LGPL": "Lesser ", "AGPL": "Affero "}
+GNU_VERSIONS = {"GPL": ("1", "2", "3"), "LGPL": ("2.1", "3"), "AGPL": ("3",)}
+#: Ways to write a word of a kind in two words.
+SPLIT = {b"noncommercial": (b"non", b"commercial"), b"sharealike": (b"share", b"alike"), b"noderivatives": (b"no", b"derivatives"), b"noderivs": (b"no", b"derivs")}
+#: The words that mean the same kind.
+SAME = {b"noncommercial": b"nc", b"sharealike": b"sa", b"noderivatives": b"nd", b"noderivs": b"nd"}
+KINDS = {"CC": ("nc", "sa", "nd"), "GNU": ("lesser", "affero"), "BSD": ("2", "3", "4", "neither"), "": ()}
+
+
+def _family(name: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
+    """Of a template's name: its family, the kinds of that family it has, and the numbers of its version."""
+    parts = name.removeprefix("SPDX-").split("-")
+    version = tuple(next((p for p in parts if p[0].isdigit() and "." in p), "").split(".")) if any("." in p for p in parts) else ()
+    if parts[0] == "CC":
+        return "CC", tuple(p.lower() for p in parts if p.lower() in CC_KINDS), version
+    if parts[0] in GNU and not name.startswith("SPDX"):
+        return "GNU", tuple(GNU[parts[0]].lower().split()), version[: 1 if version[1:] == ("0",) else 2]
+    if parts[0] == "BSD" and len(parts) > 2 and not name.startswith("SPDX"):
+        return "BSD", ("neither",) if name == "BSD-3-Clause" else () if name == "BSD-2-Clause" else (parts[1],), ()
+    return "", (), version
+
+
+def _templates(fixed: dict[str, str]) -> dict[str, str]:
+    """The fixed texts, and the notices of all members and versions of the families that differ in a few words alone."""
+    out = dict(fixed)
+    for version, port in CC_VERSIONS.items():
+        for kinds in CC_LICENSES:
+            name = "-".join(["CC-BY", *(k.upper() for k in kinds), version])
+            out[f"{name}-notice"] = f"CC BY{''.join('-' + k.upper() for k in kinds)} {version}"
+            out[f"{name}-long"] = f"This work is licensed under a Creative Commons {'-'.join(['Attribution', *(CC_KINDS[k] for k in kinds)])} {version} {port} License."
+    for kind, word in GNU.items():
+        for version in GNU_VERSIONS[kind]:
+            full = version if "." in version else f"{version}.0"
+            out[f"{kind}-{full}-notice"] = f"This work is licensed under the GNU {word}General Public License, version {version}."
+    for version in ("1.1", "2.0"):
+        out[f"Apache-{version}-notice"] = f"Licensed under the Apache License, Version {version}."
+        out[f"MPL-{version}-short"] = f"Licensed under the Mozilla Public License, version {version}."
+    return out | {f"SPDX-{name}": f"SPDX-License-Identifier: {name}" for name in IDENTIFIERS}
+
+
+def _kind_words(words: list[bytes]) -> list[bytes]:
+    """words with the ways to write a kind made one."""
+    out, i = [], 0
+    while i < len(words):
+        whole = next((k for k, two in SPLIT.items() if tuple(words[i : i + 2]) == two), None)
+        out.append(SAME.get(whole or words[i], whole or words[i]))
+        i += 2 if whole else 1
+    return out
+
+
+def _holds(words: list[bytes], run: tuple[bytes, ...]) -> bool:
+    """Whether the words of run stand there side by side."""
+    return not run or any(tuple(words[i : i + len(run)]) == run for i in range(len(words) - len(run) + 1))
+
+
+class Required:
+    """What a span must hold to have a template's name: the kinds of its family that the name has and none of the
+    others, and the numbers of its version side by side; of an identifier, all its words side by side."""
+
+    def __init__(self, name: str, template: bytes):
+        family, kinds, version = _family(name)
+        self.kinds = {k.encode() for k in kinds}
+        self.others = {k.encode() for k in KINDS[family]} - self.kinds
+        if name in ("BSD-2-Clause", "BSD-3-Clause"):
+            self.others &= {b"neither"}
+        self.run = tuple(n.encode() for n in version)
+        if name.startswith("SPDX-"):
+            self.run = tuple(template.translate(FOLD).split())[2:]
+        self.word = next((w.encode() for w in ("mit", "isc", "unlicense") if name.lower().startswith(w) and w.encode() in template.lower().translate(FOLD).split()), None)
+
+    def met(self, words: list[bytes]) -> bool:
+        own = _kind_words(words)
+        held = set(own)
+        return self.kinds <= held and not self.others & held and _holds(own, self.run) and (self.word is None or self.word in held)
+
+
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
+TEMPLATES = _templates(TEMPLATES)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,6 +170,7 @@ class Index:
 
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
+        self.required = [Required(name, text.encode()) for name, text in templates.items()]
         split = [t.encode().translate(FOLD).split() for t in templates.values()]
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words), 1)}
         self.words = [np.array([self.ids[w] for w in words], np.int32) for words in split]
@@ -197,10 +278,8 @@ def found(text: str, index: Index, coverage: float = COVERAGE) -> list[tuple[str
         first = max(0, low - BAND)
         part = ids[first : high + len(template) + BAND + 1]
         least = max(LEAST_WORDS, math.ceil(coverage * len(template)))
-        must, must_not = MUST.get(index.names[t], ()), MUST_NOT.get(index.names[t], ())
         for matched, a, b in aligned(template, part, low - first, high - first, least):
-            span = set(words[a + first : b + first + 2]) if must or must_not else ()  # a version may end it
-            if any(w.encode() not in span for w in must) or any(w.encode() in span for w in must_not):
+            if not index.required[t].met(words[a + first : b + first + 3]):  # a version may end it
                 continue
             hits.append((matched, matched / len(template), t, a + first, b + first))
     if not hits:
