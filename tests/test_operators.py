@@ -296,3 +296,25 @@ def test_pooling_weights(spark):
 
 def test_subsequence():
     assert folds.common_subsequence(list("abcde"), list("ace")) == 3 and folds.common_subsequence([], ["a"]) == 0
+
+
+@pytest.mark.parametrize("spread,titles", [(0.25, 30), (0.5, 1000), (0.12, 5)])
+def test_assignment_in_components_is_that_of_one_fold(spark, spread, titles):
+    """Topics that cross cells and drift: the same rows as all reports in order."""
+    import pandas as pd
+
+    rng = np.random.default_rng(17)
+    heads = rng.normal(size=(25, 5))
+    rows = []
+    for i in range(400):
+        v = heads[i % 25] + spread * rng.normal(size=5) + 0.02 * (i // 25) * heads[(i + 1) % 25]  # heads move towards their neighbours
+        title = None if i % 7 == 0 else f"Report, {rng.integers(0, titles)}!"
+        rows.append((i, v.tolist(), pd.Timestamp("2024-01-01") + pd.Timedelta(hours=float(i // 3)), title))
+    rows[11] = (11, None, *rows[11][2:])
+    rows[12] = (12, rows[40][1], *rows[12][2:])
+    pdf = pd.DataFrame(rows, columns=["article_id", "vec", "published_at", "title"]).sort_values(["published_at", "article_id"])
+    want = {r.id: (r.topic_id, None if pd.isna(r.duplicate_of) else r.duplicate_of) for r in folds.assign_step(pdf).itertuples()}
+    df = spark.createDataFrame([(i, v, at.to_pydatetime(), t) for i, v, at, t in rows], "article_id long, vec array<double>, published_at timestamp, title string").repartition(3)
+    got = {r["article_id"]: (r["topic_id"], r["duplicate_of"]) for r in folds.assigned(df, rows_a_cell=30).collect()}
+    assert got == want and 5 < len({t for t, _ in want.values()}) < 399
+    assert folds.assigned(df.limit(0)).count() == 0

@@ -10,13 +10,14 @@ The driver holds pivots and one line of figures a cell, at most PIVOTS of each,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.components import connected
 from tidewatch.session import ship
 from tidewatch.storage import dropped, stored
 
@@ -268,3 +269,42 @@ def links_within(cells: Cells, left: DataFrame, angle: float, widest: float, par
     asked = left.select("id", "vec", "extra", F.lit(None).cast("double").alias("bound"))
     chord = lambda extra, bound: 2 * np.sin(np.minimum(angle + np.nan_to_num(extra) + widest, np.pi) / 2) + 1e-6
     return cells.meet(cells.visits(asked, chord), join, "a long, b long", part)
+
+
+def settled(cells: Cells, vectors: DataFrame, edges: DataFrame, angle: float, fold: Callable[[DataFrame], DataFrame], both: bool) -> DataFrame:
+    """What fold makes of all components of edges (a, b) once none could have met another, stored.
+
+    fold takes (node, root) of whole components, which it works on apart from each other, and returns rows with
+    id and drift: the largest angle from a row's vector to where its centroid has been. Where a drifted row
+    comes within angle, its drift and (both) the other's of a row of another component, those two might have met:
+    they are joined and folded again. In the end the result is that of one fold over all rows: at the
+    first step that differed, two components would have had to meet. vectors: (id, vec) of all rows.
+    """
+    folded = cross = None
+    while True:
+        comps = connected(edges)
+        todo = comps
+        if folded is not None:  # only components that grew
+            grown = cross.select(F.col("a").alias("node")).join(comps, "node").select("root").distinct()
+            todo = comps.join(grown, "root", "left_semi").select("node", "root")
+        out = fold(todo)
+        if folded is not None:
+            out = folded.join(todo.select(F.col("node").alias("id")), "id", "left_anti").select(*out.columns).union(out)
+        after = stored(out, "folded")
+        dropped(folded)
+        folded = after
+        drifted = folded.where("drift > 0").select("id", F.col("drift").alias("extra"))
+        widest = drifted.agg(F.max("extra")).first()[0]
+        if widest is None:
+            return folded
+        pads = drifted if both else drifted.limit(0)
+        padded = replace(cells, rows=cells.rows.drop("extra").join(pads, "id", "left").select("cell", "block", "id", "vec", "extra"))
+        met = links_within(padded, vectors.join(drifted, "id"), angle, widest if both else 0.0)
+        for end in "ab":
+            met = met.join(comps.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+        cross = stored(met.where("a_root <> b_root").select("a", "b"), "links")
+        if cross.isEmpty():
+            return folded
+        more = stored(edges.union(cross), "links")
+        dropped(edges, comps)
+        edges = more

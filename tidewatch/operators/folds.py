@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog import operator
 from tidewatch.config import CONFIG
+from tidewatch.operators.cells import ROWS_A_CELL, cells_of, links_within, settled
 from tidewatch.operators.joins import first_per
 from tidewatch.operators.vectors import nearest
 from tidewatch.session import ship
+from tidewatch.storage import stored
 from tidewatch.tables import Tables
 
 
@@ -81,6 +83,7 @@ def echo_fold(t: Tables) -> DataFrame:
     return fold_by(vector_reports(t), ["topic_id"], ["published_at", "article_id"], echo_step, NODES)
 
 
+DAY_MICROS = 86_400_000_000
 ASSIGNED = "article_id long, topic_id long, duplicate_of long, score double"
 
 
@@ -114,6 +117,7 @@ class Assigner:
         self.title_hours = title_hours
         self.seen, self.ids, self.topic_of, self.titles = Rows(), [], {}, {}
         self.centres, self.last, self.topics = Rows(), [], []
+        self.founders, self.drift = Rows(), []  # where a topic began, and the largest angle it has had to that
 
     def add(self, article: int, vector, at, title: str | None = None) -> tuple[int, int | None, float]:
         """(topic, the report it repeats, score)."""
@@ -130,9 +134,12 @@ class Assigner:
             self.centres.data[j] = pool(self.centres.data[j], v, (at - self.last[j]).total_seconds() / 3600)
             self.last[j] = at
             topic = self.topics[j]
+            self.drift[j] = max(self.drift[j], float(np.arccos(np.clip(self.founders.data[j] @ self.centres.data[j], -1.0, 1.0))))
         else:
             topic, score = article, 1.0
             self.centres.add(v)
+            self.founders.add(v)
+            self.drift.append(0.0)
             self.last.append(at)
             self.topics.append(topic)
         self.seen.add(v)
@@ -144,15 +151,54 @@ class Assigner:
 
 
 def assign_step(pdf: pd.DataFrame) -> pd.DataFrame:
+    """ASSIGNED and drift (of the topic that a report opened) for reports in order, as they met no others."""
     own = Assigner()
     out = [(r.article_id, *own.add(r.article_id, r.vec, r.published_at, getattr(r, "title", None))) for r in pdf.itertuples() if r.vec is not None]
-    return pd.DataFrame(out, columns=["article_id", "topic_id", "duplicate_of", "score"]).astype({"duplicate_of": "Int64"})
+    drift = dict(zip(own.topics, own.drift, strict=True))
+    rows = [(*r, drift.get(r[0], 0.0)) for r in out]
+    return pd.DataFrame(rows, columns=["id", "topic_id", "duplicate_of", "score", "drift"]).astype({"duplicate_of": "Int64"})
+
+
+def assigned(reports: DataFrame, rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
+    """ASSIGNED for reports (article_id, vec, published_at, title) as Assigner gives it to all of them in order.
+
+    Only reports within the topic threshold's angle, or of equal titles less than a day apart, can concern each
+    other, so components of such links are folded apart, and joined where a topic's centroid has drifted so
+    far that it might have taken a report of another; see settled(). Reports that nothing links open a topic each.
+    A component is folded in one task, with memory linear in its reports. Reports without a vector take
+    no part; article_ids are distinct.
+    """
+    ship(reports.sparkSession)
+    usable = F.coalesce(F.exists("vec", lambda x: x != 0), F.lit(False))
+    rows = stored(reports.where(usable).select(F.col("article_id").cast("long").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"), "published_at", "title"), "reports")
+    vectors = rows.select("id", "vec")
+    cells = cells_of(vectors.withColumn("extra", F.lit(None).cast("double")), rows_a_cell=rows_a_cell)
+    if cells is None:
+        return reports.sparkSession.createDataFrame([], ASSIGNED)
+    angle = float(np.arccos(CONFIG.topic_cosine)) + 1e-7
+    near = links_within(cells, vectors.withColumn("extra", F.lit(None).cast("double")), angle, 0.0)
+    title = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), r"[^\p{L}\p{N}]", "")
+    timed = rows.select("id", title.alias("key"), F.unix_micros(F.col("published_at").cast("timestamp")).alias("us")).where("key <> ''")
+    days = timed.select("id", "key", F.floor(F.col("us") / DAY_MICROS).alias("day"))
+    firsts = days.groupBy("key", "day").agg(F.min("id").alias("a"))
+    same_day = days.join(firsts, ["key", "day"]).select("a", F.col("id").alias("b"))
+    next_day = firsts.join(firsts.select("key", (F.col("day") + 1).alias("day"), F.col("a").alias("b")), ["key", "day"]).select("a", "b")
+    edges = stored(near.union(same_day).union(next_day), "links")
+
+    def fold(comps: DataFrame) -> DataFrame:
+        members = rows.join(comps.select(F.col("node").alias("id"), "root"), "id").withColumnRenamed("id", "article_id")
+        return fold_by(members, ["root"], ["published_at", "article_id"], assign_step, "id long, topic_id long, duplicate_of long, score double, drift double")
+
+    found = settled(cells, vectors, edges, angle, fold, both=False)
+    cells.drop()
+    alone = rows.join(found, "id", "left_anti").select(F.col("id").alias("article_id"), F.col("id").alias("topic_id"), F.lit(None).cast("long").alias("duplicate_of"), F.lit(1.0).alias("score"))
+    return found.select(F.col("id").alias("article_id"), "topic_id", "duplicate_of", "score").union(alone)
 
 
 @operator("seq_04")
 def online_assignment(t: Tables) -> DataFrame:
-    """Assignment in blocks by label; a single block gives the order-dependent whole."""
-    return fold_by(vector_reports(t), ["topic_id"], ["published_at", "article_id"], assign_step, ASSIGNED)
+    """Assignment of all reports in order, whatever their labels."""
+    return assigned(vector_reports(t))
 
 
 TOPICS = "topic_id long, size int, scope string, last_seen timestamp, lifecycle string, centroid array<double>"
@@ -331,8 +377,7 @@ def registered_entities(t: Tables, most: int = 20) -> DataFrame:
     SELECT task, judgement_id, degraded FROM (SELECT *, coalesce(lag(degraded) OVER (PARTITION BY task ORDER BY created_at, judgement_id), false) AS before FROM r) x WHERE degraded <> before""")
 def degradation_flips(t: Tables, window: int = 20, least: int = 5, rate: float = 0.2) -> DataFrame:
     """When the failure rate of the last judgements passes a rate, and when it falls back."""
-    from pyspark.sql import Window as W
-
+    
     w = W.partitionBy("task").orderBy("created_at", "judgement_id").rowsBetween(-(window - 1), 0)
     rows = t.judgements.select("task", "judgement_id", "created_at", (F.avg((~F.col("ok")).cast("double")).over(w) > rate).alias("over"), F.count("*").over(w).alias("n"))
     state = rows.withColumn("degraded", F.col("over") & (F.col("n") >= least))

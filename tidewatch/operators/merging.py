@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import operator
-from tidewatch.components import connected
 from tidewatch.config import CONFIG
 from tidewatch.operators.aggregates import global_ranks
-from tidewatch.operators.cells import ROWS_A_CELL, cells_of, links_within
+from tidewatch.operators.cells import ROWS_A_CELL, cells_of, links_within, settled
 from tidewatch.operators.lifecycle import merge_roots
 from tidewatch.operators.windows import top_per
 from tidewatch.session import ship
@@ -270,29 +268,7 @@ def merged_to_fixpoint(topics: DataFrame, least: float = CONFIG.merge_cosine, ba
     pairs = stored((pairs[0].union(pairs[-1]) if pairs else spark.createDataFrame([], "a long, b long")).distinct(), "barred")
     angle = float(np.arccos(np.clip(least - 1e-6, -1.0, 1.0)))
     edges = stored(links_within(cells, state.where("batch IS NOT NULL").select("id", "vec", F.lit(None).cast("double").alias("extra")), angle, 0.0), "links")
-    folded = None
-    while True:
-        comps = connected(edges)
-        todo = comps
-        if folded is not None:  # only components that grew
-            grown = cross.select(F.col("a").alias("node")).join(comps, "node").select("root").distinct()
-            todo = comps.join(grown, "root", "left_semi").select("node", "root")
-        out = _folded(state, todo, pairs, least, now, largest, listed)
-        if folded is not None:
-            out = folded.join(todo.select(F.col("node").alias("id")), "id", "left_anti").select(*out.columns).union(out)
-        folded = stored(out, "folded")
-        drifted = folded.where("drift > 0").select("id", F.col("drift").alias("extra"))
-        widest = drifted.agg(F.max("extra")).first()[0]
-        if widest is None:
-            break
-        padded = replace(cells, rows=cells.rows.drop("extra").join(drifted, "id", "left").select("cell", "block", "id", "vec", "extra"))
-        met = links_within(padded, state.select("id", "vec").join(drifted, "id"), angle, widest)
-        for end in "ab":
-            met = met.join(comps.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-        cross = stored(met.where("a_root <> b_root").select("a", "b"), "links")
-        if cross.isEmpty():
-            break
-        edges = stored(edges.union(cross), "links")
+    folded = settled(cells, state.select("id", "vec"), edges, angle, lambda comps: _folded(state, comps, pairs, least, now, largest, listed), both=True)
     cells.drop()
     found = folded.select("id", "merged_into", "root", "similarity")
     return whole.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "merged_into", "similarity")
