@@ -191,13 +191,11 @@ def theme_match(t: Tables, themes: dict[str, tuple[str, ...]] = THEMES) -> DataF
     return first_per(hits, ["topic_id"], F.desc("n"), "ord").select("topic_id", "theme")
 
 
-@operator("joi_25", """SELECT t.topic_id, o.topic_id AS other FROM topics t JOIN topics o ON t.topic_no = o.topic_no + 8 AND t.topic_id <> o.topic_id WHERE NOT EXISTS
-    (SELECT 1 FROM no_merge n WHERE least(n.a, n.b) = least(t.topic_id, o.topic_id) AND greatest(n.a, n.b) = greatest(t.topic_id, o.topic_id))""")
+@operator("joi_25", """SELECT topic_id, other FROM merge_candidates c WHERE topic_id <> other AND NOT EXISTS
+    (SELECT 1 FROM no_merge n WHERE least(n.a, n.b) = least(c.topic_id, c.other) AND greatest(n.a, n.b) = greatest(c.topic_id, c.other))""")
 def allowed_pairs(t: Tables) -> DataFrame:
     """Candidate pairs without those barred from merging, whatever the order of the pair."""
-    x = t.topics.select("topic_id", "topic_no")
-    y = t.topics.select(F.col("topic_id").alias("other"), (F.col("topic_no") + 8).alias("topic_no"))
-    pairs = x.join(y, "topic_no").where("topic_id <> other").withColumns({"lo": F.least("topic_id", "other"), "hi": F.greatest("topic_id", "other")})
+    pairs = t.merge_candidates.where("topic_id <> other").withColumns({"lo": F.least("topic_id", "other"), "hi": F.greatest("topic_id", "other")})
     barred = t.no_merge.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     return pairs.join(barred, ["lo", "hi"], "left_anti").select("topic_id", "other")
 

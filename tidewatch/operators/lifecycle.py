@@ -180,11 +180,10 @@ def event_conditions(t: Tables) -> DataFrame:
     return out.select("event_id", "a", "b", "c", "d", (F.col("a") & F.col("b") & F.col("d") & (F.col("c") | F.col("insufficient_data"))).alias("opened"))
 
 
-@operator("seq_20", "SELECT event_id, CASE WHEN origin_type = 'person' THEN 'high' ELSE confidence END AS confidence FROM agenda_events WHERE topic_id NOT IN (SELECT topic_id FROM topics WHERE topic_no % 2 = 0)")
+@operator("seq_20", "SELECT event_id, CASE WHEN origin_type = 'person' THEN 'high' ELSE confidence END AS confidence FROM agenda_events WHERE topic_id NOT IN (SELECT topic_id FROM known_events)")
 def new_events(t: Tables) -> DataFrame:
     """Events of topics without one yet; a person's origin counts as high."""
-    known = t.topics.where("topic_no % 2 = 0").select("topic_id")
-    fresh = t.agenda_events.join(known, "topic_id", "left_anti")
+    fresh = t.agenda_events.join(t.known_events, "topic_id", "left_anti")
     return fresh.select("event_id", F.when(F.col("origin_type") == "person", "high").otherwise(F.col("confidence")).alias("confidence"))
 
 
@@ -252,11 +251,14 @@ def decayed(base: Column, last: Column, now: Column, days: float = CONFIG.relati
     return base * F.exp(-(F.unix_timestamp(now) - F.unix_timestamp(last)) / 86400.0 / days)
 
 
-@operator("seq_33", "SELECT subject, object, relation, round(c, 6) AS confidence, CASE WHEN c < 0.2 THEN 'expired' ELSE 'active' END AS status FROM (SELECT *, base_confidence * exp(-(sec(TIMESTAMP '2001-08-15') - sec(last_seen)) / 86400.0e0 / 14) AS c FROM relations WHERE last_seen >= TIMESTAMP '2001-06-01' AND last_seen <= TIMESTAMP '2001-08-15') x")
-def relation_decay(t: Tables, now: str = "2001-08-15", since: str = "2001-06-01") -> DataFrame:
-    end = F.lit(now).cast("timestamp")
-    c = decayed(F.col("base_confidence").cast("double"), F.col("last_seen"), end)
-    rows = t.relations.where(F.col("last_seen").between(F.lit(since).cast("timestamp"), end)).withColumn("c", c)
+@operator("seq_33", "SELECT subject, object, relation, round(c, 6) AS confidence, CASE WHEN c < 0.2 THEN 'expired' ELSE 'active' END AS status FROM (SELECT *, base_confidence * exp(-(sec((SELECT max(last_seen) FROM relations)) - sec(last_seen)) / 86400.0e0 / 14) AS c FROM relations) x")
+def relation_decay(t: Tables, now: str | None = None) -> DataFrame:
+    """All relations as they stand at now, by default when the last of them was seen."""
+    if now is None:
+        rows = t.relations.join(F.broadcast(t.relations.agg(F.max("last_seen").alias("now"))))  # one row
+    else:
+        rows = t.relations.withColumn("now", F.lit(now).cast("timestamp"))
+    rows = rows.withColumn("c", decayed(F.col("base_confidence").cast("double"), F.col("last_seen"), F.col("now")))
     return rows.select("subject", "object", "relation", F.round("c", 6).alias("confidence"), F.when(F.col("c") < CONFIG.relation_expired, "expired").otherwise("active").alias("status"))
 
 

@@ -137,10 +137,10 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return first_per(rows, keys, F.desc("_v")).drop("_v")
 
 
-@operator("src_16", "SELECT s.country_code, s.topic_id, g.granularity, sec(s.window_start) AS at_sec, CASE WHEN g.granularity = 'day' AND s.window_start = TIMESTAMP '2024-01-30' THEN s.article_count + 1 ELSE s.article_count END AS article_count FROM snapshots s CROSS JOIN (VALUES ('day'), ('hour')) AS g(granularity) WHERE s.window_start >= TIMESTAMP '2024-01-29'")
+@operator("src_16", "SELECT s.country_code, s.topic_id, g.granularity, sec(s.window_start) AS at_sec, CASE WHEN g.granularity = 'day' AND s.window_start = TIMESTAMP '2024-01-30' THEN s.article_count + 1 ELSE s.article_count END AS article_count FROM snapshots s CROSS JOIN (VALUES ('day'), ('hour')) AS g(granularity)")
 def snapshot_upsert(t: Tables) -> DataFrame:
     keys = ["country_code", "topic_id", "window_start", "granularity"]
-    grains = t.snapshots.where(F.col("window_start") >= F.lit("2024-01-29").cast("timestamp")).withColumn("granularity", F.explode(F.array(F.lit("day"), F.lit("hour"))))
+    grains = t.snapshots.withColumn("granularity", F.explode(F.array(F.lit("day"), F.lit("hour"))))
     own = grains.select(*keys, "article_count")
     new = own.where((F.col("window_start") == F.lit("2024-01-30").cast("timestamp")) & (F.col("granularity") == "day")).withColumn("article_count", F.col("article_count") + 1)
     return upserted(own, new, keys).select("country_code", "topic_id", "granularity", F.unix_timestamp("window_start").alias("at_sec"), "article_count")

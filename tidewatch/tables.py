@@ -59,6 +59,9 @@ LOGICAL = {
         concat('v', article_id % 5) AS before_value, concat('v', CASE WHEN article_id % 19 = 0 THEN article_id % 5 ELSE article_id % 5 + 1 END) AS after_value, CASE WHEN article_id % 23 = 0 THEN '{{}}' WHEN article_id % 37 = 0 THEN NULL ELSE concat('{{"id": ', article_id, '}}') END AS evidence,
         CASE WHEN article_id % 3 <> 0 AND article_id % 29 <> 0 THEN 'rules' END AS model, CASE WHEN article_id % 3 <> 0 THEN 'p1' END AS prompt_version, CASE WHEN article_id % 3 = 0 AND article_id % 31 <> 0 THEN 'user7' END AS actor_id, article_id % 6 = 1 AS rejected
         FROM {articles}""",
+    "known_events": "SELECT DISTINCT topic_id FROM {revisions} WHERE field = 'status' AND actor = 'human'",
+    "merge_candidates": """SELECT topic_id, other FROM (SELECT topic_id, lag(topic_id) OVER (PARTITION BY lifecycle ORDER BY first_seen, topic_id) AS other FROM {topics}) x WHERE other IS NOT NULL
+        UNION SELECT topic_id, merged_into FROM {topics} WHERE merged_into <> topic_id UNION SELECT b, a FROM {no_merge} WHERE a <> b""",
     "entities": """SELECT c_custkey AS entity_id, c_name AS name, CASE WHEN c_custkey % 6 = 0 THEN concat('ZH ', c_custkey) WHEN c_custkey % 6 = 1 THEN '' END AS name_zh, CASE c_custkey % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'thinktank' ELSE 'party' END AS entity_type,
         concat('C', c_nationkey % 12) AS country_code, CAST(c_custkey % 5 AS INT) AS priority, c_custkey % 4 = 0 AS is_seed, CAST(c_custkey % 7 AS INT) AS utterances, c_custkey % 9 <> 0 AS monitored FROM {customer}""",
     "article_entities": "SELECT o_orderkey % 10000 AS article_id, o_custkey AS entity_id, o_orderkey % 2 = 0 AS is_primary FROM {orders}",
