@@ -114,13 +114,14 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(_some(run), "name binary, hashes array<long>")
 
 
-def most_differing(percent: int) -> int:
-    """Coordinates whose sketches differ at most in pairs of this similarity, but for a chance of about 3 in 10^6."""
+def most_differing(percent: int, deviations: float = DEVIATIONS) -> int:
+    """Coordinates whose sketches differ at most in pairs of this similarity, but for a chance of about 3 in 10^6
+    (3 in 10^5 for four deviations)."""
     p = (1 - percent / 100) * (1 - 0.5**PLANES)
-    return int(COORDINATES * p + DEVIATIONS * (COORDINATES * p * (1 - p)) ** 0.5)
+    return int(COORDINATES * p + deviations * (COORDINATES * p * (1 - p)) ** 0.5)
 
 
-def sizes_and_sketches_allow(x: End, y: End, percent: int) -> Column:
+def sizes_and_sketches_allow(x: End, y: End, percent: int, deviations: float = DEVIATIONS) -> Column:
     """Whether two sets may have this similarity, by their sizes and the tally of coordinates equal in the sketch."""
     bits = [x(b).bitwiseXOR(y(b)) for b in BITS]
     differing = F.lit(0)
@@ -130,7 +131,7 @@ def sizes_and_sketches_allow(x: End, y: End, percent: int) -> Column:
             apart = apart.bitwiseOR(bits[plane * LONGS + i])
         differing = differing + F.bit_count(apart)
     sizes = F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent
-    return sizes & (differing <= most_differing(percent))
+    return sizes & (differing <= most_differing(percent, deviations))
 
 
 def with_bits(sets: DataFrame) -> DataFrame:
@@ -146,7 +147,9 @@ def slots(first: int = 0) -> Column:
 class Confirmed:
     """Pairs of nodes whose whole sets have a similarity.
 
-    nodes: (node, low, name), of which low finds the text in docs (doc_id, text).
+    nodes: (node, low, name), of which low finds the text in docs (doc_id, text). Pairs first meet by the upper
+    halves of their hashes: equal hashes have equal halves, and what halves that fall together may hide is added, so
+    this never counts too few. What is left is confirmed on the whole hashes.
     """
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
@@ -160,16 +163,26 @@ class Confirmed:
         self.sets = stored(asked.select("node", "name").join(sets, "name").select("node", "hashes"), "shingles")
 
     def links(self, pairs: DataFrame) -> DataFrame:
+        halves = F.array_distinct(F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")))
+        n = F.size("hashes").cast("long").alias("n")
+        half = self.sets.select("node", halves.alias("hashes"), n).withColumn("hidden", F.col("n") - F.size("hashes"))
+        left = self._similar(pairs, half)
+        return self._similar(left, self.sets.select("node", "hashes", n, F.lit(0).cast("long").alias("hidden")))
+
+    def _similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """(a, b), stored: the pairs whose sets (node, hashes, n, hidden) share enough for the similarity."""
         pairs = candidates = stored(pairs, "candidates")
         total = candidates.count()
         if not total:
             return candidates
         for end in "ab":
             uses = candidates.groupBy(end).agg(F.count("*").alias("uses"))
-            ends = self.sets.select(F.col("node").alias(end), F.col("hashes").alias(f"{end}_set")).join(uses, end)
+            ends = sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("hashes", "n", "hidden")]).join(uses, end)
             pairs = joined(pairs, ends, [end], "uses", total).drop("uses")
-        both = F.size(F.array_intersect("a_set", "b_set")).cast("long")
-        return pairs.where(both * 100 >= (F.size("a_set") + F.size("b_set") - both) * self.percent).select("a", "b")
+        both = F.size(F.array_intersect("a_hashes", "b_hashes")) + F.least("a_hidden", "b_hidden")
+        out = stored(pairs.where(both * 100 >= (F.col("a_n") + F.col("b_n") - both) * self.percent).select("a", "b"), "similar")
+        dropped(candidates)
+        return out
 
     def done(self) -> None:
         dropped(self.sets)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import minhash
 from tidewatch.llm.linking import End, Rule, classes, with_smallest_id
-from tidewatch.llm.shared import joined, keyed, stored, table, trimmed
+from tidewatch.llm.shared import dropped, joined, keyed, stored, table, trimmed
 from tidewatch.llm.shingles import distinct_hashes, shingle_hashes
 from tidewatch.session import ship
 
@@ -34,6 +34,7 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 COPY_WORDS = 5
 COPY_PERCENT = 80
+COPY_DEVIATIONS = 4.0
 
 
 def fingerprint(text: str, width: int = SHINGLE_WORDS) -> int:
@@ -125,7 +126,7 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX
 
     Near duplicates are texts that near_duplicates() links, by at most max_bits bits over shingles of
     width words, and texts whose sets of five-word shingles have a similarity of percent or more: such a
-    pair meets in the index but for a chance of 2 in 10^4 at 0.8, and less above. Both kinds of links
+    pair meets in the index and passes the sketches but for a chance of 3 in 10^4 at 0.8, and less above. Both kinds of links
     join one set of classes. Null texts count as empty and empty texts are one class; of repeated rows,
     and of rows with equal ids in a class, one stays; columns stay as they are, whatever their names; an
     empty table stays empty.
@@ -142,7 +143,7 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX
     by_bits = lambda x, y: linked(x("fp"), y("fp"), max_bits)
     rule = Rule(
         attributes=("fp", "n", *minhash.BITS),
-        near=lambda x, y: by_bits(x, y) | F.coalesce(minhash.sizes_and_sketches_allow(x, y, percent), F.lit(False)),
+        near=lambda x, y: by_bits(x, y) | F.coalesce(minhash.sizes_and_sketches_allow(x, y, percent, COPY_DEVIATIONS), F.lit(False)),
         sure=by_bits,
         verified=confirmed.links,
         prepared=confirmed.prepare,
@@ -150,7 +151,9 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX
     roots = classes(nodes, F.concat(postings(F.col("fp")), minhash.slots(len(fours()))), rule)
     confirmed.done()
     named = nodes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("class")).agg(F.min("best").alias("best"))
-    return rows.join(named.select(F.col("best.row").alias(key)), key, "left_semi").select(*docs.columns)
+    kept = stored(named.select(F.col("best.row").alias(key)), "kept")
+    dropped(made, nodes, roots)
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def _both(docs: DataFrame, width: int) -> DataFrame:
