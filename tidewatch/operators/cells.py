@@ -112,8 +112,9 @@ class Cells:
         columns = left.select(F.col("id").cast("long").alias("id"), "vec", F.col("extra").cast("double").alias("extra"), F.col("bound").cast("double").alias("bound"))
         return columns.mapInArrow(run, f"cell int, {ROW}, bound double")
 
-    def meet(self, visits: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, part: int = PART) -> DataFrame:
-        """run(visitors, members) for every block of a cell and every part, of bounded size, of its visitors."""
+    def meet(self, visits: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, part: int = PART, also: tuple[str, ...] = ()) -> DataFrame:
+        """run(visitors, members) for every block of a cell and every part, of bounded size, of its visitors; also:
+        more columns that both have."""
         spark = visits.sparkSession
         visits = stored(visits, "visits")
         loads = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
@@ -123,8 +124,8 @@ class Cells:
         left = visits.join(F.broadcast(shape), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("block", every("blocks"))
         right = self.rows.join(F.broadcast(shape.select("cell", "parts")), "cell").withColumn("part", every("parts"))
         keys = ("cell", "block", "part")
-        a = left.select(*keys, "id", "vec", "extra", "bound").groupBy(*keys)
-        return a.cogroup(right.select(*keys, "id", "vec", "extra").groupBy(*keys)).applyInArrow(run, schema)
+        a = left.select(*keys, "id", "vec", "extra", "bound", *also).groupBy(*keys)
+        return a.cogroup(right.select(*keys, "id", "vec", "extra", *also).groupBy(*keys)).applyInArrow(run, schema)
 
     def compared(self, visits: DataFrame) -> int:
         """How many pairs these visits compare."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import operator
 from tidewatch.config import CONFIG
 from tidewatch.operators.cells import ROWS_A_CELL, cells_of, links_within, settled
+from tidewatch.operators.density import LEAST, density_clusters
 from tidewatch.operators.joins import first_per
 from tidewatch.operators.vectors import nearest
 from tidewatch.session import ship
@@ -286,16 +287,20 @@ def agglomerative(t: Tables) -> DataFrame:
 
 
 @operator("seq_13")
-def guarded_clusters(t: Tables, least_size: int = 2, cohesion: float = 0.5, largest: float = 0.8) -> DataFrame:
-    """Clusters behind the guards of a topic model: least size (else noise), cohesion, and the share of
-    the largest cluster, which rejects all of them together. The model itself is average linkage."""
+def guarded_clusters(t: Tables, least_size: int = LEAST, cohesion: float = 0.5, largest: float = 0.8) -> DataFrame:
+    """Density clusters of all reports behind the guards of a topic model: cohesion, and the share of all clustered reports that the
+    largest cluster has, which rejects all of them together. One row a cluster, and one without cluster_id for the noise."""
     from tidewatch.operators.vectors import centroids
 
-    members = agglomerative(t).join(vector_reports(t).select("article_id", F.col("vec").alias("embedding")), "article_id")
-    sizes = centroids(members, "cluster_id").select("cluster_id", "size", "cohesion")
+    reports = vector_reports(t).select(F.col("article_id").alias("id"), "vec")
+    found = stored(density_clusters(reports, least_size), "density")
+    members = found.where("cluster IS NOT NULL").join(reports.withColumnRenamed("vec", "embedding"), "id")
+    sizes = centroids(members, "cluster").select(F.col("cluster").alias("cluster_id"), "size", "cohesion")
     whole = sizes.agg((F.max("size") / F.sum("size")).alias("share"))
-    verdict = F.when(F.col("share") > largest, "rejected").when(F.col("size") < least_size, "noise").when(F.col("cohesion") < cohesion, "loose").otherwise("accepted")
-    return sizes.join(F.broadcast(whole)).select("cluster_id", F.col("size").cast("long").alias("size"), F.round("cohesion", 6).alias("cohesion"), verdict.alias("verdict"))
+    verdict = F.when(F.col("share") > largest, "rejected").when(F.col("cohesion") < cohesion, "loose").otherwise("accepted")
+    rows = sizes.join(F.broadcast(whole)).select("cluster_id", F.col("size").cast("long").alias("size"), F.round("cohesion", 6).alias("cohesion"), verdict.alias("verdict"))
+    noise = found.where("cluster IS NULL").agg(F.count("*").alias("size")).select(F.lit(None).cast("long").alias("cluster_id"), "size", F.lit(None).cast("double").alias("cohesion"), F.lit("noise").alias("verdict"))
+    return rows.union(noise)
 
 
 def recluster_moves(clusters: DataFrame, reports: DataFrame, old: DataFrame, assigned: DataFrame, locked: DataFrame, no_merge: DataFrame, least: float = CONFIG.topic_cosine) -> DataFrame:
