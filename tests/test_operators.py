@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import documents, folds, lifecycle, merging, scalars, sinks, statistics, vectors
+from tidewatch.operators import documents, folds, lifecycle, merging, names, scalars, sinks, statistics, vectors
 from tidewatch.tables import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -263,7 +263,7 @@ def test_entity_runs():
     assert ("United Nations Council", "ORG") in documents.latin_runs("the United Nations Council said")
     assert documents.latin_runs("President Ana Silva spoke. The end in Paris") == [("President Ana Silva", "PEOPLE"), ("Paris", "LOCATION")]
     assert documents.latin_runs("said Silva. Monday came") == [("Silva Monday", "PEOPLE")]
-    assert documents.cjk_hits("在北京的北京大学", {"北京": "place"}) == [("北京", "place")] * 2
+    assert names.Finder(["北京"], True).counts("在北京的北京大学") == {"北京": 2}
 
 
 def test_health_machine():

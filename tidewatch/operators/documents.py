@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog import operator
 from tidewatch.operators.joins import first_per
+from tidewatch.operators.names import name_hits
 from tidewatch.session import ship
 from tidewatch.tables import Tables
 
@@ -356,26 +357,18 @@ def latin_runs(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def cjk_hits(text: str, known: dict[str, str]) -> list[tuple[str, str]]:
-    """Names of a dictionary that stand in a text, in order of place."""
-    hits = sorted((m.start(), name) for name in known for m in re.finditer(re.escape(name), text))
-    return [(name, known[name]) for _, name in hits]
-
-
 RUNS = "article_id long, source_id string, entity string, kind string, n int"
 
 
-def entity_runs(t: Tables, known: dict[str, str] | None = None) -> DataFrame:
-    """Entities of every text, dictionary names first, then runs of capitalised words, with their counts."""
+def entity_runs(t: Tables) -> DataFrame:
+    """Runs of capitalised words of every text, with their counts."""
     ship(t.spark)
-    names = known or {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for article, source, text in zip(pdf["article_id"], pdf["source_id"], pdf["content"], strict=True):
-                found = Counter([*cjk_hits(text or "", names), *latin_runs(text or "")])
-                rows += [(article, source, e, k, n) for (e, k), n in found.items()]
+                rows += [(article, source, e, k, n) for (e, k), n in Counter(latin_runs(text or "")).items()]
             yield pd.DataFrame(rows, columns=["article_id", "source_id", "entity", "kind", "n"])
 
     return t.texts.select("article_id", "source_id", "content").mapInPandas(run, RUNS)
@@ -386,11 +379,14 @@ def latin_entities(t: Tables) -> DataFrame:
     return entity_runs(t).groupBy("kind").agg(F.count("*").alias("entities"), F.sum("n").alias("mentions"))
 
 
-@operator("fn_08")
+@operator("fn_08", r"""SELECT article_id, name AS entity, CAST(count(*) AS INTEGER) AS n FROM (SELECT article_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS word FROM texts) x JOIN aliases e ON x.word = e.name GROUP BY article_id, name""")
 def dictionary_entities(t: Tables) -> DataFrame:
-    return entity_runs(t, {"token": "term", "License": "term"}).where("kind = 'term'").select("article_id", "entity", "n")
+    """Names of the dictionary in every text, of any script: an automaton knows no word borders but those of ASCII words."""
+    return name_hits(t.texts, t.aliases, whole=True).select("article_id", F.col("name").alias("entity"), "n")
 
 
 @operator("fn_34")
 def mixed_entities(t: Tables) -> DataFrame:
-    return entity_runs(t, {"token": "term"}).groupBy("article_id").agg(F.sum("n").alias("mentions"))
+    """Mentions of every text: dictionary names and runs of capitalised words."""
+    both = dictionary_entities(t).select("article_id", "n").union(entity_runs(t).select("article_id", "n"))
+    return both.groupBy("article_id").agg(F.sum("n").alias("mentions"))

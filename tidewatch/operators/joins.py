@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog import operator
 from tidewatch.operators.filters import active, days_before, hours_before
+from tidewatch.operators.names import name_hits
 from tidewatch.tables import Tables
 
 
@@ -130,20 +131,16 @@ def same_titles(t: Tables, hours: int = 24) -> DataFrame:
     return found.where(F.col("original").isNotNull())
 
 
-@operator("joi_20", r"""SELECT e.word, count(*) AS texts FROM (SELECT DISTINCT article_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS word FROM texts) x JOIN (VALUES ('token'), ('the'), ('quoi'), ('mit'), ('licensed')) AS e(word) ON x.word = e.word GROUP BY e.word""")
-def aliases_in_texts(t: Tables, aliases: tuple[str, ...] = ("token", "the", "quoi", "mit", "licensed")) -> DataFrame:
-    """Texts that hold an alias as a whole word: distinct words meet aliases by equality, not by scanning."""
-    words = t.texts.select("article_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    known = t.spark.createDataFrame([(a,) for a in aliases], "word string")
-    return words.join(F.broadcast(known), "word").groupBy("word").agg(F.count("*").alias("texts"))
+@operator("joi_20", r"""SELECT e.name AS word, count(*) AS texts FROM (SELECT DISTINCT article_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS word FROM texts) x JOIN aliases e ON x.word = e.name GROUP BY e.name""")
+def aliases_in_texts(t: Tables) -> DataFrame:
+    """How many texts hold each alias as a whole word: one pass of all aliases' automaton."""
+    return name_hits(t.texts, t.aliases, whole=True).groupBy(F.col("name").alias("word")).agg(F.count("*").alias("texts"))
 
 
-@operator("joi_21", "SELECT t.article_id, s.seed FROM texts t JOIN (VALUES ('license'), ('token'), ('estion')) AS s(seed) ON contains(lower(t.content), s.seed)")
-def seed_hits(t: Tables, seeds: tuple[str, ...] = ("license", "token", "estion")) -> DataFrame:
-    """Plain substring hits of a short list of seeds: one pass over each text, no join."""
-    lowered = F.lower("content")
-    hits = F.filter(F.array(*[F.when(F.contains(lowered, F.lit(s)), F.lit(s)) for s in seeds]), lambda x: x.isNotNull())
-    return t.texts.select("article_id", F.explode(hits).alias("seed"))
+@operator("joi_21", "SELECT t.article_id, s.name AS seed FROM texts t JOIN aliases s ON contains(lower(t.content), s.name)")
+def seed_hits(t: Tables) -> DataFrame:
+    """Plain substring hits of all seeds: one pass over each text."""
+    return name_hits(t.texts, t.aliases, whole=False).select("article_id", F.col("name").alias("seed"))
 
 
 @operator("joi_22", "SELECT article_id, country FROM texts JOIN (VALUES ('FR', 'que'), ('DE', 'und'), ('ES', 'ñ')) AS h(country, hint) ON regexp_matches(content, '(?i)' || hint)")
