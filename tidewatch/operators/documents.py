@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.catalog import operator
 from tidewatch.operators.joins import first_per
+from tidewatch.operators.language import detected, fit
 from tidewatch.operators.names import name_hits
 from tidewatch.session import ship
 from tidewatch.tables import Tables
@@ -301,28 +302,10 @@ def preview(t: Tables, size: int = 5, short: int = 200) -> DataFrame:
     return rows.withColumn("error", F.when(F.col("usable") == 0, "no usable page"))
 
 
-#: Frequent words by language.
-PROFILES = {"en": ("the", "of", "and", "to", "in"), "fr": ("le", "la", "de", "et", "les"), "de": ("der", "die", "und", "den", "von"), "es": ("el", "los", "que", "de", "y")}
-
-
-def language_of(text: Column, fallback: Column, least: float = 0.8) -> Column:
-    """Language whose frequent words lead clearly in the whole text (their share of all hits), else the source's own."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    hits = lambda profile: F.size(F.filter(words, lambda w: w.isin(*profile)))
-    counts = [hits(p) for p in PROFILES.values()]
-    best = F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(k).alias("k")) for c, k in zip(counts, PROFILES, strict=True)]))
-    total = counts[0] + counts[1] + counts[2] + counts[3]
-    return F.when((total > 0) & (best["n"] >= least * total), best["k"]).otherwise(fallback)
-
-
-_HITS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)}))) AS {k}" for k, words in PROFILES.items())
-_BEST = "greatest(en, fr, de, es)"
-
-
-@operator("fn_27", rf"""SELECT article_id, language, CASE WHEN en + fr + de + es > 0 AND {_BEST} >= 0.8e0 * (en + fr + de + es) THEN CASE {_BEST} WHEN fr THEN 'fr' WHEN es THEN 'es' WHEN en THEN 'en' ELSE 'de' END ELSE language END AS found
-    FROM (SELECT article_id, language, {_HITS} FROM (SELECT article_id, language, regexp_extract_all(lower(content), '\p{{L}}+') AS w FROM texts) x) y""")
+@operator("fn_27")
 def languages(t: Tables) -> DataFrame:
-    return t.texts.select("article_id", "language", language_of(F.col("content"), F.col("language")).alias("found"))
+    """The language of every text: detected where that is sure enough, else its source's."""
+    return detected(t.texts, fit(t.texts))
 
 
 #: Endings of organisations, places, and capitalised words that name nothing.
