@@ -13,7 +13,6 @@ from tidewatch.catalog import operator
 from tidewatch.config import CONFIG
 from tidewatch.operators.cells import ROWS_A_CELL, cells_of, links_within, settled
 from tidewatch.operators.density import LEAST, density_clusters
-from tidewatch.operators.joins import first_per
 from tidewatch.operators.vectors import nearest
 from tidewatch.session import ship
 from tidewatch.storage import stored
