@@ -2,36 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.storage import shared_folder
+from tidewatch.storage import dropped, new_path, stored  # noqa: F401  the operators take them from here
 
 KEY = "_tidewatch_row"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, as the cluster names it in spark.checkpoint.dir; see shared_folder()."""
-    return shared_folder(spark)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_path = path
-    return out
-
-
 def unused(docs: DataFrame, name: str) -> str:
     """name, or name with so many underscores added that docs has no such column, in either case of letters."""
     taken = {c.lower() for c in docs.columns}
@@ -47,20 +26,6 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables made by stored() that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "stored_path", None)
-        if path:
-            remove(df.sparkSession, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     ascii_only = F.octet_length(text) == F.char_length(text)

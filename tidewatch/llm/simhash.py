@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import minhash
-from tidewatch.llm.linking import End, Rule, classes, with_smallest_id
+from tidewatch.llm.linking import Rule, classes, with_smallest_id
 from tidewatch.llm.shared import dropped, joined, keyed, stored, table, trimmed
 from tidewatch.llm.shingles import distinct_hashes, shingle_hashes
 from tidewatch.session import ship
