@@ -318,3 +318,33 @@ def test_assignment_in_components_is_that_of_one_fold(spark, spread, titles):
     got = {r["article_id"]: (r["topic_id"], r["duplicate_of"]) for r in folds.assigned(df, rows_a_cell=30).collect()}
     assert got == want and 5 < len({t for t, _ in want.values()}) < 399
     assert folds.assigned(df.limit(0)).count() == 0
+
+
+def test_a_split_pools_both_topics_anew(spark):
+    """Edges of another child stay; what is left is pooled in order of time, as the fold says."""
+    import datetime as dt
+
+    from tidewatch.operators import chain
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    topics = [("p", None, "confirmed", day(0)), ("c1", "p", "evolving", day(5)), ("c2", "p", "evolving", day(6))]
+    articles = [(1, "p", "A"), (2, "p", "B"), (3, "p", "C"), (4, "c1", "D"), (5, "p", "E")]
+    t = Tables(
+        spark,
+        topics=spark.createDataFrame(topics, "topic_id string, merged_into string, lifecycle string, first_seen timestamp"),
+        articles=spark.createDataFrame(articles, "article_id long, topic_id string, country_code string"),
+        edge_origins=spark.createDataFrame([(2, "p", "c1"), (3, "p", "c2")], "article_id long, topic_id string, origin_topic string"),
+        agenda_events=spark.createDataFrame([("p", day(5))], "topic_id string, origin_at timestamp"),
+    )
+    got = {r["child"]: r for r in chain.splits(t).collect()}
+    assert (got["c1"]["moved_back"], got["c1"]["stay"], got["c1"]["child_size"], got["c1"]["parent_scope"], got["c1"]["child_scope"], got["c1"]["event_moves"]) == (1, 3, 2, "A,C,E", "B,D", True)
+    assert (got["c2"]["moved_back"], got["c2"]["stay"], got["c2"]["child_size"], got["c2"]["parent_scope"], got["c2"]["event_moves"]) == (1, 3, 1, "A,B,E", False)
+    reports = spark.createDataFrame([(i, [float(i), 1.0], c, day(i)) for i, _, c in articles if i != 5] + [(5, None, "E", day(5))], "article_id long, vec array<double>, country_code string, published_at timestamp")
+    edges = chain.split_edges(t).where("child = 'c1'").select(F.when(F.col("goes"), 1).otherwise(2).cast("long").alias("topic"), "article_id")
+    rows = {r["topic_id"]: r for r in chain.repooled(edges, reports).collect()}
+    for topic, ids in ((1, [2, 4]), (2, [1, 3])):
+        centre = None
+        for i in ids:
+            v = folds.unit(np.array([float(i), 1.0]))
+            centre = v if centre is None else folds.pool(centre, v, 2.0)
+        assert rows[topic]["centroid"] == pytest.approx(centre.tolist()) and rows[topic]["size"] == 2

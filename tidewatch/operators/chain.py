@@ -143,29 +143,54 @@ _SIZE = "CASE WHEN {0} <= 1 THEN 'nascent' WHEN {0} < 10 THEN 'forming' ELSE 'co
 
 
 @operator("seq_10", f"""WITH pairs AS (SELECT c.topic_id AS child, c.merged_into AS parent, c.first_seen FROM topics c JOIN topics p ON c.merged_into = p.topic_id WHERE p.lifecycle <> 'archived' AND p.merged_into IS NULL),
-    edges AS (SELECT topic_id, count(*) FILTER (assign_method = 'merge') AS moved, count(*) FILTER (assign_method <> 'merge') AS stay, count(*) AS n FROM articles GROUP BY topic_id),
-    scope AS (SELECT x.child, string_agg(DISTINCT a.country_code, ',' ORDER BY a.country_code) FILTER (a.topic_id = x.child OR a.assign_method = 'merge') AS child_scope, coalesce(string_agg(DISTINCT a.country_code, ',' ORDER BY a.country_code) FILTER (a.topic_id = x.parent AND a.assign_method <> 'merge'), '') AS parent_scope FROM pairs x JOIN articles a ON a.topic_id IN (x.child, x.parent) GROUP BY x.child)
-    SELECT x.parent, x.child, least(x.parent, x.child) AS no_merge_low, greatest(x.parent, x.child) AS no_merge_high, p.moved AS moved_back, p.stay, c.n + p.moved AS child_size, {_SIZE.format('p.stay')} AS parent_state, {_SIZE.format('c.n + p.moved')} AS child_state, s.parent_scope, s.child_scope, e.origin_at >= x.first_seen AS event_moves
-    FROM pairs x JOIN edges p ON x.parent = p.topic_id JOIN edges c ON x.child = c.topic_id JOIN scope s ON x.child = s.child LEFT JOIN agenda_events e ON e.topic_id = x.parent""")
+    marked AS (SELECT x.parent, x.child, a.country_code, a.topic_id = x.child OR o.origin_topic IS NOT NULL AS goes FROM pairs x JOIN articles a ON a.topic_id IN (x.child, x.parent) LEFT JOIN edge_origins o ON o.article_id = a.article_id AND o.origin_topic = x.child),
+    sides AS (SELECT parent, child, count(*) FILTER (goes) AS child_size, count(*) FILTER (NOT goes) AS stay, coalesce(string_agg(DISTINCT country_code, ',' ORDER BY country_code) FILTER (goes), '') AS child_scope, coalesce(string_agg(DISTINCT country_code, ',' ORDER BY country_code) FILTER (NOT goes), '') AS parent_scope FROM marked GROUP BY parent, child),
+    own AS (SELECT topic_id, count(*) AS n FROM articles GROUP BY topic_id)
+    SELECT x.parent, x.child, least(x.parent, x.child) AS no_merge_low, greatest(x.parent, x.child) AS no_merge_high, s.child_size - coalesce(c.n, 0) AS moved_back, s.stay, s.child_size, {_SIZE.format('s.stay')} AS parent_state, {_SIZE.format('s.child_size')} AS child_state, s.parent_scope, s.child_scope, e.origin_at >= x.first_seen AS event_moves
+    FROM pairs x JOIN sides s ON x.parent = s.parent AND x.child = s.child LEFT JOIN own c ON x.child = c.topic_id LEFT JOIN agenda_events e ON e.topic_id = x.parent""")
 def splits(t: Tables) -> DataFrame:
     """Every merge, taken back: which edges go to the child, sizes, states and countries of both after it.
 
-    All edges of the parent that came by a merge go back, those of other children too; the pair is
+    The edges that came from this child go back to it, those of other children stay with the parent; the pair is
     barred from merging again; states follow the sizes and may go backward; an event moves with the
-    child if it began no earlier. A parent that is archived or merged itself is left out.
+    child if it began no earlier. A parent that is archived or merged itself is left out. split_edges() has the
+    edges themselves, of which repooled() makes both centroids anew.
     """
-    parents = t.topics.where("lifecycle <> 'archived' AND merged_into IS NULL").select(F.col("topic_id").alias("parent"))
-    pairs = t.topics.where("merged_into IS NOT NULL").select(F.col("topic_id").alias("child"), F.col("merged_into").alias("parent"), "first_seen").join(parents, "parent")
-    merged = F.col("assign_method") == "merge"
-    names = lambda c: F.collect_set(c)
-    edges = t.articles.groupBy("topic_id").agg(F.count_if(merged).alias("moved"), F.count_if(~merged).alias("stay"), F.count("*").alias("n"), names(F.when(merged, F.col("country_code"))).alias("moved_scope"), names(F.when(~merged, F.col("country_code"))).alias("stay_scope"))
-    p = edges.select(F.col("topic_id").alias("parent"), "moved", "stay", "moved_scope", "stay_scope")
-    c = edges.select(F.col("topic_id").alias("child"), F.col("n").alias("own"), F.array_union("moved_scope", "stay_scope").alias("own_scope"))
-    rows = pairs.join(p, "parent").join(c, "child").join(t.agenda_events.select(F.col("topic_id").alias("parent"), "origin_at"), "parent", "left")
-    size = F.col("own") + F.col("moved")
+    pairs = _split_pairs(t)
+    sides = split_edges(t).groupBy("parent", "child").agg(
+        F.count_if("goes").alias("child_size"), F.count_if(~F.col("goes")).alias("stay"), F.count_if("back").alias("moved_back"),
+        F.collect_set(F.when(F.col("goes"), F.col("country_code"))).alias("child_scope"), F.collect_set(F.when(~F.col("goes"), F.col("country_code"))).alias("parent_scope"),
+    )
+    rows = pairs.join(sides, ["parent", "child"]).join(t.agenda_events.select(F.col("topic_id").alias("parent"), "origin_at"), "parent", "left")
     joined = lambda s: F.array_join(F.array_sort(s), ",")
     return rows.select(
-        "parent", "child", F.least("parent", "child").alias("no_merge_low"), F.greatest("parent", "child").alias("no_merge_high"), F.col("moved").alias("moved_back"), "stay", size.alias("child_size"), state_for_size(F.col("stay")).alias("parent_state"),
-        state_for_size(size).alias("child_state"), joined(F.col("stay_scope")).alias("parent_scope"), joined(F.array_union("own_scope", "moved_scope")).alias("child_scope"), (F.col("origin_at") >= F.col("first_seen")).alias("event_moves"),
+        "parent", "child", F.least("parent", "child").alias("no_merge_low"), F.greatest("parent", "child").alias("no_merge_high"), "moved_back", "stay", "child_size", state_for_size(F.col("stay")).alias("parent_state"),
+        state_for_size(F.col("child_size")).alias("child_state"), joined("parent_scope").alias("parent_scope"), joined("child_scope").alias("child_scope"), (F.col("origin_at") >= F.col("first_seen")).alias("event_moves"),
     )
 
+
+def _split_pairs(t: Tables) -> DataFrame:
+    parents = t.topics.where("lifecycle <> 'archived' AND merged_into IS NULL").select(F.col("topic_id").alias("parent"))
+    return t.topics.where("merged_into IS NOT NULL").select(F.col("topic_id").alias("child"), F.col("merged_into").alias("parent"), "first_seen").join(parents, "parent")
+
+
+def split_edges(t: Tables) -> DataFrame:
+    """(parent, child, article_id, country_code, goes, back) of every merge, taken back: goes where the edge is the child's
+    afterwards, back where it was the parent's before."""
+    pairs = _split_pairs(t).select("parent", "child")
+    edges = t.articles.select(F.col("topic_id"), "article_id", "country_code")
+    origin = t.edge_origins.select("article_id", F.col("origin_topic").alias("child"), F.lit(True).alias("back"))
+    of_parent = pairs.join(edges.withColumnRenamed("topic_id", "parent"), "parent").join(origin, ["article_id", "child"], "left").withColumn("back", F.coalesce("back", F.lit(False)))
+    of_child = pairs.join(edges.withColumnRenamed("topic_id", "child"), "child").withColumn("back", F.lit(False))
+    columns = ("parent", "child", "article_id", "country_code")
+    return of_parent.select(*columns, F.col("back").alias("goes"), "back").union(of_child.select(*columns, F.lit(True).alias("goes"), "back"))
+
+
+def repooled(edges: DataFrame, reports: DataFrame) -> DataFrame:
+    """The topics (TOPICS) that edges (topic, article_id) leave, each pooled anew over its reports (article_id, vec,
+    country_code, published_at) in order of time; a topic without a report that has a vector gives no row, and keeps
+    what it had."""
+    from tidewatch.operators.folds import TOPICS, fold_by, maintain_step
+
+    rows = edges.select("topic", "article_id").join(reports.where("vec IS NOT NULL").select("article_id", "vec", "country_code", "published_at"), "article_id")
+    return fold_by(rows, ["topic"], ["published_at", "article_id"], maintain_step, TOPICS)

@@ -233,10 +233,17 @@ def revision_storms(t: Tables, most: int = 1) -> DataFrame:
     return machine_edits(t).where(F.col("edits") > most).select("event_id")
 
 
-@operator("seq_31", "SELECT event_id, CASE WHEN review_score >= 7 THEN 'confirmed' WHEN review_score >= 5 THEN status WHEN review_score IS NULL THEN status ELSE 'watching' END AS status, review_score IS NULL AS unavailable FROM agenda_events")
+@operator("seq_31", """SELECT event_id, after AS status, review_score IS NULL AS unavailable, CASE WHEN after <> status THEN coalesce(n, 0) + 1 END AS log_seq, CASE WHEN after <> status THEN 'status' END AS log_field, CASE WHEN after <> status THEN 'machine' END AS log_actor, CASE WHEN after <> status THEN status END AS log_before
+    FROM (SELECT *, CASE WHEN review_score >= 7 THEN 'confirmed' WHEN review_score >= 5 THEN status WHEN review_score IS NULL THEN status ELSE 'watching' END AS after FROM agenda_events) e LEFT JOIN (SELECT event_id, max(seq) AS n FROM revisions GROUP BY event_id) r USING (event_id)""")
 def final_review(t: Tables) -> DataFrame:
+    """Events after their final review; where it changes the status, the row of the revision log: the next number of
+    the event, field, actor and what stood before."""
     s = F.col("review_score")
-    return t.agenda_events.select("event_id", F.when(s >= 7, "confirmed").when(s < 5, "watching").otherwise(F.col("status")).alias("status"), s.isNull().alias("unavailable"))
+    last = t.revisions.groupBy("event_id").agg(F.max("seq").alias("n"))
+    after = F.when(s >= 7, "confirmed").when(s < 5, "watching").otherwise(F.col("status"))
+    rows = t.agenda_events.withColumn("after", after).join(last, "event_id", "left")
+    logged = lambda value: F.when(F.col("after") != F.col("status"), value)
+    return rows.select("event_id", F.col("after").alias("status"), s.isNull().alias("unavailable"), logged(F.coalesce("n", F.lit(0)) + 1).alias("log_seq"), logged(F.lit("status")).alias("log_field"), logged(F.lit("machine")).alias("log_actor"), logged(F.col("status")).alias("log_before"))
 
 
 @operator("seq_32", "SELECT subject, object, relation, count(*) AS evidence, sec(min(published_at)) AS first_sec, sec(max(published_at)) AS last_sec, max(CASE level WHEN 'high' THEN 0.9e0 WHEN 'medium' THEN 0.7e0 ELSE 0.4e0 END) AS base FROM mentions GROUP BY subject, object, relation")

@@ -60,6 +60,8 @@ LOGICAL = {
         CASE WHEN article_id % 3 <> 0 AND article_id % 29 <> 0 THEN 'rules' END AS model, CASE WHEN article_id % 3 <> 0 THEN 'p1' END AS prompt_version, CASE WHEN article_id % 3 = 0 AND article_id % 31 <> 0 THEN 'user7' END AS actor_id, article_id % 6 = 1 AS rejected
         FROM {articles}""",
     "aliases": "SELECT DISTINCT word AS name FROM (SELECT lower(split_part(title, ' ', 1)) AS word FROM {texts} UNION ALL SELECT lower(split_part(title, ' ', 2)) FROM {texts} UNION ALL SELECT lower(name) FROM {entities}) x WHERE regexp_replace(word, '[a-z0-9]+', '') = '' AND length(word) >= 4",
+    "edge_origins": """SELECT a.article_id, a.topic_id, c.child AS origin_topic FROM {articles} a JOIN (SELECT topic_id AS child, merged_into, row_number() OVER (PARTITION BY merged_into ORDER BY topic_id) - 1 AS place, count(*) OVER (PARTITION BY merged_into) AS children
+        FROM {topics} WHERE merged_into IS NOT NULL) c ON c.merged_into = a.topic_id AND a.article_id % c.children = c.place WHERE a.assign_method = 'merge'""",
     "known_events": "SELECT DISTINCT topic_id FROM {revisions} WHERE field = 'status' AND actor = 'human'",
     "merge_candidates": """SELECT topic_id, other FROM (SELECT topic_id, lag(topic_id) OVER (PARTITION BY lifecycle ORDER BY first_seen, topic_id) AS other FROM {topics}) x WHERE other IS NOT NULL
         UNION SELECT topic_id, merged_into FROM {topics} WHERE merged_into <> topic_id UNION SELECT b, a FROM {no_merge} WHERE a <> b""",
