@@ -92,10 +92,9 @@ def ingest(t: Tables) -> DataFrame:
     return out.select("article_id", "time_source", F.char_length("summary").alias("n"))
 
 
-def index_rows(texts: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+def index_rows(texts: DataFrame) -> DataFrame:
     """Inverted index: one row per word and text, with the words' weights by field (title twice)."""
-    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    words = split if only is None else lambda c: F.filter(split(c), lambda w: w.isin(*only))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     fields = F.array(F.struct(F.lit(2.0).alias("weight"), words(F.col("title")).alias("w")), F.struct(F.lit(1.0).alias("weight"), words(F.col("content")).alias("w")))
     flat = texts.select("article_id", F.explode(fields).alias("f")).select("article_id", "f.weight", F.explode(F.array_distinct("f.w")).alias("word"))
     return flat.groupBy("word", "article_id").agg(F.max("weight").alias("best"), F.sum("weight").alias("total"))
@@ -116,13 +115,13 @@ def search_index(t: Tables) -> DataFrame:
 @operator("src_14", r"""SELECT article_id, round(sum(best + 0.3e0 * (total - best)), 4) AS score FROM (SELECT word, article_id, max(weight) AS best, sum(weight) AS total FROM (SELECT DISTINCT article_id, 2.0e0 AS weight, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS word FROM texts
     UNION ALL SELECT DISTINCT article_id, 1.0e0, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) FROM texts) x WHERE word IN ('token', 'license', 'the') GROUP BY word, article_id) y GROUP BY article_id ORDER BY score DESC, article_id LIMIT 20""")
 def search(t: Tables, words: tuple[str, ...] = ("token", "license", "the"), k: int = 20) -> DataFrame:
-    """Best texts for some words: a word's best field and 0.3 of its others."""
-    near = F.lit(False)
-    for w in words:  # texts without any of the words are not split at all
-        near = near | F.contains(F.lower("content"), F.lit(w)) | F.contains(F.lower("title"), F.lit(w))
-    hits = index_rows(t.texts.where(near), words)
-    score = F.round(F.sum(F.col("best") + 0.3 * (F.col("total") - F.col("best"))), 4)
-    return hits.groupBy("article_id").agg(score.alias("score")).orderBy(F.desc("score"), "article_id").limit(k)
+    """Best texts for some words: a word's best field and 0.3 of its others, from the index in blocks."""
+    from tidewatch.sources.blocks import best_texts, write_blocks
+    from tidewatch.sources.files import new_folder
+
+    base = new_folder(t.spark, "blocks")
+    write_blocks(index_rows(t.texts), base)
+    return best_texts(t.spark, base, list(words), k)
 
 
 @operator("src_15", "SELECT article_id, length(substring(content, 1, 150)) AS n FROM texts WHERE (title ILIKE '%license%' OR content ILIKE '%license%') AND language = 'en' ORDER BY published_at DESC, article_id LIMIT 10 OFFSET 2")
