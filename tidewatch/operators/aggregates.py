@@ -119,7 +119,7 @@ def class_tfidf(t: Tables, k: int = 10) -> DataFrame:
     tf = checkpointed(t.texts.select("language", F.explode(words(F.col("content"))).alias("w")).groupBy("language", "w").agg(F.count("*").alias("f")))
     length = tf.groupBy("language").agg(F.sum("f").alias("n"))
     total = tf.groupBy("w").agg(F.sum("f").alias("cf"))
-    both = tf.join(total, "w").join(F.broadcast(length), "language").join(F.broadcast(length.agg(F.avg("n").alias("mean"))))
+    both = tf.join(total, "w").join(length, "language").join(F.broadcast(length.agg(F.avg("n").alias("mean"))))
     scored = both.withColumn("score", F.round(F.col("f") / F.col("n") * F.log(F.col("mean") / F.col("cf") + 1), 8)).where("score > 0")
     return top_per(scored.select("language", "w", "score"), ["language"], k, F.desc("score"), "w")
 
@@ -278,11 +278,10 @@ def overview(t: Tables) -> DataFrame:
 
 @operator("agg_23", "SELECT event_id, count(*) AS followers, max(round((sec(f.published_at) - sec(e.origin_at)) / 3600.0e0, 4)) AS longest FROM followers f JOIN agenda_events e USING (event_id) GROUP BY event_id")
 def follower_summary(t: Tables) -> DataFrame:
-    """Count and longest lag, from the nested follower list of each event."""
+    """Count and longest lag of each event's followers."""
     both = t.followers.join(t.agenda_events.select("event_id", "origin_at"), "event_id")
     lag = F.round((F.unix_timestamp("published_at") - F.unix_timestamp("origin_at")) / 3600.0, 4)
-    nested = both.groupBy("event_id").agg(F.collect_list(F.struct(F.col("country_code"), lag.alias("lag"))).alias("follower_sequence"))
-    return nested.select("event_id", F.size("follower_sequence").alias("followers"), F.array_max(F.transform("follower_sequence", lambda x: x["lag"])).alias("longest"))
+    return both.groupBy("event_id").agg(F.count("*").alias("followers"), F.max(lag).alias("longest"))
 
 
 @operator("agg_24", "SELECT user_id, count(*) FILTER (created_at > :now - INTERVAL '24' HOUR) AS fresh, arg_max(alert_id, (created_at, alert_id)) AS latest FROM alerts GROUP BY user_id")
@@ -357,7 +356,7 @@ def nearest_ranks(t: Tables, thresholds: tuple[int, ...] = (20, 100)) -> DataFra
     """
     own = t.articles.select("kind", "value")
     sums = own.groupBy("kind").agg(F.count("*").alias("n"), *[F.count_if(F.col("value") >= x).alias(f"over{x}") for x in thresholds])
-    ranked = global_ranks(own, ["kind"], "value").join(F.broadcast(sums), "kind")
+    ranked = global_ranks(own, ["kind"], "value").join(sums, "kind")
     at = lambda p: F.max(F.when(F.col("place") == F.floor(F.col("n") * p), F.col("value")))
     return ranked.groupBy("kind").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), *[F.max(f"over{x}").alias(f"over{x}") for x in thresholds])
 
