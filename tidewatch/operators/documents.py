@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import operator
 from tidewatch.operators.joins import first_per
 from tidewatch.operators.language import detected, fit
+from tidewatch.operators.maintext import main_text
 from tidewatch.operators.names import name_hits
 from tidewatch.session import ship
 from tidewatch.tables import Tables
@@ -113,22 +114,21 @@ def parsed(html: str | None, url: str = "", selector: str = "") -> Page:
     return page
 
 
-CONTENT = "page_id long, title string, text string, status string"
+CONTENT = "page_id long, title string, text string, method string, status string"
 
 
 @operator("fn_24")
-def main_texts(t: Tables, full: int = 200, least: int = 10) -> DataFrame:
-    """Main text of every page: full, partial (short) or failed (hardly any)."""
+def main_texts(t: Tables) -> DataFrame:
+    """Main text of every page, how it was found, and whether it is full, partial (title and description) or failed; see
+    main_text(). A null page has none."""
     ship(t.spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pages = [parsed(h, u) for h, u in zip(pdf["html"], pdf["url"], strict=True)]
-            texts = [p.text() for p in pages]
-            status = ["failed" if len(x) < least else "partial" if len(x) < full else "full" for x in texts]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "title": [p.title.strip() for p in pages], "text": texts, "status": status})
+            rows = [(key, *main_text(html)) for key, html in zip(pdf["page_id"], pdf["html"], strict=True)]
+            yield pd.DataFrame(rows, columns=["page_id", "title", "text", "method", "status"])
 
-    return t.pages.select("page_id", "url", "html").mapInPandas(run, CONTENT)
+    return t.pages.select("page_id", "html").mapInPandas(run, CONTENT)
 
 
 LINKS = "page_id long, host string, link string, signature string"
