@@ -94,7 +94,7 @@ def test_estimates_are_unbiased_and_spread_as_the_binomial():
             apart = (minhash.sketch(a) ^ minhash.sketch(b)).view(np.uint64).reshape(minhash.PLANES, -1)
             bits.append(sum(int(v).bit_count() for v in np.bitwise_or.reduce(apart, axis=0)))
         assert np.mean(found) == pytest.approx(j, abs=0.006) and np.std(found) < 1.25 * (j * (1 - j) / minhash.COORDINATES) ** 0.5
-        p = (1 - j) * 0.75
+        p = (1 - j) * (1 - 0.5**minhash.PLANES)
         assert np.mean(bits) == pytest.approx(minhash.COORDINATES * p, rel=0.03) and np.std(bits) < 1.25 * (minhash.COORDINATES * p * (1 - p)) ** 0.5
 
 

@@ -2,7 +2,7 @@
 
 All coordinates of a signature come from two permutations of the 64-bit hashes: the first is applied
 once to a set, the second is shifted by one place of the circle for every further coordinate. Eight
-coordinates make a band, the key of a posting; two bits of each coordinate go into a sketch. Pairs
+of the first 384 coordinates make a band, the key of a posting; three bits of all 512 go into a sketch. Pairs
 that meet in a band stay candidates where sizes and sketches allow the similarity, and are linked if
 their whole sets have it.
 """
@@ -25,13 +25,13 @@ from tidewatch.session import ship
 WORDS = 5
 PERCENT = 85
 BANDS, BAND = 48, 8
-COORDINATES = BANDS * BAND
+COORDINATES = 512
 LONGS = COORDINATES // 64
 PART = 256
 DEVIATIONS = 4.5
 #: Odd factors of the permutations; any would do, these are fixed so that every machine uses the same.
 FACTORS = (0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-PLANES = 2
+PLANES = 3
 BITS = tuple(f"bits{i}" for i in range(PLANES * LONGS))
 
 
@@ -56,9 +56,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    """A number for each band of a signature."""
+    """A number for each band of a signature, of its first BANDS * BAND coordinates."""
     factors = np.uint64(FACTORS[1]) ** np.arange(1, BAND + 1, dtype=np.uint64)
-    keys = (least.reshape(BANDS, BAND) * factors).sum(axis=1, dtype=np.uint64)
+    keys = (least[: BANDS * BAND].reshape(BANDS, BAND) * factors).sum(axis=1, dtype=np.uint64)
     return (keys ^ (keys >> np.uint64(29))).view(np.int64)
 
 
