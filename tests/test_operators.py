@@ -348,3 +348,18 @@ def test_a_split_pools_both_topics_anew(spark):
             v = folds.unit(np.array([float(i), 1.0]))
             centre = v if centre is None else folds.pool(centre, v, 2.0)
         assert rows[topic]["centroid"] == pytest.approx(centre.tolist()) and rows[topic]["size"] == 2
+
+
+def test_a_rate_flips_there_and_back(spark):
+    bad = {5, 6, 7}
+    df = spark.createDataFrame([("a", i, i not in bad, i) for i in range(1, 31)] + [("b", 100, False, 100)], "task string, judgement_id long, ok boolean, created_at long")
+    t = Tables(spark, judgements=df.withColumn("created_at", F.col("created_at").cast("timestamp")))
+    got = sorted(tuple(r) for r in folds.degradation_flips(t, window=10).collect())
+    rate = lambda i: (min(i, 10), sum(j in bad for j in range(max(1, i - 9), i + 1)))
+    want, before = [], False
+    for i in range(1, 31):
+        n, failed = rate(i)
+        now = n >= 5 and failed / n > 0.2
+        want += [("a", i, now)] if now != before else []
+        before = now
+    assert got == want == [("a", 6, True), ("a", 15, False)]
