@@ -11,7 +11,7 @@ from tidewatch.config import CONFIG
 from tidewatch.operators.filters import days_before, hours_before
 from tidewatch.operators.joins import first_per
 from tidewatch.operators.scalars import level_score
-from tidewatch.operators.vectors import normalized
+from tidewatch.operators.vectors import bound_once, normalized
 from tidewatch.storage import checkpointed
 from tidewatch.tables import Tables
 
@@ -22,15 +22,16 @@ def decay(hours: Column, half_life: float = CONFIG.half_life_hours) -> Column:
 
 def pooled(old: Column, new: Column, hours: Column) -> Column:
     """Time-decayed mean of two vectors, of unit length; at no distance in time the old one stays."""
-    a = decay(hours)
-    return normalized(F.zip_with(old, new, lambda x, y: a * x.cast("double") + (1 - a) * y.cast("double")))
+    mean = lambda a: F.zip_with(old, new, lambda x, y: a * x.cast("double") + (1 - a) * y.cast("double"))
+    return normalized(bound_once(decay(hours), mean))
 
 
 def size_pooled(old: Column, new: Column, hours: Column, size: Column) -> Column:
     """As pooled, the new vector's share damped by size / (size + 1) and both renormalised."""
-    a = decay(hours)
-    b = (1 - a) * size / (size + 1)
-    return normalized(F.zip_with(old, new, lambda x, y: a / (a + b) * x.cast("double") + b / (a + b) * y.cast("double")))
+    share = lambda a: F.struct(a.alias("a"), ((1 - a) * size / (size + 1)).alias("b"))
+    parts = lambda s: F.struct((s["a"] / (s["a"] + s["b"])).alias("a"), (s["b"] / (s["a"] + s["b"])).alias("b"))
+    mean = lambda s: F.zip_with(old, new, lambda x, y: s["a"] * x.cast("double") + s["b"] * y.cast("double"))
+    return normalized(bound_once(decay(hours), lambda a: bound_once(share(a), lambda s: bound_once(parts(s), mean))))
 
 
 _TWO = "SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y, a.vec_id % 49 AS h FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
@@ -41,16 +42,20 @@ def _two(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.col("embedding").alias("x")).join(nxt, "vec_id").withColumn("h", F.col("vec_id") % 49)
 
 
+def _ends(rows: DataFrame, v: Column) -> DataFrame:
+    """First and last entry of a vector, which is made once a row."""
+    ends = bound_once(v, lambda v: F.struct(F.round(F.element_at(v, 1), 6).alias("first"), F.round(F.element_at(v, -1), 6).alias("last")))
+    return rows.select("vec_id", ends.alias("ends")).select("vec_id", "ends.first", "ends.last")
+
+
 @operator("seq_01", f"SELECT vec_id, round(v[1] / n, 6) AS first, round(v[64] / n, 6) AS last FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, [pow(0.5e0, h / 24.0e0) * x[i] + (1 - pow(0.5e0, h / 24.0e0)) * y[i] FOR i IN range(1, 65)] AS v FROM ({_TWO}) p) q) r")
 def decay_pooling(t: Tables) -> DataFrame:
-    v = _two(t).withColumn("v", pooled(F.col("x"), F.col("y"), F.col("h")))
-    return v.select("vec_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
+    return _ends(_two(t), pooled(F.col("x"), F.col("y"), F.col("h")))
 
 
 @operator("seq_02", f"SELECT vec_id, round(v[1] / n, 6) AS first, round(v[64] / n, 6) AS last FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, [(a * x[i] + b * y[i]) / (a + b) FOR i IN range(1, 65)] AS v FROM (SELECT *, (1 - a) * s / (s + 1) AS b FROM (SELECT *, pow(0.5e0, h / 24.0e0) AS a, vec_id % 9 + 1 AS s FROM ({_TWO}) p) q) r) z) u")
 def size_weighted_pooling(t: Tables) -> DataFrame:
-    v = _two(t).withColumn("v", size_pooled(F.col("x"), F.col("y"), F.col("h"), F.col("vec_id") % 9 + 1))
-    return v.select("vec_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
+    return _ends(_two(t), size_pooled(F.col("x"), F.col("y"), F.col("h"), F.col("vec_id") % 9 + 1))
 
 
 def latest_per(df: DataFrame, keys: list[str], *order) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,16 @@ from tidewatch.operators.cells import BLOCK, ROWS_A_CELL, cells_of, nearest_in
 from tidewatch.tables import Tables
 
 
+def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once a row, however often use names it, also within its own lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalized(v: Column) -> Column:
     """Unit length; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = lambda v, n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))
+    return bound_once(v, lambda v: bound_once(norm(v), lambda n: scaled(v, n)))
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 3, least: float = -1.0, others: bool = True, block: int = BLOCK, rows_a_cell: int = ROWS_A_CELL, seen: list[int] | None = None) -> DataFrame:
