@@ -379,3 +379,41 @@ def test_a_vector_is_pooled_once_a_row(spark):
     b = (1 - a) * 3 / 4
     want = a / (a + b) * x + b / (a + b) * (2 * x + 1)
     assert np.allclose(got[0]["v"], want / np.linalg.norm(want))
+
+
+def test_nearest_over_many_tiles_with_copies(spark, monkeypatch):
+    """Single precision only leaves out; of many equal vectors those with the smallest ids come first."""
+    from tidewatch.operators import cells
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 16))
+    x[40:120] = x[40]
+    x[200] = x[201] * 3
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(300)], "id long, vec array<double>").selectExpr("id", "vec", "cast(null as double) as extra").coalesce(1)
+    dealt = cells.cells_of(df, rows_a_cell=1000)
+    pairs = []
+    monkeypatch.setattr(cells.Cells, "meet", lambda self, visits, run, schema, part=0, also=(): pairs.append((run, visits.toArrow(), self.rows.toArrow())) or spark.createDataFrame([], schema))
+    cells.nearest_in(dealt, df, 5, -1.0, True)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(u @ u.T, 6)
+    for tile in ((32, 50), (512, 4096)):
+        monkeypatch.setattr(cells, "TILE", tile)
+        run, visits, rows = pairs[0]
+        got = run(visits, rows).to_pylist()
+        want = {i: sorted((-scores[i, j], j) for j in range(300) if j != i)[:5] for i in range(300)}
+        assert {i: sorted((-r["score"], r["neighbour"]) for r in got if r["id"] == i) for i in range(300)} == want
+
+
+def test_links_leave_no_visits_behind(spark):
+    import os
+
+    from tidewatch.operators import cells
+    from tidewatch.storage import shared_folder
+
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(80)], "id long, vec array<double>").selectExpr("id", "vec", "cast(null as double) as extra")
+    dealt = cells.cells_of(df, rows_a_cell=20)
+    folder = f"{shared_folder(spark).removeprefix('file://')}/tidewatch"
+    before = set(os.listdir(folder))
+    assert cells.links_within(dealt, df, 0.5, 0.0).count() > 0
+    assert set(os.listdir(folder)) == before

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.components import connected
-from tidewatch.operators.cells import BLOCK, ROWS_A_CELL, Cells, cells_of, distance, matrix, nearest_in
+from tidewatch.operators.cells import PART, ROWS_A_CELL, Cells, cells_of, close_pairs, distance, matrix, nearest_in, tiles
 from tidewatch.session import ship
 from tidewatch.storage import dropped, stored
 
@@ -46,27 +46,35 @@ def _shortest(d: int):
         x, y = matrix(visitors.column("vec"), d), matrix(members.column("vec"), d)
         mine, theirs = visitors.column("component").to_numpy(), members.column("component").to_numpy()
         core, other = visitors.column("core").to_numpy(), members.column("core").to_numpy()
-        best: dict[int, tuple[float, int, int]] = {}
-        for at in range(0, len(own), 1024):
-            rows = slice(at, at + 1024)
-            weight = np.maximum(distance(np.round(x[rows] @ y.T, 6)), np.maximum(core[rows, None], other[None, :]))
-            weight[mine[rows, None] == theirs[None, :]] = np.inf
-            least = weight.min(axis=1)
-            for i in np.flatnonzero(np.isfinite(least)):
-                of = int(mine[at + i])
-                if of in best and best[of][0] < least[i]:
-                    continue
-                ties = ids[weight[i] == least[i]]
-                low, high = np.minimum(ties, own[at + i]), np.maximum(ties, own[at + i])
-                edge = min((float(least[i]), int(a), int(b)) for a, b in zip(low, high, strict=True))
-                best[of] = min(best.get(of, edge), edge)
-        columns = list(zip(*((c, *e) for c, e in best.items()), strict=True)) or [()] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=names)
+        known = visitors.column("bound").to_numpy().astype(float)
+        single = x.astype(np.float32), y.astype(np.float32)
+        of, at = np.unique(mine, return_inverse=True)
+        weight, low, high = np.full(len(of), np.inf), np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+        for r, c in tiles(len(own), len(ids)):
+            floor = np.full(len(own), -2.0)  # no pair farther apart than the edge that a component has
+            reach = np.fmin(known[r], weight[at[r]])
+            floor[r] = np.where(np.isfinite(reach), 1 - np.where(np.isfinite(reach), reach, 0) ** 2 / 2 - 2e-6, -2.0)
+            i, j, cosine = close_pairs(x, y, single, r, c, floor)
+            apart = mine[i] != theirs[j]
+            i, j = i[apart], j[apart]
+            found = np.maximum(distance(np.round(cosine[apart], 6)), np.maximum(core[i], other[j]))
+            before = weight.copy()
+            np.minimum.at(weight, at[i], found)
+            least = np.isfinite(found) & (found == weight[at[i]])
+            i, j = i[least], j[least]
+            a, b, k = np.minimum(own[i], ids[j]), np.maximum(own[i], ids[j]), at[i]
+            same = np.flatnonzero(np.isin(np.arange(len(of)), k) & (before == weight))  # ties with what tiles before had
+            k, a, b = np.r_[k, same], np.r_[a, low[same]], np.r_[b, high[same]]
+            order = np.lexsort((b, a, k))
+            k, first = np.unique(k[order], return_index=True)
+            low[k], high[k] = a[order][first], b[order][first]
+        some = np.isfinite(weight)
+        return pa.table([pa.array(of[some]), pa.array(weight[some]), pa.array(low[some]), pa.array(high[some])], names=names)
 
     return run
 
 
-def spanning_tree(cells: Cells, points: DataFrame, part: int = BLOCK) -> DataFrame:
+def spanning_tree(cells: Cells, points: DataFrame, part: int = PART) -> DataFrame:
     """(a, b, weight), stored: a minimum spanning forest of points (id, vec, core) under mutual reachability.
 
     In a round rows first visit the nearest cell; the shortest edge found there bounds how far the rows of the
@@ -84,17 +92,21 @@ def spanning_tree(cells: Cells, points: DataFrame, part: int = BLOCK) -> DataFra
         whole = padded.rows.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low = high").select("cell", F.col("low").alias("component"))
         asked = points.select("id", "vec", F.lit(None).cast("double").alias("extra"))
 
-        def edges(asked: DataFrame, padded: Cells = padded, known: DataFrame = known, whole: DataFrame = whole, **how) -> DataFrame:
+        went = []  # visits, which go once the edges found on them are stored
+
+        def edges(asked: DataFrame, padded: Cells = padded, known: DataFrame = known, whole: DataFrame = whole, went: list = went, **how) -> DataFrame:
             visits = padded.visits(asked, lambda extra, bound: np.where(np.isnan(bound), 2.0, bound), **how).join(known, "id")
-            met = padded.meet(visits.join(whole, ["cell", "component"], "left_anti"), run, EDGE, part, ("core", "component"))
+            went.append(stored(visits.join(whole, ["cell", "component"], "left_anti"), "visits"))
+            met = padded.meet(went[-1], run, EDGE, part, ("core", "component"))
             return met.groupBy("component").agg(F.min(F.struct("weight", "a", "b")).alias("edge"))
 
         near = stored(edges(asked.withColumn("bound", F.lit(None).cast("double")), first_only=True), "edges")
         bounds = known.join(near.select("component", F.col("edge.weight").alias("bound")), "component", "left").where("bound IS NULL OR core <= bound")
         far = edges(asked.join(bounds.select("id", "bound"), "id"))
         chosen = stored(near.union(far).groupBy("component").agg(F.min("edge").alias("edge")), "edges")
-        dropped(near)
+        dropped(near, *went)
         if chosen.isEmpty():
+            dropped(chosen)
             break
         found = chosen.select("edge.*").distinct().select("a", "b", "weight")
         grown = stored(found if tree is None else tree.union(found), "tree")
@@ -106,6 +118,7 @@ def spanning_tree(cells: Cells, points: DataFrame, part: int = BLOCK) -> DataFra
         after = stored(moved, "components")
         dropped(state, chosen, roots)
         state = after
+    dropped(state)
     if tree is None:
         return points.sparkSession.createDataFrame([], "a long, b long, weight double")
     return tree
