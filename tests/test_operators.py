@@ -417,3 +417,17 @@ def test_links_leave_no_visits_behind(spark):
     before = set(os.listdir(folder))
     assert cells.links_within(dealt, df, 0.5, 0.0).count() > 0
     assert set(os.listdir(folder)) == before
+
+
+def test_references_in_sql_are_those_of_html():
+    """The SQL of fn_25 resolves names, numbers and cut references as the page parser does."""
+    import html
+
+    import duckdb
+
+    texts = ["a &quot;b&quot; c", "cut &amp", "&amp;&lt;&amp;amp;", "&notit; &notin; &bogus;", "&#65;&#x41;&#x80;&#0;&#xD800;&#99999999999999999999;&#11;", "& &; &#; &#x;", "", "it's&nbsp;é"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE h (i INT, s VARCHAR)")
+    con.executemany("INSERT INTO h VALUES (?, ?)", list(enumerate(texts)))
+    got = con.execute(f"SELECT s, {documents._references('s')} FROM h ORDER BY i").fetchall()
+    assert [r[1] or "" for r in got] == [html.unescape(s) for s in texts]
