@@ -41,3 +41,25 @@ def test_without_texts_nothing_is_detected(spark, texts):
     none = language.fit(texts.limit(0))
     assert none.detect("some text") == (None, 0.0)
     assert language.fit(texts, 5).languages and len(language.fit(texts, 1).languages) == 1
+
+
+def test_a_fit_orders_ids_alone(spark, texts, monkeypatch):
+    """Texts of the sample never meet in one task; the model is that of the same ids read in one piece."""
+    parts, kind = [], type(texts)
+
+    def seen(self, *args, **how):
+        parts.append(self.rdd.getNumPartitions())
+        return original(self, *args, **how)
+
+    original = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", seen)
+    fitted = language.fit(texts, 50)
+    assert parts == [language.FIT_TASKS]
+    ids = [r[0] for r in texts.where(~language.held_out("article_id") & texts["language"].isNotNull()).selectExpr("article_id").orderBy(language.F.xxhash64("article_id"), "article_id").limit(50).collect()]
+    rows = texts.where(texts["article_id"].isin(ids)).select("language", "content").collect()
+    counts = {}
+    for r in rows:
+        own = counts.setdefault(r["language"], language.np.zeros(language.BUCKETS, language.np.int64))
+        own += language.np.bincount(language.grams(r["content"]).ravel(), minlength=language.BUCKETS)
+    want = language.model_of(counts)
+    assert want.languages == fitted.languages and (want.weights == fitted.weights).all()
