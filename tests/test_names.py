@@ -35,6 +35,16 @@ def test_hits_are_those_of_every_name(spark, whole, most_bytes):
     assert names.name_hits(df, known.limit(0), whole).count() == 0 and names.name_hits(df.limit(0), known, whole).count() == 0
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_words_seen_before_cost_no_search(monkeypatch, whole):
+    searched, places = [], names._places
+    monkeypatch.setattr(names, "_places", lambda automaton, text, whole: searched.append(text if len(automaton) else "") or places(automaton, text, whole))
+    finder = names.Finder(["aa", "baa", "c"], whole)
+    for _ in range(3):
+        assert dict(finder.counts("aaaa baa baa, c")) == ({"baa": 2, "c": 1} if whole else {"aa": 4, "baa": 2, "c": 1})
+    assert sorted(t for t in searched if t) == ([] if whole else ["aaaa", "baa", "c"])
+
+
 def test_many_names_cost_as_few():
     rng = random.Random(1)
     text = " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(60_000))
