@@ -26,6 +26,12 @@ def every(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, to be joined by shuffle: the sizes of compressed tables of postings would have them broadcast, and the driver
+    builds what it broadcasts."""
+    return df.hint("merge")
+
+
 @dataclass(frozen=True)
 class Rule:
     """Which nodes are linked.
@@ -62,24 +68,24 @@ def classes(nodes: DataFrame, keys: Column, rule: Rule) -> DataFrame:
     """
     light = nodes.select("node", F.explode(keys).alias("k")).select("k.slot", "k.key", "node")
     shared = light.groupBy("slot", "key").agg(F.count("*").alias("members")).where("members > 1")
-    meeting = stored(light.join(shared, ["slot", "key"]), "meeting")
+    meeting = stored(light.join(shuffled(shared), ["slot", "key"]), "meeting")
     weights = meeting.groupBy("node").agg(F.sum("members").alias("weight"))
     rule.prepared(weights.select("node"))
     member = F.struct("node", *rule.attributes)
-    known = weights.join(nodes.select("node", member.alias("member")), "node")
-    index = stored(meeting.select("slot", "key", "node").join(known, "node").select("slot", "key", "member", "weight"), "index")
+    known = weights.join(shuffled(nodes.select("node", member.alias("member"))), "node")
+    index = stored(meeting.select("slot", "key", "node").join(shuffled(known), "node").select("slot", "key", "member", "weight"), "index")
     dropped(meeting)
     pivots = index.groupBy("slot", "key").agg(F.max_by("member", F.struct("weight", "member.node")).alias("y"))
     x, y = (lambda name, end=end: F.col(f"{end}.{name}") for end in "xy")
-    stars = index.withColumnRenamed("member", "x").join(pivots, ["slot", "key"]).where((F.col("x.node") != F.col("y.node")) & rule.near(x, y))
+    stars = index.withColumnRenamed("member", "x").join(shuffled(pivots), ["slot", "key"]).where((F.col("x.node") != F.col("y.node")) & rule.near(x, y))
     first = rule.links(stars.select("x", "y"))
     roots = connected(first)
     names = roots.select(F.col("node").alias("named"), "root")
-    labelled = index.join(names, F.col("member.node") == F.col("named"), "left").select("slot", "key", "member", F.coalesce("root", "member.node").alias("root"))
+    labelled = index.join(shuffled(names), F.col("member.node") == F.col("named"), "left").select("slot", "key", "member", F.coalesce("root", "member.node").alias("root"))
     labelled = stored(labelled, "labelled")
     dropped(index)
     mixed = labelled.groupBy("slot", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("slot", "key")
-    rows = stored(labelled.join(mixed, ["slot", "key"]), "open")
+    rows = stored(labelled.join(shuffled(mixed), ["slot", "key"]), "open")
     if rule.verified is every:
         once, rows_of = F.lit(True), rows
     else:  # a pair of many common postings leaves the join in the first alone
@@ -89,7 +95,7 @@ def classes(nodes: DataFrame, keys: Column, rule: Rule) -> DataFrame:
         once = F.get("x_slots", (F.array_position(equal, True) - 1).cast("int")) == F.col("slot")
     names = [c for c in ("root", "keys", "slots") if c in rows_of.columns]
     left, right = (rows_of.select("slot", "key", F.col("member").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in names]) for end in "xy")
-    met = left.join(right, ["slot", "key"]).where((F.col("x_root") < F.col("y_root")) & rule.near(x, y) & once)
+    met = left.join(shuffled(right), ["slot", "key"]).where((F.col("x_root") < F.col("y_root")) & rule.near(x, y) & once)
     rest = rule.links(met.select("x", "y"))
     dropped(labelled, rows)
     if rest.isEmpty():
@@ -102,7 +108,7 @@ def classes(nodes: DataFrame, keys: Column, rule: Rule) -> DataFrame:
 
 def with_smallest_id(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """nodes (node, low and others) with component_id, the smallest low of a node's class; nulls count last."""
-    rooted = stored(roots.join(nodes.select("node", "low"), "node").select("node", "root", "low"), "rooted")
+    rooted = stored(roots.join(shuffled(nodes.select("node", "low")), "node").select("node", "root", "low"), "rooted")
     least = stored(rooted.groupBy("root").agg(F.min("low").alias("least"), F.count("*").alias("members")), "least")
     named = joined(rooted, least, ["root"], "members", rooted.count()).select("node", "least")
-    return nodes.join(named, "node", "left").withColumn("component_id", F.coalesce("least", "low")).drop("least")
+    return nodes.join(shuffled(named), "node", "left").withColumn("component_id", F.coalesce("least", "low")).drop("least")
