@@ -96,6 +96,29 @@ def test_tree_and_clusters_are_those_of_the_matrix(spark):
     assert all(min(g) == found[min(g)] for g in groups)
 
 
+@pytest.mark.parametrize("seed", (3, 4))
+def test_tree_from_neighbours_is_that_of_the_matrix(spark, seed):
+    """Two far groups and a tight one within noise: neighbours alone join neither."""
+    rng = np.random.default_rng(seed)
+    far = np.array([8.0, 0.0, 0.0, 0.0]) + 0.1 * rng.normal(size=(60, 4))
+    x = np.vstack([_points(seed), -far, far + [0.0, 3.0, 0.0, 0.0]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(2)
+    cells = density.cells_of(df.selectExpr("id", "vec", "cast(null as double) as extra"), block=64, rows_a_cell=40)
+    near = density.neighbours(cells, cells.rows, 10)
+    points = cells.rows.select("id", "vec").join(density.core_distances(cells, cells.rows, 10, near), "id")
+    tree = density.spanning_tree(cells, points, 50, near).collect()
+    assert sorted(r["weight"] for r in tree) == pytest.approx(_prim(_reach(x, 10)))
+
+
+def test_rows_are_not_written_once_a_round(spark, monkeypatch):
+    """The tree takes one search beyond the neighbours', whatever the number of its joins."""
+    met = []
+    monkeypatch.setattr(density.Cells, "meet", lambda self, *a, _meet=density.Cells.meet, **k: (met.append(1), _meet(self, *a, **k))[1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(_points())], "id long, vec array<double>")
+    density.density_clusters(df, rows_a_cell=40, part=50).count()
+    assert len(met) <= 3
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_condensed_trees(seed):
     x = _points(seed)
