@@ -209,6 +209,16 @@ def test_merging_equals_one_candidate_after_the_other(spark, batch, largest):
     assert {i: t for i, t in got.items() if t is not None} == want and len(want) > 20
 
 
+def test_a_large_component_is_folded_in_one_task(spark, monkeypatch):
+    """30,000 topics that all reach each other, three clusters of them; nothing is stepped through on the driver."""
+    rng = np.random.default_rng(4)
+    x = np.array([1.0, 0.0, 0.0]) + 0.3 * np.repeat(np.eye(3), 10_000, axis=0) + 1e-3 * rng.normal(size=(30_000, 3))
+    monkeypatch.setattr(merging, "_stepped", None)
+    df = spark.createDataFrame([(i, v.tolist(), float(i // 300), 1) for i, v in enumerate(x)], "id long, vec array<double>, at double, size int")
+    got = merging.merged_to_fixpoint(df, 0.8, now=100.0)
+    assert got.where("merged_into IS NULL").count() == 1 and got.where("root = 0").count() == 30_000
+
+
 def test_drift_joins_components_that_first_lie_apart(spark):
     """Topics along an arc: one that has moved by its merges reaches another that nothing reached before."""
     at = lambda degrees: [np.cos(np.radians(degrees)), np.sin(np.radians(degrees))]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import operator
 from tidewatch.config import CONFIG
 from tidewatch.operators.aggregates import global_ranks
-from tidewatch.operators.cells import ROWS_A_CELL, cells_of, links_within, settled
+from tidewatch.operators.cells import ERROR, ROWS_A_CELL, cells_of, links_within, settled
 from tidewatch.operators.lifecycle import merge_roots
 from tidewatch.operators.windows import top_per
 from tidewatch.session import ship
@@ -20,8 +20,8 @@ from tidewatch.storage import dropped, stored
 from tidewatch.tables import Tables
 
 LISTED = 16
-#: Topics of a component that one task folds; it holds their vectors and looks at all of them for each candidate.
-LARGEST = 20_000
+#: Entries of the vectors of a component that one task folds; it holds about 30 bytes for each.
+LARGEST = 16_000_000
 FOUND = "candidate long, id long, score double, at double, seen double, size long, vec binary"
 
 
@@ -119,45 +119,82 @@ def _pairs(df: DataFrame, ids: DataFrame) -> set[tuple[int, int]]:
 FOLDED = "id long, merged_into long, root long, similarity double, drift double"
 
 
-def fold_part(rows: list[dict], barred: set[tuple[int, int]], least: float, now: float) -> list[tuple]:
-    """The rows of FOLDED for topics that meet no others: candidates in turn, batch by batch, to a fixpoint.
-
-    drift is the largest angle a centroid has ever had to where it started.
+class Reach:
+    """The live topics among those of some time or before, one under the other in single precision, which only says
+    what may be nearest."""
+
+    def __init__(self, start: np.ndarray, at: np.ndarray):
+        self.single, self.rows, self.places, self.n = np.empty(start.shape, np.float32), np.empty(len(at), np.int64), np.full(len(at), -1), 0
+        self.at, self.coming, self.next = np.empty(len(at)), np.argsort(at, kind="stable"), 0
+        self.times = at
+
+    def until(self, time: float, now_at: np.ndarray) -> None:
+        """Let in what is no newer."""
+        stop = int(np.searchsorted(self.times[self.coming], time, "right")) if self.next < len(self.coming) and self.times[self.coming[self.next]] <= time else self.next
+        new = self.coming[self.next : stop]
+        places = slice(self.n, self.n + len(new))
+        self.single[places], self.rows[places], self.at[places] = now_at[new], new, self.times[new]
+        self.places[new] = np.arange(places.start, places.stop)
+        self.n, self.next = places.stop, stop
+
+    def nearest(self, own: int, now_at: np.ndarray) -> tuple[int, float] | None:
+        """The row of the largest cosine, of equal ones the first, and that cosine."""
+        found = self.single[: self.n] @ now_at[own].astype(np.float32)
+        found[self.at[: self.n] > self.times[own]] = -np.inf
+        found[self.places[own]] = -np.inf
+        most = found.max(initial=-np.inf)
+        if most == -np.inf:
+            return None
+        rows = np.sort(self.rows[: self.n][found >= most - 2 * ERROR])
+        scores = np.round(now_at[rows] @ now_at[own], 6)
+        best = int(scores.argmax())
+        return int(rows[best]), float(scores[best])
+
+    def move(self, row: int, now_at: np.ndarray) -> None:
+        self.single[self.places[row]] = now_at[row]
+
+    def leave(self, row: int) -> None:
+        place, last = self.places[row], self.n - 1
+        self.single[place], self.rows[place], self.at[place] = self.single[last], self.rows[last], self.at[last]
+        self.places[self.rows[place]], self.n = place, last
+
+
+def fold_part(ids: np.ndarray, vec: np.ndarray, at: np.ndarray, seen: np.ndarray, size: np.ndarray, batch: np.ndarray, barred: set[tuple[int, int]], least: float, now: float) -> tuple[np.ndarray, ...]:
+    """The columns of FOLDED for topics that meet no others: candidates in turn, batch by batch, to a fixpoint.
+
+    batch is negative for what is no candidate; rows are in order of ids. A candidate looks at the topics that are still
+    live and no newer than its batch. drift is the largest angle a centroid has ever had to where it started.
     """
-    rows = sorted(rows, key=lambda r: r["id"])
-    ids, at = np.array([r["id"] for r in rows]), np.array([r["at"] for r in rows])
-    seen, size = np.array([r["seen"] for r in rows]), np.array([r["size"] for r in rows])
-    start = np.array([_unit(r["vec"]) for r in rows])
-    now_at, live, drift = start.copy(), np.ones(len(rows), bool), np.zeros(len(rows))
-    into, score_of = np.full(len(rows), -1), np.zeros(len(rows))
-    queue: dict[int, list[int]] = {}
-    for i in sorted((i for i, r in enumerate(rows) if r["batch"] is not None), key=lambda i: (at[i], ids[i])):
-        queue.setdefault(rows[i]["batch"], []).append(i)
-    for number in sorted(queue):
-        pending, progress = queue[number], True
+    start, seen, size = np.array([_unit(v) for v in vec]), seen.copy(), size.copy()
+    now_at, drift = start.copy(), np.zeros(len(ids))
+    into, score_of = np.full(len(ids), -1), np.zeros(len(ids))
+    reach, order = Reach(start, at), np.lexsort((ids, at, batch))
+    order = order[batch[order] >= 0]
+    for pending in np.split(order, np.flatnonzero(np.diff(batch[order])) + 1):
+        pending, progress = pending.tolist(), True
         while pending and progress:
             again, progress = [], False
             for own in pending:
-                allowed = live & (at <= at[own])
-                allowed[own] = False
-                scores = np.where(allowed, np.round(now_at @ now_at[own], 6), -np.inf)
-                target = int(scores.argmax())  # of equal scores the smallest id
-                if not allowed[target]:
+                reach.until(at[own], now_at)
+                found = reach.nearest(own, now_at)
+                if found is None:
                     continue
-                if scores[target] < least:
+                target, score = found
+                if score < least:
                     again.append(own)
                 elif (min(ids[own], ids[target]), max(ids[own], ids[target])) not in barred:
                     now_at[target] = _merged_centre(now_at[target], now_at[own], seen[target], size[own], now)
-                    seen[target], size[target], live[own] = now, size[target] + size[own], False
-                    into[own], score_of[own] = target, scores[target]
+                    seen[target], size[target] = now, size[target] + size[own]
+                    reach.move(target, now_at)
+                    reach.leave(own)
+                    into[own], score_of[own] = target, score
                     drift[target] = max(drift[target], _angle(now_at[target], start[target]))
                     progress = True
             pending = again
-    root = np.arange(len(rows))
-    for own in range(len(rows)):
-        while into[root[own]] >= 0:
-            root[own] = into[root[own]]
-    return [(int(ids[i]), int(ids[into[i]]) if into[i] >= 0 else None, int(ids[root[i]]), float(score_of[i]) if into[i] >= 0 else None, float(drift[i])) for i in range(len(rows))]
+    root = np.where(into >= 0, into, np.arange(len(ids)))
+    while (further := root[root]).tobytes() != root.tobytes():
+        root = further
+    return ids, into, root, score_of, drift
 
 
 def _angle(a: np.ndarray, b: np.ndarray) -> float:
@@ -173,10 +210,13 @@ def _merged_centre(target: np.ndarray, own: np.ndarray, seen: float, size: int,
 def _fold_parts(least: float, now: float):
     def run(topics: pa.Table, pairs: pa.Table) -> pa.Table:
         barred = set(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True))
-        out = fold_part(topics.to_pylist(), barred, least, now) if topics.num_rows else []
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        cols = list(zip(*out, strict=True)) or [()] * 5
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in FOLDED.split(", ")])
+        topics = topics.take(pa.array(np.argsort(topics.column("id").to_numpy(), kind="stable")))
+        column = lambda name: topics.column(name).to_numpy()
+        batch = topics.column("batch").fill_null(-1).to_numpy()
+        vec = topics.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(max(topics.num_rows, 1), -1)[: topics.num_rows]
+        ids, into, root, score, drift = fold_part(column("id"), vec, column("at"), column("seen"), column("size"), batch, barred, least, now)
+        alone = into < 0
+        return pa.table([pa.array(ids, pa.int64()), pa.array(ids[into], pa.int64(), mask=alone), pa.array(ids[root], pa.int64()), pa.array(score, pa.float64(), mask=alone), pa.array(drift, pa.float64())], names=[c.split()[0] for c in FOLDED.split(", ")])
 
     return run
 
@@ -231,7 +271,7 @@ def _stepped(topics: DataFrame, pairs: DataFrame, least: float, now: float, list
     return state.join(roots, "id", "left").select("id", "merged_into", F.coalesce("root", "id").alias("root"), "similarity", "drift")
 
 
-def merged_to_fixpoint(topics: DataFrame, least: float = CONFIG.merge_cosine, batch: int = CONFIG.merge_batch, now: float | None = None, no_merge: DataFrame | None = None, veto: DataFrame | None = None, listed: int = LISTED, largest: int = LARGEST, rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
+def merged_to_fixpoint(topics: DataFrame, least: float = CONFIG.merge_cosine, batch: int = CONFIG.merge_batch, now: float | None = None, no_merge: DataFrame | None = None, veto: DataFrame | None = None, listed: int = LISTED, largest: int | None = None, rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
     """(id, root, merged_into, similarity) of every topic after each candidate in turn, oldest first, went
     into its nearest topic that is no newer, where their cosine reaches least.
 
@@ -242,7 +282,7 @@ def merged_to_fixpoint(topics: DataFrame, least: float = CONFIG.merge_cosine, ba
     stepped through, batch at a time. A topic without a vector stays as it is.
 
     Only topics within the threshold's angle can merge, so the components of the links within it are
-    folded apart, each in one task or, beyond largest topics, in steps. Merges move centroids: where
+    folded apart, each in one task or, beyond largest topics (None: LARGEST entries of vectors), in steps. Merges move centroids: where
     two components' topics lie apart by no more than that angle and the angles both have drifted, they
     might have met, so such components are joined and folded again, until none might. What then comes out
     is what the whole order would have given: at the first step that differed, two components would
@@ -264,6 +304,7 @@ def merged_to_fixpoint(topics: DataFrame, least: float = CONFIG.merge_cosine, ba
     cells = cells_of(vectors, rows_a_cell=rows_a_cell)
     if cells is None:
         return whole.select("id", F.col("id").alias("root"), F.lit(None).cast("long").alias("merged_into"), F.lit(None).cast("double").alias("similarity"))
+    largest = max(LARGEST // cells.pivots.shape[1], 1) if largest is None else largest
     pairs = [df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for df in (no_merge, veto) if df is not None]
     pairs = stored((pairs[0].union(pairs[-1]) if pairs else spark.createDataFrame([], "a long, b long")).distinct(), "barred")
     angle = float(np.arccos(np.clip(least - 1e-6, -1.0, 1.0)))
