@@ -101,6 +101,8 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]{2,}"), F.lit(0))
 
 
+#: Words whose frequencies are sent to all tasks.
+HOT_WORDS = 2000
 _WORDS = "SELECT article_id, language, unnest(regexp_extract_all(lower(content), '[a-z]{2,}')) AS w FROM texts"
 
 
@@ -127,12 +129,26 @@ def class_tfidf(t: Tables, k: int = 10) -> DataFrame:
 @operator("agg_07", f"""WITH tok AS ({_WORDS}), f AS (SELECT article_id, w, count(*) AS f FROM tok GROUP BY ALL), df AS (SELECT w, count(DISTINCT article_id) AS df FROM f GROUP BY ALL),
     s AS (SELECT f.article_id, f.w, round(f.f * (ln(((SELECT count(*) FROM texts) + 1.0e0) / (df.df + 1)) + 1) * least(length(f.w), 4), 6) AS score FROM f JOIN df ON f.w = df.w)
     SELECT article_id, w, score FROM s QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY score DESC, w) <= 5""")
-def label_keywords(t: Tables, k: int = 5) -> DataFrame:
-    """Fallback label words of a text: count, smoothed inverse frequency and length up to 4."""
-    f = t.texts.select("article_id", F.explode(words(F.col("content"))).alias("w")).groupBy("article_id", "w").agg(F.count("*").alias("f"))
-    both = f.join(f.groupBy("w").agg(F.count("*").alias("df")), "w").join(F.broadcast(t.texts.agg(F.count("*").alias("all"))))
-    score = F.round(F.col("f") * (F.log((F.col("all") + 1.0) / (F.col("df") + 1)) + 1) * F.least(F.length("w"), F.lit(4)), 6)
-    return top_per(both.withColumn("score", score), ["article_id"], k, F.desc("score"), "w").select("article_id", "w", "score")
+def label_keywords(t: Tables, k: int = 5, hot: int = HOT_WORDS) -> DataFrame:
+    """Fallback label words of a text: count, smoothed inverse frequency and length up to 4.
+
+    Texts travel once, to where their words are counted. The frequencies of the hot most frequent words bound all others', so
+    only words that can still be among a text's k best meet the table of frequencies.
+    """
+    texts = t.texts.select("article_id", "content").repartition("article_id")
+    f = texts.select("article_id", F.explode_outer(words(F.col("content"))).alias("w")).where("w IS NOT NULL").groupBy("article_id", "w").agg(F.count("*").alias("f"))
+    df = f.groupBy("w").agg(F.count("*").alias("df"))
+    top = df.orderBy(F.desc("df"), "w").limit(hot)
+    whole = t.texts.agg(F.count("*").alias("all")).join(top.agg(F.min("df").alias("most")))  # one row
+
+    def score(n: Column) -> Column:
+        return F.round(F.col("f") * (F.log((F.col("all") + 1.0) / (n + 1)) + 1) * F.least(F.length("w"), F.lit(4)), 6)
+
+    own = W.partitionBy("article_id")
+    bounds = f.join(F.broadcast(top), "w", "left").join(F.broadcast(whole)).withColumns({"low": score(F.coalesce("df", "most")), "high": score(F.coalesce("df", F.lit(1)))})
+    ranked = bounds.withColumn("place", F.row_number().over(own.orderBy(F.desc("low"), "w"))).withColumn("kth", F.min(F.when(F.col("place") <= k, F.col("low"))).over(own))
+    both = ranked.where("high >= kth").select("article_id", "w", "f", "all").join(df, "w")
+    return top_per(both.withColumn("score", score(F.col("df"))), ["article_id"], k, F.desc("score"), "w").select("article_id", "w", "score")
 
 
 @operator("agg_08", "SELECT entity_id, count(DISTINCT article_id) AS df FROM article_entities GROUP BY entity_id ORDER BY df DESC, entity_id LIMIT 50")
