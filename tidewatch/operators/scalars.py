@@ -251,9 +251,11 @@ _SHINGLES = "SELECT article_id, list_transform(range(1, greatest(len(w) - 1, 1))
 
 @operator("fn_28", f"SELECT article_id, CAST(CAST('0x' || substring(md5(s), 1, 8) AS BIGINT) % 1024 AS INT) AS dim, count(*) AS n FROM (SELECT article_id, unnest(g) AS s FROM ({_SHINGLES}) y) z GROUP BY ALL")
 def hashed_vectors(t: Tables, dimensions: int = 1024) -> DataFrame:
-    """Sparse text vectors: counts of hashed word 3-shingles of the whole text."""
-    w = t.texts.select("article_id", F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 3)
-    shingles = w.select("article_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).alias("s"))
+    """Sparse text vectors: counts of hashed word 3-shingles of the whole text, which travels instead of them."""
+    w = t.texts.select("article_id", "content").repartition("article_id").select("article_id", F.regexp_extract_all(F.lower("content"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    made = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    # explode and a filter on w would each have the words found once more
+    shingles = w.select("article_id", F.explode_outer(F.when(F.size("w") >= 3, made)).alias("s")).where("s IS NOT NULL")
     dim = (F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
     return shingles.groupBy("article_id", dim.alias("dim")).agg(F.count("*").alias("n"))
 
