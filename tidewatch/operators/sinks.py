@@ -116,11 +116,11 @@ def search_index(t: Tables) -> DataFrame:
     UNION ALL SELECT DISTINCT article_id, 1.0e0, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) FROM texts) x WHERE word IN ('token', 'license', 'the') GROUP BY word, article_id) y GROUP BY article_id ORDER BY score DESC, article_id LIMIT 20""")
 def search(t: Tables, words: tuple[str, ...] = ("token", "license", "the"), k: int = 20) -> DataFrame:
     """Best texts for some words: a word's best field and 0.3 of its others, from the index in blocks."""
-    from tidewatch.sources.blocks import best_texts, write_blocks
+    from tidewatch.sources.blocks import best_texts, write_texts
     from tidewatch.sources.files import new_folder
 
     base = new_folder(t.spark, "blocks")
-    write_blocks(index_rows(t.texts), base)
+    write_texts(t.texts, base)
     return best_texts(t.spark, base, list(words), k)
 
 
