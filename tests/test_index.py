@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tidewatch.operators import sinks
-from tidewatch.sources import blocks
+from tidewatch.sources import blocks, files
 from tidewatch.tables import Tables
 
 TEXTS = [(1, "The Token", "the token, THE licence"), (2, "", "token"), (1, "again", "token again"), (5, "license", None), (9, None, "— the é2 —"), (40, "Token", "x"), (None, "the", "token")]
@@ -25,7 +25,7 @@ def _postings(rows):
 
 
 def _flat(rows):
-    got = [((r["word"], i), f) for r in rows for i, f in zip(r["ids"], r["fields"])]
+    got = [((r["word"], i), f) for r in rows for i in r["ids"] for f in [r["fields"]]]
     assert len(got) == len(dict(got))
     return dict(got)
 
@@ -35,7 +35,7 @@ def test_postings_are_packed_without_travelling_one_by_one(spark):
     rows = df.collect()
     assert _flat(rows) == _postings(TEXTS)
     assert all(i is None or i // 4 == r["slice"] for r in rows for i in r["ids"])
-    assert len(rows) == len({(r["word"], r["slice"]) for r in rows})
+    assert len(rows) == len({(r["word"], r["slice"], r["fields"]) for r in rows})
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange") == 1 and "Generate" not in plan
 
@@ -53,3 +53,15 @@ def test_packing_in_parts_loses_nothing(monkeypatch, together):
 def test_a_word_of_an_articles_repeated_rows_counts_once(spark):
     texts = spark.createDataFrame([(3, "", "token"), (3, "", "the token"), (4, "The", "the")], SCHEMA)
     assert [tuple(r) for r in sinks.search(Tables(spark, texts=texts)).collect()] == [(4, 2.3), (3, 2.0)]
+
+
+def test_the_last_batch_of_an_article_counts_even_without_words(spark):
+    base = files.new_folder(spark, "index")
+    first = [(i, f"t{i}", "common" + " old" * (i % 2)) for i in range(6)] + [(5000, "far", "common")]
+    batches = [first, [(1, "", ""), (2, "new", "common"), (7, "late", "common")], [(2, "newer", "rare")]]
+    for n in (0, 0, 1, 2, 1):
+        files.write_index(spark.createDataFrame(batches[n], SCHEMA), base, n)
+    last = {r[0]: r for batch in batches for r in batch}
+    want = _postings(last.values())
+    assert _flat(files.read_index(spark, base).collect()) == want
+    assert _flat(files.read_index(spark, base, ["common", "new", "t3"]).collect()) == {k: f for k, f in want.items() if k[0] in ("common", "new", "t3")}

@@ -92,24 +92,16 @@ def ingest(t: Tables) -> DataFrame:
     return out.select("article_id", "time_source", F.char_length("summary").alias("n"))
 
 
-def index_rows(texts: DataFrame) -> DataFrame:
-    """Inverted index: one row per word and text, with the words' weights by field (title twice)."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    fields = F.array(F.struct(F.lit(2.0).alias("weight"), words(F.col("title")).alias("w")), F.struct(F.lit(1.0).alias("weight"), words(F.col("content")).alias("w")))
-    flat = texts.select("article_id", F.explode(fields).alias("f")).select("article_id", "f.weight", F.explode(F.array_distinct("f.w")).alias("word"))
-    return flat.groupBy("word", "article_id").agg(F.max("weight").alias("best"), F.sum("weight").alias("total"))
-
-
 @operator("src_13", r"""SELECT word, count(*) AS texts FROM (SELECT DISTINCT article_id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}]+')) AS word FROM texts UNION SELECT DISTINCT article_id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) FROM texts) x GROUP BY word""")
 def search_index(t: Tables) -> DataFrame:
     """The index written in two batches, the first of them twice, then read: postings of each word."""
     from tidewatch.sources.files import new_folder, read_index, write_index
 
     base, late = new_folder(t.spark, "index"), F.col("article_id") % 10 == 0
-    write_index(index_rows(t.texts), base, 0)
-    write_index(index_rows(t.texts), base, 0)
-    write_index(index_rows(t.texts.where(late)), base, 1)
-    return read_index(t.spark, base).groupBy("word").agg(F.count("*").alias("texts"))
+    write_index(t.texts, base, 0)
+    write_index(t.texts, base, 0)
+    write_index(t.texts.where(late), base, 1)
+    return read_index(t.spark, base).groupBy("word").agg(F.sum(F.size("ids")).alias("texts")).where("texts > 0")
 
 
 @operator("src_14", r"""SELECT article_id, round(sum(best + 0.3e0 * (total - best)), 4) AS score FROM (SELECT word, article_id, max(weight) AS best, sum(weight) AS total FROM (SELECT DISTINCT article_id, 2.0e0 AS weight, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS word FROM texts

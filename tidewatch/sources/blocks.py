@@ -19,7 +19,7 @@ BLOCK = "word string, slice long, largest double, ids array<long>, scores array<
 DIGITS = 4
 #: Words of texts that a task packs at once, about.
 TOGETHER = 2_000_000
-PACKED = "word string, slice long, ids array<long>, fields array<tinyint>"
+PACKED = "word string, slice long, fields tinyint, ids array<long>"
 
 
 def bucket_of(word: Column, buckets: int = BUCKETS) -> Column:
@@ -31,11 +31,11 @@ def slice_of(article: Column, span: int = SPAN) -> Column:
 
 
 def packed(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """Postings of texts (article_id, title, content) in blocks: word, slice, ids, and for each id the fields that hold
-    the word, content as 1 and title as 2.
+    """Postings of texts (article_id, title, content) in blocks: word, slice, the fields that hold the word (content as 1 and
+    title as 2), and the ids of which that is so.
 
     Texts are dealt by slices of span successive ids, and a task packs some at a time, so words do not travel one by one. Rows of one
-    article count as one text. A word has one block in a slice, or a few where a task has packed the slice in parts.
+    article count as one text. A word and its fields have one block in a slice, or a few where a task has packed the slice in parts.
     """
     ship(texts.sparkSession)
     words = lambda c: F.array_remove(F.array_distinct(F.split(F.lower(F.array_join(c, "\n")), r"[^\p{L}\p{N}]+")), "")
@@ -57,7 +57,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of some texts in order of word, slice and id, cut where word or slice change."""
+    """The words of some texts in order of word, slice, fields and id, cut where one of the first three changes."""
     texts = pa.Table.from_batches(held).sort_by([("slice", "ascending"), ("article_id", "ascending")]).combine_chunks()
     slices, ids, title, content = (texts[c].combine_chunks() for c in ("slice", "article_id", "title", "content"))
     found = pa.concat_arrays([title.flatten(), content.flatten()]).dictionary_encode()
@@ -65,20 +65,21 @@ def _blocks(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     field = np.repeat(np.array([2, 1]), [len(title.flatten()), len(content.flatten())])
     key = np.sort((found.indices.to_numpy().astype(np.int64) * len(ids) + row) * 4 + field)
     first = np.flatnonzero(np.diff(key >> 2, prepend=-1))
-    fields = np.add.reduceat(key & 3, first).astype(np.int8)
+    fields = np.add.reduceat(key & 3, first)
     word, row = np.divmod(key[first] >> 2, len(ids))
     part = slices.dictionary_encode(null_encoding="encode").indices.to_numpy()[row]
-    starts = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-    bounds = pa.array(np.append(starts, len(word)).astype(np.int32))
-    columns = [found.dictionary.take(pa.array(word[starts])), slices.take(pa.array(row[starts])), pa.ListArray.from_arrays(bounds, ids.take(pa.array(row))), pa.ListArray.from_arrays(bounds, pa.array(fields))]
-    yield from pa.table(columns, ["word", "slice", "ids", "fields"]).to_batches(max_chunksize=65_536)
+    block = (word * (int(part.max()) + 1) + part) * 4 + fields
+    order = np.argsort(block, kind="stable")
+    starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+    head, bounds = order[starts], pa.array(np.append(starts, len(order)).astype(np.int32))
+    columns = [found.dictionary.take(pa.array(word[head])), slices.take(pa.array(row[head])), pa.array(fields[head].astype(np.int8)), pa.ListArray.from_arrays(bounds, ids.take(pa.array(row[order])))]
+    yield from pa.table(columns, ["word", "slice", "fields", "ids"]).to_batches(max_chunksize=65_536)
 
 
 def write_texts(texts: DataFrame, base: str, buckets: int = BUCKETS, span: int = SPAN) -> None:
     """write_blocks() of the postings of texts (article_id, title, content), where a word of the title weighs twice that of the content."""
-    score = lambda f: F.when(f == 1, 1.0).when(f == 2, 2.0).otherwise(2.0 + TIE_BREAK)
-    rows = packed(texts, span).withColumn("scores", F.transform("fields", score))
-    _store(rows.select("word", "slice", F.array_max("scores").alias("largest"), "ids", "scores"), base, buckets)
+    score = F.when(F.col("fields") == 1, 1.0).when(F.col("fields") == 2, 2.0).otherwise(2.0 + TIE_BREAK)
+    _store(packed(texts, span).select("word", "slice", score.alias("largest"), "ids", F.array_repeat(score, F.size("ids")).alias("scores")), base, buckets)
 
 
 def write_blocks(postings: DataFrame, base: str, buckets: int = BUCKETS, span: int = SPAN) -> None:
@@ -109,13 +110,14 @@ def read_blocks(spark: SparkSession, base: str, words: list[str], buckets: int =
 def best_texts(spark: SparkSession, base: str, words: list[str], k: int, buckets: int = BUCKETS, seen: list[int] | None = None) -> DataFrame:
     """(article_id, score): the k texts with the largest sums of the words' scores, ties to the smaller id.
 
-    A slice of ids can hold no sum above that of its blocks' largest scores. The k slices of the highest such bounds are
+    A slice of ids can hold no sum above that of its words' largest scores. The k slices of the highest such bounds are
     read first; the k-th score in them rules out all slices whose bound lies below it, whose postings are
     not read. Words that are not in the index add nothing; without words, or with none found, there are no rows. seen gets the number of blocks
     that the words have and of those read.
     """
     blocks = read_blocks(spark, base, sorted(set(words)), buckets)
-    bounds = blocks.groupBy("slice").agg(F.sum("largest").alias("bound"), F.count("*").alias("blocks"))
+    most = blocks.groupBy("slice", "word").agg(F.max("largest").alias("largest"), F.count("*").alias("blocks"))
+    bounds = most.groupBy("slice").agg(F.sum("largest").alias("bound"), F.sum("blocks").alias("blocks"))
     seeds = bounds.orderBy(F.desc("bound"), "slice").limit(k).collect()
 
     def scored(rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.blocks import PACKED, SPAN, bucket_of, packed, slice_of
 from tidewatch.storage import shared_folder
 
 
@@ -57,21 +58,30 @@ class Buffer:
 INDEX_BUCKETS = 64
 
 
-def write_index(rows: DataFrame, base: str, batch: int, buckets: int = INDEX_BUCKETS) -> None:
-    """Postings (word, article_id, best, total) of one batch, in buckets by word; a batch that runs again replaces itself."""
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
-    dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/batch={batch}")
+def write_index(texts: DataFrame, base: str, batch: int, buckets: int = INDEX_BUCKETS) -> None:
+    """Postings of the texts of one batch (article_id, title, content), packed, in buckets by word, and the batch's articles;
+    a batch that runs again replaces itself."""
+    dealt = packed(texts).withColumn("bucket", bucket_of(F.col("word"), buckets))
+    dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/postings/batch={batch}")
+    texts.select("article_id").distinct().write.mode("overwrite").parquet(f"{base}/articles/batch={batch}")
 
 
 def read_index(spark: SparkSession, base: str, words: list[str] | None = None, buckets: int = INDEX_BUCKETS) -> DataFrame:
-    """The postings of some words or of all: those of the last batch that holds an article."""
-    rows = spark.read.schema("word string, article_id long, best double, total double, batch int, bucket int").option("basePath", base).parquet(base)
-    last = rows.groupBy("article_id").agg(F.max("batch").alias("batch"))
+    """The packed postings (word, fields, ids) of some words or of all: of each article, those of the last batch that holds it.
+
+    Where articles of a slice came again in a later batch, a flag for each id of the slice says so; a block that none is left of has no ids.
+    """
+    rows = spark.read.schema(f"{PACKED}, batch int, bucket int").option("basePath", f"{base}/postings").parquet(f"{base}/postings")
+    articles = spark.read.schema("article_id long, batch int").option("basePath", f"{base}/articles").parquet(f"{base}/articles")
+    again = articles.groupBy("article_id").agg(F.sort_array(F.collect_set("batch")).alias("batches")).where(F.size("batches") > 1)
+    old = again.select("article_id", slice_of(F.col("article_id")).alias("slice"), F.explode(F.expr("slice(batches, 1, size(batches) - 1)")).alias("batch"))
+    places = old.groupBy("slice", "batch").agg(F.collect_list(F.pmod("article_id", F.lit(SPAN))).alias("places"))
+    gone = places.select("slice", "batch", F.transform(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda i: F.array_contains("places", i.cast("long"))).alias("gone"))
     if words is not None:
-        bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
-        wanted = {r[0] for r in spark.createDataFrame([(w,) for w in words], "word string").select(bucket).collect()}
+        wanted = {r[0] for r in spark.createDataFrame([(w,) for w in words], "word string").select(bucket_of(F.col("word"), buckets)).collect()}
         rows = rows.where(F.col("bucket").isin(*wanted) & F.col("word").isin(*words))
-    return rows.join(last, ["article_id", "batch"]).drop("bucket", "batch")
+    kept = F.filter("ids", lambda i: ~F.coalesce(F.get("gone", F.pmod(i, F.lit(SPAN)).cast("int")), F.lit(False)))
+    return rows.join(gone, ["slice", "batch"], "left").select("word", "fields", F.when(F.col("gone").isNull(), F.col("ids")).otherwise(kept).alias("ids"))
 
 
 def publish(df: DataFrame, name: str, base: str | None = None) -> str:
