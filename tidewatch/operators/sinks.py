@@ -101,7 +101,7 @@ def search_index(t: Tables) -> DataFrame:
     write_index(t.texts, base, 0)
     write_index(t.texts, base, 0)
     write_index(t.texts.where(late), base, 1)
-    return read_index(t.spark, base).groupBy("word").agg(F.sum(F.size("ids")).alias("texts")).where("texts > 0")
+    return read_index(t.spark, base).groupBy("word").agg(F.sum(F.size("ids")).alias("texts"))
 
 
 @operator("src_14", r"""SELECT article_id, round(sum(best + 0.3e0 * (total - best)), 4) AS score FROM (SELECT word, article_id, max(weight) AS best, sum(weight) AS total FROM (SELECT DISTINCT article_id, 2.0e0 AS weight, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) AS word FROM texts

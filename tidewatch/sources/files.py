@@ -67,9 +67,9 @@ def write_index(texts: DataFrame, base: str, batch: int, buckets: int = INDEX_BU
 
 
 def read_index(spark: SparkSession, base: str, words: list[str] | None = None, buckets: int = INDEX_BUCKETS) -> DataFrame:
-    """The packed postings (word, fields, ids) of some words or of all: of each article, those of the last batch that holds it.
+    """The packed postings (word, ids, fields) of some words or of all: of each article, those of the last batch that holds it.
 
-    Where articles of a slice came again in a later batch, a flag for each id of the slice says so; a block that none is left of has no ids.
+    Where articles of a slice came again in a later batch, a flag for each id of the slice says so.
     """
     rows = spark.read.schema(f"{PACKED}, batch int, bucket int").option("basePath", f"{base}/postings").parquet(f"{base}/postings")
     articles = spark.read.schema("article_id long, batch int").option("basePath", f"{base}/articles").parquet(f"{base}/articles")
@@ -80,8 +80,10 @@ def read_index(spark: SparkSession, base: str, words: list[str] | None = None, b
     if words is not None:
         wanted = {r[0] for r in spark.createDataFrame([(w,) for w in words], "word string").select(bucket_of(F.col("word"), buckets)).collect()}
         rows = rows.where(F.col("bucket").isin(*wanted) & F.col("word").isin(*words))
-    kept = F.filter("ids", lambda i: ~F.coalesce(F.get("gone", F.pmod(i, F.lit(SPAN)).cast("int")), F.lit(False)))
-    return rows.join(gone, ["slice", "batch"], "left").select("word", "fields", F.when(F.col("gone").isNull(), F.col("ids")).otherwise(kept).alias("ids"))
+    live = lambda article: ~F.coalesce(F.get("gone", F.pmod(article, F.lit(SPAN)).cast("int")), F.lit(False))
+    kept = {"ids": F.filter("ids", live), "fields": F.filter("fields", lambda f, i: live(F.get("ids", i)))}
+    found = rows.join(gone, ["slice", "batch"], "left").select("word", *[F.when(F.col("gone").isNull(), F.col(c)).otherwise(x).alias(c) for c, x in kept.items()])
+    return found.where(F.size("ids") > 0)
 
 
 def publish(df: DataFrame, name: str, base: str | None = None) -> str:
