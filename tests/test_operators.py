@@ -479,6 +479,50 @@ def test_links_leave_no_visits_behind(spark):
     assert set(os.listdir(folder)) == before
 
 
+def test_links_send_no_vector_to_each_cell(spark):
+    """Each vector lies in one array of a block and is sent once, however many cells it reaches; links join what all pairs would."""
+    import os
+
+    from tidewatch.operators import cells
+    from tidewatch.storage import stored
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(260, 6))
+    x[200:] = x[:60] + 0.2 * rng.normal(size=(60, 6))
+    wide = np.where(np.arange(260) % 5 == 0, rng.uniform(0, 0.2, 260), 0.0)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(wide[i])) for i in range(260)], "id long, vec array<double>, extra double")
+    plain = df.withColumn("extra", F.lit(None).cast("double"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    angles = np.arccos(np.clip(u @ u.T, -1, 1))
+
+    def sets(pairs):
+        of = cells.Joined(260)
+        pairs = np.array(pairs, np.int64).reshape(-1, 2)
+        of.add(pairs[:, 0], pairs[:, 1])
+        return of.set_of.tolist()
+
+    dealt = cells.cells_of(plain, block=16, rows_a_cell=20)
+    folder = dealt.folder.removeprefix("file:")
+    links = cells.links_within(dealt, None, 0.35, 0.0)
+    assert "Exchange" not in links._jdf.queryExecution().toString()
+    got = [tuple(r) for r in links.collect()]
+    want = sets(np.argwhere(angles <= 0.35))
+    assert sets(got) == want and 20 < len(set(want)) < 250
+    held = [np.load(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names if f.startswith("id-") and f.endswith(".npy")]
+    assert len(held) > 20 and sorted(np.concatenate(held).tolist()) == list(range(260))
+
+    comps = stored(spark.createDataFrame([(i, r) for i, r in enumerate(want)], "node long, root long"), "components")
+    padded = cells.replace(dealt, rows=dealt.rows.drop("extra").join(df.select("id", "extra"), "id"))
+    more = cells.links_within(padded, df.where("id % 3 = 0"), 0.35, float(wide.max()), part=30, comps=comps).collect()
+    reach = (angles <= 0.35 + wide[:, None] + wide[None]) & (np.arange(260) % 3 == 0)[:, None]
+    both = sets(np.r_[np.argwhere(angles <= 0.35), np.argwhere(reach)])
+    assert sets([*got, *(tuple(r) for r in more)]) == both != want and all(r["a"] != r["b"] for r in more)
+    dealt.forget()
+    assert sorted(n for n in os.listdir(folder) if n in (cells.ARRAYS, cells.CALLS)) == [cells.ARRAYS]
+    dealt.drop()
+    assert not os.path.exists(folder)
+
+
 def test_references_in_sql_are_those_of_html():
     """The SQL of fn_25 resolves names, numbers and cut references as the page parser does."""
     import html
